@@ -31,11 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpoint inherits the size estimate of the plan it replaces, and in loops of joins these
     products grow to numbers of millions of digits. So the checkpointed rows are wrapped anew,
-    without an estimate; adaptive execution sees their true size.
+    without an estimate; adaptive execution sees their true size. The shuffle files behind the
+    checkpoint are dropped at once: nothing reads them again.
     """
-    spark = df.sparkSession
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     ensure_checkpoint_dir(spark)
-    done = df.checkpoint()._jdf
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        done = df.select("*").checkpoint()._jdf
+    finally:
+        spark.conf.set(key, before)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
