@@ -1,9 +1,409 @@
-"""Registry of graph queries."""
+"""Graph queries over the star-schema tables, and the SQL that says what they return."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from graphmill.operators import graph as G
+from graphmill.sources import views as V
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+BATCH, GPUS, MACHINES = 32, 2, 2
+
+
+def query(sql: str | None = None, more: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = f"with recursive {V.SQL}{', ' + more if more else ''} {sql}"
+        return f
+
+    return add
+
+
+def train_nodes(s, d) -> tuple[DataFrame, int, int]:
+    nodes = V.nodes(s, d).select("node_id")
+    total = nodes.count()
+    return G.positional_split(nodes, total).where("split = 'train'"), total, int(total * 0.6)
+
+
+TRAIN = "g_n as (select count(*) as n, floor(count(*) * 0.6)::bigint as t from g_nodes), g_train as (select node_id from g_nodes, g_n where node_id < t)"
+
+
+@query("select edge_id, src, dst from g_edges")
+def coo_edges(s, d):
+    return V.edges(s, d)
+
+
+@query("select dst, row_number() over (partition by dst order by edge_id) - 1 as pos, src, edge_id from g_edges")
+def csc_adjacency(s, d):
+    return G.adjacency(V.edges(s, d))
+
+
+@query("select node_id, (sum(c) over (order by node_id) - c)::bigint as first, (sum(c) over (order by node_id))::bigint as last from (select n.node_id, count(e.dst) as c from g_nodes n left join g_edges e on e.dst = n.node_id group by 1)")
+def csc_indptr(s, d):
+    return G.indptr(V.edges(s, d), V.nodes(s, d))
+
+
+@query("select max(src) as max_index from g_edges")
+def csc_max_index(s, d):
+    return V.edges(s, d).agg(F.max("src").alias("max_index"))
+
+
+@query("select edge_id, src, dst from g_edges where src <> dst union all select (select max(edge_id) from g_edges) + 1 + node_id, node_id, node_id from g_nodes")
+def self_loop_normalize(s, d):
+    return G.normalize_loops(V.edges(s, d), V.nodes(s, d))
+
+
+@query("select n.node_id, (select count(*) from g_edges where dst = n.node_id) as in_degree, (select count(*) from g_edges where src = n.node_id) as out_degree from g_nodes n")
+def in_out_degree(s, d):
+    e = V.edges(s, d)
+    both = e.select(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(e.select(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
+    counts = both.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return V.nodes(s, d).select("node_id").join(counts, "node_id", "left").fillna(0)
+
+
+@query("select rel, src, dst from g_hetero")
+def hetero_edges(s, d):
+    return V.hetero(s, d)
+
+
+TYPES = {"orders": ("customer", "part"), "supplied_by": ("part", "supplier"), "customer_in": ("customer", "nation"), "supplier_in": ("supplier", "nation")}
+KINDS = ("customer", "part", "supplier", "nation")
+
+
+@query("select rel, src + case rel when 'orders' then 0 when 'customer_in' then 0 when 'supplied_by' then c else c + p end as src, dst + case rel when 'orders' then c when 'supplied_by' then c + p else c + p + u end as dst from g_hetero, (select (select count(*) from customer) as c, (select count(*) from part) as p, (select count(*) from supplier) as u)")
+def to_homogeneous(s, d):
+    base, at = {}, 0
+    for kind in KINDS:
+        base[kind], at = at, at + V.read(s, d, kind).count()
+    offset = lambda k: F.create_map(*[F.lit(x) for r, t in TYPES.items() for x in (r, base[t[k]])])[F.col("rel")]
+    return V.hetero(s, d).select("rel", (F.col("src") + offset(0)).alias("src"), (F.col("dst") + offset(1)).alias("dst"))
+
+
+SPLIT = "case when node_id < floor(n * 0.6) then 'train' when node_id < floor(n * 0.6) + floor(n * 0.2) then 'val' when node_id < n then 'test' end as split"
+
+
+@query(f"select node_id, {SPLIT} from g_nodes, (select count(*) as n from g_nodes)")
+def positional_split(s, d):
+    n = V.nodes(s, d)
+    return G.positional_split(n, n.count())
+
+
+@query(f"select node_id, {SPLIT} from g_nodes, (select count(*) // 2 as n from g_nodes)")
+def labeled_prefix_split(s, d):
+    n = V.nodes(s, d)
+    total = n.count()
+    return G.positional_split(n, total, total // 2)
+
+
+@query("select node_id, case when r < floor(n * 0.6) then 'train' when r < floor(n * 0.6) + floor(n * 0.2) then 'val' else 'test' end as split from (select node_id, row_number() over (order by node_id) - 1 as r, count(*) over () as n from g_nodes where label is not null)")
+def labeled_rank_split(s, d):
+    ranked = G.dense_index(V.nodes(s, d).where("label is not null").select("node_id"), "r", "node_id")
+    n = ranked.count()
+    return G.positional_split(ranked.select(F.col("node_id").alias("id"), F.col("r").alias("node_id")), n).join(ranked.withColumnRenamed("node_id", "id").withColumnRenamed("r", "node_id"), "node_id").select(F.col("id").alias("node_id"), "split")
+
+
+@query("select pos, node_id from (select row_number() over (order by md5('42|perm|' || node_id), node_id) - 1 as pos, node_id from g_train)", TRAIN)
+def train_order(s, d):
+    return G.train_order(train_nodes(s, d)[0])
+
+
+@query("select pos, node_id from (select row_number() over (order by md5('42|perm|' || node_id), node_id) - 1 as pos, node_id from g_train) where pos % 4 = 1", TRAIN)
+def rank_stride_shard(s, d):
+    return G.train_order(train_nodes(s, d)[0]).where("pos % 4 = 1")
+
+
+@query("select node_id, greatest(label - 3, 0)::bigint as label from g_nodes where label is not null")
+def label_clean(s, d):
+    return V.nodes(s, d).where("label is not null").select("node_id", F.greatest(F.col("label") - 3, F.lit(0)).cast("long").alias("label"))
+
+
+@query("select count(distinct label) as labels, min(label) as least, max(label) as most from g_nodes")
+def num_labels(s, d):
+    return V.nodes(s, d).agg(F.count_distinct("label").alias("labels"), F.min("label").alias("least"), F.max("label").alias("most"))
+
+
+@query("select node_id, ('0x' || substr(md5('42|label|' || node_id), 1, 8))::bigint % 171 as label from g_nodes")
+def synthetic_labels(s, d):
+    return V.nodes(s, d).select("node_id", (F.conv(F.substring(G.order_key(G.SEED, "label", F.col("node_id")), 1, 8), 16, 10).cast("long") % 171).alias("label"))
+
+
+SEEDS = TRAIN + """, g_rate as (select (0.005::double * least(20.0::double, n::double / t))::double as rate from g_n),
+g_seeds as (select node_id, row_number() over (order by node_id) as color from g_train, g_rate
+  where substr(md5('42|seed|' || node_id), 1, 8) < printf('%08x', floor(rate * 4294967296)::bigint))"""
+
+
+@query("select node_id, color from g_seeds", SEEDS)
+def seed_sample_train(s, d):
+    train, n, t = train_nodes(s, d)
+    return G.seeds(train, train, 0.005 * min(20, n / t))
+
+
+@query("select node_id, row_number() over (order by node_id) as color from g_nodes where substr(md5('42|seed|' || node_id), 1, 8) < printf('%08x', floor(0.005::double * 4294967296)::bigint)")
+def seed_sample_all(s, d):
+    nodes = V.nodes(s, d).select("node_id")
+    return G.seeds(nodes, nodes, 0.005)
+
+
+def color_sql(levels: int = 10) -> str:
+    """All levels written out: claims, winners, visit order."""
+    parts = [SEEDS, "g_norm as (select edge_id, src, dst from g_edges where src <> dst union all select (select max(edge_id) from g_edges) + 1 + node_id, node_id, node_id from g_nodes)", "g_adj as materialized (select dst, row_number() over (partition by dst order by edge_id) - 1 as pos, src from g_norm)"]
+    parts.append("c1 as (select node_id, 0 as g, color as r, 0 as p, color from g_seeds union all select a.src, 1, s.color, a.pos, s.color from g_seeds s join g_adj a on a.dst = s.node_id where a.src in (select node_id from g_train))")
+    done = ""
+    for h in range(1, levels + 1):
+        parts.append(f"w{h} as materialized (select *, row_number() over (order by g desc, r desc, p desc) as rank from (select *, row_number() over (partition by node_id order by g desc, r desc, p desc) as k from c{h}{f' where node_id not in ({done})' if done else ''}) where k = 1)")
+        done += (" union all " if done else "") + f"select node_id from w{h}"
+        parts.append(f"c{h + 1} as (select a.src as node_id, 0 as g, w.rank as r, a.pos as p, w.color from w{h} w join g_adj a on a.dst = w.node_id)")
+    parts.append("g_colors as materialized (" + " union all ".join(f"select node_id, color, {h}::int as hop from w{h}" for h in range(1, levels + 1)) + ")")
+    return ", ".join(parts)
+
+
+def colored(s, d) -> tuple[DataFrame, DataFrame]:
+    train, n, t = train_nodes(s, d)
+    edges = G.cut(G.normalize_loops(V.edges(s, d), V.nodes(s, d)))
+    return edges, G.color_graph(edges, G.cut(G.seeds(train, train, 0.005 * min(20, n / t))), train)
+
+
+@query("select node_id, color, hop from g_colors", color_sql())
+def color_graph(s, d):
+    return colored(s, d)[1]
+
+
+@query("select color, count(*) as nodes, max(hop) as hops from g_colors group by 1", color_sql())
+def color_histogram(s, d):
+    return colored(s, d)[1].groupBy("color").agg(F.count(F.lit(1)).alias("nodes"), F.max("hop").alias("hops"))
+
+
+CROSS = """, g_cross as (select a.color as c, b.color as d, sum(exp(-0.5 * b.hop)) as w, count(*) as n from g_norm e join g_colors a on a.node_id = e.dst join g_colors b on b.node_id = e.src where a.color <> b.color group by 1, 2),
+g_all as (select a.color as c, count(*) as n from g_norm e join g_colors a on a.node_id = e.dst group by 1),
+g_aff as (select x.c as color, x.rank, x.d as neigh_color, round(x.w / g_all.n, 6) as affinity from (select *, row_number() over (partition by c order by round(w, 9) desc, d) as rank from g_cross) x join g_all on g_all.c = x.c where rank <= 10)"""
+
+
+@query("select * from g_aff", color_sql() + CROSS)
+def color_affinity(s, d):
+    return G.affinity(*colored(s, d))
+
+
+@query("select c as color, rank, d as neigh_color, n as edges from (select *, row_number() over (partition by c order by n desc, d) as rank from g_cross) where rank <= 10", color_sql() + CROSS)
+def nearest_colors(s, d):
+    return G.affinity(*colored(s, d), decay=False)
+
+
+ORDER = TRAIN + ", g_order as (select row_number() over (order by md5('42|perm|' || node_id), node_id) - 1 as pos, node_id from g_train), g_batch as (select pos // 128 as step, pos, node_id, pos % 128 // 64 as machine, pos % 64 // 32 as gpu from g_order where pos // 128 < (select t // 128 - 1 from g_n))"
+
+
+def batches(s, d) -> DataFrame:
+    train, _, t = train_nodes(s, d)
+    return G.striped(G.train_order(train), BATCH, GPUS, MACHINES, t)
+
+
+@query("select * from g_batch", ORDER)
+def baseline_distribution(s, d):
+    return batches(s, d)
+
+
+@query("select step, machine, gpu, count(*) as nodes from g_batch group by 1, 2, 3", ORDER)
+def gpu_slices(s, d):
+    return batches(s, d).groupBy("step", "machine", "gpu").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("select max(step) + 1 as steps, count(*) as nodes from g_batch", ORDER)
+def epoch_batches(s, d):
+    return batches(s, d).agg((F.max("step") + 1).alias("steps"), F.count(F.lit(1)).alias("nodes"))
+
+
+RESIDENT = ", g_res as (select color, (color % 2)::int as machine, count(*) as resident from g_colors group by 1)"
+SCORES = ", " + ORDER.removeprefix(TRAIN + ", ") + RESIDENT + """, g_per as (select a.color, r.machine, sum(r.resident * a.affinity) as score from g_aff a join g_res r on r.color = a.neigh_color group by 1, 2),
+g_scores as materialized (select b.step, b.pos, b.node_id, m.machine, round(coalesce(p.score, 0.0), 6) as score from g_batch b cross join (select unnest([0, 1])::int as machine) m left join g_colors c on c.node_id = b.node_id left join g_per p on p.color = c.color and p.machine = m.machine)"""
+
+
+def scored(s, d) -> DataFrame:
+    edges, colors = colored(s, d)
+    resident = colors.groupBy("color").agg(F.count(F.lit(1)).alias("resident")).withColumn("machine", (F.col("color") % 2).cast("int"))
+    return G.scores(batches(s, d), colors, G.affinity(edges, colors), resident, MACHINES)
+
+
+@query("select step, pos, node_id, machine, score from g_scores", color_sql() + CROSS + SCORES)
+def partition_scores(s, d):
+    return scored(s, d)
+
+
+GREEDY = SCORES + """, g_wide as materialized (select step, pos, node_id, max(score) filter (where machine = 0) as s0, max(score) filter (where machine = 1) as s1 from g_scores group by 1, 2, 3),
+g_go as (
+  select step, -1::bigint as seen, null::bigint as pos, null::bigint as node_id, null::bigint as machine, null::bigint as slot, 0::bigint as f0, 0::bigint as f1 from (select distinct step from g_wide)
+  union all
+  select w.step, g.seen + 1, w.pos, w.node_id, m.m, case m.m when 0 then g.f0 else g.f1 end, g.f0 + (m.m = 0)::bigint, g.f1 + (m.m = 1)::bigint
+  from g_go g join g_wide w on w.step = g.step and w.pos = g.step * 128 + g.seen + 1,
+  lateral (select (case when (case when g.f1 < 64 then w.s1 else -1 end) > (case when g.f0 < 64 then w.s0 else -1 end) then 1 else 0 end)::bigint as m) m)"""
+
+
+@query("select step, pos, node_id, machine, slot, slot // 32 as gpu from g_go where seen >= 0", color_sql() + CROSS + GREEDY)
+def affinity_distribution(s, d):
+    return G.distribute(scored(s, d), BATCH * GPUS, BATCH, MACHINES)
+
+
+SAMPLE = ORDER + """, g_seedset as (select distinct step * 4 + machine * 2 + gpu as batch, node_id from g_batch),
+b1 as materialized (select * from (select f.batch, 1 as layer, e.src, e.dst, e.edge_id, row_number() over (partition by f.batch, e.dst order by md5('42|layer1|' || f.batch || '|' || e.edge_id), e.edge_id) as r from g_seedset f join g_edges e on e.dst = f.node_id) where r <= 5),
+f1 as (select batch, node_id from g_seedset union select batch, src from b1),
+b0 as materialized (select * from (select f.batch, 0 as layer, e.src, e.dst, e.edge_id, row_number() over (partition by f.batch, e.dst order by md5('42|layer0|' || f.batch || '|' || e.edge_id), e.edge_id) as r from f1 f join g_edges e on e.dst = f.node_id) where r <= 5),
+g_blocks as (select batch, layer, src, dst, edge_id from b1 union all select batch, layer, src, dst, edge_id from b0),
+g_input as (select batch, node_id from f1 union select batch, src from b0)"""
+
+
+def batch_nodes(s, d) -> DataFrame:
+    return batches(s, d).select((F.col("step") * 4 + F.col("machine") * 2 + F.col("gpu")).alias("batch"), "node_id")
+
+
+def inputs(s, d) -> DataFrame:
+    seeds, blocks = batch_nodes(s, d), sample_blocks(s, d)
+    return seeds.unionByName(blocks.select("batch", F.col("src").alias("node_id"))).unionByName(blocks.select("batch", F.col("dst").alias("node_id"))).distinct()
+
+
+@query("select batch, layer, src, dst, edge_id from g_blocks", SAMPLE)
+def sample_blocks(s, d):
+    return G.sample_blocks(batch_nodes(s, d), G.cut(V.edges(s, d)), [5, 5])
+
+
+@query("select batch, node_id from g_input", SAMPLE)
+def input_nodes(s, d):
+    return inputs(s, d)
+
+
+@query("select count(*) as sampled from g_input", SAMPLE)
+def sampled_node_count(s, d):
+    return inputs(s, d).agg(F.count(F.lit(1)).alias("sampled"))
+
+
+@query("select i.batch, i.node_id, round(f.embedding[1]::double, 6) as first, round(f.embedding[64]::double, 6) as last from g_input i join g_features f on f.node_id = i.node_id", SAMPLE)
+def fetch_isolated(s, d):
+    got = inputs(s, d).join(V.features(s, d), "node_id")
+    return got.select("batch", "node_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
+
+
+@query("select batch, node_id, node_id % 2 as owner, row_number() over (partition by batch, node_id % 2 order by node_id) - 1 as slot from g_input", SAMPLE)
+def route_requests(s, d):
+    owner = (F.col("node_id") % GPUS).alias("owner")
+    return inputs(s, d).select("batch", "node_id", owner).withColumn("slot", F.row_number().over(Window.partitionBy("batch", "owner").orderBy("node_id")) - 1)
+
+
+@query("select batch % 2 as requester, node_id % 2 as owner, count(*) as requests from g_input group by 1, 2", SAMPLE)
+def request_histogram(s, d):
+    return inputs(s, d).groupBy((F.col("batch") % GPUS).alias("requester"), (F.col("node_id") % GPUS).alias("owner")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+@query("select d as dim, case when d <= 128 then 128 when d <= 256 then 256 when d <= 512 then 512 when d <= 1024 then 1024 end as cache_dim from (select unnest([64, 128, 129, 1024]) as d)")
+def dim_bucket(s, d):
+    x = F.col("dim")
+    return s.createDataFrame([(64,), (128,), (129,), (1024,)], "dim int").select(x, F.when(x <= 128, 128).when(x <= 256, 256).when(x <= 512, 512).when(x <= 1024, 1024).alias("cache_dim"))
+
+
+@query("select m as cache_mb, m * 1048576::bigint // 512 as lines, m * 1048576::bigint // 512 // 32 as sets from (select unnest([512, 4096, 16384]::bigint[]) as m)")
+def cache_geometry(s, d):
+    m = F.col("cache_mb")
+    return s.createDataFrame([(512,), (4096,), (16384,)], "cache_mb long").selectExpr("cache_mb", "cache_mb * 1048576 div 512 as lines", "cache_mb * 1048576 div 512 div 32 as sets")
+
+
+@query("select distinct node_id, owner, node_id % 4 as isolated_set, node_id // 4 % 4 as shared_set from g_access")
+def cache_set_map(s, d):
+    return V.accesses(s, d).selectExpr("node_id", "owner", "node_id % 4 as isolated_set", "node_id div 4 % 4 as shared_set").distinct()
+
+
+TRACE = """g_seq as materialized (select step, owner, node_id // 4 % 4 as cache_set, node_id, row_number() over (partition by owner, node_id // 4 % 4 order by step) as k from g_access),
+g_fold as (
+  select owner, cache_set, 0::bigint as k, null::bigint as step, null::bigint as node_id, false as hit, [null, null, null, null]::bigint[] as lines, 0 as at from (select distinct owner, cache_set from g_seq)
+  union all
+  select q.owner, q.cache_set, q.k, q.step, q.node_id, list_contains(f.lines, q.node_id),
+         case when list_contains(f.lines, q.node_id) then f.lines else list_transform(f.lines, lambda x, i: case when i = f.at % 4 + 1 then q.node_id else x end) end,
+         f.at + case when list_contains(f.lines, q.node_id) then 0 else 1 end
+  from g_fold f join g_seq q on q.owner = f.owner and q.cache_set = f.cache_set and q.k = f.k + 1)"""
+
+
+@query("select step, owner, cache_set, node_id, hit from g_fold where k > 0", TRACE)
+def cache_trace(s, d):
+    return G.cache_trace(V.accesses(s, d).select("step", "node_id", "owner"), 4, 4)
+
+
+@query("select owner, sum(hit::int)::bigint as hits, sum(1 - hit::int)::bigint as misses, round(avg(hit::int), 6) as ratio from g_fold where k > 0 group by 1", TRACE)
+def cache_stats(s, d):
+    hit = F.col("hit").cast("int")
+    return cache_trace(s, d).groupBy("owner").agg(F.sum(hit).alias("hits"), F.sum(1 - hit).alias("misses"), F.round(F.avg(hit), 6).alias("ratio"))
+
+
+DIMS = "g_x as (select node_id, generate_subscripts(embedding, 1)::int as dim, unnest(embedding)::double as x from g_features), g_in as (select dst, count(*) as n from g_edges group by 1), g_out as (select src, count(*) as n from g_edges group by 1)"
+
+
+def dims(s, d) -> DataFrame:
+    return V.features(s, d).select("node_id", F.posexplode(F.slice("embedding", 1, 8)).alias("dim", "x")).select("node_id", (F.col("dim") + 1).alias("dim"), F.col("x").cast("double").alias("x"))
+
+
+@query("select e.dst as node_id, x.dim, round(avg(x.x), 6) as mean from g_edges e join g_x x on x.node_id = e.src where x.dim <= 8 group by 1, 2", DIMS)
+def sage_mean(s, d):
+    got = V.edges(s, d).join(dims(s, d), F.col("src") == F.col("node_id"))
+    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("select e.dst as node_id, x.dim, round(sum(x.x / sqrt(o.n * i.n)), 6) as total from g_edges e join g_x x on x.node_id = e.src join g_out o on o.src = e.src join g_in i on i.dst = e.dst where x.dim <= 8 group by 1, 2", DIMS)
+def gcn_norm_sum(s, d):
+    e = G.cut(V.edges(s, d))
+    out, into = e.groupBy("src").agg(F.count(F.lit(1)).alias("o")), e.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
+    got = e.join(out, "src").join(into, "dst").join(dims(s, d), F.col("src") == F.col("node_id"))
+    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.sum(F.col("x") / F.sqrt(F.col("o") * F.col("i"))), 6).alias("total"))
+
+
+@query("select x.node_id, x.dim, round((x.x + coalesce(n.s, 0)) / (coalesce(i.n, 0) + 1), 6) as mean from g_x x left join (select e.dst, y.dim, sum(y.x) as s from g_edges e join g_x y on y.node_id = e.src group by 1, 2) n on n.dst = x.node_id and n.dim = x.dim left join g_in i on i.dst = x.node_id where x.dim <= 8", DIMS)
+def sage_gcn_agg(s, d):
+    e, x = G.cut(V.edges(s, d)), dims(s, d)
+    sums = e.join(x.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id"), "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0)
+    return x.join(sums, ["node_id", "dim"], "left").select("node_id", "dim", F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6).alias("mean"))
+
+
+@query("select dst as node_id, edge_id, round(exp(z) / sum(exp(z)) over (partition by dst), 6) as attention from (select e.dst, e.edge_id, case when a.x + b.x > 0 then a.x + b.x else 0.2 * (a.x + b.x) end as z from g_edges e join g_x a on a.node_id = e.src and a.dim = 1 join g_x b on b.node_id = e.dst and b.dim = 2)", DIMS)
+def gat_attention(s, d):
+    x = dims(s, d)
+    a, b = x.where("dim = 1").select(F.col("node_id").alias("src"), F.col("x").alias("a")), x.where("dim = 2").select(F.col("node_id").alias("dst"), F.col("x").alias("b"))
+    z = F.col("a") + F.col("b")
+    scored = V.edges(s, d).join(a, "src").join(b, "dst").withColumn("z", F.exp(F.when(z > 0, z).otherwise(0.2 * z)))
+    return scored.select(F.col("dst").alias("node_id"), "edge_id", F.round(F.col("z") / F.sum("z").over(Window.partitionBy("dst")), 6).alias("attention"))
+
+
+@query("select dst, round(avg(m), 6) as mean from (select rel, dst, avg(src) as m from g_hetero group by 1, 2) group by 1")
+def hetero_mean(s, d):
+    return V.hetero(s, d).groupBy("rel", "dst").agg(F.avg("src").alias("m")).groupBy("dst").agg(F.round(F.avg("m"), 6).alias("mean"))
+
+
+LOGITS = "g_top as (select node_id, list_position(e, list_max(e)) - 1 as predicted, e, label from (select n.node_id, n.label, f.embedding[1:10]::double[] as e from g_nodes n join g_features f using (node_id)) where label is not null)"
+
+
+def logits(s, d) -> DataFrame:
+    e = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    return V.nodes(s, d).where("label is not null").join(V.features(s, d), "node_id").select("node_id", "label", e.alias("e")).withColumn("predicted", F.array_position("e", F.array_max("e")) - 1)
+
+
+@query("select node_id, predicted::bigint as predicted from g_top", LOGITS)
+def predict_argmax(s, d):
+    return logits(s, d).select("node_id", "predicted")
+
+
+@query("select round(avg((predicted = label)::int) * 100, 6) as accuracy from g_top", LOGITS)
+def accuracy(s, d):
+    return logits(s, d).agg(F.round(F.avg((F.col("predicted") == F.col("label")).cast("int")) * 100, 6).alias("accuracy"))
+
+
+@query("select round(avg(ln(list_sum(list_transform(e, lambda x: exp(x)))) - e[label + 1]), 6) as loss from g_top", LOGITS)
+def cross_entropy(s, d):
+    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x))
+    return logits(s, d).agg(F.round(F.avg(F.log(total) - F.element_at("e", F.col("label") + 1)), 6).alias("loss"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
