@@ -17,9 +17,12 @@ from graphmill.llm.components import connected_components
 from graphmill.llm.jaccard import forest
 from graphmill.llm.vectors import matrix, norms, vector_rows
 
-TREES, LEAF, BLOCK = 4, 512, 1024
-#: Half-width of the band around a cut whose vectors go to both sides (unit vectors).
-SPILL = 0.06
+TREES, LEAF, BLOCK = 6, 512, 1024
+#: Half-width of the band around a cut whose vectors go to both sides, in standard deviations of
+#: the distance that a random direction sees between two vectors at the threshold. At 0.5 a cut
+#: parts some 2.5 % of such pairs, so six trees of twenty levels miss about 1 in 200 of them, and
+#: closer pairs far more rarely; a wider band makes the rows of a tree grow like a power of the input.
+WIDTH = 0.5
 #: A node's subtree is drawn from so many of its vectors; routing groups hold about as many.
 SAMPLE, ROUTED = 2048, 4096
 #: A cut that leaves a side more than this share of the node doesn't split it: the node is dense.
@@ -65,14 +68,19 @@ def route(unit: np.ndarray, cuts: dict[int, float], seed: int, spill: float) ->
     return out
 
 
-def grow(points: DataFrame, leaf: int, spill: float) -> DataFrame:
+def band(threshold: float, dim: int, width: float = WIDTH) -> float:
+    """Half-width of the band for unit vectors of ``dim`` components."""
+    return width * float(np.sqrt(max(2 - 2 * threshold, 0) / dim))
+
+
+def grow(points: DataFrame, leaf: int, threshold: float, width: float) -> DataFrame:
     """One round of splitting: (node, id, vector, copies) -> the same under the leaves of each node's subtree, with ``more`` where a leaf is still to be split."""
     sizes = points.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
     ranked = points.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= SAMPLE)
 
     def draw(part: pd.DataFrame) -> pd.DataFrame:
         node, m = int(part["node"].iloc[0]), matrix(part["vector"])
-        cuts = draw_tree(m / norms(m)[:, None], int(part["total"].iloc[0]), node, leaf, spill)
+        cuts = draw_tree(m / norms(m)[:, None], int(part["total"].iloc[0]), node, leaf, band(threshold, m.shape[1], width))
         return pd.DataFrame({"node": [node], "total": [int(part["total"].iloc[0])], "at": [list(cuts)], "cut": [list(cuts.values())]})
 
     trees = cut(ranked.join(sizes, "node").groupBy("node").applyInPandas(draw, "node long, total long, at array<long>, cut array<double>"))
@@ -86,7 +94,7 @@ def grow(points: DataFrame, leaf: int, spill: float) -> DataFrame:
         node, m = int(part["node"].iloc[0]), matrix(part["vector"])
         cuts = dict(zip(map(int, tree["at"].iloc[0]), tree["cut"].iloc[0], strict=True))
         out = []
-        for k, rows in route(m / norms(m)[:, None], cuts, node, spill):
+        for k, rows in route(m / norms(m)[:, None], cuts, node, band(threshold, m.shape[1], width)):
             name = (node * 0x9E3779B97F4A7C15 + k * 0xBF58476D1CE4E5B9) % (1 << 63)
             out.append(part.iloc[rows][["id", "vector", "copies"]].assign(node=name, split=len(cuts) > 0))
         return pd.concat(out)[["node", "split", "id", "vector", "copies"]]
@@ -129,7 +137,7 @@ def compare_leaf(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame([(x, y, 0) for x, y in edges] + counts, columns=["a", "b", "n"]).astype("Int64")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES, leaf: int = LEAF, width: float = WIDTH, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
     Rows link when their labels are equal and not null and their cosine is at least ``threshold``;
@@ -147,7 +155,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, trees: int = TR
     todo = points.select(F.col("point").alias("id"), "vector", "copies", "label_key", "dim", tree.alias("tree")).select((F.xxhash64("label_key", "dim", "tree").bitwiseAND(F.lit((1 << 62) - 1))).alias("node"), "id", "vector", "copies")
     leaves = None
     while True:
-        grown = grow(todo, leaf, spill)
+        grown = grow(todo, leaf, threshold, width)
         large = cut(grown.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.max("split").alias("split")).where((F.col("held") > 2 * leaf) & F.col("split")).select("node"))
         done = grown.join(broadcast_if_small(large), "node", "left_anti").select("node", "id", "vector", "copies")
         leaves = done if leaves is None else leaves.unionByName(done)
