@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,11 +18,18 @@ def accepted(rate: float, seed: int, tag: str, *ids: Column) -> Column:
     return F.lit(True) if rate >= 1 else F.substring(order_key(seed, tag, *ids), 1, 8) < F.lit(f"{int(rate * 2**32):08x}")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a new one where none is set, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphmill-"))
+    return sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's spark.checkpoint.dir (a new folder where none is set), without inherited size estimates."""
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphmill-"))
+    checkpoint_folder(spark)
     done = df.checkpoint()._jdf
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 

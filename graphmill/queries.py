@@ -401,9 +401,16 @@ def cross_entropy(s, d):
     return logits(s, d).agg(F.round(F.avg(F.log(total) - F.element_at("e", F.col("label") + 1)), 6).alias("loss"))
 
 
+def register_plans() -> None:
+    """The plan modules add their queries when they are imported; they build on this module."""
+    from graphmill.plans import cache_plans, hetero_plans  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    register_plans()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    register_plans()
     return dict(SQL)

@@ -8,6 +8,7 @@ import pytest
 from graphmill import queries as Q
 from graphmill.operators import graph as G
 
+Q.register_plans()
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
