@@ -39,7 +39,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("toxicity", toxicity_stage), ("ngram_jaccard", jaccard_stage), ("suffix_dedup", repeats_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-#: Learned scores and byte-level repeats are beyond SQL; tests compare with a brute-force pipeline.
+#: Learned scores and byte-level repeats are beyond SQL. The stages' operators are tested one by one; a test of the whole is open.
 ORACLE_SQL = None
 
 
