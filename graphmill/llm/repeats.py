@@ -182,6 +182,7 @@ def judge(table: pa.Table, p: Params) -> pa.RecordBatch:
         least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(d))))
         on = least < d
         np.bitwise_or.at(answer, take[r[on]], np.int64(1) << w[on])
+    answer |= answer[firsts][group]  # the same context has the same windows in every row, also within one document
     hit = answer != 0
     keep = pa.array(np.flatnonzero(hit))
     return pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(keep), table.column("start").combine_chunks().take(keep), pa.array(answer[hit])], names=["key", "start", "windows"])

@@ -65,6 +65,36 @@ def test_repeats(spark, rows):
     assert got[None].spans == []
 
 
+def kept_by_brute_force(rows):
+    """The bytes each (id, text) keeps: all but those under a window that a smaller id has too."""
+    known = sorted((i, (t or "").encode()) for i, t in rows)
+    first, out = {}, {}
+    for i, b in known:
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, b in known:
+        mark = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                mark[k : k + 50] = b"\1" * 50
+        out[i, b] = bytes(c for c, m in zip(b, mark, strict=True) if not m)
+    return out
+
+
+def test_repeats_of_one_context_within_a_document(spark):
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    passage, block = word(120), word(30)
+    again = block + passage + block  # the same surroundings each time, others than in document 3
+    rows = [(1, word(70) + "-" * 60 + word(20)), (2, word(30) + "-" * 400 + word(40)), (3, word(90) + passage + word(60))]
+    rows += [(4, word(50) + again + word(80) + again + word(40) + again), (5, "-" * 700), (5, "-" * 700), (6, "=" * 55), (7, "=" * 500), (7, "=" * 500 + "x")]
+    want = kept_by_brute_force(rows)
+    got = repeats.remove_repeats(frame(spark, [(i, t, "en", "a") for i, t in rows]), keep=("text",)).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert bytes(x.kept) == want[x.doc_id, x.kept_text.encode()], x.doc_id
+
+
 def test_mixing(spark, rows):
     docs = frame(spark, rows)
     plan = mixing.plan_mix(docs).collect()
