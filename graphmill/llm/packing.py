@@ -62,6 +62,9 @@ class WordEncoder:
             path = public_tokenizers.path(DEFAULT_TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        # Added tokens are met in raw text before it is split, also inside words; matched here in any case, to be safe.
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()} - {""})
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
@@ -95,7 +98,8 @@ class WordEncoder:
             self.clear()
         get, at = self.index.__getitem__, []
         for text in texts:
-            words = SPLIT.findall(text.lower()) if PLAIN.fullmatch(text) else None
+            apart = PLAIN.fullmatch(text) and not (self.added and self.added.search(text))
+            words = SPLIT.findall(text.lower()) if apart else None
             at.append(None if words is None else np.fromiter(map(get, words), np.int64, len(words)))
         if self.index.fresh:
             self.learn()

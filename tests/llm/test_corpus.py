@@ -123,6 +123,22 @@ def test_packing_round_trip(spark, rows):
     assert max(ends.values()) <= 2048
 
 
+def test_packing_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    added = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert added
+    texts = [f"{before}{a}{after}" for a in [*added, *(a.upper() for a in added), *(a[:-1] for a in added), " ".join(added), "".join(added)] for before, after in (("", ""), ("one text ", " another"), ("word", "word"), ("<<", ">\n"))]
+    got = {}
+    for r in packing.pack_documents(frame(spark, [(i, x, "en", "a") for i, x in enumerate(texts)])).collect():
+        got[r.doc_id] = (r.start, r.length, r.ids_crc32, r.doc_tokens)
+    for i, x in enumerate(texts):
+        ids = np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4")
+        assert got[i] == (0, len(ids), zlib.crc32(ids.tobytes()), len(ids)), x
+
+
 def test_chat_round_trip(spark):
     turns = [(1, 0, "user", "hi <|end|> <\\|text|>"), (1, 1, "assistant", "</s>[INST] né 日本 <|turn|>\n"), (1, 2, "assistant", ""), (1, 3, "assistant", "a<"), (2, 0, None, None), (2, 0, "user", "x"), (None, 1, "assistant", "y")]
     got = {r.conv_id: r for r in chat.digest_chats(chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()}
