@@ -363,6 +363,40 @@ def sage_gcn_agg(s, d):
     return x.join(sums, ["node_id", "dim"], "left").select("node_id", "dim", F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6).alias("mean"))
 
 
+def components(vectors: DataFrame, *keys: str) -> DataFrame:
+    """A row for each component of ``embedding``, all of them, numbered from 1."""
+    return vectors.select(*keys, F.posexplode("embedding").alias("at", "y")).select(*keys, (F.col("at") + 1).alias("dim"), F.col("y").cast("double").alias("x"))
+
+
+# sage_mean, gcn_norm_sum and sage_gcn_agg hold 8 components, fetch_isolated 2, as their fixed SQL does; these hold whole vectors.
+# Vectors are shuffled whole and taken apart after the join.
+@query("select i.batch, i.node_id, f.embedding::double[] as embedding from g_input i join g_features f on f.node_id = i.node_id", SAMPLE)
+def fetch_isolated_whole(s, d):
+    return inputs(s, d).join(V.features(s, d), "node_id").select("batch", "node_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+@query("select e.dst as node_id, x.dim, round(avg(x.x), 6) as mean from g_edges e join g_x x on x.node_id = e.src group by 1, 2", DIMS)
+def sage_mean_whole(s, d):
+    got = components(V.edges(s, d).join(V.features(s, d).withColumnRenamed("node_id", "src"), "src"), "dst")
+    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("select e.dst as node_id, x.dim, round(sum(x.x / sqrt(o.n * i.n)), 6) as total from g_edges e join g_x x on x.node_id = e.src join g_out o on o.src = e.src join g_in i on i.dst = e.dst group by 1, 2", DIMS)
+def gcn_norm_sum_whole(s, d):
+    e = G.cut(V.edges(s, d))
+    out, into = e.groupBy("src").agg(F.count(F.lit(1)).alias("o")), e.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
+    got = components(e.join(out, "src").join(into, "dst").join(V.features(s, d).withColumnRenamed("node_id", "src"), "src"), "dst", "o", "i")
+    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.sum(F.col("x") / F.sqrt(F.col("o") * F.col("i"))), 6).alias("total"))
+
+
+@query("select x.node_id, x.dim, round((x.x + coalesce(n.s, 0)) / (coalesce(i.n, 0) + 1), 6) as mean from g_x x left join (select e.dst, y.dim, sum(y.x) as s from g_edges e join g_x y on y.node_id = e.src group by 1, 2) n on n.dst = x.node_id and n.dim = x.dim left join g_in i on i.dst = x.node_id", DIMS)
+def sage_gcn_agg_whole(s, d):
+    e, f = G.cut(V.edges(s, d)), V.features(s, d)
+    sums = components(e.join(f.withColumnRenamed("node_id", "src"), "src"), "dst").groupBy(F.col("dst").alias("node_id"), "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0)
+    return components(f, "node_id").join(sums, ["node_id", "dim"], "left").select("node_id", "dim", F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6).alias("mean"))
+
+
 @query("select dst as node_id, edge_id, round(exp(z) / sum(exp(z)) over (partition by dst), 6) as attention from (select e.dst, e.edge_id, case when a.x + b.x > 0 then a.x + b.x else 0.2 * (a.x + b.x) end as z from g_edges e join g_x a on a.node_id = e.src and a.dim = 1 join g_x b on b.node_id = e.dst and b.dim = 2)", DIMS)
 def gat_attention(s, d):
     x = dims(s, d)

@@ -1,8 +1,10 @@
 """Graph queries against their SQL, and sequential models on small graphs."""
 
 import random
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 from graphmill import queries as Q
@@ -62,3 +64,25 @@ def test_coloring_equals_stack_model(spark):
         e = spark.createDataFrame(edges, "edge_id long, src long, dst long")
         got = G.color_graph(e, spark.createDataFrame([(s, c) for c, s in seeds], "node_id long, color long"), spark.createDataFrame([(v,) for v in train], "node_id long"))
         assert {x.node_id: (x.color, x.hop) for x in got.collect()} == stack_model(n, edges, seeds, train)
+
+
+def test_whole_vectors(spark):
+    """All 64 components of every node, against sums by hand."""
+    edges = [(e.src, e.dst) for e in Q.QUERIES["coo_edges"](spark, SF).collect()]
+    vector = {r.node_id: np.array(r.embedding, float) for r in Q.V.features(spark, SF).collect()}
+    out, into = Counter(a for a, _ in edges), Counter(b for _, b in edges)
+    total, norm = defaultdict(lambda: np.zeros(64)), defaultdict(lambda: np.zeros(64))
+    for a, b in edges:
+        total[b] += vector[a]
+        norm[b] += vector[a] / np.sqrt(out[a] * into[b])
+    want = {
+        "sage_mean_whole": ("mean", {v: total[v] / into[v] for v in into}),
+        "gcn_norm_sum_whole": ("total", dict(norm)),
+        "sage_gcn_agg_whole": ("mean", {v: (vector[v] + total[v]) / (into[v] + 1) for v in vector}),
+    }
+    for name, (column, rows) in want.items():
+        got = {(r.node_id, r.dim): r[column] for r in Q.QUERIES[name](spark, SF).collect()}
+        assert set(got) == {(v, k) for v in rows for k in range(1, 65)}, name
+        assert all(abs(x - rows[v][k - 1]) < 2e-6 for (v, k), x in got.items()), name
+    fetched = Q.QUERIES["fetch_isolated_whole"](spark, SF).collect()
+    assert len(fetched) == Q.QUERIES["input_nodes"](spark, SF).count() and all(r.embedding == vector[r.node_id].tolist() for r in fetched)
