@@ -118,6 +118,11 @@ def rank_stride_shard(s, d):
     return G.train_order(train_nodes(s, d)[0]).where("pos % 4 = 1")
 
 
+@query("select pos % 4 as rank, pos, node_id from (select row_number() over (order by md5('42|perm|' || node_id), node_id) - 1 as pos, node_id from g_train)", TRAIN)
+def rank_stride_shards(s, d):
+    return G.train_order(train_nodes(s, d)[0]).select((F.col("pos") % 4).alias("rank"), "pos", "node_id")
+
+
 @query("select node_id, greatest(label - 3, 0)::bigint as label from g_nodes where label is not null")
 def label_clean(s, d):
     return V.nodes(s, d).where("label is not null").select("node_id", F.greatest(F.col("label") - 3, F.lit(0)).cast("long").alias("label"))
@@ -406,6 +411,17 @@ def gat_attention(s, d):
     return scored.select(F.col("dst").alias("node_id"), "edge_id", F.round(F.col("z") / F.sum("z").over(Window.partitionBy("dst")), 6).alias("attention"))
 
 
+# Head h scores with components 2h + 1 of the source and 2h + 2 of the target; head 0 is gat_attention.
+@query("select dst as node_id, edge_id, head, round(exp(z) / sum(exp(z)) over (partition by dst, head), 6) as attention from (select e.dst, e.edge_id, h.head, case when a.x + b.x > 0 then a.x + b.x else 0.2 * (a.x + b.x) end as z from g_edges e cross join (select unnest([0, 1, 2, 3])::int as head) h join g_x a on a.node_id = e.src and a.dim = 2 * h.head + 1 join g_x b on b.node_id = e.dst and b.dim = 2 * h.head + 2)", DIMS)
+def gat_attention_heads(s, d):
+    f = V.features(s, d)
+    a, b = f.select(F.col("node_id").alias("src"), F.col("embedding").alias("a")), f.select(F.col("node_id").alias("dst"), F.col("embedding").alias("b"))
+    rows = V.edges(s, d).join(a, "src").join(b, "dst").withColumn("head", F.explode(F.array(*[F.lit(h) for h in range(4)])))
+    z = F.element_at("a", 2 * F.col("head") + 1).cast("double") + F.element_at("b", 2 * F.col("head") + 2).cast("double")
+    scored = rows.select("dst", "edge_id", "head", F.exp(F.when(z > 0, z).otherwise(0.2 * z)).alias("z"))
+    return scored.select(F.col("dst").alias("node_id"), "edge_id", "head", F.round(F.col("z") / F.sum("z").over(Window.partitionBy("dst", "head")), 6).alias("attention"))
+
+
 @query("select dst, round(avg(m), 6) as mean from (select rel, dst, avg(src) as m from g_hetero group by 1, 2) group by 1")
 def hetero_mean(s, d):
     return V.hetero(s, d).groupBy("rel", "dst").agg(F.avg("src").alias("m")).groupBy("dst").agg(F.round(F.avg("m"), 6).alias("mean"))

@@ -86,3 +86,12 @@ def test_whole_vectors(spark):
         assert all(abs(x - rows[v][k - 1]) < 2e-6 for (v, k), x in got.items()), name
     fetched = Q.QUERIES["fetch_isolated_whole"](spark, SF).collect()
     assert len(fetched) == Q.QUERIES["input_nodes"](spark, SF).count() and all(r.embedding == vector[r.node_id].tolist() for r in fetched)
+
+
+def test_every_rank_and_head(spark):
+    dealt = Q.QUERIES["rank_stride_shards"](spark, SF).collect()
+    assert {r.rank for r in dealt} == {0, 1, 2, 3} and len(dealt) == Q.QUERIES["train_order"](spark, SF).count()
+    assert {(r.pos, r.node_id) for r in dealt if r.rank == 1} == {(r.pos, r.node_id) for r in Q.QUERIES["rank_stride_shard"](spark, SF).collect()}
+    heads = Q.QUERIES["gat_attention_heads"](spark, SF).collect()
+    assert {h: sum(r.head == h for r in heads) for h in range(4)} == dict.fromkeys(range(4), Q.QUERIES["coo_edges"](spark, SF).count())
+    assert {(r.edge_id, r.attention) for r in heads if r.head == 0} == {(r.edge_id, r.attention) for r in Q.QUERIES["gat_attention"](spark, SF).collect()}
