@@ -1,13 +1,14 @@
 """Suffix-array deduplication: repeated byte strings by distributed prefix doubling.
 
 A byte goes when a ``length``-byte string over it also starts in a document with a smaller id.
-Strings are named by doubling: names of 1, 2, 4, ... bytes combine into names of twice the
-length at growing offsets. A name at ``first`` bytes is the rank at which Spark first sorts
-(rank, position) pairs. Only positions whose rank is the least of all in some ``length``-byte
-window are sorted, since every repeat has such a position at the same place in each occurrence;
-positions alone in their rank leave. The others go on to the threshold: Spark sorts
-(rank, context) pairs, equal contexts share their fate, and different contexts of a rank are
-named anew, window by window, at ``length`` bytes.
+Positions are ranked by the strings that start there, first by ``first`` bytes, and Spark sorts
+(rank, rank at an offset) pairs at growing offsets into ranks of longer strings; a rank that only
+one text has is final and leaves, the others go on until they reach ``length`` bytes.
+
+Three things keep the sorted rows few, and none loses a repeat. Equal texts are one text. At the
+first rank only positions are sorted whose rank is the least of all in some ``length``-byte window:
+every repeat has such a position at the same place in each occurrence. And windows that hold the
+same position in the same surroundings (context) are ranked once, not once an occurrence.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.llm.common import cut, joined_bytes, mix64, text_chunks
@@ -26,7 +27,7 @@ from graphmill.llm.common import cut, joined_bytes, mix64, text_chunks
 BASE = 0x9E3779B97F4A7C15
 ONE = np.arange(1, 257, dtype=np.uint64)
 BYTE_NAME = mix64(ONE)
-#: Windows that one row of the second sort stands for; a bit each in a 64-bit answer.
+#: Windows that one context holds at most; a bit each in a 64-bit answer.
 MOST_WINDOWS = 62
 
 
@@ -93,7 +94,7 @@ def first_ranks(docs: DataFrame, p: Params) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch.filter(batch.column(1).is_valid()), "text"):
+            for part in text_chunks(batch, "text"):
                 row, _, _, rank = segments(*joined_bytes(part.column(2)), p)
                 order = np.lexsort((rank, row))
                 row, rank = row[order], rank[order]
@@ -105,7 +106,7 @@ def first_ranks(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def contexts(docs: DataFrame, p: Params) -> DataFrame:
-    """(rank, context, doc_id, key, start) of the positions whose rank is in the document's ``ranks``."""
+    """(rank, context, doc_id, key, start) of the positions whose rank is in the text's ``ranks``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,63 +130,28 @@ def contexts(docs: DataFrame, p: Params) -> DataFrame:
     return docs.mapInArrow(run, "rank long, context binary, doc_id long, key long, start int")
 
 
-def name_windows(context: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, window, name) of all windows of ``length`` bytes in the given strings."""
-    span = np.diff(offsets)
-    width = int(span.max())
-    square = np.zeros((len(span), width), np.uint8)
-    row = np.repeat(np.arange(len(span)), span)
-    square[row, np.arange(len(context)) - offsets[:-1][row]] = context
-    names = mix64(double_names(BYTE_NAME[square], p.length))
-    row, window = np.nonzero(np.arange(names.shape[1])[None, :] < (span - p.length + 1)[:, None])
-    return row, window, names[row, window]
-
-
-def judge(table: pa.Table, p: Params) -> pa.RecordBatch:
-    """Answers for whole ranks, sorted by (rank, context, doc_id): a bit for each window that an earlier document has."""
-    rank = table.column("rank").to_numpy()
-    doc = table.column("doc_id").to_numpy()
-    context = table.column("context").combine_chunks()
-    context = context if isinstance(context, pa.Array) else context.chunk(0)
-    data, offsets = joined_binary(context)
-    span = np.diff(offsets)
-    n = len(rank)
-    encoded = context.dictionary_encode()
-    code = encoded.indices.to_numpy(zero_copy_only=False)
-    head = np.append(True, (code[1:] != code[:-1]) | (rank[1:] != rank[:-1]))[:n]
-    group = np.cumsum(head) - 1
-    firsts = np.flatnonzero(head)  # its row has the least doc_id of its context
-    windows = span - p.length + 1
-    answer = np.where(doc > doc[firsts][group], (np.int64(1) << windows) - 1, 0)
-    rank_first = np.append(True, rank[firsts][1:] != rank[firsts][:-1])
-    of_rank = np.cumsum(rank_first) - 1
-    lone = np.bincount(of_rank)[of_rank] == 1
-    open_rows = firsts[~lone]
-    if len(open_rows):
-        take = open_rows
-        begin = offsets[:-1][take]
-        size = span[take]
-        local = np.concatenate([[0], np.cumsum(size)])
-        flat = data[np.repeat(begin - local[:-1], size) + np.arange(local[-1])]
-        names, rows, wins = [], [], []
-        for lo in range(0, len(take), 4096):
-            hi = min(lo + 4096, len(take))
-            r, w, x = name_windows(flat[local[lo] : local[hi]], local[lo : hi + 1] - local[lo], p)
-            names.append(x)
-            rows.append(r + lo)
-            wins.append(w)
-        name, r, w = np.concatenate(names), np.concatenate(rows), np.concatenate(wins)
-        order = np.argsort(name, kind="stable")
-        name, r, w = name[order], r[order], w[order]
-        begin = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
-        d = doc[take][r]
-        least = np.repeat(np.minimum.reduceat(d, begin), np.diff(np.append(begin, len(d))))
-        on = least < d
-        np.bitwise_or.at(answer, take[r[on]], np.int64(1) << w[on])
-    answer |= answer[firsts][group]  # the same context has the same windows in every row, also within one document
-    hit = answer != 0
-    keep = pa.array(np.flatnonzero(hit))
-    return pa.RecordBatch.from_arrays([table.column("key").combine_chunks().take(keep), table.column("start").combine_chunks().take(keep), pa.array(answer[hit])], names=["key", "start", "windows"])
+def ranked_pairs(contexts_: DataFrame, width: int, step: int, p: Params) -> DataFrame:
+    """(rank, ctx, start, a, b, least): each open window's rank at ``width`` bytes, and the rank ``step`` further on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                data, offsets = joined_binary(part.column(2))
+                span = np.diff(offsets)
+                square = np.zeros((len(span), int(span.max())), np.uint8)
+                row = np.repeat(np.arange(len(span)), span)
+                square[row, np.arange(offsets[0], offsets[-1]) - offsets[:-1][row]] = data[offsets[0] : offsets[-1]]
+                names = mix64(double_names(BYTE_NAME[square], width))
+                lists = part.column(4)
+                ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+                start = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
+                row = np.repeat(np.arange(len(span)), np.diff(ends))
+                take = pa.array(row)
+                pair = [pa.array(names[row, start + k].view(np.int64)) for k in (0, step)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), *pair, part.column(3).take(take)], names=["rank", "ctx", "start", "a", "b", "least"])
+
+    return contexts_.select("rank", "ctx", "context", "least", "open").mapInArrow(run, "rank long, ctx long, start int, a long, b long, least long")
 
 
 def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -195,27 +161,24 @@ def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def judged(sorted_rows: DataFrame, p: Params) -> DataFrame:
-    """(key, start, windows) from rows dealt by rank and sorted by (rank, context, doc_id)."""
+def doubled(distinct: DataFrame, p: Params) -> DataFrame:
+    """(rank, ctx, start, first): the least document of each window, where another context has it too.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append(batch)
-            rank = batch.column(0).to_numpy()
-            last = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on in the next batch
-            if last == 0 and len(held) > 1 and held[-2].column(0)[-1].as_py() == int(rank[-1]):
-                continue
-            table = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
-            held = [batch.slice(last)]
-            if table.num_rows:
-                yield judge(table, p)
-        if held:
-            yield judge(pa.Table.from_batches(held), p)
-
-    return sorted_rows.mapInArrow(run, "key long, start int, windows long")
+    ``distinct`` has a row for each context of a rank that has several: (rank, ctx, context, least).
+    Each round sorts pairs of ranks into ranks of longer strings; what is alone in its rank leaves.
+    """
+    windows = F.sequence(F.lit(0), F.length("context") - p.length)
+    open_, width = distinct.withColumn("open", windows), p.first
+    while True:
+        step = min(width, p.length - width)
+        pairs = ranked_pairs(open_, width, step, p)
+        ranks = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held"))
+        met = pairs.join(ranks, ["a", "b"])
+        width += step
+        if width == p.length:
+            return met.where("first < least").select("rank", "ctx", "start", "first")
+        going = met.groupBy("rank", "ctx").agg(F.collect_list("start").alias("open"))
+        open_ = cut(distinct.join(going, ["rank", "ctx"]).select("rank", "ctx", "context", "least", "open"))
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -229,54 +192,79 @@ def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[t
     return list(zip(at[first].tolist(), (at[last] + length).tolist(), strict=True))
 
 
+def answered(texts: DataFrame, p: Params) -> DataFrame:
+    """(key, doc_id, answers) of distinct texts (key, doc_id, text) that lose something: starts, and a bit for each window after it."""
+    mine = ["key", "doc_id"]
+    positions = first_ranks(texts, p)
+    shared = cut(positions.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("rank"))
+    ranks = cut(positions.join(shared, "rank").groupBy(*mine).agg(F.collect_set("rank").alias("ranks")))
+    occurrences = contexts(texts.join(ranks, mine).select(*mine, "text", "ranks"), p).withColumn("ctx", F.xxhash64("context"))
+    distinct = cut(occurrences.groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least")))
+    several = cut(distinct.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank"))
+    better = doubled(distinct.join(several, "rank").select("rank", "ctx", "context", "least"), p).groupBy("rank", "ctx").agg(F.collect_list(F.struct("start", "first")).alias("better"))
+    known = cut(distinct.drop("context").join(better, ["rank", "ctx"], "left"))
+    one = F.lit(1).cast("long")
+    all_ = F.call_function("shiftleft", one, F.length("context") - p.length + 1) - one
+    some = F.aggregate(F.coalesce("better", F.array().cast("array<struct<start: int, first: bigint>>")), F.lit(0).cast("long"), lambda bits, x: F.when(x["first"] < F.col("doc_id"), bits.bitwiseOR(F.call_function("shiftleft", one, x["start"]))).otherwise(bits))
+    windows = F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some)
+    marked = occurrences.select(*mine, "start", "rank", "ctx", "context").join(known, ["rank", "ctx"]).select(*mine, "start", windows.alias("windows")).where("windows <> 0")
+    return marked.groupBy(*mine).agg(F.collect_list(F.struct("start", "windows")).alias("answers"))
+
+
 def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """doc_id, n_bytes, kept (binary), spans (removed byte runs), and the columns in ``keep`` (as kept_...), a row for each row.
 
     Null text is empty; texts shorter than ``length`` bytes lose nothing; rows that repeat an id are
     one document to the rule (nothing is removed for the sake of an equal id), each with its own
     result; a null id neither loses nor makes others lose. Copies keep only the smallest id's text.
+    An empty table gives no rows. A very long text is held whole by its task.
     """
-    key = F.xxhash64(F.col(id_col), F.col(text_col))  # repeated rows with one id and text have one answer
-    rows = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    ids = rows.select("key", "doc_id", "text")
-    same = Window.partitionBy("rank")
-    shared = first_ranks(ids, p).select("rank", "key", F.min("doc_id").over(same).alias("least"), F.max("doc_id").over(same).alias("most")).where("least < most")
-    ranks = cut(shared.groupBy("key").agg(F.collect_set("rank").alias("ranks")))
-    going = rows.join(ranks, "key").select("key", "doc_id", "text", "ranks")
-    ordered = contexts(going, p).repartition("rank").sortWithinPartitions("rank", "context", "doc_id")
-    answers = judged(ordered, p).groupBy("key").agg(F.collect_set(F.struct("start", "windows")).alias("answers"))
-    final = rows.join(answers, "key", "left")
-    names = [f.name for f in final.schema if f.name not in ("key", "text", "answers")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key, check = F.xxhash64("text"), F.xxhash64(F.lit("check"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep]).withColumn("key", key)
+    names = rows.where("doc_id is not null").select("doc_id", "key", check.alias("check"), F.octet_length("text").alias("bytes")).where(F.col("bytes") >= p.length)
+    same = ["key", "check", "bytes"]
+    firsts = cut(names.groupBy(*same).agg(F.min("doc_id").alias("first")))
+    own = names.select("doc_id", *same).distinct()
+    texts = rows.select("doc_id", "key", "text").join(firsts.select(F.col("first").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select("key", "doc_id", "text")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).cast("long").alias("windows")))  # no window bit: a copy goes whole
+    copies = own.join(firsts, same).where("first < doc_id").select("key", "doc_id", whole.alias("answers"))
+    final = rows.join(answered(texts, p).unionByName(copies), ["key", "doc_id"], "left")
+    columns = [f.name for f in final.schema if f.name not in ("key", "text", "answers")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place = {n: i for i, n in enumerate(batch.schema.names)}
-            texts, lists = batch.column(place["text"]), batch.column(place["answers"])
+            texts_, lists = batch.column(place["text"]), batch.column(place["answers"])
             sizes, kept, spans = [], [], []
             for i in range(batch.num_rows):
-                data = texts[i].as_py().encode()
+                data = texts_[i].as_py().encode()
                 runs = []
                 if lists[i].is_valid:
-                    own = lists[i].values
-                    runs = removed_runs(own.field("start").to_numpy().astype(np.int64), own.field("windows").to_numpy(), p.length)
+                    answers = lists[i].values
+                    starts, windows = answers.field("start").to_numpy().astype(np.int64), answers.field("windows").to_numpy()
+                    runs = removed_runs(starts, windows, p.length) if windows.any() else [(0, len(data))]
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(place[n]) for n in names), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[*names, "n_bytes", "kept", "spans"],
+                [*(batch.column(place[n]) for n in columns), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                names=[*columns, "n_bytes", "kept", "spans"],
             )
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in final.schema if f.name in names)
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in final.schema if f.name in columns)
     return final.mapInArrow(run, f"{head}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
 
 
 def clean_documents(docs: DataFrame, p: Params = Params(), columns: tuple = ("doc_id", "lang", "source", "n_chars")) -> DataFrame:
-    """The documents without their repeats, same columns; a character cut in two goes whole, n_chars follows the text."""
-    done = remove_repeats(docs, p, keep=columns)
-    text = F.regexp_replace(F.decode(F.col("kept"), F.lit("UTF-8")), "�", "") if False else whole_characters(F.col("kept"))
-    out = {c: F.col(f"kept_{c}") for c in columns} | {"text": whole_characters(F.col("kept"))}
+    """The documents without their repeats, same columns; a character cut in two goes whole, n_chars follows the text.
+
+    Nulls, repeated rows and an empty table as in ``remove_repeats``; a null text becomes an empty one.
+    """
+    others = tuple(c for c in columns if c != "text")
+    done = remove_repeats(docs, p, keep=others)
+    out = {c: F.col(f"kept_{c}") for c in others} | {"text": whole_characters(F.col("kept"))}
     rows = done.select(*[out[c].alias(c) for c in docs.columns if c in out])
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
 
