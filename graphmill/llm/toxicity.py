@@ -1,9 +1,12 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon terms (a fixed list, and words and word beginnings mined from labelled rows)
-and surface patterns. A generative label model takes their accuracies from labelled rows and
-their correlations from the second moments of the votes over all documents; its posteriors are
-the labels on which a linear classifier is trained, and that classifier scores every document.
+and surface patterns; each says "toxic" or nothing. A generative label model estimates how often
+each voter speaks in either class from the agreement of voters over all documents, by expectation
+maximisation over the table of vote patterns; labelled rows start it and count as one more voter of
+known accuracy. What the classes leave unexplained of the voters' second moments is their
+correlation, and correlated voters share their say. The posteriors of all documents, labelled or
+not, are the labels on which a linear classifier is trained, and that classifier scores every document.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.llm.common import cut
+
 # Insults that vote whether or not labelled rows hold them.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "filth", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "retard", "scum", "stupid", "trash", "vermin", "worthless")
 #: Patterns that vote beside the lexicon.
@@ -30,10 +35,10 @@ PREFIX_LETTERS = range(3, 9)
 
 @dataclass(frozen=True)
 class Params:
-    """``train_rows`` bounds the labelled rows used for mining and fitting (taken by hash of the id)."""
+    """``train_rows`` bounds the labelled rows that terms are mined from and that start the label model
+    (taken by hash of the id), ``candidates`` the terms that mining weighs on the driver."""
 
     train_rows: int = 12_000
-    max_voters: int = 48
     candidates: int = 2000
     min_support: int = 4
     min_gain: float = 24.0
@@ -41,6 +46,11 @@ class Params:
     threshold: float = 0.3
     held_out_modulus: int = 4
     held_out_rest: int = 2
+    #: How far a label of a training row is believed when the label model weighs it against the voters.
+    gold_accuracy: float = 0.98
+    rounds: int = 40
+    #: Rows of the table of vote patterns that one task reads.
+    patterns_a_task: int = 50_000
 
 
 def held_out(key: Column, p: Params = Params()) -> Column:
@@ -57,7 +67,7 @@ def features_of(text: str) -> set[str]:
 
 
 class Voters:
-    """Terms found by one automaton, then patterns; a vote is the number of hits."""
+    """Terms found by one automaton, then patterns; each votes or keeps silent."""
 
     def __init__(self, terms: list[str]):
         self.terms = terms
@@ -71,14 +81,14 @@ class Voters:
             self.automaton.add_word(word, (len(word), wanted))
         self.automaton.make_automaton()
 
-    def count(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Hits (rows x voters) and words of each text; null is empty."""
-        hits, words = np.zeros((len(texts), self.width)), np.zeros(len(texts))
+    def votes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Votes (rows x voters) and the size class of each text: the binary logarithm of its words; null is empty."""
+        votes, size = np.zeros((len(texts), self.width), dtype=bool), np.zeros(len(texts), dtype=np.int32)
         for row, text in enumerate(texts):
             if not text:
                 continue
-            low, mine = text.lower(), hits[row]
-            words[row] = low.count(" ") + low.count("\n") + 1
+            low, mine = text.lower(), votes[row]
+            size[row] = (low.count(" ") + low.count("\n") + 1).bit_length()
             if self.terms:
                 for end, (n, wanted) in self.automaton.iter(low):
                     if end >= n and low[end - n].isalpha():
@@ -86,59 +96,151 @@ class Voters:
                     ended = end + 1 == len(low) or not low[end + 1].isalpha()
                     for i, whole in wanted:
                         if ended or not whole:
-                            mine[i] += 1
+                            mine[i] = True
             for k, pattern in enumerate(self.patterns, len(self.terms)):
-                mine[k] = sum(1 for _ in pattern.finditer(text))
-        return hits, words
+                mine[k] = pattern.search(text) is not None
+        return votes, size
 
 
-def inputs(hits: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """What the linear classifier sees: each voter's hits, how many voters spoke, their density."""
-    spoke = (hits > 0).sum(1, keepdims=True)
-    density = hits.sum(1, keepdims=True) / np.maximum(words, 1)[:, None]
-    return np.hstack([np.log1p(np.minimum(hits, 20)), np.minimum(spoke, 6), np.minimum(density * 50, 3), np.log1p(words)[:, None] / 5, np.ones((len(hits), 1))])
+def inputs(votes: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What the linear classifier sees: each vote, how many voters spoke, how dense they are, the text's size."""
+    spoke = votes.sum(1, keepdims=True)
+    density = 50 * spoke / np.exp2(size)[:, None]
+    return np.hstack([votes, np.log1p(spoke), density / (1 + density), size[:, None] / 10, np.ones((len(votes), 1))])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray, first: np.ndarray, second: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """Log-odds of a vote, log-odds of a silence, and the prior's, for each voter.
+def unpacked(bits, width: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(map(bytes, bits)), np.uint8)
+    return np.unpackbits(flat.reshape(-1, -(-width // 8)), axis=1)[:, :width].astype(float)
+
+
+@dataclass(frozen=True)
+class LabelModel:
+    """How often each voter speaks in class 0 and 1, its share of the say it has with correlated voters, and the share of class 1."""
+
+    rates: np.ndarray
+    voice: np.ndarray
+    prior: float
+    gold_accuracy: float = 0.98
+
+    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic) of vote vectors. Voters only ever say "toxic", so silence tells something only if all are silent, and then once."""
+        on = np.log(self.rates[1] / self.rates[0]) * self.voice
+        off = (np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.voice).sum()
+        odds = votes @ on + np.where(votes.any(1), 0, off) + np.log(self.prior / (1 - self.prior))
+        if gold is not None:  # -1: not known
+            said = np.log(self.gold_accuracy / (1 - self.gold_accuracy))
+            odds = odds + np.where(gold > 0, said, np.where(gold == 0, -said, 0))
+        return sigmoid(odds)
+
+
+def summed(patterns: DataFrame, p: Params, width: int, score) -> tuple[np.ndarray, ...]:
+    """The sum over the table of what ``score(votes, size, gold)`` returns for a row, times its documents: (rows x k) -> k numbers.
 
-    Accuracies: smoothed rates of each voter in either class of the labelled rows. Correlations:
-    the correlation of votes over all documents that the classes leave unexplained; a voter that
-    says what others say shares its weight with them.
+    Tasks add up their rows; only one row of numbers a task reaches the driver, and a task reads ``patterns_a_task`` patterns.
     """
-    prior = (toxic.sum() + 1) / (len(toxic) + 10)
-    seen = [votes[toxic == k].sum(0) for k in (0, 1)]
-    size = [(toxic == k).sum() for k in (0, 1)]
-    pooled = (seen[0] + seen[1] + 0.05) / (len(toxic) + 1)
-    rates = [(seen[k] + 2 * pooled) / (size[k] + 2) for k in (0, 1)]
-    gap, mean = rates[1] - rates[0], first / max(total, 1)
-    covariance = second / max(total, 1) - np.outer(mean, mean) - prior * (1 - prior) * np.outer(gap, gap)
-    spread = np.sqrt(np.maximum(np.diag(second) / max(total, 1) - mean**2, 1e-6))
-    shared = np.clip(covariance / np.outer(spread, spread), 0, 1)
-    np.fill_diagonal(shared, 1)
-    voice = 1 / shared.sum(1)
-    return np.log(rates[1] / rates[0]) * voice, np.log((1 - rates[1]) / (1 - rates[0])) * voice, float(np.log(prior / (1 - prior)))
-
-
-def posterior_of(votes: np.ndarray, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
-    """P(toxic) of vote vectors. Silence tells only as much as all voters together, once."""
-    on, off, prior = model
-    silent = np.where(votes.any(1), 0, off.sum())
-    return sigmoid(votes @ on + silent + prior)
-
-
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.02, steps: int = 30) -> np.ndarray:
-    """Logistic regression on soft labels by Newton's method."""
-    w, pull = np.zeros(x.shape[1]), np.eye(x.shape[1]) * penalty * max(len(x), 1) / 100
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            part = score(unpacked(batch["bits"], width), batch["size"].to_numpy(), batch["gold"].to_numpy(), batch["n"].to_numpy(float))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"at": np.arange(len(total)), "x": total})
+
+    rows = patterns.mapInPandas(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(rows))
+    for at, x in rows:
+        out[at] = x
+    return out
+
+
+def estimate(patterns: DataFrame, start: LabelModel, p: Params) -> LabelModel:
+    """Expectation maximisation over all documents' votes, and the voters' correlations within classes.
+
+    The correlations come from the first estimate's residual second moments; the second estimate
+    lets correlated voters share their say. Rates are held off 0 and 1 by a small count of pooled votes.
+    """
+    width = len(start.voice)
+    model = start
+    for second in (False, True):
+        if second:
+            moments = summed(patterns, p, width, residual_moments(model)).reshape(2, width, width + 1)
+            model = LabelModel(model.rates, voices(moments), model.prior, model.gold_accuracy)
+        for _ in range(p.rounds):
+            was = model
+            now = summed(patterns, p, width, class_sums(model)).reshape(2, width + 1)
+            share, every = now[:, 0], now[:, 0].sum()
+            pooled = (now[:, 1:].sum(0) + 0.05) / (every + 1)
+            rates = (now[:, 1:] + 2 * pooled) / (share[:, None] + 2)
+            model = LabelModel(np.clip(rates, 1e-9, 1 - 1e-9), model.voice, float(np.clip(share[1] / every, 1e-6, 0.5)), model.gold_accuracy)
+            if np.abs(model.rates - was.rates).max() < 1e-4 and abs(model.prior - was.prior) < 1e-4:
+                break
+    return model
+
+
+def class_sums(model: LabelModel):
+    """Documents and votes by class, in expectation."""
+
+    def score(votes, size, gold, n):
+        q = model.posterior(votes, gold)
+        return np.concatenate([np.concatenate([[w.sum()], w @ votes]) for w in (n * (1 - q), n * q)])
+
+    return score
+
+
+def residual_moments(model: LabelModel):
+    """Second moments of the votes by class, and the documents of the class in the last column."""
+
+    def score(votes, size, gold, n):
+        q = model.posterior(votes, gold)
+        parts = []
+        for k, w in enumerate((n * (1 - q), n * q)):
+            off = votes - model.rates[k]
+            m = (off * w[:, None]).T @ off
+            parts.append(np.hstack([m, np.full((votes.shape[1], 1), w.sum())]).ravel())
+        return np.concatenate(parts)
+
+    return score
+
+
+def correlations(moments: np.ndarray) -> np.ndarray:
+    """Correlation of every two voters within the classes, the classes' documents counting alike."""
+    covariance = moments[:, :, :-1].sum(0) / max(moments[:, 0, -1].sum(), 1) if moments.shape[1] else np.zeros((0, 0))
+    spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+    out = covariance / np.outer(spread, spread)
+    np.fill_diagonal(out, 1)
+    return out
+
+
+def voices(moments: np.ndarray) -> np.ndarray:
+    """A voter's own share of what it says: one over its correlations with all voters, itself included; negative ones don't count."""
+    return 1 / np.clip(correlations(moments), 0, 1).sum(1)
+
+
+def fit_linear(patterns: DataFrame, model: LabelModel, p: Params, penalty: float = 2.0, steps: int = 20) -> np.ndarray:
+    """Logistic regression on the posteriors of all documents, by Newton's method over the table of patterns."""
+    width = len(model.voice)
+    k = width + 4
+    w = np.zeros(k)
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull + np.eye(len(w)) * 1e-6, x.T @ (p - target) + pull @ w)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+
+        def score(votes, size, gold, n, w=w):
+            x = inputs(votes, size)
+            guess, target = sigmoid(x @ w), model.posterior(votes, gold)
+            hessian = (x * (n * guess * (1 - guess))[:, None]).T @ x
+            return np.concatenate([x.T @ (n * (guess - target)), hessian.ravel()])
+
+        got = summed(patterns, p, width, score)
+        pull = np.eye(k) * penalty
+        pull[-1, -1] = 1e-6
+        step = np.linalg.solve(got[k:].reshape(k, k) + pull, got[:k] + pull @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -147,7 +249,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 0.02, steps:
 class Model:
     terms: list
     weights: np.ndarray
-    labeler: tuple
+    labeler: LabelModel
 
     def score(self) -> object:
         """A column function text -> score in [0, 1]; null and empty texts are scored too."""
@@ -156,40 +258,39 @@ class Model:
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             voters = Voters(model.terms)
             for texts in batches:
-                yield pd.Series(sigmoid(inputs(*voters.count(texts.tolist())) @ model.weights))
+                yield pd.Series(sigmoid(inputs(*voters.votes(texts.tolist())) @ model.weights))
 
         return F.pandas_udf(run, "double")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, toxic) of at most ``train_rows`` labelled documents outside the held-out rest."""
+    """(id, text, toxic) of at most ``train_rows`` labelled documents outside the held-out rest."""
     key = F.col(id_col)
     known = labels.where(F.col(label_col).isNotNull() & key.isNotNull() & ~held_out(key, p)).groupBy(key.alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(p.train_rows)  # bounded by train_rows: two numbers a row
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "toxic")
 
 
 def mine_terms(train: DataFrame, p: Params) -> list[str]:
     """Words and word beginnings whose presence goes with label 1, by greedy covering.
 
     Each accepted term halves the weight of the rows that hold it, so the other words of a toxic
-    text and of its copies don't become voters.
+    text and of its copies don't become voters. The bounded training rows hold all there is to mine.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        n = [0, 0]
         for batch in batches:
-            for text, toxic in batch.itertuples(index=False):
-                seen[toxic > 0].update(features_of(text or ""))
-                n[toxic > 0] += 1
-        yield pd.DataFrame([("", n[1], n[0])], columns=["feature", "pos", "neg"])
-        keys = list(seen[0].keys() | seen[1].keys())
-        for at in range(0, len(keys), 20_000):
-            part = keys[at : at + 20_000]
-            yield pd.DataFrame({"feature": part, "pos": [seen[1][k] for k in part], "neg": [seen[0][k] for k in part]})
-
-    counts = train.mapInPandas(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            for at in range(0, len(batch), 500):
+                seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
+                n = Counter()
+                for text, toxic in batch.iloc[at : at + 500].itertuples(index=False):
+                    seen[toxic > 0].update(features_of(text or ""))
+                    n[toxic > 0] += 1
+                keys = list(seen[False].keys() | seen[True].keys())
+                yield pd.DataFrame({"feature": ["", *keys], "pos": [n[True], *(seen[True][k] for k in keys)], "neg": [n[False], *(seen[False][k] for k in keys)]})
+
+    rows = train.select("text", "toxic")
+    counts = rows.mapInPandas(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     kept = counts.where((F.col("feature") == "") | ((F.col("pos") >= p.min_support) & (F.col("pos") >= p.min_precision * (F.col("pos") + F.col("neg")))))
     strength = (F.col("pos") / (F.col("pos") + F.col("neg")) * F.col("pos")).desc()
     found = kept.orderBy(F.col("feature") != "", strength, "feature").limit(p.candidates + 1).collect()  # bounded by candidates
@@ -206,87 +307,94 @@ def mine_terms(train: DataFrame, p: Params) -> list[str]:
                 bits[row, [place[f] for f in features_of(text or "") if f in place]] = True
             yield pd.DataFrame({"bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "toxic": batch["toxic"]})
 
-    rows = train.mapInPandas(incidence, "bits binary, toxic int").collect() if names else []  # train_rows x candidates bits
-    if not rows:
+    gathered = rows.mapInPandas(incidence, "bits binary, toxic int").collect() if names else []  # train_rows x candidates bits
+    if not gathered:
         return []
-    has = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : len(names)].astype(float)
-    toxic = np.array([r.toxic > 0 for r in rows])
-    base, weight = toxic.mean(), np.ones(len(rows))
+    has = unpacked([r.bits for r in gathered], len(names)).astype(np.float32)
+    toxic = np.array([r.toxic > 0 for r in gathered])
+    base, weight = toxic.mean(), np.ones(len(gathered), np.float32)
     terms: list[str] = []
-    while len(terms) < p.max_voters:
+    while True:
         pos, n = (weight * toxic) @ has, weight @ has
-        share = np.clip(pos / np.maximum(n, 1e-9), 1e-9, 1 - 1e-9)
+        share = np.clip(pos / np.maximum(n, 1e-9), 1e-9, 1 - 1e-7)
         gain = 2 * n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
         gain[(share < p.min_precision) | (pos < p.min_support)] = 0
         best = max(range(len(names)), key=lambda i: (round(float(gain[i]), 3), len(names[i]), names[i]))
         if gain[best] < p.min_gain:
-            break
+            return terms
         terms.append(names[best])
-        weight *= np.where(has[:, best] > 0, 0.5, 1.0)
+        weight *= np.where(has[:, best] > 0, np.float32(0.5), np.float32(1))
         body = names[best][1:]  # what implies it, or is implied by it, has no say of its own
         has[:, [i for i, f in enumerate(names) if f[1:].startswith(body) or (f[0] == "^" and body.startswith(f[1:]))]] = 0
-    return terms
 
 
-def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Mine voters, gather vote moments over all documents, fit the label model and the classifier.
+def voted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(id, bits, size) of every row: its votes, packed, and the size class of its text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        voters = Voters(terms)
+        for batch in batches:
+            votes, size = voters.votes(batch["text"].tolist())
+            yield pd.DataFrame({"id": batch["id"], "bits": [x.tobytes() for x in np.packbits(votes, axis=1)], "size": size})
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, bits binary, size int")
+
+
+def start_model(patterns: DataFrame, width: int, p: Params) -> LabelModel:
+    """Where estimation begins: smoothed rates of the voters in the labelled rows' classes (the sign of class 1)."""
+
+    def score(votes, size, gold, n):
+        return np.concatenate([np.concatenate([[w.sum()], w @ votes]) for w in (n * (gold == 0), n * (gold > 0))])
 
-    Without labelled rows (or with one class only) the fixed lexicon votes with a default weight.
-    Only fixed-size results reach the driver: terms, a voters x voters matrix, and the votes of at
-    most ``train_rows`` rows.
+    got = summed(patterns, p, width, score)
+    got = got.reshape(2, width + 1) if len(got) else np.zeros((2, width + 1))
+    pooled = (got[:, 1:].sum(0) + 0.05) / (got[:, 0].sum() + 1)
+    rates = (got[:, 1:] + 2 * pooled) / (got[:, :1] + 2)
+    if not got[:, 0].all():  # labels of one class or none: the lexicon speaks ten times as often in class 1
+        rates = np.vstack([np.full(width, 0.01), np.full(width, 0.1)])
+    prior = (got[1, 0] + 1) / (got[:, 0].sum() + 10)
+    return LabelModel(np.clip(rates, 1e-9, 1 - 1e-9), np.ones(width), float(prior), p.gold_accuracy)
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
+    """The model, and the votes (id, bits, size) of every document.
+
+    Mine voters, let them vote on all documents, estimate the label model and fit the classifier
+    over the table of vote patterns, which holds all documents and stays distributed. Only
+    fixed-size results reach the driver: terms, and sums of voters x voters numbers.
     """
-    train = training_rows(docs, labels, p, id_col, text_col, label_col)
+    train = cut(training_rows(docs, labels, p, id_col, text_col, label_col))
     mined = mine_terms(train, p)
     terms = mined + [t for t in ("=" + w for w in LEXICON) if t not in mined]
-    width = len(terms) + len(PATTERNS)
-
-    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters, second, n = Voters(terms), np.zeros((width, width)), 0
-        for batch in batches:
-            hits, _ = voters.count(batch["text"].tolist())
-            on = (hits > 0).astype(float)
-            second += on.T @ on
-            n += len(batch)
-        i, j = np.nonzero(second)
-        yield pd.DataFrame({"i": [-1, *i], "j": [-1, *j], "n": [float(n), *second[i, j]]})
-
-    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        voters = Voters(terms)
-        for batch in batches:
-            hits, words = voters.count(batch["text"].tolist())
-            yield pd.DataFrame({"hits": [row.astype(np.float32).tobytes() for row in hits], "words": words, "toxic": batch["toxic"]})
-
-    gathered = docs.select(F.col(text_col).alias("text")).mapInPandas(moments, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
-    second, total = np.zeros((width, width)), 0.0
-    for i, j, n in gathered:
-        if i < 0:
-            total = n
-        else:
-            second[i, j] = n
-    rows = train.mapInPandas(votes, "hits binary, words double, toxic int").collect()
-    hits = np.array([np.frombuffer(r.hits, np.float32) for r in rows], dtype=float).reshape(-1, width)
-    words, toxic = np.array([r.words for r in rows]), np.array([int(r.toxic > 0) for r in rows], dtype=int)
-    if toxic.min(initial=1) == toxic.max(initial=0):
-        w = np.zeros(width + 4)
-        w[:width], w[-1] = 4.0, -3.0
-        return Model(terms, w, (w[:width], np.zeros(width), -3.0))
-    on = (hits > 0).astype(float)
-    labeler = label_model(on, toxic, np.diag(second).copy(), second, total)
-    return Model(terms, fit_linear(inputs(hits, words), posterior_of(on, labeler)), labeler)
+    votes = cut(voted(docs, terms, id_col, text_col))
+    gold = F.broadcast(train.groupBy("id").agg(F.max("toxic").alias("gold")))  # at most train_rows ids
+    counted = votes.join(gold, "id", "left").groupBy("bits", "size", F.coalesce("gold", F.lit(-1)).alias("gold")).agg(F.count(F.lit(1)).alias("n"))
+    counted = cut(counted)
+    patterns = counted.coalesce(max(1, -(-counted.count() // p.patterns_a_task)))
+    labeler = estimate(patterns, start_model(patterns, len(terms) + len(PATTERNS), p), p)
+    return Model(terms, fit_linear(patterns, labeler, p), labeler), votes
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """doc_id, held_out, score, predicted for every document, whole texts, in one narrow pass.
+    """doc_id, held_out, score, predicted for every document, whole texts; texts are read once to vote.
 
-    Null and empty texts are scored like any text without hits; repeated rows score alike; a null
-    id is never held out and never learned from; other columns are ignored.
+    Null and empty texts are scored like any text without votes; repeated rows score alike; a null
+    id is never held out and never learned from; labels of unknown ids and null labels are ignored;
+    without labels the fixed lexicon votes alone; other columns are ignored; an empty table gives no rows.
     """
-    model = fit(docs, labels, p, id_col, text_col, label_col)
-    scored = docs.select(F.col(id_col).alias("doc_id"), model.score()(F.col(text_col)).alias("score"))
+    model, votes = fit(docs, labels, p, id_col, text_col, label_col)
+    width = len(model.labeler.voice)
+
+    @F.pandas_udf("double")
+    def score(bits: pd.Series, size: pd.Series) -> pd.Series:
+        return pd.Series(sigmoid(inputs(unpacked(bits, width), size.to_numpy()) @ model.weights)) if len(bits) else pd.Series([], dtype=float)
+
+    scored = votes.select(F.col("id").alias("doc_id"), score("bits", "size").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id"), p).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The documents, all columns, that the classifier doesn't reject."""
-    model = fit(docs, labels, p)
+    """The rows, all columns, that the classifier doesn't reject; null ids, null texts and repeated rows as in ``score_documents``."""
+    model, _ = fit(docs, labels, p)
     return docs.where(model.score()(F.col("text")) < p.threshold)
