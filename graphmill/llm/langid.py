@@ -1,7 +1,8 @@
 """Language identification by compression.
 
-Each language has a zstandard raw-content dictionary cut from its own documents. A text goes to
-the language under whose dictionary it becomes smallest; a narrow margin is flagged.
+Each language has a zstandard raw-content dictionary of its own documents. A text goes to the
+language under whose dictionary it becomes smallest; a narrow margin is flagged. One rule holds
+for texts of every size.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import functions as F
 
 OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
-#: The sample a dictionary is cut from: documents a language, characters of each (from a hashed place).
-SAMPLE_DOCS, SAMPLE_CHARS = 200, 600
+#: The sample a dictionary is made of: whole documents a language, by hash of their id, as many as fit
+#: in the bytes of a language (the first always fits). All dictionaries together stay within TOTAL_BYTES.
+SAMPLE_DOCS, DICTIONARY_BYTES, TOTAL_BYTES = 200, 128 << 10, 32 << 20
 #: Relative margin under which a prediction is flagged as rejected.
 MARGIN = 0.01
-#: Short texts are compressed harder: bytes and levels.
-SHORT_BYTES, SHORT_LEVEL, LEVEL, TINY_BYTES = 4096, 12, 1, 200
+#: Compression level, for learnt and judged texts alike.
+LEVEL = 12
 
 
 def held_out(key: Column, modulus: int = 3, rest: int = 1) -> Column:
@@ -31,20 +33,25 @@ def held_out(key: Column, modulus: int = 3, rest: int = 1) -> Column:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content by language, from documents that are not held out.
 
-    A bounded sample: ``SAMPLE_DOCS`` documents a language by hash of their id, a piece of
-    ``SAMPLE_CHARS`` characters each; ids are ranked without their texts. Null id, lang or text
-    isn't learned from. The number of languages is the number of distinct codes.
+    A bounded sample of whole documents: at most ``SAMPLE_DOCS`` a language by hash of their id,
+    and of these as many as fit in ``DICTIONARY_BYTES``, less where the languages are so many that
+    ``TOTAL_BYTES`` would be passed; a first document beyond that is taken whole. Ids are ranked
+    without their texts. Null id, lang or text and texts without a letter aren't learned from;
+    repeated ids add each of their texts.
     """
     key, text = F.col(id_col), F.col(text_col)
-    known = docs.where(key.isNotNull() & F.col(lang_col).isNotNull() & (F.length(text) > 0) & ~held_out(key)).select(key.alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"))
-    ranked = known.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= SAMPLE_DOCS)
-    chosen = ranked.select("id", "lang").distinct()
-    piece = F.substring(text, (F.pmod(F.xxhash64(key), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = docs.select(key.alias("id"), F.col(lang_col).alias("lang"), piece.alias("piece")).join(F.broadcast(chosen), ["id", "lang"]).where("piece is not null")
+    size = F.octet_length(text)
+    known = docs.where(key.isNotNull() & F.col(lang_col).isNotNull() & (size > 0) & ~held_out(key)).select(key.alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), size.alias("size"))
+    order = Window.partitionBy("lang").orderBy("h", "id", "size")
+    ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
+    room = F.least(F.lit(DICTIONARY_BYTES), F.floor(F.lit(TOTAL_BYTES) / F.col("langs")))
+    langs = known.agg(F.greatest(F.count_distinct("lang"), F.lit(1)).alias("langs"))
+    chosen = ranked.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(langs)).where((F.col("sum") <= room) | (F.col("r") == 1)).select("id", "lang").distinct()
+    rows = docs.select(key.alias("id"), F.col(lang_col).alias("lang"), text.alias("text")).join(F.broadcast(chosen), ["id", "lang"]).where("text is not null")  # at most SAMPLE_DOCS ids a language
     content: dict[str, list] = {}
-    for _, lang, part in sorted(map(tuple, rows.collect()), key=lambda r: (r[1], r[0], r[2])):  # at most languages x SAMPLE_DOCS pieces
+    for _, lang, part in sorted(map(tuple, rows.collect()), key=lambda r: (r[1], r[0], r[2])):
         content.setdefault(lang, []).append(part)
-    return {lang: letters(" ".join(parts)).encode("utf-8", "replace") for lang, parts in content.items()}
+    return {lang: data for lang, parts in content.items() if (data := letters(" ".join(parts)).encode("utf-8", "replace")).strip()}
 
 
 def letters(text: str) -> str:
@@ -53,27 +60,20 @@ def letters(text: str) -> str:
 
 
 class Classifier:
-    def __init__(self, content: dict[str, bytes]):
+    def __init__(self, content: dict[str, bytes], level: int = LEVEL):
         self.langs = sorted(content)
-        self.content = [b" " + content[lang] + b" " for lang in self.langs]
-        self.ranks = []
-        for level in (LEVEL, SHORT_LEVEL):
-            row = []
-            for lang in self.langs:
-                d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                row.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
-            self.ranks.append(row)
+        self.compressors = []
+        for lang in self.langs:
+            d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=level)
+            self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False))
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected): the score is the best size's share under 2^-bytes."""
         data = letters(text or "").encode("utf-8", "replace")
         if not data.strip() or not self.langs:
             return UNKNOWN, 0.0, True
-        sizes = [len(c.compress(data)) for c in self.ranks[len(data) < SHORT_BYTES]]
-        if len(data) < TINY_BYTES:  # a byte is too coarse here: words that the dictionary lacks cost one more each
-            words = {b" " + w + b" " for w in data.split()}
-            sizes = [size + sum(w not in text for w in words) for size, text in zip(sizes, self.content, strict=True)]
+        sizes = [len(c.compress(data)) for c in self.compressors]
         best = min(sizes)
         others = sorted(sizes)[1:]
         margin = (others[0] - best) / others[0] if others else 1.0
@@ -84,7 +84,8 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """doc_id, held_out, lang_pred, score, rejected for every document, whole texts, in one narrow pass.
 
     ``und`` for null text, text without a letter, or when no language could be learned; equal
-    sizes go to the first language by name; repeated rows predict alike; other columns are ignored.
+    sizes go to the first language by name; repeated rows predict alike; other columns are ignored;
+    an empty table gives no rows. A very long text is held whole by its task, and compressed in one piece.
     """
     content = learn(docs, id_col, text_col, lang_col)
 
