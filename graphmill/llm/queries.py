@@ -140,23 +140,25 @@ from v left join m on m.a = v.vec_id left join k on k.a = v.vec_id
 
 
 def op10_sql() -> str:
-    """Host and path by pattern, rules by length, terms by bounded patterns over the lower-cased URL."""
+    """Host and path by pattern, rules by length; the vocabulary's terms are single words, so a URL's distinct words are looked up."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [f"(host = '{d}' or ends_with(host, '.{d}')) and starts_with(path, '{p}')" for _, d, p in rules]
     name = "case " + " ".join(f"when {f} then '{d}{p}'" for f, (_, d, p) in zip(fits, rules, strict=True)) + " end"
     said = "case " + " ".join(f"when {f} then '{k}'" for f, (k, _, _) in zip(fits, rules, strict=True)) + " end"
-    hit = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')::int"
-    strict = " + ".join(map(hit, url_filter.STRICT_TERMS))
-    soft = " + ".join(map(hit, [t for t in url_filter.SOFT_TERMS if t not in url_filter.STRICT_TERMS]))
+    terms = ", ".join(f"('{t}', {w})" for t, w in url_filter.read_vocabulary().items())
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
-with p as (
-  select page_id, lower(coalesce(url, '')) as low, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages),
+with v(term, weight) as (values {terms}),
+p as (
+  select page_id, row_number() over () as row, translate(coalesce(url, ''), {lower}) as low, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages),
 h as (
-  select page_id, low, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from p)
+  select page_id, row, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {lower}) as host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from p),
+w as (select distinct row, unnest(regexp_extract_all(low, '[a-z0-9]+')) as term from p),
+t as (select row, sum(weight) as weight from w join v using (term) group by row)
 select page_id, host, path, {name} as rule,
-       coalesce({said}, case when {strict} >= 1 or {soft} >= {url_filter.SOFT_HITS} then 'block' else 'allow' end) as verdict
-from h
+       coalesce({said}, case when coalesce(weight, 0) >= {url_filter.LIMIT} then 'block' else 'allow' end) as verdict
+from h left join t using (row)
 """
 
 
