@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import cut, shuffle_partitions
+from graphmill.llm.common import cut, shuffle_partitions, text_chunks
 
 LENGTH, UNIT, END_ID = 2048, 16, 1
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
@@ -127,20 +128,22 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Pieces of every document: full sequences, then the remainder; texts are tokenized once, whole."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_key"), F.col(text_col).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part, out = batch.iloc[at : at + 256], []
-                encoded = encoder.encode_many([t or "" for t in part["text"]])
-                for doc, key, ids in zip(part["doc_id"].astype("Int64"), part["doc_key"], encoded, strict=True):
+            for part in text_chunks(batch, "text", 512 << 10):
+                place, out = [], []
+                for row, ids in enumerate(encoder.encode_many([t or "" for t in part.column(2).to_pylist()])):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for a in range(0, len(ids), length):
                         piece = ids[a : a + length]
-                        out.append((doc, key, a, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-                yield pd.DataFrame(out, columns=["doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+                        place.append(row)
+                        out.append((a, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+                rows_ = pa.array(place, pa.int64())
+                numbers = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(rows_), part.column(1).take(rows_), *numbers], names=["doc_id", "doc_key", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.mapInPandas(run, PIECES)
+    return rows.mapInArrow(run, PIECES)
 
 
 def best_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import cut
+from graphmill.llm.common import cut, text_chunks
 
 # Insults that vote whether or not labelled rows hold them.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "filth", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "retard", "scum", "stupid", "trash", "vermin", "worthless")
@@ -251,16 +252,18 @@ class Model:
     weights: np.ndarray
     labeler: LabelModel
 
-    def score(self) -> object:
-        """A column function text -> score in [0, 1]; null and empty texts are scored too."""
+    def kept(self, docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+        """The rows, all columns, whose text scores under the threshold; null and empty texts are scored too."""
         model = self
 
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             voters = Voters(model.terms)
-            for texts in batches:
-                yield pd.Series(sigmoid(inputs(*voters.votes(texts.tolist())) @ model.weights))
+            for batch in batches:
+                for part in text_chunks(batch, text_col):
+                    votes = voters.votes(part.column(part.schema.get_field_index(text_col)).to_pylist())
+                    yield part.filter(pa.array(sigmoid(inputs(*votes) @ model.weights) < threshold))
 
-        return F.pandas_udf(run, "double")
+        return docs.mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -278,19 +281,20 @@ def mine_terms(train: DataFrame, p: Params) -> list[str]:
     text and of its copies don't become voters. The bounded training rows hold all there is to mine.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 500):
+            for part in text_chunks(batch, "text", 256 << 10):
                 seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
                 n = Counter()
-                for text, toxic in batch.iloc[at : at + 500].itertuples(index=False):
+                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     seen[toxic > 0].update(features_of(text or ""))
                     n[toxic > 0] += 1
                 keys = list(seen[False].keys() | seen[True].keys())
-                yield pd.DataFrame({"feature": ["", *keys], "pos": [n[True], *(seen[True][k] for k in keys)], "neg": [n[False], *(seen[False][k] for k in keys)]})
+                sums = [pa.array([n[k], *(seen[k][x] for x in keys)], pa.int64()) for k in (True, False)]
+                yield pa.RecordBatch.from_arrays([pa.array(["", *keys]), *sums], names=["feature", "pos", "neg"])
 
     rows = train.select("text", "toxic")
-    counts = rows.mapInPandas(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = rows.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     kept = counts.where((F.col("feature") == "") | ((F.col("pos") >= p.min_support) & (F.col("pos") >= p.min_precision * (F.col("pos") + F.col("neg")))))
     strength = (F.col("pos") / (F.col("pos") + F.col("neg")) * F.col("pos")).desc()
     found = kept.orderBy(F.col("feature") != "", strength, "feature").limit(p.candidates + 1).collect()  # bounded by candidates
@@ -300,14 +304,15 @@ def mine_terms(train: DataFrame, p: Params) -> list[str]:
     names = [r.feature for r in found if r.feature]
     place = {f: i for i, f in enumerate(names)}
 
-    def incidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros((len(batch), len(names)), dtype=bool)
-            for row, text in enumerate(batch["text"]):
-                bits[row, [place[f] for f in features_of(text or "") if f in place]] = True
-            yield pd.DataFrame({"bits": [x.tobytes() for x in np.packbits(bits, axis=1)], "toxic": batch["toxic"]})
+            for part in text_chunks(batch, "text"):
+                bits = np.zeros((part.num_rows, len(names)), dtype=bool)
+                for row, text in enumerate(part.column(0).to_pylist()):
+                    bits[row, [place[f] for f in features_of(text or "") if f in place]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()), part.column(1)], names=["bits", "toxic"])
 
-    gathered = rows.mapInPandas(incidence, "bits binary, toxic int").collect() if names else []  # train_rows x candidates bits
+    gathered = rows.mapInArrow(incidence, "bits binary, toxic int").collect() if names else []  # train_rows x candidates bits
     if not gathered:
         return []
     has = unpacked([r.bits for r in gathered], len(names)).astype(np.float32)
@@ -331,14 +336,16 @@ def mine_terms(train: DataFrame, p: Params) -> list[str]:
 def voted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
     """(id, bits, size) of every row: its votes, packed, and the size class of its text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voters = Voters(terms)
         for batch in batches:
-            votes, size = voters.votes(batch["text"].tolist())
-            yield pd.DataFrame({"id": batch["id"], "bits": [x.tobytes() for x in np.packbits(votes, axis=1)], "size": size})
+            for part in text_chunks(batch, "text"):
+                votes, size = voters.votes(part.column(1).to_pylist())
+                bits = pa.array([x.tobytes() for x in np.packbits(votes, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), bits, pa.array(size)], names=["id", "bits", "size"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, bits binary, size int")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bits binary, size int")
 
 
 def start_model(patterns: DataFrame, width: int, p: Params) -> LabelModel:
@@ -397,4 +404,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, p: Params = Params(), id
 def drop_toxic(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows, all columns, that the classifier doesn't reject; null ids, null texts and repeated rows as in ``score_documents``."""
     model, _ = fit(docs, labels, p)
-    return docs.where(model.score()(F.col("text")) < p.threshold)
+    return model.kept(docs, "text", p.threshold)
