@@ -22,7 +22,8 @@ def vector_rows(df: DataFrame, id_col: str, vector_col: str, *more: Column) -> D
 
 
 def matrix(vectors) -> np.ndarray:
-    return np.array([np.asarray(v, dtype=float) for v in vectors])
+    rows = [np.asarray(v, dtype=float) for v in vectors]
+    return np.stack(rows) if rows else np.zeros((0, 0))
 
 
 def norms(m: np.ndarray) -> np.ndarray:
