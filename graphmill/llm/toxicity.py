@@ -139,11 +139,10 @@ class LabelModel:
         return sigmoid(odds)
 
 
-def summed(patterns: DataFrame, p: Params, width: int, score) -> tuple[np.ndarray, ...]:
-    """The sum over the table of what ``score(votes, size, gold)`` returns for a row, times its documents: (rows x k) -> k numbers.
-
-    Tasks add up their rows; only one row of numbers a task reaches the driver, and a task reads ``patterns_a_task`` patterns.
-    """
+def summed(patterns: DataFrame | pd.DataFrame, p: Params, width: int, score) -> tuple[np.ndarray, ...]:
+    """The sum over the table of patterns (a DataFrame, or a frame on the driver) of what ``score(votes, size, gold, n)`` adds up for some rows."""
+    if isinstance(patterns, pd.DataFrame):
+        return score(unpacked(patterns["bits"], width), patterns["size"].to_numpy(), patterns["gold"].to_numpy(), patterns["n"].to_numpy(float)) if len(patterns) else np.zeros(0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -160,7 +159,7 @@ def summed(patterns: DataFrame, p: Params, width: int, score) -> tuple[np.ndarra
     return out
 
 
-def estimate(patterns: DataFrame, start: LabelModel, p: Params) -> LabelModel:
+def estimate(patterns: DataFrame | pd.DataFrame, start: LabelModel, p: Params) -> LabelModel:
     """Expectation maximisation over all documents' votes, and the voters' correlations within classes.
 
     The correlations come from the first estimate's residual second moments; the second estimate
@@ -223,7 +222,7 @@ def voices(moments: np.ndarray) -> np.ndarray:
     return 1 / np.clip(correlations(moments), 0, 1).sum(1)
 
 
-def fit_linear(patterns: DataFrame, model: LabelModel, p: Params, penalty: float = 2.0, steps: int = 20) -> np.ndarray:
+def fit_linear(patterns: DataFrame | pd.DataFrame, model: LabelModel, p: Params, penalty: float = 2.0, steps: int = 20) -> np.ndarray:
     """Logistic regression on the posteriors of all documents, by Newton's method over the table of patterns."""
     width = len(model.voice)
     k = width + 4
@@ -348,7 +347,7 @@ def voted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> Data
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bits binary, size int")
 
 
-def start_model(patterns: DataFrame, width: int, p: Params) -> LabelModel:
+def start_model(patterns: DataFrame | pd.DataFrame, width: int, p: Params) -> LabelModel:
     """Where estimation begins: smoothed rates of the voters in the labelled rows' classes (the sign of class 1)."""
 
     def score(votes, size, gold, n):
@@ -378,8 +377,14 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     gold = F.broadcast(train.groupBy("id").agg(F.max("toxic").alias("gold")))  # at most train_rows ids
     counted = votes.join(gold, "id", "left").groupBy("bits", "size", F.coalesce("gold", F.lit(-1)).alias("gold")).agg(F.count(F.lit(1)).alias("n"))
     counted = cut(counted)
-    patterns = counted.coalesce(max(1, -(-counted.count() // p.patterns_a_task)))
-    labeler = estimate(patterns, start_model(patterns, len(terms) + len(PATTERNS), p), p)
+    n = counted.count()
+    # a table that one task would read is read by the driver, once; a larger one stays where it is
+    patterns = counted.toPandas() if n <= p.patterns_a_task else counted.coalesce(-(-n // p.patterns_a_task))
+    width = len(terms) + len(PATTERNS)
+    labeler = start_model(patterns, width, p)
+    if not n:
+        return Model(terms, np.zeros(width + 4), labeler), votes
+    labeler = estimate(patterns, labeler, p)
     return Model(terms, fit_linear(patterns, labeler, p), labeler), votes
 
 
