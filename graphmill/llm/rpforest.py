@@ -23,7 +23,7 @@ TREES, LEAF, BLOCK = 6, 512, 1024
 #: parts some 2.5 % of such pairs, so six trees of twenty levels miss about 1 in 200 of them, and
 #: closer pairs far more rarely; a wider band makes the rows of a tree grow like a power of the input.
 WIDTH = 0.5
-#: A node's subtree is drawn from so many of its vectors; routing groups hold about as many.
+#: A node's subtree is drawn from about so many of its vectors (all, if fewer); routing groups hold about so many.
 SAMPLE, ROUTED = 2048, 4096
 #: A cut that leaves a side more than this share of the node doesn't split it: the node is dense.
 DENSE = 0.9
@@ -75,17 +75,19 @@ def band(threshold: float, dim: int, width: float = WIDTH) -> float:
 
 def grow(points: DataFrame, leaf: int, threshold: float, width: float) -> DataFrame:
     """One round of splitting: (node, id, vector, copies) -> the same under the leaves of each node's subtree, with ``more`` where a leaf is still to be split."""
-    sizes = points.groupBy("node").agg(F.count(F.lit(1)).alias("total"))
-    ranked = points.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= SAMPLE)
+    sizes = cut(points.groupBy("node").agg(F.count(F.lit(1)).alias("total")))
+    # about SAMPLE vectors a node, by a hash of the id: nothing is ranked, however large the node
+    share = F.pmod(F.xxhash64("id", F.lit(21)), F.lit(1 << 30)) / F.lit(1 << 30)
+    sampled = points.join(broadcast_if_small(sizes), "node").where(share * F.col("total") < SAMPLE)
 
     def draw(part: pd.DataFrame) -> pd.DataFrame:
         node, m = int(part["node"].iloc[0]), matrix(part["vector"])
         cuts = draw_tree(m / norms(m)[:, None], int(part["total"].iloc[0]), node, leaf, band(threshold, m.shape[1], width))
         return pd.DataFrame({"node": [node], "total": [int(part["total"].iloc[0])], "at": [list(cuts)], "cut": [list(cuts.values())]})
 
-    trees = cut(ranked.join(sizes, "node").groupBy("node").applyInPandas(draw, "node long, total long, at array<long>, cut array<double>"))
+    trees = cut(sampled.groupBy("node").applyInPandas(draw, "node long, total long, at array<long>, cut array<double>"))
     salts = F.ceil(F.col("total") / ROUTED).cast("int")
-    dealt = points.join(broadcast_if_small(trees.select("node", salts.alias("salts"))), "node").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.col("salts")).cast("int")).drop("salts")
+    dealt = points.join(broadcast_if_small(trees.select("node", salts.alias("salts"))), "node", "left").fillna(1, ["salts"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(3)), F.col("salts")).cast("int")).drop("salts")
     copied = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
 
     def send(part: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
