@@ -19,18 +19,32 @@ def accepted(rate: float, seed: int, tag: str, *ids: Column) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a new one where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir. Where none is set, a new folder on a local master, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphmill-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphmill-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's spark.checkpoint.dir (a new folder where none is set), without inherited size estimates."""
-    spark = df.sparkSession
+    """Materialise ``df`` reliably (shared folder) and cut its lineage.
+
+    A checkpoint inherits the size estimate of the plan it replaces, and in loops of joins these
+    products grow to numbers of millions of digits. So the checkpointed rows are wrapped anew,
+    without an estimate; adaptive execution sees their true size. The shuffle files behind the
+    checkpoint are dropped at once: nothing reads them again.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     checkpoint_folder(spark)
-    done = df.checkpoint()._jdf
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        done = df.select("*").checkpoint()._jdf
+    finally:
+        spark.conf.set(key, before)
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.config import BACKENDS
 from graphmill.functions.ordering import accepted, cut, dense_index, order_key
 
 SEED = 42
@@ -39,6 +44,21 @@ def positional_split(nodes: DataFrame, total: int, labeled: int | None = None) -
     return nodes.select("node_id", F.when(i < a, "train").when(i < b, "val").when(i < n, "test").otherwise(F.lit(None)).alias("split"))
 
 
+def index_split(nodes: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """node_id, split by lists of ids (node_id); an id of several lists belongs to the first, nodes of none have null."""
+    named = None
+    for k, (name, ids) in enumerate(lists.items()):
+        part = ids.select("node_id", F.struct(F.lit(k).alias("k"), F.lit(name).alias("name")).alias("s"))
+        named = part if named is None else named.unionByName(part)
+    first = named.groupBy("node_id").agg(F.min("s")["name"].alias("split"))
+    return nodes.select("node_id").join(first, "node_id", "left")
+
+
+def labeled(label: str):
+    """Neither null nor NaN."""
+    return F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double"))
+
+
 def seeds(nodes: DataFrame, train: DataFrame, rate: float) -> DataFrame:
     """node_id, color: accepted train nodes, numbered from 1 in id order."""
     drawn = train.where(accepted(rate, SEED, "seed", F.col("node_id"))).select("node_id")
@@ -137,18 +157,48 @@ def sample_blocks(batch_nodes: DataFrame, edges: DataFrame, fanouts: list[int])
     return out
 
 
-def cache_trace(accesses: DataFrame, sets: int, ways: int) -> DataFrame:
-    """step, owner, cache_set, node_id, hit: round-robin sets, folded in order. A group is one set of one owner."""
-    keyed = accesses.withColumn("cache_set", F.floor(F.col("node_id") / 4) % sets)
+def cache_set(backend: str, owners: int, sets: int):
+    """The set of a node in its owner's cache: ids are dealt to owners first, except where every requester has a cache of its own."""
+    if backend not in BACKENDS:
+        raise ValueError(f"cache backend must be one of {', '.join(BACKENDS)}, not {backend!r}")
+    return F.pmod("node_id", F.lit(sets)) if backend == "isolated" else F.pmod(F.floor(F.col("node_id") / owners), F.lit(sets))
+
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        lines, cursor, hits = [None] * ways, 0, []
-        part = part.sort_values("step")
-        for node in part["node_id"]:
-            hits.append(node in lines)
-            if not hits[-1]:
-                lines[cursor % ways] = node
-                cursor += 1
-        return part.assign(hit=hits)[["step", "owner", "cache_set", "node_id", "hit"]]
+def cache_trace(accesses: DataFrame, sets: int, ways: int, owners: int = 4, backend: str = "nvshmem", state: DataFrame | None = None) -> DataFrame:
+    """step, owner, cache_set, node_id, hit: round-robin sets, folded in the order of ``step``.
 
-    return keyed.groupBy("owner", "cache_set").applyInPandas(fold, "step long, owner long, cache_set long, node_id long, hit boolean")
+    ``state`` holds lines that are resident before (owner, cache_set, node_id, step of their
+    installation, before all accesses). Round robin over a set's lines is first in, first out, so
+    installing them again in order restores the set. A task reads the log of its sets in order and
+    holds the lines of one set.
+    """
+    keyed = accesses.select("step", "owner", cache_set(backend, owners, sets).cast("long").alias("cache_set"), "node_id", F.lit(False).alias("before"))
+    if state is not None:
+        keyed = keyed.unionByName(state.select("step", "owner", "cache_set", "node_id", F.lit(True).alias("before")))
+    ordered = keyed.repartition("owner", "cache_set").sortWithinPartitions("owner", "cache_set", "step")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lines = None, OrderedDict()
+        for batch in batches:
+            step, owner, group, node, before = (batch.column(c).to_pylist() for c in ("step", "owner", "cache_set", "node_id", "before"))
+            hits = []
+            for k in range(batch.num_rows):
+                if (owner[k], group[k]) != at:
+                    at, lines = (owner[k], group[k]), OrderedDict()
+                hits.append(node[k] in lines)
+                if not hits[-1]:
+                    if len(lines) == ways:
+                        lines.popitem(last=False)
+                    lines[node[k]] = None
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("step", "owner", "cache_set", "node_id")), pa.array(hits, pa.bool_())], names=["step", "owner", "cache_set", "node_id", "hit"])
+            yield out.filter(pa.array([not b for b in before], pa.bool_()))
+
+    return ordered.mapInArrow(fold, "step long, owner long, cache_set long, node_id long, hit boolean")
+
+
+def resident_lines(trace: DataFrame, ways: int, state: DataFrame | None = None) -> DataFrame:
+    """owner, cache_set, node_id, step: what is resident after the trace, the last ``ways`` installed of each set."""
+    put = trace.where("not hit").select("owner", "cache_set", "node_id", "step")
+    put = put if state is None else put.unionByName(state.select(put.columns))
+    last = F.row_number().over(Window.partitionBy("owner", "cache_set").orderBy(F.desc("step")))
+    return put.withColumn("r", last).where(F.col("r") <= ways).drop("r")

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Queries over several operators: caches, relations, layers, the closed loop, files."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill import queries as Q
+from graphmill.config import BACKENDS
 from graphmill.operators import graph as G
 from graphmill.sources import views as V
 from graphmill.streaming.cache import run_to_table, stream_trace
@@ -51,16 +52,30 @@ def cache_meta_refresh(s, d):
     return machine_color(seen, Q.colored(s, d)[1], "refresh")
 
 
+def trace_sql(name: str, owner: str, cache_set: str) -> str:
+    """The fold of one backend, written for its own owner and set."""
+    return f"""{name}_seq as materialized (select step, {owner} as owner, {cache_set} as cache_set, node_id, row_number() over (partition by {owner}, {cache_set} order by step) as k from g_access),
+{name} as (
+  select owner, cache_set, 0::bigint as k, false as hit, []::bigint[] as lines from (select distinct owner, cache_set from {name}_seq)
+  union all
+  select q.owner, q.cache_set, q.k, list_contains(f.lines, q.node_id),
+         case when list_contains(f.lines, q.node_id) then f.lines when len(f.lines) < 4 then list_append(f.lines, q.node_id) else list_append(f.lines[2:], q.node_id) end
+  from {name} f join {name}_seq q on q.owner = f.owner and q.cache_set = f.cache_set and q.k = f.k + 1)"""
+
+
 @Q.query(
-    "select backend, sum(hit::int)::bigint as hits, sum(1 - hit::int)::bigint as misses from (select 'shared' as backend, hit from g_fold where k > 0 union all select 'isolated', hit from i_fold where k > 0) group by 1",
-    Q.TRACE + ", i_access as (select step, step % 4 as owner, node_id from g_access), " + Q.TRACE.replace("g_access", "i_access").replace("g_seq", "i_seq").replace("g_fold", "i_fold"),
+    "select backend, sum(hit::int)::bigint as hits, sum(1 - hit::int)::bigint as misses from (select 'nvshmem' as backend, hit from d_fold where k > 0 union all select 'nccl', hit from d_fold where k > 0 union all select 'isolated', hit from i_fold where k > 0) group by 1",
+    trace_sql("d_fold", "node_id % 4", "node_id // 4 % 4") + ", " + trace_sql("i_fold", "step % 4", "node_id % 4"),
 )
 def cache_backends(s, d):
-    """Hits when ids are routed to their owner's cache, and when each requester asks its own."""
+    """Hits when ids are routed to their owner's cache (two transports, one cache), and when each requester asks its own."""
     rows = V.accesses(s, d).select("step", "node_id", "owner")
-    traces = [("shared", rows), ("isolated", rows.withColumn("owner", F.col("step") % 4))]
-    both = [G.cache_trace(r, 4, WAYS).select(F.lit(name).alias("backend"), F.col("hit").cast("int").alias("hit")) for name, r in traces]
-    return both[0].unionByName(both[1]).groupBy("backend").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
+    every = None
+    for backend in BACKENDS:
+        asked = rows.withColumn("owner", F.col("step") % 4) if backend == "isolated" else rows
+        trace = G.cache_trace(asked, 4, WAYS, 4, backend).select(F.lit(backend).alias("backend"), F.col("hit").cast("int").alias("hit"))
+        every = trace if every is None else every.unionByName(trace)
+    return every.groupBy("backend").agg(F.sum("hit").alias("hits"), F.sum(1 - F.col("hit")).alias("misses"))
 
 
 @Q.query("select step, owner, cache_set, node_id, hit from g_fold where k > 0", Q.TRACE)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphmill.config import cache_dim
 from graphmill.operators import graph as G
 from graphmill.sources import views as V
 
@@ -155,10 +156,12 @@ def seed_sample_all(s, d):
     return G.seeds(nodes, nodes, 0.005)
 
 
-def color_sql(levels: int = 10) -> str:
-    """All levels written out: claims, winners, visit order."""
-    parts = [SEEDS, "g_norm as (select edge_id, src, dst from g_edges where src <> dst union all select (select max(edge_id) from g_edges) + 1 + node_id, node_id, node_id from g_nodes)", "g_adj as materialized (select dst, row_number() over (partition by dst order by edge_id) - 1 as pos, src from g_norm)"]
-    parts.append("c1 as (select node_id, 0 as g, color as r, 0 as p, color from g_seeds union all select a.src, 1, s.color, a.pos, s.color from g_seeds s join g_adj a on a.dst = s.node_id where a.src in (select node_id from g_train))")
+def color_sql(levels: int = 10, plain: bool = False) -> str:
+    """All levels written out: claims, winners, visit order. Plain: seeds from all nodes, no claims of training nodes."""
+    seeds = "g_seeds as (select node_id, row_number() over (order by node_id) as color from g_nodes where substr(md5('42|seed|' || node_id), 1, 8) < printf('%08x', floor(0.005::double * 4294967296)::bigint))"
+    parts = [seeds if plain else SEEDS, "g_norm as (select edge_id, src, dst from g_edges where src <> dst union all select (select max(edge_id) from g_edges) + 1 + node_id, node_id, node_id from g_nodes)", "g_adj as materialized (select dst, row_number() over (partition by dst order by edge_id) - 1 as pos, src from g_norm)"]
+    near = " union all select a.src, 1, s.color, a.pos, s.color from g_seeds s join g_adj a on a.dst = s.node_id where a.src in (select node_id from g_train)"
+    parts.append(f"c1 as (select node_id, 0 as g, color as r, 0 as p, color from g_seeds{'' if plain else near})")
     done = ""
     for h in range(1, levels + 1):
         parts.append(f"w{h} as materialized (select *, row_number() over (order by g desc, r desc, p desc) as rank from (select *, row_number() over (partition by node_id order by g desc, r desc, p desc) as k from c{h}{f' where node_id not in ({done})' if done else ''}) where k = 1)")
@@ -303,8 +306,7 @@ def request_histogram(s, d):
 
 @query("select d as dim, case when d <= 128 then 128 when d <= 256 then 256 when d <= 512 then 512 when d <= 1024 then 1024 end as cache_dim from (select unnest([64, 128, 129, 1024]) as d)")
 def dim_bucket(s, d):
-    x = F.col("dim")
-    return s.createDataFrame([(64,), (128,), (129,), (1024,)], "dim int").select(x, F.when(x <= 128, 128).when(x <= 256, 256).when(x <= 512, 512).when(x <= 1024, 1024).alias("cache_dim"))
+    return s.createDataFrame([(n, cache_dim(n)) for n in (64, 128, 129, 1024)], "dim int, cache_dim int")
 
 
 @query("select m as cache_mb, m * 1048576::bigint // 512 as lines, m * 1048576::bigint // 512 // 32 as sets from (select unnest([512, 4096, 16384]::bigint[]) as m)")
@@ -402,13 +404,20 @@ def sage_gcn_agg_whole(s, d):
     return components(f, "node_id").join(sums, ["node_id", "dim"], "left").select("node_id", "dim", F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6).alias("mean"))
 
 
+def attention(scored: DataFrame, *keys: str) -> DataFrame:
+    """Softmax of ``z`` within the keys: the maximum is taken off first, and both it and the sum are aggregates, not windows."""
+    top = scored.groupBy(*keys).agg(F.max("z").alias("top"))
+    total = scored.join(top, list(keys)).groupBy(*keys, "top").agg(F.sum(F.exp(F.col("z") - F.col("top"))).alias("sum"))
+    return scored.join(total, list(keys)).select(*keys, "edge_id", F.round(F.exp(F.col("z") - F.col("top")) / F.col("sum"), 6).alias("attention"))
+
+
 @query("select dst as node_id, edge_id, round(exp(z) / sum(exp(z)) over (partition by dst), 6) as attention from (select e.dst, e.edge_id, case when a.x + b.x > 0 then a.x + b.x else 0.2 * (a.x + b.x) end as z from g_edges e join g_x a on a.node_id = e.src and a.dim = 1 join g_x b on b.node_id = e.dst and b.dim = 2)", DIMS)
 def gat_attention(s, d):
     x = dims(s, d)
     a, b = x.where("dim = 1").select(F.col("node_id").alias("src"), F.col("x").alias("a")), x.where("dim = 2").select(F.col("node_id").alias("dst"), F.col("x").alias("b"))
     z = F.col("a") + F.col("b")
-    scored = V.edges(s, d).join(a, "src").join(b, "dst").withColumn("z", F.exp(F.when(z > 0, z).otherwise(0.2 * z)))
-    return scored.select(F.col("dst").alias("node_id"), "edge_id", F.round(F.col("z") / F.sum("z").over(Window.partitionBy("dst")), 6).alias("attention"))
+    scored = G.cut(V.edges(s, d).join(a, "src").join(b, "dst").select(F.col("dst").alias("node_id"), "edge_id", F.when(z > 0, z).otherwise(0.2 * z).alias("z")))
+    return attention(scored, "node_id")
 
 
 # Head h scores with components 2h + 1 of the source and 2h + 2 of the target; head 0 is gat_attention.
@@ -418,8 +427,8 @@ def gat_attention_heads(s, d):
     a, b = f.select(F.col("node_id").alias("src"), F.col("embedding").alias("a")), f.select(F.col("node_id").alias("dst"), F.col("embedding").alias("b"))
     rows = V.edges(s, d).join(a, "src").join(b, "dst").withColumn("head", F.explode(F.array(*[F.lit(h) for h in range(4)])))
     z = F.element_at("a", 2 * F.col("head") + 1).cast("double") + F.element_at("b", 2 * F.col("head") + 2).cast("double")
-    scored = rows.select("dst", "edge_id", "head", F.exp(F.when(z > 0, z).otherwise(0.2 * z)).alias("z"))
-    return scored.select(F.col("dst").alias("node_id"), "edge_id", "head", F.round(F.col("z") / F.sum("z").over(Window.partitionBy("dst", "head")), 6).alias("attention"))
+    scored = G.cut(rows.select(F.col("dst").alias("node_id"), "edge_id", "head", F.when(z > 0, z).otherwise(0.2 * z).alias("z")))
+    return attention(scored, "node_id", "head")
 
 
 @query("select dst, round(avg(m), 6) as mean from (select rel, dst, avg(src) as m from g_hetero group by 1, 2) group by 1")
@@ -447,13 +456,14 @@ def accuracy(s, d):
 
 @query("select round(avg(ln(list_sum(list_transform(e, lambda x: exp(x)))) - e[label + 1]), 6) as loss from g_top", LOGITS)
 def cross_entropy(s, d):
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x))
-    return logits(s, d).agg(F.round(F.avg(F.log(total) - F.element_at("e", F.col("label") + 1)), 6).alias("loss"))
+    top = F.array_max("e")
+    total = F.aggregate(F.transform("e", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    return logits(s, d).agg(F.round(F.avg(F.log(total) + top - F.element_at("e", F.col("label") + 1)), 6).alias("loss"))
 
 
 def register_plans() -> None:
     """The plan modules add their queries when they are imported; they build on this module."""
-    from graphmill.plans import cache_plans, hetero_plans  # noqa: F401
+    from graphmill.plans import cache_plans, hetero_plans, layer_plans, loop_plans, source_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
