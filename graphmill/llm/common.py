@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.functions.ordering import checkpoint_folder, cut  # noqa: F401
+
 #: Characters that separate words in every contract of this subpackage: space and \t\n\v\f\r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a table counts as small enough to broadcast.
@@ -20,37 +21,10 @@ BROADCAST_ROWS = 20_000
 CHUNK_BYTES = 2 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; fall back to a new folder where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphmill-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (shared folder) and cut its lineage.
-
-    A checkpoint inherits the size estimate of the plan it replaces, and in loops of joins these
-    products grow to numbers of millions of digits. So the checkpointed rows are wrapped anew,
-    without an estimate; adaptive execution sees their true size. The shuffle files behind the
-    checkpoint are dropped at once: nothing reads them again.
-    """
-    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    ensure_checkpoint_dir(spark)
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        done = df.select("*").checkpoint()._jdf
-    finally:
-        spark.conf.set(key, before)
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
-
-
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and its path for ``drop_table``: for wide rows that are read a few times and then in the way."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
