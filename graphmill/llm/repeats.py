@@ -8,7 +8,9 @@ one text has is final and leaves, the others go on until they reach ``length`` b
 Three things keep the sorted rows few, and none loses a repeat. Equal texts are one text. At the
 first rank only positions are sorted whose rank is the least of all in some ``length``-byte window:
 every repeat has such a position at the same place in each occurrence. And windows that hold the
-same position in the same surroundings (context) are ranked once, not once an occurrence.
+same position in the same surroundings (context) are ranked once, not once an occurrence: first
+(rank, rank of the bytes before or behind) pairs of the position, half of what a window needs more,
+then pairs of ranks of each window that is left.
 """
 
 from __future__ import annotations
@@ -17,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import cut, joined_bytes, mix64, text_chunks
+from graphmill.llm.common import cut, drop_table, joined_bytes, mix64, small_batches, text_chunks, write_table
 
 BASE = 0x9E3779B97F4A7C15
 ONE = np.arange(1, 257, dtype=np.uint64)
@@ -89,8 +90,8 @@ def segments(data: np.ndarray, starts: np.ndarray, p: Params) -> tuple[np.ndarra
     return row, first, size, least[first]
 
 
-def first_ranks(docs: DataFrame, p: Params) -> DataFrame:
-    """(rank, key, doc_id) of the positions that take part, once a document."""
+def first_ranks(texts: DataFrame, p: Params) -> DataFrame:
+    """(key, doc_id, ranks) of every text (key, doc_id, text): the distinct ranks of its positions that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +100,29 @@ def first_ranks(docs: DataFrame, p: Params) -> DataFrame:
                 order = np.lexsort((rank, row))
                 row, rank = row[order], rank[order]
                 fresh = np.append(True, (rank[1:] != rank[:-1]) | (row[1:] != row[:-1]))[: len(row)]
-                at = pa.array(row[fresh])
-                yield pa.RecordBatch.from_arrays([pa.array(rank[fresh].view(np.int64)), part.column(0).take(at), part.column(1).take(at)], names=["rank", "key", "doc_id"])
+                ends = np.searchsorted(row[fresh], np.arange(part.num_rows + 1)).astype(np.int32)
+                ranks = pa.ListArray.from_arrays(pa.array(ends), pa.array(rank[fresh].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ranks], names=["key", "doc_id", "ranks"])
 
-    return docs.mapInArrow(run, "rank long, key long, doc_id long")
+    return texts.mapInArrow(run, "key long, doc_id long, ranks array<long>")
 
 
-def contexts(docs: DataFrame, p: Params) -> DataFrame:
-    """(rank, context, doc_id, key, start) of the positions whose rank is in the text's ``ranks``."""
+def string_names(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A name of each string (flat[offsets[i] : offsets[i + 1]]), from its bytes, their places and its length."""
+    if len(offsets) < 2:
+        return np.empty(0, np.uint64)
+    span = np.diff(offsets)
+    powers = np.ones(int(span.max(initial=1)), np.uint64)
+    powers[1:] = np.multiply.accumulate(np.full(len(powers) - 1, BASE, np.uint64))
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], span)
+    return mix64(np.add.reduceat(BYTE_NAME[flat] * powers[place], offsets[:-1]) + span.astype(np.uint64))
+
+
+def contexts(docs: DataFrame, p: Params, whole: bool) -> DataFrame:
+    """(rank, ctx, windows, doc_id, key, start) of the positions whose rank is in the text's ``ranks``; their surroundings too if ``whole``.
+
+    ``ctx`` names the surroundings: all bytes of the ``windows`` windows that the position stands for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,35 +139,74 @@ def contexts(docs: DataFrame, p: Params) -> DataFrame:
                 span = size + p.length - 1
                 offsets = np.concatenate([[0], np.cumsum(span)])
                 flat = data[np.repeat(first - offsets[:-1], span) + np.arange(offsets[-1])]
-                text = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), text, part.column(1).take(at), part.column(0).take(at), pa.array((first - starts[row]).astype(np.int32))], names=["rank", "context", "doc_id", "key", "start"])
+                columns = [pa.array(rank.view(np.int64)), pa.array(string_names(flat, offsets).view(np.int64)), pa.array(size.astype(np.int32)), part.column(1).take(at), part.column(0).take(at), pa.array((first - starts[row]).astype(np.int32))]
+                names = ["rank", "ctx", "windows", "doc_id", "key", "start"]
+                if whole:
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]))
+                    names.append("context")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.mapInArrow(run, "rank long, ctx long, windows int, doc_id long, key long, start int" + (", context binary" if whole else ""))
 
-    return docs.mapInArrow(run, "rank long, context binary, doc_id long, key long, start int")
 
+def squared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of a column as rows of one array, zeros behind them, and their lengths."""
+    data, offsets = joined_binary(column)
+    span = np.diff(offsets)
+    square = np.zeros((len(span), int(span.max())), np.uint8)
+    row = np.repeat(np.arange(len(span)), span)
+    square[row, np.arange(offsets[0], offsets[-1]) - offsets[:-1][row]] = data[offsets[0] : offsets[-1]]
+    return square, span
 
-def ranked_pairs(contexts_: DataFrame, width: int, step: int, p: Params) -> DataFrame:
-    """(rank, ctx, start, a, b, least): each open window's rank at ``width`` bytes, and the rank ``step`` further on."""
+
+def flanked(distinct: DataFrame, p: Params) -> DataFrame:
+    """(rank, ctx) of contexts that may share a window with another: some pair of the position's rank and the rank beside it isn't theirs alone.
+
+    A window holds its position and ``length - first`` bytes more, so at least half of these on
+    one side. Each place in a context that has the rank counts, since the other context may lack some.
+    """
+    half = (p.length - p.first + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                data, offsets = joined_binary(part.column(2))
-                span = np.diff(offsets)
-                square = np.zeros((len(span), int(span.max())), np.uint8)
-                row = np.repeat(np.arange(len(span)), span)
-                square[row, np.arange(offsets[0], offsets[-1]) - offsets[:-1][row]] = data[offsets[0] : offsets[-1]]
+                square, span = squared(part.column(2))
+                bytes_ = BYTE_NAME[square]
+                here = mix64(double_names(bytes_, p.first)) == part.column(0).to_numpy().view(np.uint64)[:, None]
+                beside = mix64(double_names(bytes_, half))
+                row, place = np.nonzero(here)
+                rows, keys = [], []
+                for side, start in ((1, place - half), (2, place + p.first)):
+                    on = (start >= 0) & (start + half <= span[row])
+                    rows.append(row[on])
+                    keys.append(mix64(beside[row[on], start[on]] + np.uint64(side)))
+                pairs = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)], 1), axis=0)
+                take = pa.array(pairs[:, 0].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(pairs[:, 1].copy().view(np.int64))], names=["rank", "ctx", "side"])
+
+    sides = distinct.select("rank", "ctx", "context").mapInArrow(run, "rank long, ctx long, side long")
+    shared = cut(sides.groupBy("rank", "side").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank", "side"))
+    return sides.join(shared, ["rank", "side"]).select("rank", "ctx").distinct()
+
+
+def ranked_pairs(open_: DataFrame, p: Params) -> DataFrame:
+    """(rank, ctx, start, a, b, least): each window's rank at its start and the rank so far on that both cover the window."""
+    width = (p.length + p.first + 1) // 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                square, span = squared(part.column(2))
                 names = mix64(double_names(BYTE_NAME[square], width))
-                lists = part.column(4)
-                ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-                start = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].astype(np.int64)
-                row = np.repeat(np.arange(len(span)), np.diff(ends))
+                row, start = np.nonzero(np.arange(square.shape[1])[None, :] <= (span - p.length)[:, None])
                 take = pa.array(row)
-                pair = [pa.array(names[row, start + k].view(np.int64)) for k in (0, step)]
+                pair = [pa.array(names[row, start + k].view(np.int64)) for k in (0, p.length - width)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), *pair, part.column(3).take(take)], names=["rank", "ctx", "start", "a", "b", "least"])
 
-    return contexts_.select("rank", "ctx", "context", "least", "open").mapInArrow(run, "rank long, ctx long, start int, a long, b long, least long")
+    return open_.select("rank", "ctx", "context", "least").mapInArrow(run, "rank long, ctx long, start int, a long, b long, least long")
 
 
 def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,23 +217,14 @@ def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def doubled(distinct: DataFrame, p: Params) -> DataFrame:
-    """(rank, ctx, start, first): the least document of each window, where another context has it too.
+    """(rank, ctx, start, first): the least document of each window that another context has in a smaller one.
 
-    ``distinct`` has a row for each context of a rank that has several: (rank, ctx, context, least).
-    Each round sorts pairs of ranks into ranks of longer strings; what is alone in its rank leaves.
+    ``distinct``: a row for each context of a rank that has several (rank, ctx, context, least).
     """
-    windows = F.sequence(F.lit(0), F.length("context") - p.length)
-    open_, width = distinct.withColumn("open", windows), p.first
-    while True:
-        step = min(width, p.length - width)
-        pairs = ranked_pairs(open_, width, step, p)
-        ranks = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held"))
-        met = pairs.join(ranks, ["a", "b"])
-        width += step
-        if width == p.length:
-            return met.where("first < least").select("rank", "ctx", "start", "first")
-        going = met.groupBy("rank", "ctx").agg(F.collect_list("start").alias("open"))
-        open_ = cut(distinct.join(going, ["rank", "ctx"]).select("rank", "ctx", "context", "least", "open"))
+    open_ = distinct.join(cut(flanked(distinct, p)), ["rank", "ctx"], "left_semi")
+    pairs = ranked_pairs(open_, p)
+    ranks = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
+    return pairs.join(ranks, ["a", "b"]).where("first < least").select("rank", "ctx", "start", "first")
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -194,31 +240,36 @@ def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[t
 
 def answered(texts: DataFrame, p: Params) -> DataFrame:
     """(key, doc_id, answers) of distinct texts (key, doc_id, text) that lose something: starts, and a bit for each window after it."""
-    mine = ["key", "doc_id"]
-    positions = first_ranks(texts, p)
+    mine, spark = ["key", "doc_id"], texts.sparkSession
+    table, path = write_table(first_ranks(texts, p))
+    positions = table.select(*mine, F.explode("ranks").alias("rank"))
     shared = cut(positions.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("rank"))
-    ranks = cut(positions.join(shared, "rank").groupBy(*mine).agg(F.collect_set("rank").alias("ranks")))
-    occurrences = contexts(texts.join(ranks, mine).select(*mine, "text", "ranks"), p).withColumn("ctx", F.xxhash64("context"))
-    distinct = cut(occurrences.groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least")))
+    ranks = cut(positions.join(shared, "rank").groupBy(*mine).agg(F.collect_list("rank").alias("ranks")))
+    drop_table(spark, path)
+    going = texts.join(ranks, mine).select(*mine, "text", "ranks")
+    distinct, path = write_table(contexts(going, p, True).groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least")))
     several = cut(distinct.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank"))
-    better = doubled(distinct.join(several, "rank").select("rank", "ctx", "context", "least"), p).groupBy("rank", "ctx").agg(F.collect_list(F.struct("start", "first")).alias("better"))
-    known = cut(distinct.drop("context").join(better, ["rank", "ctx"], "left"))
+    better = doubled(distinct.join(several, "rank", "left_semi"), p).groupBy("rank", "ctx").agg(F.collect_list(F.struct("start", "first")).alias("better"))
+    known = cut(distinct.select("rank", "ctx", "least").join(better, ["rank", "ctx"], "left"))
+    drop_table(spark, path)
     one = F.lit(1).cast("long")
-    all_ = F.call_function("shiftleft", one, F.length("context") - p.length + 1) - one
+    all_ = F.call_function("shiftleft", one, F.col("windows")) - one
     some = F.aggregate(F.coalesce("better", F.array().cast("array<struct<start: int, first: bigint>>")), F.lit(0).cast("long"), lambda bits, x: F.when(x["first"] < F.col("doc_id"), bits.bitwiseOR(F.call_function("shiftleft", one, x["start"]))).otherwise(bits))
-    windows = F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some)
-    marked = occurrences.select(*mine, "start", "rank", "ctx", "context").join(known, ["rank", "ctx"]).select(*mine, "start", windows.alias("windows")).where("windows <> 0")
+    marked = contexts(going, p, False).join(known, ["rank", "ctx"]).select(*mine, "start", F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some).alias("windows")).where("windows <> 0")
     return marked.groupBy(*mine).agg(F.collect_list(F.struct("start", "windows")).alias("answers"))
 
 
-def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), characters: bool = False) -> DataFrame:
     """doc_id, n_bytes, kept (binary), spans (removed byte runs), and the columns in ``keep`` (as kept_...), a row for each row.
 
+    With ``characters`` ``kept`` is a string, without the characters that a run cuts in two.
+
     Null text is empty; texts shorter than ``length`` bytes lose nothing; rows that repeat an id are
     one document to the rule (nothing is removed for the sake of an equal id), each with its own
     result; a null id neither loses nor makes others lose. Copies keep only the smallest id's text.
     An empty table gives no rows. A very long text is held whole by its task.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key, check = F.xxhash64("text"), F.xxhash64(F.lit("check"), "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep]).withColumn("key", key)
@@ -226,7 +277,7 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id"
     same = ["key", "check", "bytes"]
     firsts = cut(names.groupBy(*same).agg(F.min("doc_id").alias("first")))
     own = names.select("doc_id", *same).distinct()
-    texts = rows.select("doc_id", "key", "text").join(firsts.select(F.col("first").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]).select("key", "doc_id", "text")
+    texts = rows.select("doc_id", "key", "text").join(firsts.select(F.col("first").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("key", "doc_id", "text")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).cast("long").alias("windows")))  # no window bit: a copy goes whole
     copies = own.join(firsts, same).where("first < doc_id").select("key", "doc_id", whole.alias("answers"))
     final = rows.join(answered(texts, p).unionByName(copies), ["key", "doc_id"], "left")
@@ -247,14 +298,15 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id"
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 edges = [0, *(x for r in runs for x in r), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                parts = [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                kept.append("".join(part.decode("utf-8", "ignore") for part in parts) if characters else b"".join(parts))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(place[n]) for n in columns), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+                [*(batch.column(place[n]) for n in columns), pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if characters else pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=[*columns, "n_bytes", "kept", "spans"],
             )
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in final.schema if f.name in columns)
-    return final.mapInArrow(run, f"{head}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    return final.mapInArrow(run, f"{head}, n_bytes long, kept {'string' if characters else 'binary'}, spans array<struct<start: long, end: long>>")
 
 
 def clean_documents(docs: DataFrame, p: Params = Params(), columns: tuple = ("doc_id", "lang", "source", "n_chars")) -> DataFrame:
@@ -263,15 +315,7 @@ def clean_documents(docs: DataFrame, p: Params = Params(), columns: tuple = ("do
     Nulls, repeated rows and an empty table as in ``remove_repeats``; a null text becomes an empty one.
     """
     others = tuple(c for c in columns if c != "text")
-    done = remove_repeats(docs, p, keep=others)
-    out = {c: F.col(f"kept_{c}") for c in others} | {"text": whole_characters(F.col("kept"))}
+    done = remove_repeats(docs, p, keep=others, characters=True)
+    out = {c: F.col(f"kept_{c}") for c in others} | {"text": F.col("kept")}
     rows = done.select(*[out[c].alias(c) for c in docs.columns if c in out])
     return rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
-
-
-def whole_characters(kept):
-    @F.pandas_udf("string")
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode(kept)
