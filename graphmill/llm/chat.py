@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.llm.common import small_batches
+
 # The template's markers.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Vocabulary of the public tokenizer; another path may be given.
@@ -104,6 +106,7 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     are ignored. A conversation is rendered and encoded as a whole, so one task holds one
     conversation at a time: its size is the bound. An empty table gives no rows.
     """
+    small_batches(conversations.sparkSession)
     turns = conversations.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).alias("row"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 

@@ -21,6 +21,13 @@ BROADCAST_ROWS = 20_000
 CHUNK_BYTES = 2 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows an Arrow batch than Spark's default, unless the session has a number of its own: rows hold whole texts here."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and its path for ``drop_table``: for wide rows that are read a few times and then in the way."""
     spark = df.sparkSession

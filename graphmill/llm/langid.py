@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.llm.common import small_batches
+
 OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 #: The sample a dictionary is made of: whole documents a language, by hash of their id, as many as fit
@@ -87,6 +89,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     sizes go to the first language by name; repeated rows predict alike; other columns are ignored;
     an empty table gives no rows. A very long text is held whole by its task, and compressed in one piece.
     """
+    small_batches(docs.sparkSession)
     content = learn(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import cut, shuffle_partitions, text_chunks
+from graphmill.llm.common import cut, shuffle_partitions, small_batches, text_chunks
 
 LENGTH, UNIT, END_ID = 2048, 16, 1
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 PIECES = "doc_id long, doc_key long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words kept with their ids in a worker; beyond it the table starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 150_000
 # Fixed value: how the tokenizer file splits normalised text into words.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+")
 #: Texts of these characters split alike under SPLIT and the tokenizer's own pattern; others are encoded as a whole.
@@ -126,6 +126,7 @@ def shared_encoder(path: str | None) -> WordEncoder:
 
 def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document: full sequences, then the remainder; texts are tokenized once, whole."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("doc_key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import cut, text_chunks
+from graphmill.llm.common import cut, small_batches, text_chunks
 
 # Insults that vote whether or not labelled rows hold them.
 LEXICON = ("bastard", "clown", "disgusting", "dumb", "filth", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "retard", "scum", "stupid", "trash", "vermin", "worthless")
@@ -370,6 +370,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     over the table of vote patterns, which holds all documents and stays distributed. Only
     fixed-size results reach the driver: terms, and sums of voters x voters numbers.
     """
+    small_batches(docs.sparkSession)
     train = cut(training_rows(docs, labels, p, id_col, text_col, label_col))
     mined = mine_terms(train, p)
     terms = mined + [t for t in ("=" + w for w in LEXICON) if t not in mined]
