@@ -121,22 +121,31 @@ def unpacked(bits, width: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """How often each voter speaks in class 0 and 1, its share of the say it has with correlated voters, and the share of class 1."""
+    """How often each voter speaks in class 0 (first row) and in the kinds of class 1, the shares of these, and each voter's voice: its share of the say it has with correlated voters.
+
+    Class 1 comes in kinds, one for each group of voters that speak together (insults of one
+    language, say): a voter's silence tells nothing of texts that its group has no words for.
+    """
 
     rates: np.ndarray
+    share: np.ndarray
     voice: np.ndarray
-    prior: float
     gold_accuracy: float = 0.98
 
-    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
-        """P(toxic) of vote vectors. Voters only ever say "toxic", so silence tells something only if all are silent, and then once."""
-        on = np.log(self.rates[1] / self.rates[0]) * self.voice
-        off = (np.log((1 - self.rates[1]) / (1 - self.rates[0])) * self.voice).sum()
-        odds = votes @ on + np.where(votes.any(1), 0, off) + np.log(self.prior / (1 - self.prior))
+    def kinds(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """P(kind) of vote vectors (rows x kinds, class 0 first); what a voter says and its silence both count by its voice."""
+        on, off = np.log(self.rates) * self.voice, np.log(1 - self.rates) * self.voice
+        odds = votes @ (on - off).T + off.sum(1) + np.log(self.share)
         if gold is not None:  # -1: not known
-            said = np.log(self.gold_accuracy / (1 - self.gold_accuracy))
-            odds = odds + np.where(gold > 0, said, np.where(gold == 0, -said, 0))
-        return sigmoid(odds)
+            right, wrong = np.log(self.gold_accuracy), np.log(1 - self.gold_accuracy)
+            odds[:, 0] += np.where(gold == 0, right, np.where(gold > 0, wrong, 0))
+            odds[:, 1:] += np.where(gold > 0, right, np.where(gold == 0, wrong, 0))[:, None]
+        odds = np.exp(odds - odds.max(1, keepdims=True))
+        return odds / odds.sum(1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic) of vote vectors."""
+        return 1 - self.kinds(votes, gold)[:, 0]
 
 
 def summed(patterns: DataFrame | pd.DataFrame, p: Params, width: int, score) -> tuple[np.ndarray, ...]:
@@ -159,67 +168,87 @@ def summed(patterns: DataFrame | pd.DataFrame, p: Params, width: int, score) ->
     return out
 
 
+def smoothed(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, shares) from documents (first column) and votes of each kind; rates are held off 0 and 1 by a small count of pooled votes."""
+    size, every = sums[:, 0], sums[:, 0].sum()
+    pooled = (sums[:, 1:].sum(0) + 0.05) / (every + 1)
+    rates = (sums[:, 1:] + 2 * pooled) / (size[:, None] + 2)
+    return np.clip(rates, 1e-9, 1 - 1e-9), np.maximum(size, 1e-6 * max(every, 1)) / max(every, 1)
+
+
 def estimate(patterns: DataFrame | pd.DataFrame, start: LabelModel, p: Params) -> LabelModel:
-    """Expectation maximisation over all documents' votes, and the voters' correlations within classes.
+    """Expectation maximisation over all documents' votes, and the voters' correlations within the kinds.
 
     The correlations come from the first estimate's residual second moments; the second estimate
-    lets correlated voters share their say. Rates are held off 0 and 1 by a small count of pooled votes.
+    lets correlated voters share their say.
     """
-    width = len(start.voice)
-    model = start
+    width, kinds, model = len(start.voice), len(start.share), start
     for second in (False, True):
         if second:
-            moments = summed(patterns, p, width, residual_moments(model)).reshape(2, width, width + 1)
-            model = LabelModel(model.rates, voices(moments), model.prior, model.gold_accuracy)
+            moments = summed(patterns, p, width, residual_moments(model)).reshape(width, width)
+            model = LabelModel(model.rates, model.share, voices(moments), model.gold_accuracy)
         for _ in range(p.rounds):
             was = model
-            now = summed(patterns, p, width, class_sums(model)).reshape(2, width + 1)
-            share, every = now[:, 0], now[:, 0].sum()
-            pooled = (now[:, 1:].sum(0) + 0.05) / (every + 1)
-            rates = (now[:, 1:] + 2 * pooled) / (share[:, None] + 2)
-            model = LabelModel(np.clip(rates, 1e-9, 1 - 1e-9), model.voice, float(np.clip(share[1] / every, 1e-6, 0.5)), model.gold_accuracy)
-            if np.abs(model.rates - was.rates).max() < 1e-4 and abs(model.prior - was.prior) < 1e-4:
+            rates, share = smoothed(summed(patterns, p, width, kind_sums(model)).reshape(kinds, width + 1))
+            model = LabelModel(rates, share, model.voice, model.gold_accuracy)
+            if np.abs(model.rates - was.rates).max() < 1e-4 and np.abs(model.share - was.share).max() < 1e-4:
                 break
     return model
 
 
-def class_sums(model: LabelModel):
-    """Documents and votes by class, in expectation."""
+def kind_sums(model: LabelModel):
+    """Documents and votes by kind, in expectation."""
 
     def score(votes, size, gold, n):
-        q = model.posterior(votes, gold)
-        return np.concatenate([np.concatenate([[w.sum()], w @ votes]) for w in (n * (1 - q), n * q)])
+        q = model.kinds(votes, gold) * n[:, None]
+        return np.hstack([q.sum(0)[:, None], q.T @ votes]).ravel()
 
     return score
 
 
 def residual_moments(model: LabelModel):
-    """Second moments of the votes by class, and the documents of the class in the last column."""
+    """Second moments of what the kinds leave of the votes."""
 
     def score(votes, size, gold, n):
-        q = model.posterior(votes, gold)
-        parts = []
-        for k, w in enumerate((n * (1 - q), n * q)):
+        q = model.kinds(votes, gold) * n[:, None]
+        total = np.zeros((votes.shape[1], votes.shape[1]))
+        for k in range(q.shape[1]):
             off = votes - model.rates[k]
-            m = (off * w[:, None]).T @ off
-            parts.append(np.hstack([m, np.full((votes.shape[1], 1), w.sum())]).ravel())
-        return np.concatenate(parts)
+            total += (off * q[:, k : k + 1]).T @ off
+        return total.ravel()
 
     return score
 
 
 def correlations(moments: np.ndarray) -> np.ndarray:
-    """Correlation of every two voters within the classes, the classes' documents counting alike."""
-    covariance = moments[:, :, :-1].sum(0) / max(moments[:, 0, -1].sum(), 1) if moments.shape[1] else np.zeros((0, 0))
-    spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
-    out = covariance / np.outer(spread, spread)
+    """Correlations from second moments around the means."""
+    spread = np.sqrt(np.maximum(np.diag(moments), 1e-9))
+    out = moments / np.outer(spread, spread)
     np.fill_diagonal(out, 1)
     return out
 
 
 def voices(moments: np.ndarray) -> np.ndarray:
-    """A voter's own share of what it says: one over its correlations with all voters, itself included; negative ones don't count."""
-    return 1 / np.clip(correlations(moments), 0, 1).sum(1)
+    """A voter's own share of what it says: one over its correlations with all voters, itself included; those under the noise or negative don't count."""
+    r = correlations(moments)
+    return 1 / np.where(r > NOISE, r, 0).sum(1)
+
+
+#: Correlations of voters that count as none.
+NOISE = 0.05
+
+
+def groups(second: np.ndarray, total: float) -> list[np.ndarray]:
+    """Voters that speak together, by the second moments of the votes of all documents: components of their correlation graph, of two voters or more."""
+    mean = np.diag(second) / max(total, 1)
+    linked = correlations(second / max(total, 1) - np.outer(mean, mean)) > NOISE
+    linked &= (np.diag(second) > 0)[:, None] & (np.diag(second) > 0)[None, :]
+    of = np.arange(len(mean))
+    while True:
+        least = np.minimum(of, np.where(linked, of[None, :], len(of)).min(1, initial=len(of)))
+        if (least == of).all():
+            return [g for k in np.unique(of) if len(g := np.flatnonzero(of == k)) > 1]
+        of = least
 
 
 def fit_linear(patterns: DataFrame | pd.DataFrame, model: LabelModel, p: Params, penalty: float = 2.0, steps: int = 20) -> np.ndarray:
@@ -348,19 +377,27 @@ def voted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> Data
 
 
 def start_model(patterns: DataFrame | pd.DataFrame, width: int, p: Params) -> LabelModel:
-    """Where estimation begins: smoothed rates of the voters in the labelled rows' classes (the sign of class 1)."""
+    """Where estimation begins: a kind of class 1 for each group of voters, with smoothed rates of the labelled rows in which the group speaks.
+
+    Labels give the sign of class 1 and no more. Without labels of both classes a group's voters
+    speak ten times as often in their kind as elsewhere.
+    """
+    got = summed(patterns, p, width, lambda votes, size, gold, n: np.concatenate([[n.sum()], ((votes * n[:, None]).T @ votes).ravel()]))
+    found = groups(got[1:].reshape(width, width), got[0]) if len(got) else []
+    kinds = found or [np.arange(width)]
 
     def score(votes, size, gold, n):
-        return np.concatenate([np.concatenate([[w.sum()], w @ votes]) for w in (n * (gold == 0), n * (gold > 0))])
-
-    got = summed(patterns, p, width, score)
-    got = got.reshape(2, width + 1) if len(got) else np.zeros((2, width + 1))
-    pooled = (got[:, 1:].sum(0) + 0.05) / (got[:, 0].sum() + 1)
-    rates = (got[:, 1:] + 2 * pooled) / (got[:, :1] + 2)
-    if not got[:, 0].all():  # labels of one class or none: the lexicon speaks ten times as often in class 1
-        rates = np.vstack([np.full(width, 0.01), np.full(width, 0.1)])
-    prior = (got[1, 0] + 1) / (got[:, 0].sum() + 10)
-    return LabelModel(np.clip(rates, 1e-9, 1 - 1e-9), np.ones(width), float(prior), p.gold_accuracy)
+        rows = [n * (gold == 0)] + [n * (gold > 0) * (votes[:, g].any(1) | (len(kinds) == 1)) for g in kinds]
+        return np.concatenate([np.concatenate([[w.sum()], w @ votes]) for w in rows])
+
+    sums = summed(patterns, p, width, score)
+    sums = sums.reshape(len(kinds) + 1, width + 1) if len(sums) else np.zeros((len(kinds) + 1, width + 1))
+    rates, share = smoothed(sums)
+    for k, g in enumerate(kinds, 1):
+        if not sums[0, 0] or not sums[k, 0]:
+            rates[k], share[k] = rates[0], 0.1 / len(kinds)
+            rates[k, g] = np.clip(10 * np.maximum(rates[0, g], 0.01), 0, 0.5)
+    return LabelModel(rates, share / share.sum(), np.ones(width), p.gold_accuracy)
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model, DataFrame]:
