@@ -56,7 +56,7 @@ SAGE = f"select h.node_id, {rounded_sql(f'list_transform(range({OUT}), lambda j:
 
 @Q.query(SAGE, MEAN)
 def sage_layer(s, d):
-    return rounded(L.sage_layer(V.edges(s, d), vectors(s, d), weights(DIM, OUT, 1), weights(DIM, OUT, 2), bias(OUT, 1)), "node_id")
+    return rounded(L.sage_layer(V.pairs(s, d), vectors(s, d), weights(DIM, OUT, 1), weights(DIM, OUT, 2), bias(OUT, 1)), "node_id")
 
 
 NORM = H + ", o as (select src, count(*) as o from g_edges group by 1), n as (select dst, count(*) as n from g_edges group by 1), m1 as (select e.dst, x.dim, sum(x.x / sqrt(o.o * n.n)) as m from g_edges e join o using (src) join n using (dst) join hx x on x.node_id = e.src group by 1, 2), m as (select dst, list(m order by dim) as m from m1 group by 1)"
@@ -64,7 +64,7 @@ NORM = H + ", o as (select src, count(*) as o from g_edges group by 1), n as (se
 
 @Q.query(f"select h.node_id, {rounded_sql(f'list_transform(range({OUT}), lambda j: list_sum(list_transform(range({DIM}), lambda i: coalesce(m.m[i + 1], 0.0) * {w_sql(3)})) + {b_sql(3)})')} as h from h left join m on m.dst = h.node_id", NORM)
 def gcn_layer(s, d):
-    return rounded(L.gcn_layer(G.cut(V.edges(s, d)), vectors(s, d), weights(DIM, OUT, 3), bias(OUT, 3)), "node_id")
+    return rounded(L.gcn_layer(G.cut(V.pairs(s, d)), vectors(s, d), weights(DIM, OUT, 3), bias(OUT, 3)), "node_id")
 
 
 def attention_sql(edges: str, width: int, target: str = "z") -> str:
@@ -82,7 +82,7 @@ GAT = f"{H}, z as materialized (select node_id, {product_sql('h', DIM, OUT, 4)}
 
 @Q.query(f"select h.node_id, {rounded_sql(f'list_transform(range({OUT}), lambda j: coalesce(ha.x[j + 1], 0.0) + {b_sql(4)})')} as h from h left join ha on ha.dst = h.node_id", GAT)
 def gat_layer(s, d):
-    return rounded(L.gat_layer(G.cut(V.edges(s, d)), vectors(s, d), weights(DIM, OUT, 4), weights(HEADS, GAT_W, 5), weights(HEADS, GAT_W, 6), bias(OUT, 4)), "node_id")
+    return rounded(L.gat_layer(G.cut(V.pairs(s, d)), vectors(s, d), weights(DIM, OUT, 4), weights(HEADS, GAT_W, 5), weights(HEADS, GAT_W, 6), bias(OUT, 4)), "node_id")
 
 
 LAST = f"{GAT}, hm as (select dst, c, avg(x) as x from hc group by 1, 2), hl as (select dst, list(x order by c) as x from hm group by 1), lo as (select h.node_id, list_transform(range({GAT_W}), lambda j: coalesce(hl.x[j + 1], 0.0) + {b_sql(4)}) as x from h left join hl on hl.dst = h.node_id)"
@@ -91,7 +91,7 @@ LAST = f"{GAT}, hm as (select dst, c, avg(x) as x from hc group by 1, 2), hl as
 @Q.query(f"select node_id, {rounded_sql('list_transform(x, lambda v: v - ln(list_sum(list_transform(x, lambda y: exp(y)))))')} as h from lo", LAST)
 def gat_last_layer(s, d):
     """The last layer: the mean over heads, then log-softmax."""
-    out = L.gat_layer(G.cut(V.edges(s, d)), vectors(s, d), weights(DIM, OUT, 4), weights(HEADS, GAT_W, 5), weights(HEADS, GAT_W, 6), bias(GAT_W, 4), last=True)
+    out = L.gat_layer(G.cut(V.pairs(s, d)), vectors(s, d), weights(DIM, OUT, 4), weights(HEADS, GAT_W, 5), weights(HEADS, GAT_W, 6), bias(GAT_W, 4), last=True)
     return rounded(out.select("node_id", L.log_softmax("h").alias("h")), "node_id")
 
 
@@ -206,7 +206,7 @@ def labeled_inputs(s, d) -> DataFrame:
     """node_id, x (the node's vector and the mean of its in-neighbours), label, split."""
     nodes = V.nodes(s, d)
     split = G.positional_split(nodes, nodes.count())
-    return T.sage_inputs(V.edges(s, d), vectors(s, d)).join(nodes.where("label is not null").select("node_id", "label"), "node_id").join(split, "node_id")
+    return T.sage_inputs(V.pairs(s, d), vectors(s, d)).join(nodes.where("label is not null").select("node_id", "label"), "node_id").join(split, "node_id")
 
 
 @Q.query()

@@ -52,7 +52,7 @@ def csc_indptr(s, d):
 
 @query("select max(src) as max_index from g_edges")
 def csc_max_index(s, d):
-    return V.edges(s, d).agg(F.max("src").alias("max_index"))
+    return V.pairs(s, d).agg(F.max("src").alias("max_index"))
 
 
 @query("select edge_id, src, dst from g_edges where src <> dst union all select (select max(edge_id) from g_edges) + 1 + node_id, node_id, node_id from g_nodes")
@@ -62,7 +62,7 @@ def self_loop_normalize(s, d):
 
 @query("select n.node_id, (select count(*) from g_edges where dst = n.node_id) as in_degree, (select count(*) from g_edges where src = n.node_id) as out_degree from g_nodes n")
 def in_out_degree(s, d):
-    e = V.edges(s, d)
+    e = V.pairs(s, d)
     both = e.select(F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(e.select(F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")))
     counts = both.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     return V.nodes(s, d).select("node_id").join(counts, "node_id", "left").fillna(0)
@@ -350,13 +350,13 @@ def dims(s, d) -> DataFrame:
 
 @query("select e.dst as node_id, x.dim, round(avg(x.x), 6) as mean from g_edges e join g_x x on x.node_id = e.src where x.dim <= 8 group by 1, 2", DIMS)
 def sage_mean(s, d):
-    got = V.edges(s, d).join(dims(s, d), F.col("src") == F.col("node_id"))
+    got = V.pairs(s, d).join(dims(s, d), F.col("src") == F.col("node_id"))
     return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
 @query("select e.dst as node_id, x.dim, round(sum(x.x / sqrt(o.n * i.n)), 6) as total from g_edges e join g_x x on x.node_id = e.src join g_out o on o.src = e.src join g_in i on i.dst = e.dst where x.dim <= 8 group by 1, 2", DIMS)
 def gcn_norm_sum(s, d):
-    e = G.cut(V.edges(s, d))
+    e = G.cut(V.pairs(s, d))
     out, into = e.groupBy("src").agg(F.count(F.lit(1)).alias("o")), e.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
     got = e.join(out, "src").join(into, "dst").join(dims(s, d), F.col("src") == F.col("node_id"))
     return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.sum(F.col("x") / F.sqrt(F.col("o") * F.col("i"))), 6).alias("total"))
@@ -364,7 +364,7 @@ def gcn_norm_sum(s, d):
 
 @query("select x.node_id, x.dim, round((x.x + coalesce(n.s, 0)) / (coalesce(i.n, 0) + 1), 6) as mean from g_x x left join (select e.dst, y.dim, sum(y.x) as s from g_edges e join g_x y on y.node_id = e.src group by 1, 2) n on n.dst = x.node_id and n.dim = x.dim left join g_in i on i.dst = x.node_id where x.dim <= 8", DIMS)
 def sage_gcn_agg(s, d):
-    e, x = G.cut(V.edges(s, d)), dims(s, d)
+    e, x = G.cut(V.pairs(s, d)), dims(s, d)
     sums = e.join(x.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id"), "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     zero = F.lit(0)
     return x.join(sums, ["node_id", "dim"], "left").select("node_id", "dim", F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6).alias("mean"))
@@ -382,26 +382,26 @@ def fetch_isolated_whole(s, d):
     return inputs(s, d).join(V.features(s, d), "node_id").select("batch", "node_id", F.col("embedding").cast("array<double>").alias("embedding"))
 
 
-@query("select e.dst as node_id, x.dim, round(avg(x.x), 6) as mean from g_edges e join g_x x on x.node_id = e.src group by 1, 2", DIMS)
+@query("select e.dst as node_id, x.dim, round(avg(x.x), 6) + 0.0::double as mean from g_edges e join g_x x on x.node_id = e.src group by 1, 2", DIMS)
 def sage_mean_whole(s, d):
-    got = components(V.edges(s, d).join(V.features(s, d).withColumnRenamed("node_id", "src"), "src"), "dst")
-    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.avg("x"), 6).alias("mean"))
+    got = components(V.pairs(s, d).join(V.features(s, d).withColumnRenamed("node_id", "src"), "src"), "dst")
+    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg((F.round(F.avg("x"), 6) + F.lit(0.0)).alias("mean"))
 
 
-@query("select e.dst as node_id, x.dim, round(sum(x.x / sqrt(o.n * i.n)), 6) as total from g_edges e join g_x x on x.node_id = e.src join g_out o on o.src = e.src join g_in i on i.dst = e.dst group by 1, 2", DIMS)
+@query("select e.dst as node_id, x.dim, round(sum(x.x / sqrt(o.n * i.n)), 6) + 0.0::double as total from g_edges e join g_x x on x.node_id = e.src join g_out o on o.src = e.src join g_in i on i.dst = e.dst group by 1, 2", DIMS)
 def gcn_norm_sum_whole(s, d):
-    e = G.cut(V.edges(s, d))
+    e = G.cut(V.pairs(s, d))
     out, into = e.groupBy("src").agg(F.count(F.lit(1)).alias("o")), e.groupBy("dst").agg(F.count(F.lit(1)).alias("i"))
     got = components(e.join(out, "src").join(into, "dst").join(V.features(s, d).withColumnRenamed("node_id", "src"), "src"), "dst", "o", "i")
-    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg(F.round(F.sum(F.col("x") / F.sqrt(F.col("o") * F.col("i"))), 6).alias("total"))
+    return got.groupBy(F.col("dst").alias("node_id"), "dim").agg((F.round(F.sum(F.col("x") / F.sqrt(F.col("o") * F.col("i"))), 6) + F.lit(0.0)).alias("total"))
 
 
-@query("select x.node_id, x.dim, round((x.x + coalesce(n.s, 0)) / (coalesce(i.n, 0) + 1), 6) as mean from g_x x left join (select e.dst, y.dim, sum(y.x) as s from g_edges e join g_x y on y.node_id = e.src group by 1, 2) n on n.dst = x.node_id and n.dim = x.dim left join g_in i on i.dst = x.node_id", DIMS)
+@query("select x.node_id, x.dim, round((x.x + coalesce(n.s, 0)) / (coalesce(i.n, 0) + 1), 6) + 0.0::double as mean from g_x x left join (select e.dst, y.dim, sum(y.x) as s from g_edges e join g_x y on y.node_id = e.src group by 1, 2) n on n.dst = x.node_id and n.dim = x.dim left join g_in i on i.dst = x.node_id", DIMS)
 def sage_gcn_agg_whole(s, d):
-    e, f = G.cut(V.edges(s, d)), V.features(s, d)
+    e, f = G.cut(V.pairs(s, d)), V.features(s, d)
     sums = components(e.join(f.withColumnRenamed("node_id", "src"), "src"), "dst").groupBy(F.col("dst").alias("node_id"), "dim").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
     zero = F.lit(0)
-    return components(f, "node_id").join(sums, ["node_id", "dim"], "left").select("node_id", "dim", F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6).alias("mean"))
+    return components(f, "node_id").join(sums, ["node_id", "dim"], "left").select("node_id", "dim", (F.round((F.col("x") + F.coalesce("s", zero)) / (F.coalesce("n", zero) + 1), 6) + F.lit(0.0)).alias("mean"))
 
 
 def attention(scored: DataFrame, *keys: str) -> DataFrame:

@@ -19,6 +19,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(rows, "edge_id", "l_orderkey", "l_linenumber", "src", "l_suppkey", "dst").select("edge_id", "src", "dst")
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst of every edge, for what needs neither numbers nor an order of edges: nothing is sorted over all edges."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node_id, vec_id, label (every fifth node has none)."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "label")
