@@ -3,6 +3,7 @@
 Word counts are summed by source, a budget is shared by weight with a ceiling of
 ``max_rate`` times each source's size, and a document is repeated floor(rate) times plus one
 more copy when a hash-seeded draw falls under the fraction. Only DataFrame functions are used.
+Windows without a partition run over the totals, one row a source, never over documents.
 """
 
 from __future__ import annotations
@@ -61,7 +62,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, columns: tuple = ("doc_id", "text", "lang", "source", "n_chars"), **options) -> DataFrame:
-    """The mixed documents themselves: each row ``copies`` times, with the given columns."""
+    """The mixed documents themselves: each row ``copies`` times, with the given columns.
+
+    Rows that repeat an id draw alike, rows without an id draw as one id; null and wordless texts
+    follow their source's rate, and all rows of a source without words are left out. An empty table
+    gives no rows.
+    """
     planned = plan_mix(docs, keep=columns, **options).where("copies > 0")
     repeated = planned.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return repeated.select(*[F.col(f"kept_{c}").alias(c) for c in columns])
