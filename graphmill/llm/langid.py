@@ -46,9 +46,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     known = docs.where(key.isNotNull() & F.col(lang_col).isNotNull() & (size > 0) & ~held_out(key)).select(key.alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), size.alias("size"))
     order = Window.partitionBy("lang").orderBy("h", "id", "size")
     ranked = known.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE_DOCS)
-    room = F.least(F.lit(DICTIONARY_BYTES), F.floor(F.lit(TOTAL_BYTES) / F.col("langs")))
-    langs = known.agg(F.greatest(F.count_distinct("lang"), F.lit(1)).alias("langs"))
-    chosen = ranked.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).crossJoin(F.broadcast(langs)).where((F.col("sum") <= room) | (F.col("r") == 1)).select("id", "lang").distinct()
+    room = min(DICTIONARY_BYTES, TOTAL_BYTES // max(1, known.agg(F.count_distinct("lang")).first()[0]))
+    chosen = ranked.withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("sum") <= room) | (F.col("r") == 1)).select("id", "lang").distinct()
     rows = docs.select(key.alias("id"), F.col(lang_col).alias("lang"), text.alias("text")).join(F.broadcast(chosen), ["id", "lang"]).where("text is not null")  # at most SAMPLE_DOCS ids a language
     content: dict[str, list] = {}
     for _, lang, part in sorted(map(tuple, rows.collect()), key=lambda r: (r[1], r[0], r[2])):
