@@ -47,6 +47,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """The side of a join that has a row or a few for each key: each task holds its share in a hash table, and the many rows of the other side aren't sorted."""
+    return df.hint("shuffle_hash")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

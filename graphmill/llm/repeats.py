@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphmill.llm.common import cut, drop_table, joined_bytes, mix64, small_batches, text_chunks, write_table
+from graphmill.llm.common import cut, drop_table, hashed, joined_bytes, mix64, small_batches, text_chunks, write_table
 
 BASE = 0x9E3779B97F4A7C15
 ONE = np.arange(1, 257, dtype=np.uint64)
@@ -188,7 +188,7 @@ def flanked(distinct: DataFrame, p: Params) -> DataFrame:
 
     sides = distinct.select("rank", "ctx", "context").mapInArrow(run, "rank long, ctx long, side long")
     shared = cut(sides.groupBy("rank", "side").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank", "side"))
-    return sides.join(shared, ["rank", "side"]).select("rank", "ctx").distinct()
+    return sides.join(hashed(shared), ["rank", "side"]).select("rank", "ctx").distinct()
 
 
 def ranked_pairs(open_: DataFrame, p: Params) -> DataFrame:
@@ -221,10 +221,10 @@ def doubled(distinct: DataFrame, p: Params) -> DataFrame:
 
     ``distinct``: a row for each context of a rank that has several (rank, ctx, context, least).
     """
-    open_ = distinct.join(cut(flanked(distinct, p)), ["rank", "ctx"], "left_semi")
+    open_ = distinct.join(hashed(cut(flanked(distinct, p))), ["rank", "ctx"], "left_semi")
     pairs = ranked_pairs(open_, p)
     ranks = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
-    return pairs.join(ranks, ["a", "b"]).where("first < least").select("rank", "ctx", "start", "first")
+    return pairs.join(hashed(ranks), ["a", "b"]).where("first < least").select("rank", "ctx", "start", "first")
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -244,18 +244,18 @@ def answered(texts: DataFrame, p: Params) -> DataFrame:
     table, path = write_table(first_ranks(texts, p))
     positions = table.select(*mine, F.explode("ranks").alias("rank"))
     shared = cut(positions.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("rank"))
-    ranks = cut(positions.join(shared, "rank").groupBy(*mine).agg(F.collect_list("rank").alias("ranks")))
+    ranks = cut(positions.join(hashed(shared), "rank").groupBy(*mine).agg(F.collect_list("rank").alias("ranks")))
     drop_table(spark, path)
-    going = texts.join(ranks, mine).select(*mine, "text", "ranks")
+    going = texts.join(hashed(ranks), mine).select(*mine, "text", "ranks")
     distinct, path = write_table(contexts(going, p, True).groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least")))
     several = cut(distinct.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank"))
-    better = doubled(distinct.join(several, "rank", "left_semi"), p).groupBy("rank", "ctx").agg(F.collect_list(F.struct("start", "first")).alias("better"))
+    better = doubled(distinct.join(hashed(several), "rank", "left_semi"), p).groupBy("rank", "ctx").agg(F.collect_list(F.struct("start", "first")).alias("better"))
     known = cut(distinct.select("rank", "ctx", "least").join(better, ["rank", "ctx"], "left"))
     drop_table(spark, path)
     one = F.lit(1).cast("long")
     all_ = F.call_function("shiftleft", one, F.col("windows")) - one
     some = F.aggregate(F.coalesce("better", F.array().cast("array<struct<start: int, first: bigint>>")), F.lit(0).cast("long"), lambda bits, x: F.when(x["first"] < F.col("doc_id"), bits.bitwiseOR(F.call_function("shiftleft", one, x["start"]))).otherwise(bits))
-    marked = contexts(going, p, False).join(known, ["rank", "ctx"]).select(*mine, "start", F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some).alias("windows")).where("windows <> 0")
+    marked = contexts(going, p, False).join(hashed(known), ["rank", "ctx"]).select(*mine, "start", F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some).alias("windows")).where("windows <> 0")
     return marked.groupBy(*mine).agg(F.collect_list(F.struct("start", "windows")).alias("answers"))
 
 
@@ -277,10 +277,10 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id"
     same = ["key", "check", "bytes"]
     firsts = cut(names.groupBy(*same).agg(F.min("doc_id").alias("first")))
     own = names.select("doc_id", *same).distinct()
-    texts = rows.select("doc_id", "key", "text").join(firsts.select(F.col("first").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").select("key", "doc_id", "text")
+    texts = rows.select("doc_id", "key", "text").join(hashed(firsts.select(F.col("first").alias("doc_id"), "key")), ["doc_id", "key"], "left_semi").select("key", "doc_id", "text")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).cast("long").alias("windows")))  # no window bit: a copy goes whole
-    copies = own.join(firsts, same).where("first < doc_id").select("key", "doc_id", whole.alias("answers"))
-    final = rows.join(answered(texts, p).unionByName(copies), ["key", "doc_id"], "left")
+    copies = own.join(hashed(firsts), same).where("first < doc_id").select("key", "doc_id", whole.alias("answers"))
+    final = rows.join(hashed(answered(texts, p).unionByName(copies)), ["key", "doc_id"], "left")
     columns = [f.name for f in final.schema if f.name not in ("key", "text", "answers")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
