@@ -30,6 +30,8 @@ ONE = np.arange(1, 257, dtype=np.uint64)
 BYTE_NAME = mix64(ONE)
 #: Windows that one context holds at most; a bit each in a 64-bit answer.
 MOST_WINDOWS = 62
+#: Bits that a window's start in its context takes beside the context's number.
+SHIFT = 6
 
 
 @dataclass(frozen=True)
@@ -161,7 +163,7 @@ def squared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def flanked(distinct: DataFrame, p: Params) -> DataFrame:
-    """(rank, ctx) of contexts that may share a window with another: some pair of the position's rank and the rank beside it isn't theirs alone.
+    """(cid) of contexts that may share a window with another: some pair of the position's rank and the rank beside it isn't theirs alone.
 
     A window holds its position and ``length - first`` bytes more, so at least half of these on
     one side. Each place in a context that has the rank counts, since the other context may lack some.
@@ -184,29 +186,31 @@ def flanked(distinct: DataFrame, p: Params) -> DataFrame:
                     keys.append(mix64(beside[row[on], start[on]] + np.uint64(side)))
                 pairs = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)], 1), axis=0)
                 take = pa.array(pairs[:, 0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(pairs[:, 1].copy().view(np.int64))], names=["rank", "ctx", "side"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(pairs[:, 1].copy().view(np.int64))], names=["rank", "cid", "side"])
 
-    sides = distinct.select("rank", "ctx", "context").mapInArrow(run, "rank long, ctx long, side long")
-    shared = cut(sides.groupBy("rank", "side").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank", "side"))
-    return sides.join(hashed(shared), ["rank", "side"]).select("rank", "ctx").distinct()
+    sides = distinct.select("rank", "cid", "context").mapInArrow(run, "rank long, cid long, side long")
+    shared, path = write_table(sides.groupBy("rank", "side").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank", "side"))
+    kept = cut(sides.join(hashed(shared), ["rank", "side"]).select("cid").distinct())
+    drop_table(distinct.sparkSession, path)
+    return kept
 
 
 def ranked_pairs(open_: DataFrame, p: Params) -> DataFrame:
-    """(rank, ctx, start, a, b, least): each window's rank at its start and the rank so far on that both cover the window."""
+    """(place, a, b, least): each window's rank at its start, and the rank so far on that both cover the window; ``place`` is the context's number and the start."""
     width = (p.length + p.first + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                square, span = squared(part.column(2))
+                square, span = squared(part.column(1))
                 names = mix64(double_names(BYTE_NAME[square], width))
                 row, start = np.nonzero(np.arange(square.shape[1])[None, :] <= (span - p.length)[:, None])
-                take = pa.array(row)
                 pair = [pa.array(names[row, start + k].view(np.int64)) for k in (0, p.length - width)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(start.astype(np.int32)), *pair, part.column(3).take(take)], names=["rank", "ctx", "start", "a", "b", "least"])
+                place = (part.column(0).to_numpy()[row] << SHIFT) + start
+                yield pa.RecordBatch.from_arrays([pa.array(place), *pair, part.column(2).take(pa.array(row))], names=["place", "a", "b", "least"])
 
-    return open_.select("rank", "ctx", "context", "least").mapInArrow(run, "rank long, ctx long, start int, a long, b long, least long")
+    return open_.select("cid", "context", "least").mapInArrow(run, "place long, a long, b long, least long")
 
 
 def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -217,14 +221,17 @@ def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def doubled(distinct: DataFrame, p: Params) -> DataFrame:
-    """(rank, ctx, start, first): the least document of each window that another context has in a smaller one.
+    """(cid, better): the windows (start, first) of a context that another has in a document smaller than its own least.
 
-    ``distinct``: a row for each context of a rank that has several (rank, ctx, context, least).
+    ``distinct``: a row for each context of a rank that has several (cid, rank, context, least).
     """
-    open_ = distinct.join(hashed(cut(flanked(distinct, p))), ["rank", "ctx"], "left_semi")
-    pairs = ranked_pairs(open_, p)
-    ranks = cut(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
-    return pairs.join(hashed(ranks), ["a", "b"]).where("first < least").select("rank", "ctx", "start", "first")
+    pairs = ranked_pairs(distinct.join(hashed(flanked(distinct, p)), "cid", "left_semi"), p)
+    ranks, path = write_table(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
+    met = pairs.join(hashed(ranks), ["a", "b"]).where("first < least")
+    start = F.col("place").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
+    better = cut(met.groupBy(F.shiftright("place", SHIFT).alias("cid")).agg(F.collect_list(F.struct(start.alias("start"), "first")).alias("better")))
+    drop_table(distinct.sparkSession, path)
+    return better
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -247,10 +254,11 @@ def answered(texts: DataFrame, p: Params) -> DataFrame:
     ranks = cut(positions.join(hashed(shared), "rank").groupBy(*mine).agg(F.collect_list("rank").alias("ranks")))
     drop_table(spark, path)
     going = texts.join(hashed(ranks), mine).select(*mine, "text", "ranks")
-    distinct, path = write_table(contexts(going, p, True).groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least")))
+    grouped = contexts(going, p, True).groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least"))
+    distinct, path = write_table(grouped.withColumn("cid", F.monotonically_increasing_id()))
     several = cut(distinct.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank"))
-    better = doubled(distinct.join(hashed(several), "rank", "left_semi"), p).groupBy("rank", "ctx").agg(F.collect_list(F.struct("start", "first")).alias("better"))
-    known = cut(distinct.select("rank", "ctx", "least").join(better, ["rank", "ctx"], "left"))
+    better = doubled(distinct.join(hashed(several), "rank", "left_semi"), p)
+    known = cut(distinct.select("rank", "ctx", "least", "cid").join(hashed(better), "cid", "left").drop("cid"))
     drop_table(spark, path)
     one = F.lit(1).cast("long")
     all_ = F.call_function("shiftleft", one, F.col("windows")) - one
