@@ -29,10 +29,18 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, and its path for ``drop_table``: for wide rows that are read a few times and then in the way."""
-    spark = df.sparkSession
+    """``df`` as a Parquet table in the shared folder, and its path for ``drop_table``: for wide rows that are read a few times and then in the way.
+
+    As behind ``cut``, the shuffle files that the table was made from are dropped at once.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
