@@ -32,6 +32,8 @@ BYTE_NAME = mix64(ONE)
 MOST_WINDOWS = 62
 #: Bits that a window's start in its context takes beside the context's number.
 SHIFT = 6
+#: Slices, by rank, of the sort of windows: one after the other, so that their shuffle files never stand on disk together.
+SLICES = 2
 
 
 @dataclass(frozen=True)
@@ -195,8 +197,8 @@ def flanked(distinct: DataFrame, p: Params) -> DataFrame:
     return kept
 
 
-def ranked_pairs(open_: DataFrame, p: Params) -> DataFrame:
-    """(place, a, b, least): each window's rank at its start, and the rank so far on that both cover the window; ``place`` is the context's number and the start."""
+def ranked_pairs(open_: DataFrame, p: Params, piece: int) -> DataFrame:
+    """(place, a, b, least): each window's rank at its start, and the rank so far on that both cover the window; ``place`` is the context's number and the start. One slice of them."""
     width = (p.length + p.first + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,8 @@ def ranked_pairs(open_: DataFrame, p: Params) -> DataFrame:
                 part = batch.slice(at, 4096)
                 square, span = squared(part.column(1))
                 names = mix64(double_names(BYTE_NAME[square], width))
-                row, start = np.nonzero(np.arange(square.shape[1])[None, :] <= (span - p.length)[:, None])
+                mine = names[:, : square.shape[1] - p.length + 1] % np.uint64(SLICES) == piece
+                row, start = np.nonzero(mine & (np.arange(mine.shape[1])[None, :] <= (span - p.length)[:, None]))
                 pair = [pa.array(names[row, start + k].view(np.int64)) for k in (0, p.length - width)]
                 place = (part.column(0).to_numpy()[row] << SHIFT) + start
                 yield pa.RecordBatch.from_arrays([pa.array(place), *pair, part.column(2).take(pa.array(row))], names=["place", "a", "b", "least"])
@@ -225,13 +228,15 @@ def doubled(distinct: DataFrame, p: Params) -> DataFrame:
 
     ``distinct``: a row for each context of a rank that has several (cid, rank, context, least).
     """
-    pairs = ranked_pairs(distinct.join(hashed(flanked(distinct, p)), "cid", "left_semi"), p)
-    ranks, path = write_table(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
-    met = pairs.join(hashed(ranks), ["a", "b"]).where("first < least")
+    open_, found, spark = distinct.join(hashed(flanked(distinct, p)), "cid", "left_semi"), None, distinct.sparkSession
+    for piece in range(SLICES):
+        pairs = ranked_pairs(open_, p, piece)
+        ranks, path = write_table(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
+        part = cut(pairs.join(hashed(ranks), ["a", "b"]).where("first < least").select("place", "first"))
+        drop_table(spark, path)
+        found = part if found is None else found.unionByName(part)
     start = F.col("place").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
-    better = cut(met.groupBy(F.shiftright("place", SHIFT).alias("cid")).agg(F.collect_list(F.struct(start.alias("start"), "first")).alias("better")))
-    drop_table(distinct.sparkSession, path)
-    return better
+    return cut(found.groupBy(F.shiftright("place", SHIFT).alias("cid")).agg(F.collect_list(F.struct(start.alias("start"), "first")).alias("better")))
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
