@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline: thin digests of what the operators return."""
+"""The queries op1 to op13: thin digests of what the operators return."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import chat, jaccard, langid, mixing, packing, repeats, rpforest, toxicity, url_filter, vptree
+from graphmill.llm import chat, jaccard, langid, mixing, packing, periodic, repeats, rpforest, toxicity, url_filter, vptree, whitening
+from graphmill.llm.common import WORD_PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +63,40 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document by crc32 goes on periodically from one of its words."""
+    n = lambda w: F.size(w).cast("long")
+    start = lambda w: F.col("g") % n(w)
+    period = lambda w: 1 + F.floor((n(w) - start(w)) / (3 + F.col("g") % 8))
+
+    def planted(w):
+        """The numbers are bound to a struct first, so that they are worked out once a document."""
+        numbers = F.array(F.struct(start(w).alias("a"), period(w).alias("p")))
+        word = lambda k: F.transform(w, lambda x, i: F.when(i < k["a"], x).otherwise(F.get(w, (k["a"] + (i - k["a"]) % k["p"]).cast("int"))))
+        return F.when(F.size(w) > 0, F.array_join(F.transform(numbers, word)[0], " ")).otherwise(F.lit(""))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0)))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.coalesce(h % 10 == 0, F.lit(False)).alias("on"), F.floor(h / 10).alias("g"))
+    return rows.select("doc_id", F.when(F.col("on") & F.col("text").isNotNull(), F.transform(words, planted)[0]).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    line = F.concat_ws("", F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"), F.sha2(line.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_vptree_search, op2_source_mixing, op3_ngram_jaccard, op4_chat_format, op5_toxicity, op6_embedding_dedup, op7_packing, op8_language_id, op9_suffix_dedup, op10_url_filter)
+    every = (op1_vptree_search, op2_source_mixing, op3_ngram_jaccard, op4_chat_format, op5_toxicity, op6_embedding_dedup, op7_packing, op8_language_id, op9_suffix_dedup, op10_url_filter, op11_periodic_runs, op12_embedding_whitening)
     return {f.__name__: f for f in every}
 
 
@@ -139,6 +172,38 @@ from v left join m on m.a = v.vec_id left join k on k.a = v.vec_id
 """
 
 
+#: Unsigned CRC-32 of a short ASCII text: bits of 0xEDB88320, a byte every eighth step.
+CRC32_SQL = "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, range(0, 8 * length({s}))), lambda c, k: case when (case when k % 8 = 0 then xor(c, ascii({s}[(k // 8 + 1)::int])::bigint) else c end) & 1 = 1 then xor((case when k % 8 = 0 then xor(c, ascii({s}[(k // 8 + 1)::int])::bigint) else c end) >> 1, 3988292384) else (case when k % 8 = 0 then xor(c, ascii({s}[(k // 8 + 1)::int])::bigint) else c end) >> 1 end))"
+
+OP11_SQL = (
+    r"""
+with d as (
+  select row_number() over () as r, doc_id, doc_id::varchar as s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+h as (
+  select r, doc_id, w, len(w) as n, """
+    + CRC32_SQL.format(s="s")
+    + r""" as h from d),
+g as (select *, h // 10 % n as a, 1 + (n - h // 10 % n) // (3 + h // 10 % 8) as p from h where n > 0),
+v as (
+  select r, case when h % 10 = 0 then list_transform(range(n), lambda i: case when i >= a then w[(a + (i - a) % p + 1)::int] else w[(i + 1)::int] end) else w end as w from g),
+t as (select r, unnest(w) as word, generate_subscripts(w, 1) - 1 as i, len(w) as n from v),
+f as (select * from t qualify count(*) over (partition by r, word) >= 4),
+m as (select a.r, b.i - a.i as q, a.i from f a join f b on a.r = b.r and a.word = b.word and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+e as (select * from m qualify count(*) over (partition by r, q) >= greatest(6 - q, 3 * q)),
+l as (select r, q, min(i) as start, count(*) + q as length from (select *, i - row_number() over (partition by r, q order by i) as k from e) group by r, q, k having count(*) >= greatest(6 - q, 3 * q)),
+u as (select r, start, length, min(q) as period from l group by 1, 2, 3),
+x as (
+  select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from u group by r),
+b as (select * from u qualify row_number() over (partition by r order by length::decimal(38, 18) / period desc, start, period) = 1),
+gone as (select distinct r, unnest(range(start + period, start + length)) as i from u),
+kept as (select t.r, string_agg(word, ' ' order by i) as text from t left join gone using (r, i) where gone.r is null group by t.r)
+select d.doc_id, coalesce(x.n_runs, 0)::bigint as n_runs, b.start::bigint as start, b.length::bigint as length, b.period::bigint as period, (1000 * b.length // b.period)::bigint as exponent_milli,
+       sha256(coalesce(x.lines, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join x using (r) left join b using (r) left join kept on kept.r = d.r
+"""
+)
+
+
 def op10_sql() -> str:
     """Host and path by pattern, rules by length; the vocabulary's terms are single words, so a URL's distinct words are looked up."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r))
@@ -163,4 +228,4 @@ from h left join t using (row)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": op10_sql()}
+    return {"op2_source_mixing": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": op10_sql(), "op11_periodic_runs": OP11_SQL}
