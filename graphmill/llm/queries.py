@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import chat, jaccard, langid, mixing, packing, periodic, repeats, rpforest, toxicity, url_filter, vptree, whitening
+from graphmill.llm import chat, jaccard, langid, mixing, ngram_lm, packing, periodic, repeats, rpforest, toxicity, url_filter, vptree, whitening
 from graphmill.llm.common import WORD_PATTERN
 
 
@@ -95,8 +95,15 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    done = ngram_lm.score_documents(table(spark, sf_dir, "documents"), held_out)
+    six = lambda c: F.round(c, 6).alias(c)
+    return done.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", six("base_score"), six("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_vptree_search, op2_source_mixing, op3_ngram_jaccard, op4_chat_format, op5_toxicity, op6_embedding_dedup, op7_packing, op8_language_id, op9_suffix_dedup, op10_url_filter, op11_periodic_runs, op12_embedding_whitening)
+    every = (op1_vptree_search, op2_source_mixing, op3_ngram_jaccard, op4_chat_format, op5_toxicity, op6_embedding_dedup, op7_packing, op8_language_id, op9_suffix_dedup, op10_url_filter, op11_periodic_runs, op12_embedding_whitening, op13_lm_scoring)
     return {f.__name__: f for f in every}
 
 
@@ -204,6 +211,41 @@ from d left join x using (r) left join b using (r) left join kept on kept.r = d.
 )
 
 
+def op13_sql() -> str:
+    """Trigrams of words with ' ' for a text's start and '' for its end; one step an order for counts, contexts and discounts."""
+    discount = lambda k, a, b: f"{k} - {k + 1} * y * {b} / {a}"
+    steps = []
+    for n, context in ((1, "1"), (2, "b"), (3, "a, b")):
+        names = context if n > 1 else "1 as one"
+        steps.append(f"s{n} as (select {names}, sum(n)::double as t, count(*) filter (n = 1) as o, count(*) filter (n = 2) as w, count(*) filter (n >= 3) as m from n{n}{' group by ' + context if n > 1 else ''})")
+        steps.append(f"k{n} as (select count(*) filter (n = 1) as q1, count(*) filter (n = 2) as q2, count(*) filter (n = 3) as q3, count(*) filter (n = 4) as q4, q1 / (q1 + 2 * q2) as y, {discount(1, 'q1', 'q2')} as x1, {discount(2, 'q2', 'q3')} as x2, {discount(3, 'q3', 'q4')} as x3 from n{n})")
+        good = "q1 > 0 and q2 > 0 and q3 > 0 and q4 > 0 and x1 > 0 and x1 < 1 and x2 > 0 and x2 < 2 and x3 > 0 and x3 < 3"
+        steps.append(f"d{n} as (select {', '.join(f'case when {good} then x{k} else {ngram_lm.PLAIN_DISCOUNTS[k - 1]}::double end as d{k}' for k in (1, 2, 3))} from k{n})")
+    p = "1::double / (v.words + 1)"
+    for n in (1, 2, 3):
+        own = f"coalesce(n{n}.n - case n{n}.n when 1 then d{n}.d1 when 2 then d{n}.d2 else d{n}.d3 end, 0.0)"
+        p = f"case when s{n}.t > 0 then ({own} + (s{n}.o * d{n}.d1 + s{n}.w * d{n}.d2 + s{n}.m * d{n}.d3) * ({p})) / s{n}.t else ({p}) end"
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id, doc_id::varchar as s, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+h as (select r, doc_id, {CRC32_SQL.format(s="s")} % 7 = 2 as held_out, list_concat([' ', ' '], w, ['']) as x from d),
+g as (select r, held_out, x[i] as a, x[i + 1] as b, x[i + 2] as c from (select *, unnest(range(1, len(x) - 1)) as i from h)),
+u as (select c, count(*) as n from g where not held_out group by c),
+v as (select count(*) as words, coalesce(sum(n), 0)::bigint as tokens from u),
+n3 as (select a, b, c, count(*) as n from g where not held_out group by all),
+n2 as (select b, c, case when b = ' ' then sum(n) else count(*) end::bigint as n from n3 group by b, c),
+n1 as (select c, count(*) as n from n2 group by c),
+{", ".join(steps)},
+p as (
+  select g.r, log10(({p})) as p, u.c is not null as known, log10((coalesce(u.n, 0) + 1)::double / (v.tokens + v.words + 1)) as base
+  from g cross join v cross join d1 cross join d2 cross join d3 cross join s1 left join u on u.c = g.c left join n1 on n1.c = g.c left join n2 on n2.b = g.b and n2.c = g.c
+  left join n3 on n3.a = g.a and n3.b = g.b and n3.c = g.c left join s2 on s2.b = g.b left join s3 on s3.a = g.a and s3.b = g.b)
+select h.doc_id, any_value(h.held_out) as held_out, count(*) as n_tokens, count(*) filter (p.known) as n_known, any_value(v.tokens) as train_tokens,
+       round(sum(p.base), 6) as base_score, round(sum(p.p), 6) as score
+from h join p using (r) cross join v group by r, h.doc_id
+"""
+
+
 def op10_sql() -> str:
     """Host and path by pattern, rules by length; the vocabulary's terms are single words, so a URL's distinct words are looked up."""
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r))
@@ -228,4 +270,4 @@ from h left join t using (row)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": op10_sql(), "op11_periodic_runs": OP11_SQL}
+    return {"op2_source_mixing": OP2_SQL, "op3_ngram_jaccard": OP3_SQL, "op4_chat_format": OP4_SQL, "op6_embedding_dedup": OP6_SQL, "op10_url_filter": op10_sql(), "op11_periodic_runs": OP11_SQL, "op13_lm_scoring": op13_sql()}
