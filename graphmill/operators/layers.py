@@ -1,17 +1,21 @@
 """Message-passing layers over whole vectors.
 
-A vector travels as one array; sums over neighbours are one aggregate a component, so they are
-combined before the shuffle and stay in generated code. Dense products run in Arrow batches with
-weights that go to the tasks as NumPy arrays (inputs x outputs numbers).
+A vector travels as one array. Sums over neighbours are added up in Arrow batches before the
+shuffle (``vector_sums``), whatever the width. Dense products run in Arrow batches with weights that
+go to the tasks as NumPy arrays (inputs x outputs numbers).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.functions.arrays import matrix, vector_sums, vectors
+from graphmill.functions.ordering import cut
+
 SLOPE = 0.2
 
 
@@ -22,23 +26,22 @@ def stacked(vectors: pd.Series) -> np.ndarray:
 def linear(vector: Column | str, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
     """vector @ weights + bias, an array of doubles; null stays null."""
 
-    @F.pandas_udf("array<double>")
-    def product(x: pd.Series) -> pd.Series:
-        known = x.notna()
-        out = pd.Series([None] * len(x), index=x.index, dtype=object)
-        if known.any():
-            y = stacked(x[known]) @ weights + (0 if bias is None else bias)
-            out[known] = pd.Series(list(y), index=x.index[known])
-        return out
+    @F.arrow_udf("array<double>")
+    def product(x: pa.Array) -> pa.Array:
+        known = np.flatnonzero(x.is_valid().to_numpy(zero_copy_only=False))
+        if not len(known):
+            return pa.nulls(len(x), pa.list_(pa.float64()))
+        out = vectors(matrix(x.drop_null()) @ weights + (0 if bias is None else bias))
+        place = np.full(len(x), -1)
+        place[known] = np.arange(len(known))
+        return out.take(pa.array(place, mask=place < 0)) if len(known) < len(x) else out
 
     return product(vector)
 
 
-def summed(rows: DataFrame, keys: list[str], vector: str, dim: int, *more: Column) -> DataFrame:
-    """keys, ``total`` (componentwise sum of ``vector``), further aggregates."""
-    parts = [F.sum(F.col(vector)[i]).alias(f"_{i}") for i in range(dim)]
-    names = [f"`{c}`" for c in rows.groupBy(*keys).agg(*more).columns[len(keys) :]] if more else []
-    return rows.groupBy(*keys).agg(*parts, *more).select(*keys, F.array(*[f"_{i}" for i in range(dim)]).alias("total"), *names)
+def summed(rows: DataFrame, keys: list[str], vector: str, weights: str | None = None) -> DataFrame:
+    """keys, ``total`` (componentwise sum of ``vector``), ``n`` (rows)."""
+    return vector_sums(rows, keys, vector, weights)
 
 
 def scaled(vector: Column | str, by: Column) -> Column:
@@ -91,7 +94,7 @@ def from_sources(edges: DataFrame, h: DataFrame) -> DataFrame:
 def sage_layer(edges: DataFrame, h: DataFrame, w_self: np.ndarray, w_neigh: np.ndarray, bias: np.ndarray) -> DataFrame:
     """node_id, h: W_self h + W_neigh (mean of the in-neighbours, 0 without any) + b."""
     dim = w_neigh.shape[0]
-    sums = summed(from_sources(edges, h), ["dst"], "h", dim, F.count(F.lit(1)).alias("n"))
+    sums = summed(from_sources(edges, h), ["dst"], "h")
     mean = F.coalesce(scaled("total", 1 / F.col("n")), F.array_repeat(F.lit(0.0), dim))
     both = h.join(sums.withColumnRenamed("dst", "node_id"), "node_id", "left").select("node_id", F.concat(F.transform("h", lambda x: x.cast("double")), mean).alias("x"))
     return both.select("node_id", linear("x", np.vstack([w_self, w_neigh]), bias).alias("h"))
@@ -104,8 +107,8 @@ def degrees(edges: DataFrame, keys: list[str], name: str) -> DataFrame:
 def gcn_layer(edges: DataFrame, h: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """node_id, h: (sum of in-neighbours / sqrt(out-degree x in-degree)) W + b; without in-edges the bias alone."""
     dim = weights.shape[0]
-    rows = from_sources(edges, h).join(degrees(edges, ["src"], "o"), "src").withColumn("h", scaled("h", 1 / F.sqrt("o")))
-    sums = summed(rows, ["dst"], "h", dim, F.count(F.lit(1)).alias("n")).select(F.col("dst").alias("node_id"), scaled("total", 1 / F.sqrt("n")).alias("x"))
+    rows = from_sources(edges, h).join(degrees(edges, ["src"], "o"), "src").withColumn("w", F.array(1 / F.sqrt("o")))
+    sums = summed(rows, ["dst"], "h", "w").select(F.col("dst").alias("node_id"), scaled("total", 1 / F.sqrt("n")).alias("x"))
     every = h.select("node_id").join(sums, "node_id", "left").select("node_id", F.coalesce("x", F.array_repeat(F.lit(0.0), dim)).alias("x"))
     return every.select("node_id", linear("x", weights, bias).alias("h"))
 
@@ -114,10 +117,6 @@ def leaky(x: Column) -> Column:
     return F.when(x > 0, x).otherwise(SLOPE * x)
 
 
-def heads_of(vector: str, heads: int, width: int) -> Column:
-    return F.array(*[F.slice(vector, k * width + 1, width) for k in range(heads)])
-
-
 def dot(vector: Column, weights: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(w)) for w in weights]), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
@@ -130,43 +129,52 @@ def gat_layer(edges: DataFrame, h: DataFrame, weights: np.ndarray, left: np.ndar
     in-edges a node has the bias alone. ``target``: vectors of another node type for the targets.
     """
     heads, width = left.shape
-    z = h.select("node_id", linear("h", weights).alias("z"))
-    t = z if target is None else target.select("node_id", linear("h", weights).alias("z"))
-    side = lambda v, a: F.array(*[dot(F.slice(v, k * width + 1, width), a[k]) for k in range(heads)])
-    sources = z.select(F.col("node_id").alias("src"), "z", side("z", left).alias("l"))
-    targets = t.select(F.col("node_id").alias("dst"), side("z", right).alias("r"))
-    scored = edges.select("src", "dst").join(sources, "src").join(targets, "dst").select("dst", "z", F.zip_with("l", "r", lambda x, y: leaky(x + y)).alias("e"))
-    tops = scored.groupBy("dst").agg(*[F.max(F.col("e")[k]).alias(f"t{k}") for k in range(heads)])
-    share = [F.exp(F.col("e")[k] - F.col(f"t{k}")) for k in range(heads)]
-    weighed = scored.join(tops, "dst").select("dst", F.concat(F.array(*share), *[scaled(F.slice("z", k * width + 1, width), share[k]) for k in range(heads)]).alias("x"))
-    sums = summed(weighed, ["dst"], "x", heads * (width + 1))
-    parts = [scaled(F.slice("total", heads + k * width + 1, width), 1 / F.col("total")[k]) for k in range(heads)]
-    joined = F.concat(*parts) if not last else scaled(added(*parts), F.lit(1 / heads))
-    out = sums.select(F.col("dst").alias("node_id"), joined.alias("x"))
+    z = cut(h.select("node_id", linear("h", weights).alias("z")))
+    t = z if target is None else cut(target.select("node_id", linear("h", weights).alias("z")))
+    side = lambda a: F.array(*[dot(F.slice("z", k * width + 1, width), a[k]) for k in range(heads)])
+    shares = attention(edges, z.select("node_id", side(left).alias("l")), t.select("node_id", side(right).alias("r")), heads)
+    sums = summed(shares.join(z.select(F.col("node_id").alias("src"), "z"), "src"), ["dst"], "z", "share")
+    parts = [F.slice("total", k * width + 1, width) for k in range(heads)]
+    out = sums.select(F.col("dst").alias("node_id"), (F.col("total") if not last else scaled(added(*parts), F.lit(1 / heads))).alias("x"))
     size = width if last else heads * width
     bias_ = F.array(*[F.lit(float(b)) for b in bias])
     return t.select("node_id").join(out, "node_id", "left").select("node_id", added(F.coalesce("x", F.array_repeat(F.lit(0.0), size)), bias_).alias("h"))
 
 
-def across_relations(parts: list[DataFrame], dim: int, how: str) -> DataFrame:
+def attention(edges: DataFrame, left: DataFrame, right: DataFrame, heads: int, keys: tuple = ()) -> DataFrame:
+    """keys, src, dst, share (of each head), slope: softmax of the leaky sums over the in-edges of a target, from scalar scores alone.
+
+    ``left`` and ``right`` have keys, node_id and l or r, a score a head. ``slope`` is the leaky
+    function's derivative. The greatest score of a target is taken off first; both it and the sums
+    are plain aggregates, and no vector is moved.
+    """
+    at = [*keys, "src", "dst"]
+    scored = edges.select(*at).join(left.withColumnRenamed("node_id", "src"), [*keys, "src"]).join(right.withColumnRenamed("node_id", "dst"), [*keys, "dst"])
+    scored = cut(scored.select(*at, F.zip_with("l", "r", lambda x, y: x + y).alias("s")).withColumn("e", F.transform("s", leaky)))
+    tops = scored.groupBy(*keys, "dst").agg(F.array(*[F.max(F.col("e")[k]) for k in range(heads)]).alias("top"))
+    risen = cut(scored.join(tops, [*keys, "dst"]).select(*at, "s", F.zip_with("e", "top", lambda x, y: F.exp(x - y)).alias("e")))
+    sums = risen.groupBy(*keys, "dst").agg(F.array(*[F.sum(F.col("e")[k]) for k in range(heads)]).alias("sum"))
+    return risen.join(sums, [*keys, "dst"]).select(*at, F.zip_with("e", "sum", lambda x, y: x / y).alias("share"), F.transform("s", lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(SLOPE))).alias("slope"))
+
+
+def across_relations(parts: list[DataFrame], how: str) -> DataFrame:
     """node_id, h: vectors of a node from several relations, summed or averaged."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    sums = summed(every, ["node_id"], "h", dim, F.count(F.lit(1)).alias("n"))
+    sums = summed(every, ["node_id"], "h")
     return sums.select("node_id", (scaled("total", 1 / F.col("n")) if how == "mean" else F.col("total")).alias("h"))
 
 
 def relation_gcn(edges: DataFrame, h: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """node_id, h of the targets of one relation: normalised sums by the relation's own degrees."""
-    rows = from_sources(edges, h).join(degrees(edges, ["src"], "o"), "src").withColumn("h", scaled("h", 1 / F.sqrt("o")))
-    sums = summed(rows, ["dst"], "h", weights.shape[0], F.count(F.lit(1)).alias("n"))
+    rows = from_sources(edges, h).join(degrees(edges, ["src"], "o"), "src").withColumn("w", F.array(1 / F.sqrt("o")))
+    sums = summed(rows, ["dst"], "h", "w")
     return sums.select(F.col("dst").alias("node_id"), linear(scaled("total", 1 / F.sqrt("n")), weights, bias).alias("h"))
 
 
 def relation_sage(edges: DataFrame, h: DataFrame, target: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """node_id, h of the targets of one relation: the mean of the node and its in-neighbours, times the weights."""
-    dim = weights.shape[0]
-    sums = summed(from_sources(edges, h), ["dst"], "h", dim, F.count(F.lit(1)).alias("n")).withColumnRenamed("dst", "node_id")
+    sums = summed(from_sources(edges, h), ["dst"], "h").withColumnRenamed("dst", "node_id")
     both = sums.join(target, "node_id").select("node_id", scaled(added(F.col("total"), F.transform("h", lambda x: x.cast("double"))), 1 / (F.col("n") + 1)).alias("x"))
     return both.select("node_id", linear("x", weights, bias).alias("h"))

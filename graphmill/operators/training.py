@@ -16,7 +16,7 @@ def sage_inputs(edges: DataFrame, h: DataFrame) -> DataFrame:
     """node_id, x: a node's vector and the mean of its in-neighbours (0 without any), end to end."""
     width = h.select(F.size("h")).first()
     dim = width[0] if width else 0
-    sums = L.summed(L.from_sources(edges, h), ["dst"], "h", dim, F.count(F.lit(1)).alias("n")).withColumnRenamed("dst", "node_id")
+    sums = L.summed(L.from_sources(edges, h), ["dst"], "h").withColumnRenamed("dst", "node_id")
     mean = F.coalesce(L.scaled("total", 1 / F.col("n")), F.array_repeat(F.lit(0.0), dim))
     return h.join(sums, "node_id", "left").select("node_id", F.concat("h", mean).alias("x"))
 

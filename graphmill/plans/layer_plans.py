@@ -138,7 +138,7 @@ def by_relation(s, d, layer) -> dict[str, list[DataFrame]]:
 
 
 def of_types(parts: dict[str, list[DataFrame]], how: str) -> DataFrame:
-    every = [rounded(L.across_relations(p, TYPE_OUT, how), "node_id").select(F.lit(kind).alias("kind"), "node_id", "h") for kind, p in parts.items()]
+    every = [rounded(L.across_relations(p, how), "node_id").select(F.lit(kind).alias("kind"), "node_id", "h") for kind, p in parts.items()]
     out = every[0]
     for e in every[1:]:
         out = out.unionByName(e)
