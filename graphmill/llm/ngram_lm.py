@@ -37,7 +37,7 @@ CHUNK, BUFFER = 3 << 20, 1 << 20
 #: A word is hot from an eighth of a shard's tokens.
 HOT_SHARE = 8
 #: Entries of a hash bucket, about.
-BUCKET = 16
+BUCKET = 6
 #: Discounts where the counts of counts give none (too small a corpus).
 PLAIN_DISCOUNTS = (0.5, 1.0, 1.5)
 
@@ -106,7 +106,7 @@ def mapped_arrays(path: str) -> list[np.ndarray] | None:
             MAPPED.clear()  # maps of a model that is dropped would keep its disk
         if not os.path.exists(path):
             return None
-        whole = np.memmap(path, np.uint8, "r")
+        whole = np.memmap(path, np.uint8, "r").view(np.ndarray)
         size = int(whole[:8].view(np.int64)[0])
         at, out = 8 + size, []
         for kind, shape in json.loads(whole[8:at].tobytes()):
@@ -118,13 +118,20 @@ def mapped_arrays(path: str) -> list[np.ndarray] | None:
 
 
 def coded(values: np.ndarray) -> list[np.ndarray]:
-    """Distinct rows, and each row's number in the narrowest type: counts are few and small."""
-    flat = values.reshape(len(values), -1)
-    key = np.zeros(len(flat), np.uint64)
-    for column in flat.T:
-        key = mix64(key * BASE + column.astype(np.uint64) + np.uint64(1))
-    _, first, at = np.unique(key, return_index=True, return_inverse=True)
-    return [values[first], at.astype(np.min_scalar_type(max(len(first) - 1, 0)))]
+    """Distinct rows, and each row's number in the narrowest type: counts are few and small, so most rows are numbered by their digits without sorting."""
+    rows = values.reshape(len(values), -1)
+    base = int(round(65536 ** (1 / rows.shape[1])))
+    digits = base ** np.arange(rows.shape[1])
+    small = (rows < base).all(1)
+    code = rows[small] @ digits
+    used = np.flatnonzero(np.bincount(code, minlength=1)) if len(code) else np.empty(0, np.int64)
+    place = np.zeros(int(used.max(initial=0)) + 1, np.int64)
+    place[used] = np.arange(len(used))
+    rest, back = np.unique(rows[~small], axis=0, return_inverse=True)
+    at = np.empty(len(rows), np.int64)
+    at[small], at[~small] = place[code], len(used) + back.reshape(-1)
+    table = np.concatenate([used[:, None] // digits % base, rest])
+    return [table.reshape(-1, *values.shape[1:]), at.astype(np.min_scalar_type(max(len(table) - 1, 0)))]
 
 
 def hash_index(keys: np.ndarray) -> list[np.ndarray]:
@@ -163,6 +170,7 @@ def save_table(path: str, keys: np.ndarray, values: np.ndarray) -> None:
 def read_table(model: Model, table: str, shards: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
     """Values of the keys, rows of ``width`` numbers; zeros where a key is unknown."""
     out = np.zeros((len(keys), width), np.int64)
+    shards = shards.astype(np.uint16) if model.bits <= 16 else shards  # narrow numbers are sorted by digits
     order = np.argsort(shards, kind="stable")
     edges = np.flatnonzero(np.append(True, np.diff(shards[order]) != 0))
     for a, b in zip(edges, np.append(edges[1:], len(order)), strict=True):
@@ -295,11 +303,16 @@ def context_keys(columns: list[np.ndarray]) -> np.ndarray:
     return keys_of(columns[:-1]) if len(columns) > 1 else np.zeros(len(columns[0]), np.uint64)
 
 
+def among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Whether each number is one of a few, which ascend."""
+    return few[np.minimum(np.searchsorted(few, x), len(few) - 1)] == x
+
+
 def hot_contexts(model: Model, columns: list[np.ndarray]) -> np.ndarray:
     """Whether a context holds hot words alone, as the empty one does."""
     on = np.ones(len(columns[0]), bool)
     for words in columns[:-1]:
-        on &= np.isin(words, model.hot)
+        on &= among(words, model.hot)
     return on
 
 
@@ -338,7 +351,7 @@ def shard_blobs(model: Model, columns: list[np.ndarray], n: np.ndarray) -> Itera
     context = context_keys(columns)
     hot = hot_contexts(model, columns)
     shards = shards_of(model, context, chained(context, columns[-1]), hot)
-    order = np.lexsort((*reversed(columns), shards))
+    order = np.argsort((shards << np.int64(40)) + columns[0], kind="stable")  # shards and word numbers have less than 2^23 and 2^40 values
     columns, n, shards = [c[order] for c in columns], n[order], shards[order]
     edges = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
     for a, b in zip(edges, np.append(edges[1:], len(shards)), strict=True):
@@ -371,7 +384,7 @@ def text_grams(docs: DataFrame, model: Model) -> DataFrame:
             for part in text_chunks(batch, "text", CHUNK):
                 hashes, starts = tokens_of(part.column(0))
                 whole, place, _ = padded(model, hashes, starts)
-                kept.append(merged_grams([whole[place - k] for k in range(model.order - 1, -1, -1)], np.ones(len(place), np.int64)))
+                kept.append(([whole[place - k] for k in range(model.order - 1, -1, -1)], np.ones(len(place), np.int64)))
                 if sum(len(n) for _, n in kept) > BUFFER:
                     yield flush()
         if kept:
@@ -471,7 +484,7 @@ def train(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> Mode
 def probabilities(model: Model, whole: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Each token's probability, from the uniform one upwards: what an order discounts is shared out as the next lower one says."""
     p = np.full(len(place), 1 / (model.words + 1))
-    hot = np.isin(whole, model.hot)
+    hot = among(whole, model.hot)
     for order in range(1, model.order + 1):
         context, all_hot = np.zeros(len(place), np.uint64), np.ones(len(place), bool)
         for k in range(order - 1, 0, -1):
