@@ -148,7 +148,8 @@ def find(index: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     bits = (len(starts) - 1).bit_length() - 1
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     mine = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-    low, end = starts[bucket].astype(np.int64), starts[bucket + 1].astype(np.int64)
+    kind = np.int32 if len(short) < 1 << 30 else np.int64
+    low, end = starts[bucket].astype(kind), starts[bucket + 1].astype(kind)
     high, last = end.copy(), len(short) - 1
     for _ in range(int((end - low).max(initial=0)).bit_length()):
         middle = (low + high) >> 1
@@ -195,9 +196,8 @@ def top(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
-def numbered(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words (``words`` + 1 if unknown; ``words`` stands before every text) and their counts (0 if unknown)."""
-    distinct, back = np.unique(hashes, return_inverse=True)
+def numbered(model: Model, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ascending hashes (``words`` + 1 if unknown; ``words`` stands before every text) and their counts (0 if unknown)."""
     number, count = np.full(len(distinct), model.words + 1, np.int64), np.zeros(len(distinct), np.int64)
     shards = top(distinct, model.bits)
     edges = np.searchsorted(shards, np.arange((1 << model.bits) + 1))
@@ -208,7 +208,7 @@ def numbered(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             known = (place < len(arrays[0])) & (arrays[0][np.minimum(place, len(arrays[0]) - 1)] == distinct[mine])
             number[mine] = np.where(known, model.starts[shard] + place, model.words + 1)
             count[mine] = np.where(known, arrays[1][np.minimum(place, len(arrays[0]) - 1)], 0)
-    return number[back], count[back]
+    return number, count
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -358,14 +358,24 @@ def shard_blobs(model: Model, columns: list[np.ndarray], n: np.ndarray) -> Itera
         yield int(shards[a]), packed([*(c[a:b] for c in columns), n[a:b]], model.kind)
 
 
-def padded(model: Model, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers with ``order`` - 1 starts before each text, the places of the tokens among them, and the tokens' counts."""
-    number, count = numbered(model, hashes)
+@dataclass(frozen=True)
+class Tokens:
+    """Texts with ``order`` - 1 starts before each: ``codes`` are places in ``words`` (numbers, the start last) and ``counts``; ``place`` holds the tokens' places in ``codes``."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    codes: np.ndarray
+    place: np.ndarray
+
+
+def padded(model: Model, hashes: np.ndarray, starts: np.ndarray) -> Tokens:
+    distinct, back = np.unique(hashes, return_inverse=True)
+    number, count = numbered(model, distinct)
     before = model.order - 1
     place = np.arange(len(hashes)) + before * (np.repeat(np.arange(len(starts) - 1), np.diff(starts)) + 1)
-    whole = np.full(len(hashes) + before * (len(starts) - 1), model.words, np.int64)
-    whole[place] = number
-    return whole, place, count
+    codes = np.full(len(hashes) + before * (len(starts) - 1), len(distinct), np.int32)
+    codes[place] = back
+    return Tokens(np.append(number, model.words), np.append(count, 0), codes, place)
 
 
 def text_grams(docs: DataFrame, model: Model) -> DataFrame:
@@ -383,8 +393,9 @@ def text_grams(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in text_chunks(batch, "text", CHUNK):
                 hashes, starts = tokens_of(part.column(0))
-                whole, place, _ = padded(model, hashes, starts)
-                kept.append(([whole[place - k] for k in range(model.order - 1, -1, -1)], np.ones(len(place), np.int64)))
+                x = padded(model, hashes, starts)
+                whole = x.words[x.codes]
+                kept.append(([whole[x.place - k] for k in range(model.order - 1, -1, -1)], np.ones(len(x.place), np.int64)))
                 if sum(len(n) for _, n in kept) > BUFFER:
                     yield flush()
         if kept:
@@ -481,28 +492,45 @@ def train(docs: DataFrame, p: Params = Params(), text_col: str = "text") -> Mode
     return model
 
 
-def probabilities(model: Model, whole: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Each token's probability, from the uniform one upwards: what an order discounts is shared out as the next lower one says."""
-    p = np.full(len(place), 1 / (model.words + 1))
-    hot = among(whole, model.hot)
-    for order in range(1, model.order + 1):
-        context, all_hot = np.zeros(len(place), np.uint64), np.ones(len(place), bool)
-        for k in range(order - 1, 0, -1):
-            context = chained(context, whole[place - k])
-            all_hot &= hot[place - k]
-        stats = np.zeros((len(place), 4), np.int64)
-        for table, on in ((f"hot{order}", all_hot), (f"contexts{order}", ~all_hot)):
-            at = np.flatnonzero(on)
-            if order == 1:
-                stats[at] = read_table(model, table, np.zeros(min(1, len(at)), np.int64), context[at[:1]], 4)
-            else:
-                stats[at] = read_table(model, table, top(context[at], model.bits), context[at], 4)
+def context_statistics(model: Model, order: int, context: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Of each context: the sum of the counts behind it, and how many are one, two, and more."""
+    stats = np.zeros((len(context), 4), np.int64)
+    for table, on in ((f"hot{order}", hot), (f"contexts{order}", ~hot)):
+        at = np.flatnonzero(on)
+        stats[at] = read_table(model, table, top(context[at], model.bits), context[at], 4)
+    return stats
+
+
+def discounted(model: Model, order: int, stats: np.ndarray, n: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of counts ``n`` behind known contexts: what is discounted is shared out as the next lower order says."""
+    d = np.array([0.0, *model.discounts[order]])
+    return (n - d[np.minimum(n, 3)] + stats[:, 1:] @ d[1:] * lower) / stats[:, 0]
+
+
+def probabilities(model: Model, x: Tokens) -> np.ndarray:
+    """Each token's probability, from the uniform one upwards. Single words and contexts of one are looked up once for all their places."""
+    hot, one = among(x.words, model.hot), np.zeros(len(x.words), np.uint64)
+    all_ = context_statistics(model, 1, one[:1], np.ones(1, bool))
+    word = np.full(len(x.words), 1 / (model.words + 1))
+    single = chained(one, x.words)
+    if all_[0, 0]:
+        word = discounted(model, 1, all_, read_table(model, "grams1", top(single, model.bits), single, 1)[:, 0], word)
+    p = word[x.codes[x.place]]
+    for order in range(2, model.order + 1):
+        if order == 2:
+            behind = x.codes[x.place - 1]
+            context, all_hot, stats = single[behind], hot[behind], context_statistics(model, 2, single, hot)[behind]
+        else:
+            context, all_hot = np.zeros(len(p), np.uint64), np.ones(len(p), bool)
+            for k in range(order - 1, 0, -1):
+                behind = x.codes[x.place - k]
+                context = chained(context, x.words[behind])
+                all_hot &= hot[behind]
+            stats = context_statistics(model, order, context, all_hot)
         known = np.flatnonzero(stats[:, 0] > 0)
-        key = chained(context[known], whole[place[known]])
+        key = chained(context[known], x.words[x.codes[x.place[known]]])
         n = read_table(model, f"grams{order}", shards_of(model, context[known], key, all_hot[known]), key, 1)[:, 0]
-        d = np.array([0.0, *model.discounts[order]])
-        total, left = stats[known, 0], stats[known, 1:] @ d[1:]
-        p[known] = (n - d[np.minimum(n, 3)] + left * p[known]) / total
+        p[known] = discounted(model, order, stats[known], n, p[known])
     return p
 
 
@@ -519,10 +547,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for part in text_chunks(batch, "text", CHUNK):
                 hashes, starts = tokens_of(part.column(1))
-                whole, place, count = padded(model, hashes, starts)
+                x = padded(model, hashes, starts)
+                count = x.counts[x.codes[x.place]]
                 sums = lambda x: np.add.reduceat(x, starts[:-1])  # noqa: E731 - no text is without a token
                 base = np.log10((count + 1) / (model.tokens + model.words + 1))
-                columns = [np.diff(starts), sums((count > 0).astype(np.int64)), sums(base), sums(np.log10(probabilities(model, whole, place)))]
+                columns = [np.diff(starts), sums((count > 0).astype(np.int64)), sums(base), sums(np.log10(probabilities(model, x)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *map(pa.array, columns)], names=["doc_id", *more, "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(name) for name, c in (keep or {}).items()])
