@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,10 +48,30 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done.queryExecution().toRdd(), done.schema(), False), spark)
 
 
+def dealt_in_order(df: DataFrame, *order: Column | str) -> DataFrame:
+    """``df`` materialised in range partitions, each sorted; equal keys may span partitions, so no key fills a task."""
+    return cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def place_in_partition() -> tuple[Column, Column]:
+    """(partition, place in it) of a row of a materialised table; only projections may lie between."""
+    number = F.monotonically_increasing_id()
+    return F.shiftright(number, 33).cast("int"), number.bitwiseAND(F.lit((1 << 33) - 1))
+
+
+def numbered(dealt: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Adds 0, 1, 2, ... to what ``dealt_in_order`` gave, without another shuffle; and the number of rows."""
+    partition, place = place_in_partition()
+    counts = dict(dealt.select(partition.alias("_p")).groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    offsets, total = [], 0
+    for p in sorted(counts):
+        offsets.append((p, total))
+        total += counts[p]
+    first = dealt.sparkSession.createDataFrame(offsets, "_p int, _o long")
+    rows = dealt.withColumns({"_p": partition, "_l": place}).join(F.broadcast(first), "_p")
+    return rows.withColumn(name, F.col("_o") + F.col("_l")).drop("_p", "_o", "_l"), total
+
+
 def dense_index(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """Adds 0, 1, 2, ... in the given order: range partitions, counts of partitions, local numbers."""
-    dealt = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    counts = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))  # a row a partition
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return dealt.withColumn("_l", local).join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_o") + F.col("_l")).cast("long")).drop("_p", "_o", "_l")
+    """Adds 0, 1, 2, ... in the given order, which must not leave ties."""
+    return numbered(dealt_in_order(df, *order), name)[0]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from graphmill.functions.arrays import matrix, vector_sums, vectors
 from graphmill.functions.ordering import cut
 from graphmill.operators import layers as L
-from graphmill.operators.graph import SEED, sample_layer
+from graphmill.operators.graph import SEED, hub_chunks, sample_layer
 
 KEYS = ["batch", "node_id"]
 STATE = "batch long, node_id long, h array<double>"
@@ -43,8 +43,9 @@ class Blocks:
 def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int]) -> Blocks:
     """Blocks of seeds (batch, node_id); the seeds use the last fan-out. A block's sources are its targets and what was sampled."""
     nodes, blocks = [cut(seeds.select(*KEYS).distinct())], []
+    rows, chunks = hub_chunks(edges.select("edge_id", "src", "dst"))
     for layer in range(len(fanouts) - 1, -1, -1):
-        blocks.insert(0, cut(sample_layer(nodes[0], edges, fanouts[layer], layer).select("batch", "src", "dst")))
+        blocks.insert(0, cut(sample_layer(nodes[0], rows, chunks, fanouts[layer], layer).select("batch", "src", "dst")))
         nodes.insert(0, cut(nodes[0].unionByName(blocks[0].select("batch", F.col("src").alias("node_id"))).distinct()))
     return Blocks(blocks, nodes)
 

@@ -5,20 +5,52 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.config import BACKENDS
-from graphmill.functions.ordering import accepted, cut, dense_index, order_key
+from graphmill.functions.ordering import accepted, cut, dealt_in_order, dense_index, numbered, order_key, place_in_partition
 
 SEED = 42
 
 
+#: Edges of one target that stay together where edges are dealt by target; a hub has several such chunks.
+HUB = 1 << 17
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
-    """CSC rows: the sources of a node's in-edges, in edge order."""
-    return edges.select("dst", (F.row_number().over(Window.partitionBy("dst").orderBy("edge_id")) - 1).alias("pos"), "src", "edge_id")
+    """CSC rows: the sources of a node's in-edges, in edge order.
+
+    Edges lie in range partitions of (dst, edge_id), so a hub spans tasks: each counts its own rows,
+    and a partition that goes on with a target adds what earlier ones hold of it.
+    """
+    dealt = dealt_in_order(edges.select("dst", "edge_id", "src"), "dst", "edge_id")
+    partition, _ = place_in_partition()
+    placed = dealt.select("dst", "edge_id", "src", partition.alias("part"))
+    heads = placed.groupBy("part").agg(F.min("dst").alias("dst"))  # a row a partition: only its first target may have begun before
+    parts = placed.join(F.broadcast(heads.select("dst").distinct()), "dst").groupBy("dst", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("dst").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.withColumn("before", before).join(heads, ["part", "dst"]).where("before > 0").select("part", "dst", "before")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Places within runs of a target; a run may go on in the next batch."""
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dst = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, dst[1:] != dst[:-1]))
+            sizes = np.diff(np.append(first, len(dst)))
+            place = np.arange(len(dst)) - np.repeat(first, sizes)
+            if dst[0] == last:
+                place[: sizes[0]] += seen
+            last, seen = dst[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], names=["dst", "edge_id", "src", "part", "place"])
+
+    local = placed.mapInArrow(count, "dst long, edge_id long, src long, part int, place long")
+    return local.join(F.broadcast(offsets), ["part", "dst"], "left").select("dst", (F.col("place") + F.coalesce("before", F.lit(0))).alias("pos"), "src", "edge_id")
 
 
 def indptr(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -71,24 +103,53 @@ def color_graph(edges: DataFrame, start: DataFrame, train: DataFrame | None, lev
     Claims carry (generation, claimant's rank, position); the greatest wins. With ``train``, level 0
     also claims the seeds' in-neighbours among the train nodes.
     """
-    adj = cut(adjacency(edges))
-    claim = F.struct(F.col("g").alias("g"), F.col("r").alias("r"), F.col("p").alias("p"))
+    adj, chunks = by_target(edges)
+    claim = F.struct("g", "r", "p")
     zero = F.lit(0).cast("long")
     cand = start.select("node_id", zero.alias("g"), F.col("color").alias("r"), zero.alias("p"), "color")
     if train is not None:
-        near = start.join(adj, F.col("node_id") == F.col("dst")).select(F.col("src").alias("node_id"), F.lit(1).cast("long").alias("g"), F.col("color").alias("r"), F.col("pos").cast("long").alias("p"), "color")
+        near = reached(start, adj, chunks).select("node_id", F.lit(1).cast("long").alias("g"), F.col("color").alias("r"), "p", "color")
         cand = cand.unionByName(near.join(train.select("node_id"), "node_id", "left_semi").select(cand.columns))
     colored = None
     for hop in range(1, levels + 1):
-        open_ = cand if colored is None else cand.join(colored, "node_id", "left_anti")
-        win = cut(open_.withColumn("k", claim).groupBy("node_id").agg(F.max_by("color", "k").alias("color"), F.max("k").alias("k")))
-        if win.limit(1).count() == 0:
+        open_ = cand if colored is None else cand.join(colored.select("node_id"), "node_id", "left_anti")
+        win = open_.withColumn("k", claim).groupBy("node_id").agg(F.max_by("color", "k").alias("color"), F.max("k").alias("k"))
+        dealt = dealt_in_order(win.select("node_id", "color", "k.*"), F.desc("g"), F.desc("r"), F.desc("p"))  # the one thing that a level writes
+        ranked, size = numbered(dealt, "rank")
+        if not size:
             break
-        level = win.select("node_id", "color", F.lit(hop).cast("int").alias("hop"))
-        colored = level if colored is None else cut(colored.unionByName(level))
-        ranked = dense_index(win.select("node_id", "color", "k.g", "k.r", "k.p"), "rank", F.desc("g"), F.desc("r"), F.desc("p"))
-        cand = ranked.select("node_id", "color", "rank").join(adj, F.col("node_id") == F.col("dst")).select(F.col("src").alias("node_id"), zero.alias("g"), (F.col("rank") + 1).alias("r"), F.col("pos").cast("long").alias("p"), "color")
-    return colored
+        level = dealt.select("node_id", "color", F.lit(hop).cast("int").alias("hop"))
+        colored = level if colored is None else colored.unionByName(level)
+        cand = reached(ranked.select("node_id", "color", "rank"), adj, chunks).select("node_id", zero.alias("g"), (F.col("rank") + 1).alias("r"), "p", "color")
+    adj.unpersist()
+    return colored if colored is not None else start.select("node_id", "color", F.lit(1).cast("int").alias("hop")).limit(0)
+
+
+def hub_chunks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the chunk of each among its target's in-edges (0 but for hubs), and (dst, chunks) of the hubs, one for ``HUB`` edges at most."""
+    chunks = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
+    chunks = cut(chunks.select("dst", F.ceil(F.col("n") / HUB).alias("chunks")))
+    chunk = F.pmod(F.xxhash64("edge_id"), F.coalesce("chunks", F.lit(1)))
+    return edges.join(chunks, "dst", "left").withColumn("chunk", chunk).drop("chunks"), chunks
+
+
+def by_target(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dst, chunk, src, pos) kept by (dst, chunk), so that levels of a walk shuffle their frontiers only, and (dst, chunks) of hubs."""
+    rows, chunks = hub_chunks(cut(adjacency(edges)))
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("dst", "chunk", "src", "pos").repartition(tasks, "dst", "chunk").persist(), chunks
+
+
+def in_chunks(frontier: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The frontier's nodes as ``dst``, a hub once for each of its chunks."""
+    asked = frontier.withColumnRenamed("node_id", "dst").join(chunks, "dst", "left")
+    return asked.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1))).drop("chunks")
+
+
+def reached(frontier: DataFrame, adj: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The in-neighbours (node_id, p: their place) of a frontier's nodes, with the frontier's columns; a hub is asked for chunk by chunk."""
+    names = [c for c in frontier.columns if c != "node_id"]
+    return in_chunks(frontier, chunks).join(adj, ["dst", "chunk"]).select(F.col("src").alias("node_id"), F.col("pos").alias("p"), *names)
 
 
 def affinity(edges: DataFrame, colors: DataFrame, top: int = 10, decay: bool = True) -> DataFrame:
@@ -126,32 +187,50 @@ def scores(batch_rows: DataFrame, colors: DataFrame, aff: DataFrame, resident: D
 
 
 def distribute(scored: DataFrame, domain: int, batch: int, machines: int) -> DataFrame:
-    """Greedy by position within a global batch (its fixed size bounds a group): the best machine with room, ties to the lowest."""
-    wide = scored.groupBy("step", "pos", "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("machine", "score"))), lambda x: x["score"]).alias("s"))
+    """Greedy by position within a global batch: the best machine with room, ties to the lowest.
 
-    def assign(part: pd.DataFrame) -> pd.DataFrame:
-        fill, out = [0] * machines, []
-        for step, pos, node, s in part.sort_values("pos").itertuples(index=False):
-            m = max(range(machines), key=lambda k: (s[k] if fill[k] < domain else -1.0, -k))
-            out.append((step, pos, node, m, fill[m], fill[m] // batch))
-            fill[m] += 1
-        return pd.DataFrame(out, columns=["step", "pos", "node_id", "machine", "slot", "gpu"])
+    What a row would take changes only when a machine fills. So in each round every row that is left
+    takes its best open machine, rows are counted by machine, and all up to the first that fills one
+    keep theirs: as many rounds as machines at most. A batch is a step's rows, of bounded number.
+    """
+    s = F.transform(F.array_sort(F.collect_list(F.struct("machine", "score"))), lambda x: x["score"])
+    rest = scored.groupBy("step", "pos", "node_id").agg(s.alias("s")).withColumn("fill", F.array_repeat(F.lit(0).cast("long"), machines))
+    best = F.array_max(F.transform("s", lambda x, m: F.struct(F.when(F.get("fill", m) < domain, x).otherwise(F.lit(-1.0)).alias("x"), (-m).alias("m"))))
+    slot = F.get("fill", F.col("machine").cast("int")) + F.row_number().over(Window.partitionBy("step", "machine").orderBy("pos")) - 1
+    filled = F.min(F.when(F.col("slot") == domain - 1, F.col("pos"))).over(Window.partitionBy("step"))
+    out = None
+    for _ in range(machines):
+        placed = rest.withColumn("machine", (-best["m"]).cast("long")).repartition("step").withColumn("slot", slot)
+        placed = cut(placed.withColumn("done", F.coalesce(F.col("pos") <= filled, F.lit(True))))
+        done = placed.where("done").select("step", "pos", "node_id", "machine", "slot", F.floor(F.col("slot") / batch).alias("gpu"))
+        out = done if out is None else out.unionByName(done)
+        left = placed.where("not done").select("step", "pos", "node_id", "s")
+        if left.isEmpty():
+            break
+        taken = F.array(*[F.max(F.get("fill", F.lit(m))) + F.count_if(F.col("done") & (F.col("machine") == m)) for m in range(machines)])
+        rest = left.join(placed.groupBy("step").agg(taken.alias("fill")), "step")
+    return out
 
-    return wide.groupBy("step").applyInPandas(assign, "step long, pos long, node_id long, machine long, slot long, gpu long")
 
+def sample_layer(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, fanout: int, layer: int) -> DataFrame:
+    """Up to ``fanout`` in-edges of each frontier node, by hash order; ``edges`` and ``chunks`` from ``hub_chunks``.
 
-def sample_layer(frontier: DataFrame, edges: DataFrame, fanout: int, layer: int) -> DataFrame:
-    """Up to ``fanout`` in-edges of each frontier node, by hash order."""
+    The join is by target and chunk, so a hub's edges lie in several tasks, and the limit on the rank
+    holds in each of them first (a window group limit before the shuffle): a target sends at most
+    ``fanout`` edges a chunk, however many it has.
+    """
     key = order_key(SEED, f"layer{layer}", F.col("batch"), F.col("edge_id"))
     rank = F.row_number().over(Window.partitionBy("batch", "dst").orderBy(key, "edge_id"))
-    return frontier.withColumnRenamed("node_id", "dst").join(edges, "dst").withColumn("r", rank).where(F.col("r") <= fanout).select("batch", F.lit(layer).alias("layer"), "src", "dst", "edge_id")
+    near = in_chunks(frontier, chunks).join(edges, ["dst", "chunk"])
+    return near.withColumn("r", rank).where(F.col("r") <= fanout).select("batch", F.lit(layer).alias("layer"), "src", "dst", "edge_id")
 
 
 def sample_blocks(batch_nodes: DataFrame, edges: DataFrame, fanouts: list[int]) -> DataFrame:
     """Blocks of all layers; the seeds use the last fan-out, frontiers take in what was sampled."""
     frontier, out = batch_nodes.select("batch", "node_id").distinct(), None
+    rows, chunks = hub_chunks(edges.select("edge_id", "src", "dst"))
     for layer in range(len(fanouts) - 1, -1, -1):
-        block = cut(sample_layer(frontier, edges, fanouts[layer], layer))
+        block = cut(sample_layer(frontier, rows, chunks, fanouts[layer], layer))
         out = block if out is None else out.unionByName(block)
         frontier = cut(frontier.unionByName(block.select("batch", F.col("src").alias("node_id"))).distinct())
     return out

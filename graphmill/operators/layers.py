@@ -23,6 +23,10 @@ def stacked(vectors: pd.Series) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in vectors]) if len(vectors) else np.zeros((0, 0))
 
 
+#: Components up to which a vector is summed by an aggregate each.
+FEW_INPUTS = 16
+
+
 def linear(vector: Column | str, weights: np.ndarray, bias: np.ndarray | None = None) -> Column:
     """vector @ weights + bias, an array of doubles; null stays null."""
 
@@ -44,6 +48,12 @@ def summed(rows: DataFrame, keys: list[str], vector: str, weights: str | None =
     return vector_sums(rows, keys, vector, weights)
 
 
+def few_sums(rows: DataFrame, keys: list[str], vector: str, width: int) -> DataFrame:
+    """The same for vectors of a few components: one aggregate each, which stay in generated code and add in the rows' order."""
+    parts = [F.sum(F.col(vector)[k]).alias(f"_{k}") for k in range(width)]
+    return rows.groupBy(*keys).agg(*parts, F.count(F.lit(1)).alias("n")).select(*keys, F.array(*[f"_{k}" for k in range(width)]).alias("total"), "n")
+
+
 def scaled(vector: Column | str, by: Column) -> Column:
     return F.transform(vector, lambda x: x * by)
 
@@ -175,6 +185,7 @@ def relation_gcn(edges: DataFrame, h: DataFrame, weights: np.ndarray, bias: np.n
 
 def relation_sage(edges: DataFrame, h: DataFrame, target: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """node_id, h of the targets of one relation: the mean of the node and its in-neighbours, times the weights."""
-    sums = summed(from_sources(edges, h), ["dst"], "h").withColumnRenamed("dst", "node_id")
+    every = from_sources(edges, h)
+    sums = (few_sums(every, ["dst"], "h", len(weights)) if len(weights) <= FEW_INPUTS else summed(every, ["dst"], "h")).withColumnRenamed("dst", "node_id")
     both = sums.join(target, "node_id").select("node_id", scaled(added(F.col("total"), F.transform("h", lambda x: x.cast("double"))), 1 / (F.col("n") + 1)).alias("x"))
     return both.select("node_id", linear("x", weights, bias).alias("h"))
