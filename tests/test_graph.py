@@ -1,36 +1,48 @@
 """Graph queries against their SQL, and sequential models on small graphs."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphmill import queries as Q
+from graphmill.functions import ordering
 from graphmill.operators import graph as G
 
 Q.register_plans()
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+#: With fewer training nodes than two global batches these would compare nothing with nothing.
+BATCHED = """baseline_distribution gpu_slices epoch_batches partition_scores affinity_distribution sample_blocks sample_one_layer input_nodes fetch_isolated fetch_isolated_whole fetch_positions
+fetch_routed fetch_remapped cache_fetch route_requests request_histogram batch_labels epoch_counters minibatch_stream sage_model gcn_model gat_model""".split()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    c = duckdb.connect()
-    for t in TABLES:
-        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    return c
+def ducks():
+    found = {}
+    for folder in (SF, LARGER):
+        found[folder] = duckdb.connect()
+        for t in TABLES:
+            found[folder].sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return found
 
 
 @pytest.mark.parametrize("name", sorted(Q.SQL))
-def test_matches_sql(spark, duck, name):
-    df = Q.QUERIES[name](spark, SF)
+def test_matches_sql(spark, ducks, name):
+    folder = LARGER if name in BATCHED else SF
+    df = Q.QUERIES[name](spark, folder)
     cols = sorted(df.columns)
-    wanted = duck.sql(Q.SQL[name])
+    wanted = ducks[folder].sql(Q.SQL[name])
     assert sorted(wanted.columns) == cols
     at = [wanted.columns.index(c) for c in cols]
-    assert sorted(repr(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in wanted.fetchall())
+    got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
+    assert got == sorted(repr(tuple(r[i] for i in at)) for r in wanted.fetchall())
+    assert got, "no row is compared"
 
 
 def stack_model(n, edges, seeds, train, levels=10):
@@ -95,3 +107,87 @@ def test_every_rank_and_head(spark):
     heads = Q.QUERIES["gat_attention_heads"](spark, SF).collect()
     assert {h: sum(r.head == h for r in heads) for h in range(4)} == dict.fromkeys(range(4), Q.QUERIES["coo_edges"](spark, SF).count())
     assert {(r.edge_id, r.attention) for r in heads if r.head == 0} == {(r.edge_id, r.attention) for r in Q.QUERIES["gat_attention"](spark, SF).collect()}
+
+
+def test_hub_is_numbered_by_several_tasks(spark):
+    r = random.Random(3)
+    edges = [(k, r.randrange(50), 7 if r.random() < 0.9 else r.randrange(50)) for k in range(20_000)]
+    r.shuffle(edges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task
+    try:
+        got = G.adjacency(spark.createDataFrame(edges, "edge_id long, src long, dst long").repartition(5))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    seen = defaultdict(list)
+    for k, s, d in sorted(edges):
+        seen[d].append((s, k))
+    assert {(x.dst, x.pos): (x.src, x.edge_id) for x in rows} == {(d, p): v for d, every in seen.items() for p, v in enumerate(every)} and len(rows) == len(edges)
+    shares = Counter(x.task for x in rows)
+    assert len(shares) == 4 and max(shares.values()) < 0.4 * len(edges)  # of four tasks, though one target has nine tenths
+    assert sum(len({x.task for x in rows if x.dst == d}) > 1 for d in seen) >= 1
+
+
+def test_hubs_are_sampled_chunk_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr(G, "HUB", 50)
+    r = random.Random(4)
+    edges = [(k, r.randrange(400), 7 if k % 3 else r.randrange(400)) for k in range(3000)]
+    seeds = [(b, v) for b in range(3) for v in (7, 11, b)]
+    e = spark.createDataFrame(edges, "edge_id long, src long, dst long")
+    rows, chunks = G.hub_chunks(e)
+    assert [(x.dst, x.chunks) for x in chunks.collect()] == [(7, -(-sum(d == 7 for *_, d in edges) // 50))]
+    frontier = spark.createDataFrame(seeds, "batch long, node_id long")
+    layer = G.sample_layer(frontier, rows, chunks, 4, 1)
+    plan = layer._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and plan.count("WindowGroupLimit") == 2  # the limit holds before the shuffle too
+    want = set()
+    for b, v in set(seeds):
+        mine = sorted((hashlib.md5(f"42|layer1|{b}|{k}".encode()).hexdigest(), k) for k, _, d in edges if d == v)[:4]
+        want |= {(b, k) for _, k in mine}
+    assert {(x.batch, x.edge_id) for x in layer.collect()} == want
+    got = G.color_graph(e, spark.createDataFrame([(7, 1), (20, 2)], "node_id long, color long"), spark.createDataFrame([(v,) for v in range(200)], "node_id long"))
+    assert {x.node_id: (x.color, x.hop) for x in got.collect()} == stack_model(400, edges, [(1, 7), (2, 20)], set(range(200)))
+
+
+def test_levels_shuffle_frontiers_only(spark):
+    r = random.Random(5)
+    e = spark.createDataFrame([(k, r.randrange(900), r.randrange(900)) for k in range(5000)], "edge_id long, src long, dst long")
+    adj, chunks = G.by_target(e)
+    reached = G.reached(spark.createDataFrame([(3, 1)], "node_id long, color long"), adj, chunks)
+    reached.count()
+    plan = reached._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].splitlines()
+    above = plan[: next(k for k, line in enumerate(plan) if "InMemoryTableScan" in line)]
+    while any(x in above[-1] for x in ("Sort ", "Filter ", "TableCacheQueryStage", "Project ")):
+        above.pop()
+    assert "Join" in above[-1] or "Exchange hashpartitioning" not in above[-1], above  # the kept edges are joined where they lie
+    adj.unpersist()
+
+
+def greedy(rows, domain, machines):
+    fill, out = [0] * machines, {}
+    for pos in sorted(rows):
+        m = max(range(machines), key=lambda k: (rows[pos][k] if fill[k] < domain else -1.0, -k))
+        out[pos] = (m, fill[m])
+        fill[m] += 1
+    return out
+
+
+@pytest.mark.parametrize(("machines", "domain"), [(2, 6), (16, 4), (3, 1)])
+def test_distribution_equals_one_row_after_the_other(spark, machines, domain):
+    r = random.Random(machines)
+    steps = {s: {s * machines * domain + k: [r.choice([0.0, 0.5, 0.5, 1.0, 2.0 * (s == 1) * (m == 1)]) for m in range(machines)] for k in range(machines * domain - 3 * (s == 2))} for s in range(3)}
+    steps[3] = {900 + k: [0.0] * machines for k in range(machines * domain)}  # no scores: striping
+    rows = [(s, p, p + 1000, m, float(x)) for s, every in steps.items() for p, xs in every.items() for m, x in enumerate(xs)]
+    got = G.distribute(spark.createDataFrame(rows, "step long, pos long, node_id long, machine int, score double").repartition(3), domain, 2, machines).collect()
+    want = {(s, p): v for s, every in steps.items() for p, v in greedy(every, domain, machines).items()}
+    assert {(x.step, x.pos): (x.machine, x.slot) for x in got} == want and len(got) == len(want)
+    assert all(x.gpu == x.slot // 2 and x.node_id == x.pos + 1000 for x in got)
+    assert [want[(3, 900 + k)][0] for k in range(machines * domain)] == [k // domain for k in range(machines * domain)]
+
+
+def test_dense_numbers_of_any_partitioning(spark):
+    r = random.Random(6)
+    keys = [(k % 7, k) for k in r.sample(range(10_000), 3000)]
+    got = ordering.dense_index(spark.createDataFrame(keys, "a int, b int").repartition(6), "i", F.desc("a"), "b").collect()
+    assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.i)] == sorted(keys, key=lambda k: (-k[0], k[1])) and sorted(x.i for x in got) == list(range(3000))
+    assert ordering.dense_index(spark.createDataFrame([], "a int"), "i", "a").count() == 0
