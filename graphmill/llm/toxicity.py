@@ -37,10 +37,9 @@ PREFIX_LETTERS = range(3, 9)
 @dataclass(frozen=True)
 class Params:
     """``train_rows`` bounds the labelled rows that terms are mined from and that start the label model
-    (taken by hash of the id), ``candidates`` the terms that mining weighs on the driver."""
+    (taken by hash of the id); every word and word beginning of theirs may become a term."""
 
     train_rows: int = 12_000
-    candidates: int = 2000
     min_support: int = 4
     min_gain: float = 24.0
     min_precision: float = 0.8
@@ -148,10 +147,8 @@ class LabelModel:
         return 1 - self.kinds(votes, gold)[:, 0]
 
 
-def summed(patterns: DataFrame | pd.DataFrame, p: Params, width: int, score) -> tuple[np.ndarray, ...]:
-    """The sum over the table of patterns (a DataFrame, or a frame on the driver) of what ``score(votes, size, gold, n)`` adds up for some rows."""
-    if isinstance(patterns, pd.DataFrame):
-        return score(unpacked(patterns["bits"], width), patterns["size"].to_numpy(), patterns["gold"].to_numpy(), patterns["n"].to_numpy(float)) if len(patterns) else np.zeros(0)
+def summed(patterns: DataFrame, p: Params, width: int, score) -> np.ndarray:
+    """The sum over the table of patterns of what ``score(votes, size, gold, n)`` adds up for some rows; a table of any size is summed by its tasks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -176,7 +173,7 @@ def smoothed(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(rates, 1e-9, 1 - 1e-9), np.maximum(size, 1e-6 * max(every, 1)) / max(every, 1)
 
 
-def estimate(patterns: DataFrame | pd.DataFrame, start: LabelModel, p: Params) -> LabelModel:
+def estimate(patterns: DataFrame, start: LabelModel, p: Params) -> LabelModel:
     """Expectation maximisation over all documents' votes, and the voters' correlations within the kinds.
 
     The correlations come from the first estimate's residual second moments; the second estimate
@@ -251,7 +248,7 @@ def groups(second: np.ndarray, total: float) -> list[np.ndarray]:
         of = least
 
 
-def fit_linear(patterns: DataFrame | pd.DataFrame, model: LabelModel, p: Params, penalty: float = 2.0, steps: int = 20) -> np.ndarray:
+def fit_linear(patterns: DataFrame, model: LabelModel, p: Params, penalty: float = 2.0, steps: int = 20) -> np.ndarray:
     """Logistic regression on the posteriors of all documents, by Newton's method over the table of patterns."""
     width = len(model.voice)
     k = width + 4
@@ -324,41 +321,42 @@ def mine_terms(train: DataFrame, p: Params) -> list[str]:
     rows = train.select("text", "toxic")
     counts = rows.mapInArrow(count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     kept = counts.where((F.col("feature") == "") | ((F.col("pos") >= p.min_support) & (F.col("pos") >= p.min_precision * (F.col("pos") + F.col("neg")))))
-    strength = (F.col("pos") / (F.col("pos") + F.col("neg")) * F.col("pos")).desc()
-    found = kept.orderBy(F.col("feature") != "", strength, "feature").limit(p.candidates + 1).collect()  # bounded by candidates
+    found = kept.collect()  # of the words of train_rows texts
     totals = next((r for r in found if r.feature == ""), None)
     if totals is None or not totals.pos or not totals.neg:
         return []
-    names = [r.feature for r in found if r.feature]
+    names = sorted(r.feature for r in found if r.feature)
     place = {f: i for i, f in enumerate(names)}
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, "text"):
-                bits = np.zeros((part.num_rows, len(names)), dtype=bool)
-                for row, text in enumerate(part.column(0).to_pylist()):
-                    bits[row, [place[f] for f in features_of(text or "") if f in place]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary()), part.column(1)], names=["bits", "toxic"])
+                held = [sorted(place[f] for f in features_of(text or "") if f in place) for text in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.int32())), part.column(1)], names=["held", "toxic"])
 
-    gathered = rows.mapInArrow(incidence, "bits binary, toxic int").collect() if names else []  # train_rows x candidates bits
-    if not gathered:
-        return []
-    has = unpacked([r.bits for r in gathered], len(names)).astype(np.float32)
-    toxic = np.array([r.toxic > 0 for r in gathered])
-    base, weight = toxic.mean(), np.ones(len(gathered), np.float32)
+    gathered = rows.mapInArrow(incidence, "held array<int>, toxic int").collect() if names else []  # train_rows rows, the candidates that each holds
+    return covering(names, [r.held for r in gathered], np.array([r.toxic > 0 for r in gathered]), p) if gathered else []
+
+
+def covering(names: list[str], held: list[list[int]], toxic: np.ndarray, p: Params) -> list[str]:
+    """Terms by greedy covering over the sparse table of which rows hold which names; ties go to the longer, then the greater name."""
+    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
+    column = np.fromiter((i for h in held for i in h), np.int64, len(row))
+    base, weight, live = toxic.mean(), np.ones(len(held)), np.ones(len(names), bool)
     terms: list[str] = []
     while True:
-        pos, n = (weight * toxic) @ has, weight @ has
+        mine = weight[row]
+        pos, n = (np.bincount(column, w, len(names)) for w in (mine * toxic[row], mine))
         share = np.clip(pos / np.maximum(n, 1e-9), 1e-9, 1 - 1e-7)
         gain = 2 * n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-        gain[(share < p.min_precision) | (pos < p.min_support)] = 0
-        best = max(range(len(names)), key=lambda i: (round(float(gain[i]), 3), len(names[i]), names[i]))
+        gain = np.round(np.where(live & (share >= p.min_precision) & (pos >= p.min_support), gain, 0), 3)
+        best = max(np.flatnonzero(gain == gain.max()).tolist(), key=lambda i: (len(names[i]), names[i]))
         if gain[best] < p.min_gain:
             return terms
         terms.append(names[best])
-        weight *= np.where(has[:, best] > 0, np.float32(0.5), np.float32(1))
+        weight[row[column == best]] *= 0.5
         body = names[best][1:]  # what implies it, or is implied by it, has no say of its own
-        has[:, [i for i, f in enumerate(names) if f[1:].startswith(body) or (f[0] == "^" and body.startswith(f[1:]))]] = 0
+        live[[i for i in np.flatnonzero(live) if names[i][1:].startswith(body) or (names[i][0] == "^" and body.startswith(names[i][1:]))]] = False
 
 
 def voted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
@@ -376,7 +374,7 @@ def voted(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> Data
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bits binary, size int")
 
 
-def start_model(patterns: DataFrame | pd.DataFrame, width: int, p: Params) -> LabelModel:
+def start_model(patterns: DataFrame, width: int, p: Params) -> LabelModel:
     """Where estimation begins: a kind of class 1 for each group of voters, with smoothed rates of the labelled rows in which the group speaks.
 
     Labels give the sign of class 1 and no more. Without labels of both classes a group's voters
@@ -416,8 +414,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), id_col: str =
     counted = votes.join(gold, "id", "left").groupBy("bits", "size", F.coalesce("gold", F.lit(-1)).alias("gold")).agg(F.count(F.lit(1)).alias("n"))
     counted = cut(counted)
     n = counted.count()
-    # a table that one task would read is read by the driver, once; a larger one stays where it is
-    patterns = counted.toPandas() if n <= p.patterns_a_task else counted.coalesce(-(-n // p.patterns_a_task))
+    patterns = counted.coalesce(max(1, -(-n // p.patterns_a_task)))
     width = len(terms) + len(PATTERNS)
     labeler = start_model(patterns, width, p)
     if not n:
