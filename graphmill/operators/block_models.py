@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphmill.functions.arrays import matrix, vector_sums, vectors
@@ -33,6 +33,12 @@ class Blocks:
 
     edges: list[DataFrame]
     nodes: list[DataFrame]
+    observed: tuple = ()
+
+    def counters(self) -> dict:
+        """Nodes and edges of each layer, as the jobs that sampled them observed; nothing is counted again."""
+        nodes, edges = self.observed
+        return {"nodes": [o.get["n"] for o in nodes], "edges": [o.get["n"] for o in edges]}
 
     def of(self, batches: DataFrame) -> Blocks:
         """The blocks of some batches (batch)."""
@@ -42,12 +48,19 @@ class Blocks:
 
 def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int]) -> Blocks:
     """Blocks of seeds (batch, node_id); the seeds use the last fan-out. A block's sources are its targets and what was sampled."""
-    nodes, blocks = [cut(seeds.select(*KEYS).distinct())], []
     rows, chunks = hub_chunks(edges.select("edge_id", "src", "dst"))
+    seen: tuple[list, list] = ([], [])
+
+    def made(df: DataFrame, kind: int) -> DataFrame:
+        observation = Observation()
+        seen[kind].insert(0, observation)
+        return cut(df.observe(observation, F.count(F.lit(1)).alias("n")))
+
+    nodes, blocks = [made(seeds.select(*KEYS).distinct(), 0)], []
     for layer in range(len(fanouts) - 1, -1, -1):
-        blocks.insert(0, cut(sample_layer(nodes[0], rows, chunks, fanouts[layer], layer).select("batch", "src", "dst")))
-        nodes.insert(0, cut(nodes[0].unionByName(blocks[0].select("batch", F.col("src").alias("node_id"))).distinct()))
-    return Blocks(blocks, nodes)
+        blocks.insert(0, made(sample_layer(nodes[0], rows, chunks, fanouts[layer], layer).select("batch", "src", "dst"), 1))
+        nodes.insert(0, made(nodes[0].unionByName(blocks[0].select("batch", F.col("src").alias("node_id"))).distinct(), 0))
+    return Blocks(blocks, nodes, seen)
 
 
 @dataclass(frozen=True)

@@ -212,14 +212,14 @@ def distribute(scored: DataFrame, domain: int, batch: int, machines: int) -> Dat
     return out
 
 
-def sample_layer(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, fanout: int, layer: int) -> DataFrame:
+def sample_layer(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, fanout: int, layer: int, relation: str = "") -> DataFrame:
     """Up to ``fanout`` in-edges of each frontier node, by hash order; ``edges`` and ``chunks`` from ``hub_chunks``.
 
     The join is by target and chunk, so a hub's edges lie in several tasks, and the limit on the rank
     holds in each of them first (a window group limit before the shuffle): a target sends at most
     ``fanout`` edges a chunk, however many it has.
     """
-    key = order_key(SEED, f"layer{layer}", F.col("batch"), F.col("edge_id"))
+    key = order_key(SEED, f"{relation}layer{layer}", F.col("batch"), F.col("edge_id"))
     rank = F.row_number().over(Window.partitionBy("batch", "dst").orderBy(key, "edge_id"))
     near = in_chunks(frontier, chunks).join(edges, ["dst", "chunk"])
     return near.withColumn("r", rank).where(F.col("r") <= fanout).select("batch", F.lit(layer).alias("layer"), "src", "dst", "edge_id")

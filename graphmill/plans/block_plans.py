@@ -158,3 +158,13 @@ def evaluate_trained(s, d):
     model, _ = trained(s, d, "sage", 1)
     seeds, labels = held_out(s, d)
     return accuracy_of(B.predict(model, seeds, G.cut(V.edges(s, d)), P.vectors(s, d), FANOUTS), labels)
+
+
+@Q.query(
+    "select (select count(*) from g_input) as sampled, (select count(*) from b0) as outer_edges, (select count(*) from b1) as inner_edges, (select count(*) from g_seedset) as seeds",
+    Q.SAMPLE,
+)
+def observed_counters(s, d):
+    """What sampling makes, counted by the jobs that make it."""
+    seen = B.sample(Q.batch_nodes(s, d), G.cut(V.edges(s, d)), FANOUTS).counters()
+    return s.createDataFrame([(seen["nodes"][0], seen["edges"][0], seen["edges"][1], seen["nodes"][-1])], "sampled long, outer_edges long, inner_edges long, seeds long")
