@@ -1,16 +1,16 @@
 """Suffix-array deduplication: repeated byte strings by distributed prefix doubling.
 
 A byte goes when a ``length``-byte string over it also starts in a document with a smaller id.
-Positions are ranked by the strings that start there, first by ``first`` bytes, and Spark sorts
-(rank, rank at an offset) pairs at growing offsets into ranks of longer strings; a rank that only
-one text has is final and leaves, the others go on until they reach ``length`` bytes.
-
-Three things keep the sorted rows few, and none loses a repeat. Equal texts are one text. At the
-first rank only positions are sorted whose rank is the least of all in some ``length``-byte window:
-every repeat has such a position at the same place in each occurrence. And windows that hold the
-same position in the same surroundings (context) are ranked once, not once an occurrence: first
-(rank, rank of the bytes before or behind) pairs of the position, half of what a window needs more,
-then pairs of ranks of each window that is left.
+Positions are ranked by the first ``first`` bytes that start there. Then, round by round, Spark
+sorts pairs of a position's rank and the rank an offset on (as far as the rank reaches, at most what
+is left to ``length``), and the pairs' numbers in that order are the ranks of the next round: 20, 40
+and 50 bytes. A pair that one text has alone is final and leaves.
+
+Two things keep the sorted rows few, and neither loses a repeat. Equal texts are one text. And of
+a text only the surroundings of positions are sorted whose first rank is the least in some
+``length``-byte window: every repeat has such a position at the same place in each occurrence. If one
+text has that rank alone, its windows are final at once; windows around the same position in equal
+surroundings (a context) are ranked once, not once an occurrence.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.functions.ordering import dense_index
 from graphmill.llm.common import cut, drop_table, hashed, joined_bytes, mix64, small_batches, text_chunks, write_table
 
 BASE = 0x9E3779B97F4A7C15
@@ -30,9 +31,9 @@ ONE = np.arange(1, 257, dtype=np.uint64)
 BYTE_NAME = mix64(ONE)
 #: Windows that one context holds at most; a bit each in a 64-bit answer.
 MOST_WINDOWS = 62
-#: Bits that a window's start in its context takes beside the context's number.
-SHIFT = 6
-#: Slices, by rank, of the sort of windows: one after the other, so that their shuffle files never stand on disk together.
+#: Bits that a position in its context takes beside the context's number.
+SHIFT = 7
+#: Slices, by rank, of the sort of first pairs: one after the other, so that their shuffle files never stand on disk together.
 SLICES = 2
 
 
@@ -41,6 +42,18 @@ class Params:
     length: int = 50
     first: int = 20
 
+    def __post_init__(self) -> None:
+        if not 0 < 2 * self.first < self.length or self.length + MOST_WINDOWS - 1 - self.first >= 1 << SHIFT:
+            raise ValueError("the first rank must reach less than half of the length, and a context fit its positions")
+
+    def offsets(self) -> list[int]:
+        """How far on the second rank of each round's pairs starts."""
+        size, out = self.first, []
+        while size < self.length:
+            out.append(min(size, self.length - size))
+            size += out[-1]
+        return out
+
 
 def double_names(names: np.ndarray, length: int) -> np.ndarray:
     """Names of all ``length``-long strings along the last axis, by doubling from names of single bytes."""
@@ -122,10 +135,10 @@ def string_names(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(BYTE_NAME[flat] * powers[place], offsets[:-1]) + span.astype(np.uint64))
 
 
-def contexts(docs: DataFrame, p: Params, whole: bool) -> DataFrame:
-    """(rank, ctx, windows, doc_id, key, start) of the positions whose rank is in the text's ``ranks``; their surroundings too if ``whole``.
+def contexts(docs: DataFrame, p: Params) -> DataFrame:
+    """(rank, ctx, windows, doc_id, key, start, context) of the positions whose rank is in the text's ``ranks``.
 
-    ``ctx`` names the surroundings: all bytes of the ``windows`` windows that the position stands for.
+    ``context`` holds all bytes of the ``windows`` windows that the position stands for, ``ctx`` is a name of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +157,11 @@ def contexts(docs: DataFrame, p: Params, whole: bool) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(span)])
                 flat = data[np.repeat(first - offsets[:-1], span) + np.arange(offsets[-1])]
                 at = pa.array(row)
-                columns = [pa.array(rank.view(np.int64)), pa.array(string_names(flat, offsets).view(np.int64)), pa.array(size.astype(np.int32)), part.column(1).take(at), part.column(0).take(at), pa.array((first - starts[row]).astype(np.int32))]
-                names = ["rank", "ctx", "windows", "doc_id", "key", "start"]
-                if whole:
-                    columns.append(pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())]))
-                    names.append("context")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                context = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                columns = [pa.array(rank.view(np.int64)), pa.array(string_names(flat, offsets).view(np.int64)), pa.array(size.astype(np.int32)), part.column(1).take(at), part.column(0).take(at), pa.array((first - starts[row]).astype(np.int32)), context]
+                yield pa.RecordBatch.from_arrays(columns, names=["rank", "ctx", "windows", "doc_id", "key", "start", "context"])
 
-    return docs.mapInArrow(run, "rank long, ctx long, windows int, doc_id long, key long, start int" + (", context binary" if whole else ""))
+    return docs.mapInArrow(run, "rank long, ctx long, windows int, doc_id long, key long, start int, context binary")
 
 
 def squared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -164,58 +174,35 @@ def squared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return square, span
 
 
-def flanked(distinct: DataFrame, p: Params) -> DataFrame:
-    """(cid) of contexts that may share a window with another: some pair of the position's rank and the rank beside it isn't theirs alone.
-
-    A window holds its position and ``length - first`` bytes more, so at least half of these on
-    one side. Each place in a context that has the rank counts, since the other context may lack some.
-    """
-    half = (p.length - p.first + 1) // 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                square, span = squared(part.column(2))
-                bytes_ = BYTE_NAME[square]
-                here = mix64(double_names(bytes_, p.first)) == part.column(0).to_numpy().view(np.uint64)[:, None]
-                beside = mix64(double_names(bytes_, half))
-                row, place = np.nonzero(here)
-                rows, keys = [], []
-                for side, start in ((1, place - half), (2, place + p.first)):
-                    on = (start >= 0) & (start + half <= span[row])
-                    rows.append(row[on])
-                    keys.append(mix64(beside[row[on], start[on]] + np.uint64(side)))
-                pairs = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)], 1), axis=0)
-                take = pa.array(pairs[:, 0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(pairs[:, 1].copy().view(np.int64))], names=["rank", "cid", "side"])
-
-    sides = distinct.select("rank", "cid", "context").mapInArrow(run, "rank long, cid long, side long")
-    shared, path = write_table(sides.groupBy("rank", "side").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank", "side"))
-    kept = cut(sides.join(hashed(shared), ["rank", "side"]).select("cid").distinct())
-    drop_table(distinct.sparkSession, path)
-    return kept
-
-
-def ranked_pairs(open_: DataFrame, p: Params, piece: int) -> DataFrame:
-    """(place, a, b, least): each window's rank at its start, and the rank so far on that both cover the window; ``place`` is the context's number and the start. One slice of them."""
-    width = (p.length + p.first + 1) // 2
+def first_pairs(open_: DataFrame, p: Params, offset: int, piece: int) -> DataFrame:
+    """(place, a, b, least) of every position of every context: its first rank and the first rank ``offset`` bytes on; ``place`` is the context's number and the position. One slice of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 square, span = squared(part.column(1))
-                names = mix64(double_names(BYTE_NAME[square], width))
-                mine = names[:, : square.shape[1] - p.length + 1] % np.uint64(SLICES) == piece
-                row, start = np.nonzero(mine & (np.arange(mine.shape[1])[None, :] <= (span - p.length)[:, None]))
-                pair = [pa.array(names[row, start + k].view(np.int64)) for k in (0, p.length - width)]
+                ranks = mix64(double_names(BYTE_NAME[square], p.first))
+                mine = ranks[:, : square.shape[1] - p.first - offset + 1] % np.uint64(SLICES) == piece
+                row, start = np.nonzero(mine & (np.arange(mine.shape[1])[None, :] <= (span - p.first - offset)[:, None]))
+                pair = [pa.array(ranks[row, start + k].view(np.int64)) for k in (0, offset)]
                 place = (part.column(0).to_numpy()[row] << SHIFT) + start
                 yield pa.RecordBatch.from_arrays([pa.array(place), *pair, part.column(2).take(pa.array(row))], names=["place", "a", "b", "least"])
 
     return open_.select("cid", "context", "least").mapInArrow(run, "place long, a long, b long, least long")
 
 
+def next_pairs(ranked: DataFrame, offset: int) -> DataFrame:
+    """(place, a, b, least) of the positions (place, rank, least) that have a rank ``offset`` bytes on in their context too."""
+    on = F.col("place").bitwiseAND(F.lit((1 << SHIFT) - 1)) >= offset
+    return ranked.join(ranked.where(on).select((F.col("place") - offset).alias("place"), F.col("rank").alias("b")), "place").select("place", F.col("rank").alias("a"), "b", "least")
+
+
+def shared_pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b, first) of the pairs that two texts have, ``first`` the smallest document; the others are final and leave."""
+    return pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").select("a", "b", "first")
+
+
 def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     wide = column.cast(pa.large_binary())
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
@@ -223,20 +210,31 @@ def joined_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def doubled(distinct: DataFrame, p: Params) -> DataFrame:
+def doubled(open_: DataFrame, p: Params) -> DataFrame:
     """(cid, better): the windows (start, first) of a context that another has in a document smaller than its own least.
 
-    ``distinct``: a row for each context of a rank that has several (cid, rank, context, least).
+    ``open_``: a row for each context of a rank that has several (cid, rank, context, least).
     """
-    open_, found, spark = distinct.join(hashed(flanked(distinct, p)), "cid", "left_semi"), None, distinct.sparkSession
-    for piece in range(SLICES):
-        pairs = ranked_pairs(open_, p, piece)
-        ranks, path = write_table(pairs.groupBy("a", "b").agg(F.min("least").alias("first"), F.max("least").alias("most")).where("first < most").drop("most"))
-        part = cut(pairs.join(hashed(ranks), ["a", "b"]).where("first < least").select("place", "first"))
-        drop_table(spark, path)
-        found = part if found is None else found.unionByName(part)
+    spark, ranked, paths = open_.sparkSession, None, []
+    *rounds, last = p.offsets()
+    for offset in rounds:
+        pieces = [first_pairs(open_, p, offset, k) for k in range(SLICES)] if ranked is None else [next_pairs(ranked, offset)]
+        old, paths, ranked = paths, [], None
+        for k, pairs in enumerate(pieces):
+            ranks = dense_index(shared_pairs(pairs), "rank", "a", "b").select("a", "b", (F.col("rank") * SLICES + k).alias("rank"))
+            part, path = write_table(pairs.join(ranks, ["a", "b"]).select("place", "rank", "least"))
+            paths.append(path)
+            ranked = part if ranked is None else ranked.unionByName(part)
+        for path in old:
+            drop_table(spark, path)
+    final, path = write_table(next_pairs(ranked, last))
+    for old_path in paths:
+        drop_table(spark, old_path)
+    found = final.join(shared_pairs(final), ["a", "b"]).where("first < least").select("place", "first")
     start = F.col("place").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
-    return cut(found.groupBy(F.shiftright("place", SHIFT).alias("cid")).agg(F.collect_list(F.struct(start.alias("start"), "first")).alias("better")))
+    better = cut(found.groupBy(F.shiftright("place", SHIFT).alias("cid")).agg(F.collect_list(F.struct(start.alias("start"), "first")).alias("better")))
+    drop_table(spark, path)
+    return better
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -253,13 +251,15 @@ def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[t
 def answered(texts: DataFrame, p: Params) -> DataFrame:
     """(key, doc_id, answers) of distinct texts (key, doc_id, text) that lose something: starts, and a bit for each window after it."""
     mine, spark = ["key", "doc_id"], texts.sparkSession
+    texts, texts_path = write_table(texts)
     table, path = write_table(first_ranks(texts, p))
     positions = table.select(*mine, F.explode("ranks").alias("rank"))
     shared = cut(positions.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("rank"))
     ranks = cut(positions.join(hashed(shared), "rank").groupBy(*mine).agg(F.collect_list("rank").alias("ranks")))
     drop_table(spark, path)
-    going = texts.join(hashed(ranks), mine).select(*mine, "text", "ranks")
-    grouped = contexts(going, p, True).groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least"))
+    found, found_path = write_table(contexts(texts.join(hashed(ranks), mine).select(*mine, "text", "ranks"), p))
+    drop_table(spark, texts_path)
+    grouped = found.groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least"))
     distinct, path = write_table(grouped.withColumn("cid", F.monotonically_increasing_id()))
     several = cut(distinct.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("rank"))
     better = doubled(distinct.join(hashed(several), "rank", "left_semi"), p)
@@ -268,8 +268,10 @@ def answered(texts: DataFrame, p: Params) -> DataFrame:
     one = F.lit(1).cast("long")
     all_ = F.call_function("shiftleft", one, F.col("windows")) - one
     some = F.aggregate(F.coalesce("better", F.array().cast("array<struct<start: int, first: bigint>>")), F.lit(0).cast("long"), lambda bits, x: F.when(x["first"] < F.col("doc_id"), bits.bitwiseOR(F.call_function("shiftleft", one, x["start"]))).otherwise(bits))
-    marked = contexts(going, p, False).join(hashed(known), ["rank", "ctx"]).select(*mine, "start", F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some).alias("windows")).where("windows <> 0")
-    return marked.groupBy(*mine).agg(F.collect_list(F.struct("start", "windows")).alias("answers"))
+    marked = found.drop("context").join(hashed(known), ["rank", "ctx"]).select(*mine, "start", F.when(F.col("least") < F.col("doc_id"), all_).otherwise(some).alias("windows")).where("windows <> 0")
+    answers = cut(marked.groupBy(*mine).agg(F.collect_list(F.struct("start", "windows")).alias("answers")))
+    drop_table(spark, found_path)
+    return answers
 
 
 def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), characters: bool = False) -> DataFrame:
