@@ -58,6 +58,24 @@ def csc_tables(s, d):
     return indices.select("at", "dst", "src", "edge_id")
 
 
+@Q.query("select dst, row_number() over (partition by dst order by edge_id) - 1 as pos, src, edge_id from g_edges where dst in (select node_id from g_batch where step = 0)", Q.ORDER)
+def csc_in_edges(s, d):
+    """In-edges of the first global batch from the written graph: its blocks alone are read, places follow from ``indptr``."""
+    folder, edges = new_folder(s, "csc"), G.cut(V.edges(s, d))
+    files.write_csc(G.adjacency(edges), G.indptr(edges, V.nodes(s, d)), folder)
+    return files.in_edges(s, folder, Q.batches(s, d).where("step = 0")).select("dst", "pos", "src", "edge_id")
+
+
+@Q.query("select color, list(neigh_color order by rank) || list_transform(range(10 - count(*)), lambda x: 0::bigint) as neighbors, list(affinity order by rank) || list_transform(range(10 - count(*)), lambda x: 0.0::double) as scores from g_aff group by 1", Q.color_sql() + Q.CROSS)
+def color_neighbor_tables(s, d):
+    """Neighbours and scores written as tables and read back."""
+    folder = new_folder(s, "colors")
+    edges, colors = Q.colored(s, d)
+    files.write_colors(colors, V.nodes(s, d), hetero_plans.matrix(G.affinity(edges, colors)), folder)
+    _, neighbors, scores = files.read_colors(s, folder)
+    return neighbors.join(scores, "color")
+
+
 @Q.query("select n.node_id, coalesce(c.color, 0) as color from g_nodes n left join g_colors c using (node_id)", Q.color_sql())
 def color_tables(s, d):
     """Colors, neighbours and scores written as tables; the colors read back, 0 for none."""

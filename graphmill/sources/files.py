@@ -14,10 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-#: Rows that one task reads from a ``.npy`` file.
-ROWS_A_TASK = 1 << 18
+#: Bytes of a ``.npy`` file that one task reads or one part holds, and of one Arrow batch.
+BYTES_A_TASK, BYTES_A_BATCH = 32 << 20, 4 << 20
+#: Ranges of target nodes that a CSC graph is partitioned by.
+BLOCKS = 256
 TYPES = {"i": ("long", np.int64), "u": ("long", np.int64), "f": ("double", np.float64)}
 
 
@@ -53,16 +55,35 @@ class Slice(InputPartition):
         self.path, self.base, self.first, self.last = path, base, first, last
 
 
+def rows_a_part(bytes_a_row: int, bytes_a_part: int) -> int:
+    return max(1, bytes_a_part // max(1, bytes_a_row))
+
+
 class NpyReader(DataSourceReader):
-    def __init__(self, path: str, across: bool):
-        self.path, self.across = path, across
+    """Slices of bounded bytes; filters on ``row`` leave out the slices that hold no wanted row."""
+
+    def __init__(self, path: str, across: bool, bytes_a_task: int):
+        self.path, self.across, self.bytes, self.least, self.most = path, across, bytes_a_task, 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds on ``row`` are kept; Spark still applies every filter to the rows."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("row",):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.least = max(self.least, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    most = f.value - isinstance(f, LessThan)
+                    self.most = most if self.most is None else min(self.most, most)
+            yield f
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for path, base in parts_of(self.path):
-            shape = read_header(path)[0]
-            n = shape[1] if self.across else shape[0]
-            out += [Slice(path, base, a, min(n, a + ROWS_A_TASK)) for a in range(0, n, ROWS_A_TASK)]
+            shape, kind, _ = read_header(path)
+            n, width = (shape[1], shape[0]) if self.across else (shape[0], int(np.prod(shape[1:])))
+            step = rows_a_part(width * kind.itemsize, self.bytes)
+            first, last = max(0, self.least - base), n if self.most is None else min(n, self.most - base + 1)
+            out += [Slice(path, base, a, min(last, a + step)) for a in range(first, last, step)]
         return out or [Slice("", 0, 0, 0)]
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
@@ -70,16 +91,16 @@ class NpyReader(DataSourceReader):
             return
         shape, kind, offset = read_header(part.path)
         whole = np.memmap(part.path, kind, "r", offset, shape)
-        rows = np.ascontiguousarray(whole[:, part.first : part.last].T if self.across else whole[part.first : part.last])
-        rows = rows.reshape(len(rows), -1).astype(TYPES[kind.kind][1])
-        for a in range(0, len(rows), 4096):
-            some = rows[a : a + 4096]
+        step = max(1, BYTES_A_BATCH // max(8, 8 * (shape[0] if self.across else int(np.prod(shape[1:])))))
+        for a in range(part.first, part.last, step):
+            b = min(part.last, a + step)
+            some = np.ascontiguousarray(whole[:, a:b].T if self.across else whole[a:b]).reshape(b - a, -1).astype(TYPES[kind.kind][1])
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * some.shape[1], pa.int32()), pa.array(some.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(part.base + part.first + a + np.arange(len(some))), values], names=["row", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.base + a + np.arange(len(some))), values], names=["row", "values"])
 
 
 class NpySource(DataSource):
-    """``spark.read.format("npy").option("path", ...)``: row, values; with option ``across`` columns are rows, as in a [2, E] edge list."""
+    """``spark.read.format("npy").option("path", ...)``: row, values; with option ``across`` columns are rows, as in a [2, E] edge list; ``bytes`` bounds what a task reads."""
 
     @classmethod
     def name(cls) -> str:
@@ -92,26 +113,30 @@ class NpySource(DataSource):
         return f"row long, values array<{kind}>"
 
     def reader(self, schema) -> NpyReader:
-        return NpyReader(mounted(self.options["path"]), self.options.get("across", "false").lower() == "true")
+        return NpyReader(mounted(self.options["path"]), self.options.get("across", "false").lower() == "true", int(self.options.get("bytes", BYTES_A_TASK)))
 
 
-def read_npy(spark: SparkSession, path: str, across: bool = False) -> DataFrame:
+def read_npy(spark: SparkSession, path: str, across: bool = False, bytes_a_task: int = BYTES_A_TASK) -> DataFrame:
+    """(row, values); filters on ``row`` reach the source."""
     spark.dataSource.register(NpySource)
-    return spark.read.format("npy").option("path", path).option("across", str(across)).load()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # without it Spark refuses sources that take filters
+    return spark.read.format("npy").option("path", path).option("across", str(across)).option("bytes", str(bytes_a_task)).load()
 
 
-def write_npy(rows: DataFrame, path: str, kind: str, across: bool = False) -> int:
+def write_npy(rows: DataFrame, path: str, kind: str, across: bool = False, bytes_a_part: int = BYTES_A_TASK) -> int:
     """Writes (row, values), rows numbered 0, 1, 2, ..., as parts named by their first row; returns the number of rows.
 
-    Parts are ranges of rows of ``ROWS_A_TASK``; a part is written under another name and then
-    renamed, so a task may run twice. With ``across`` a part has a column for each row.
+    Parts are ranges of rows of at most ``bytes_a_part`` bytes; a part is written under another name
+    and then renamed, so a task may run twice. With ``across`` a part has a column for each row.
     """
-    folder, per = mounted(path), ROWS_A_TASK
+    folder, first = mounted(path), rows.select(F.size("values").alias("n")).first()
+    per = rows_a_part((first.n if first else 1) * np.dtype(kind).itemsize, bytes_a_part)
     os.makedirs(folder, exist_ok=True)
 
     def put(key, table):
         table = table.sort_by("row")
-        data = np.array(table.column("values").to_pylist()).astype(kind)
+        values = table.column("values").combine_chunks()
+        data = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(kind, copy=False)
         name = os.path.join(folder, f"part-{key[0].as_py() * per:015d}.npy")
         with open(f"{name}.{os.getpid()}", "wb") as f:
             np.save(f, np.ascontiguousarray(data.T) if across else data)
@@ -127,11 +152,20 @@ def edges_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row").alias("edge_id"), F.col("values")[0].cast("long").alias("src"), F.col("values")[1].cast("long").alias("dst"))
 
 
-def write_csc(adjacency: DataFrame, indptr: DataFrame, path: str) -> None:
-    """The three arrays of a CSC graph as two tables: ``indptr`` (node_id, first, last) and ``indices`` (at, src, edge_id)."""
-    place = indptr.select(F.col("node_id").alias("dst"), "first")
-    indptr.write.mode("overwrite").parquet(f"{path}/indptr")
-    adjacency.join(place, "dst").select((F.col("first") + F.col("pos")).alias("at"), "src", "edge_id", "dst").write.mode("overwrite").parquet(f"{path}/indices")
+def write_csc(adjacency: DataFrame, indptr: DataFrame, path: str, blocks: int = BLOCKS) -> None:
+    """The three arrays of a CSC graph as two tables: ``indptr`` (node_id, first, last) and ``indices`` (at, src, edge_id, dst).
+
+    Both are partitioned by ``block``, a range of target nodes, and in order within it, so that a
+    reader opens the blocks of its nodes only; a hub's block has several files. ``meta`` holds the
+    nodes of a block.
+    """
+    spark = indptr.sparkSession
+    width = max(1, -(-((indptr.agg(F.max("node_id")).first()[0] or 0) + 1) // blocks))
+    block = lambda c: F.floor(F.col(c) / width).cast("int").alias("block")
+    indptr.select("node_id", "first", "last", block("node_id")).repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode("overwrite").partitionBy("block").parquet(f"{path}/indptr")
+    placed = adjacency.join(indptr.select(F.col("node_id").alias("dst"), "first"), "dst").select((F.col("first") + F.col("pos")).alias("at"), "src", "edge_id", "dst", block("dst"))
+    placed.repartitionByRange("dst", "at").sortWithinPartitions("dst", "at").write.mode("overwrite").partitionBy("block").parquet(f"{path}/indices")
+    spark.createDataFrame([(width,)], "width long").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def read_csc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -139,6 +173,18 @@ def read_csc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/indptr"), spark.read.parquet(f"{path}/indices")
 
 
+def in_edges(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
+    """edge_id, src, dst, pos of the in-edges of some nodes (node_id), from the blocks that hold them; an index outside its node's range of ``indptr`` raises."""
+    width = spark.read.parquet(f"{path}/meta").first().width
+    asked = nodes.select("node_id").distinct()
+    blocks = [r.block for r in asked.select(F.floor(F.col("node_id") / width).cast("int").alias("block")).distinct().collect()]  # at most BLOCKS numbers
+    indptr, indices = (t.where(F.col("block").isin(blocks)) for t in read_csc(spark, path))
+    found = indices.join(indptr.drop("block").join(asked, "node_id").withColumnRenamed("node_id", "dst"), "dst")
+    right = (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last"))
+    pos = F.when(right, F.col("at") - F.col("first")).otherwise(F.raise_error(F.lit("an index lies outside its node's range")).cast("long"))
+    return found.select("edge_id", "src", "dst", pos.alias("pos"))
+
+
 def write_colors(colors: DataFrame, nodes: DataFrame, matrix: DataFrame, path: str) -> None:
     """``color`` (node_id, color; 0 for none), ``topk`` (color, neighbors) and ``score`` (color, scores) tables."""
     nodes.select("node_id").join(colors.select("node_id", "color"), "node_id", "left").fillna(0, ["color"]).write.mode("overwrite").parquet(f"{path}/color")

@@ -29,14 +29,53 @@ def test_npy(spark, tmp_path):
     assert files.read_npy(spark, str(tmp_path / "empty.npy")).count() == 0
 
 
-def test_npy_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "ROWS_A_TASK", 100)
+def test_npy_parts(spark, tmp_path):
     rows = spark.range(250).selectExpr("id as row", "array(id * 2, id * 3) as values")
-    assert files.write_npy(rows, str(tmp_path / "out"), "int64") == 250
+    assert files.write_npy(rows, str(tmp_path / "out"), "int64", bytes_a_part=1600) == 250 and len(files.parts_of(str(tmp_path / "out"))) == 3
     assert sorted(r.values[1] for r in files.read_npy(spark, str(tmp_path / "out")).collect() if r.row != r.values[0] // 2) == []
     assert files.read_npy(spark, str(tmp_path / "out")).count() == 250
 
 
+def test_npy_filters_leave_slices_out(spark, tmp_path):
+    size = 64 << 10
+    data = np.random.default_rng(0).standard_normal((300, 1024)).astype(np.float32)  # 16 rows a slice
+    np.save(tmp_path / "wide.npy", data)
+    whole = files.read_npy(spark, str(tmp_path / "wide.npy"), bytes_a_task=size)
+    some = whole.where("row >= 40 and row < 72")
+    assert whole.rdd.getNumPartitions() == 19 and some.rdd.getNumPartitions() == 2
+    got = {r.row: r["values"] for r in some.collect()}
+    assert sorted(got) == list(range(40, 72)) and all(np.array_equal(np.array(v, np.float32), data[k]) for k, v in got.items())
+    assert [r.row for r in whole.where("row = 299").collect()] == [299] and whole.where("row > 298 and row < 3").count() == 0 and whole.where("row in (1, 250)").count() == 2
+    reader = files.NpyReader(str(tmp_path / "wide.npy"), False, size)
+    part = reader.partitions()[0]
+    assert (part.last - part.first) * 1024 * 4 <= 64 << 10
+    assert files.write_npy(whole, str(tmp_path / "again"), "float32", bytes_a_part=size) == 300
+    assert len(files.parts_of(str(tmp_path / "again"))) == 19 and files.read_npy(spark, str(tmp_path / "again")).where("row = 170").first()["values"] == data[170].astype(float).tolist()
+
+
+def test_csc_readers_open_their_blocks(spark, tmp_path):
+    r = np.random.default_rng(1)
+    edges = [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(r.integers(0, 400, 3000), np.where(r.random(3000) < 0.5, 17, r.integers(0, 390, 3000)), strict=True))]
+    frame = spark.createDataFrame(edges, "edge_id long, src long, dst long")
+    files.write_csc(G.adjacency(frame), G.indptr(frame, spark.range(400).withColumnRenamed("id", "node_id")), str(tmp_path / "g"), blocks=20)
+    wanted = spark.createDataFrame([(17,), (5,), (333,), (399,), (17,)], "node_id long")
+    got = files.in_edges(spark, str(tmp_path / "g"), wanted)
+    seen = {}
+    for k, s, d in edges:
+        seen.setdefault(d, []).append((k, s))
+    assert sorted(map(tuple, got.collect())) == sorted((k, s, d, p) for d in (5, 17, 333) for p, (k, s) in enumerate(seen.get(d, [])))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "block" in plan[plan.index("PartitionFilters") :]
+    opened = files.read_csc(spark, str(tmp_path / "g"))[1].where(L.F.col("block").isin(0, 16, 19)).select(L.F.input_file_name()).distinct().count()
+    assert opened < files.read_csc(spark, str(tmp_path / "g"))[1].select(L.F.input_file_name()).distinct().count() / 3
+    broken = spark.read.parquet(str(tmp_path / "g/indptr")).withColumn("last", L.F.col("first"))
+    broken.write.partitionBy("block").parquet(str(tmp_path / "h/indptr"))
+    for name in ("indices", "meta"):
+        spark.read.parquet(str(tmp_path / "g" / name)).write.parquet(str(tmp_path / "h" / name), partitionBy="block" if name == "indices" else None)
+    with pytest.raises(Exception, match="outside"):
+        files.in_edges(spark, str(tmp_path / "h"), wanted).collect()
+
+
 def test_softmax_of_large_numbers(spark):
     row = spark.createDataFrame([([1000.0, 1001.0],)], "h array<double>").select(L.softmax("h").alias("a"), L.log_softmax("h").alias("b"), L.dropout("h", 0.0, L.F.lit(1)).alias("c")).first()
     assert row.a[1] == pytest.approx(1 / (1 + math.exp(-1))) and row.b[1] == pytest.approx(math.log(row.a[1])) and row.c == [1000.0, 1001.0]
