@@ -3,7 +3,7 @@
 A byte goes when a ``length``-byte string over it also starts in a document with a smaller id.
 Positions are ranked by the first ``first`` bytes that start there. Then, round by round, Spark
 sorts pairs of a position's rank and the rank an offset on (as far as the rank reaches, at most what
-is left to ``length``), and the pairs' numbers in that order are the ranks of the next round: 20, 40
+is left to ``length``), and the pairs' numbers in that order are the ranks of the next round: 24, 48
 and 50 bytes. A pair that one text has alone is final and leaves.
 
 Two things keep the sorted rows few, and neither loses a repeat. Equal texts are one text. And of
@@ -40,7 +40,7 @@ SLICES = 2
 @dataclass(frozen=True)
 class Params:
     length: int = 50
-    first: int = 20
+    first: int = 24
 
     def __post_init__(self) -> None:
         if not 0 < 2 * self.first < self.length or self.length + MOST_WINDOWS - 1 - self.first >= 1 << SHIFT:
