@@ -24,7 +24,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out of the texts; every row stays, repeated ones alike, null texts as empty ones."""
-    return repeats.clean_documents(docs, repeats.Params(length=PASSAGE_BYTES, first=40), columns=tuple(docs.columns))
+    return repeats.clean_documents(docs, repeats.Params(length=PASSAGE_BYTES, first=48), columns=tuple(docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

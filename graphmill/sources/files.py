@@ -18,8 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 #: Bytes of a ``.npy`` file that one task reads or one part holds, and of one Arrow batch.
 BYTES_A_TASK, BYTES_A_BATCH = 32 << 20, 4 << 20
-#: Ranges of target nodes that a CSC graph is partitioned by.
-BLOCKS = 256
+#: Ranges of target nodes that a CSC graph is partitioned by at most, and nodes of one at least.
+BLOCKS, BLOCK_NODES = 256, 1024
 TYPES = {"i": ("long", np.int64), "u": ("long", np.int64), "f": ("double", np.float64)}
 
 
@@ -152,7 +152,7 @@ def edges_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row").alias("edge_id"), F.col("values")[0].cast("long").alias("src"), F.col("values")[1].cast("long").alias("dst"))
 
 
-def write_csc(adjacency: DataFrame, indptr: DataFrame, path: str, blocks: int = BLOCKS) -> None:
+def write_csc(adjacency: DataFrame, indptr: DataFrame, path: str, blocks: int = BLOCKS, least: int = BLOCK_NODES) -> None:
     """The three arrays of a CSC graph as two tables: ``indptr`` (node_id, first, last) and ``indices`` (at, src, edge_id, dst).
 
     Both are partitioned by ``block``, a range of target nodes, and in order within it, so that a
@@ -160,7 +160,7 @@ def write_csc(adjacency: DataFrame, indptr: DataFrame, path: str, blocks: int =
     nodes of a block.
     """
     spark = indptr.sparkSession
-    width = max(1, -(-((indptr.agg(F.max("node_id")).first()[0] or 0) + 1) // blocks))
+    width = max(least, -(-((indptr.agg(F.max("node_id")).first()[0] or 0) + 1) // blocks))
     block = lambda c: F.floor(F.col(c) / width).cast("int").alias("block")
     indptr.select("node_id", "first", "last", block("node_id")).repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode("overwrite").partitionBy("block").parquet(f"{path}/indptr")
     placed = adjacency.join(indptr.select(F.col("node_id").alias("dst"), "first"), "dst").select((F.col("first") + F.col("pos")).alias("at"), "src", "edge_id", "dst", block("dst"))

@@ -57,7 +57,7 @@ def test_csc_readers_open_their_blocks(spark, tmp_path):
     r = np.random.default_rng(1)
     edges = [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(r.integers(0, 400, 3000), np.where(r.random(3000) < 0.5, 17, r.integers(0, 390, 3000)), strict=True))]
     frame = spark.createDataFrame(edges, "edge_id long, src long, dst long")
-    files.write_csc(G.adjacency(frame), G.indptr(frame, spark.range(400).withColumnRenamed("id", "node_id")), str(tmp_path / "g"), blocks=20)
+    files.write_csc(G.adjacency(frame), G.indptr(frame, spark.range(400).withColumnRenamed("id", "node_id")), str(tmp_path / "g"), blocks=20, least=1)
     wanted = spark.createDataFrame([(17,), (5,), (333,), (399,), (17,)], "node_id long")
     got = files.in_edges(spark, str(tmp_path / "g"), wanted)
     seen = {}
