@@ -46,9 +46,16 @@ class Blocks:
         return Blocks([take(e) for e in self.edges], [take(n) for n in self.nodes])
 
 
-def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int]) -> Blocks:
-    """Blocks of seeds (batch, node_id); the seeds use the last fan-out. A block's sources are its targets and what was sampled."""
-    rows, chunks = hub_chunks(edges.select("edge_id", "src", "dst"))
+#: Edges (edge_id, src, dst), or what gives the edges about a frontier (node_id) in chunks, as ``hub_chunks`` does.
+Edges = DataFrame | Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def sample(seeds: DataFrame, edges: Edges, fanouts: list[int], draw: str = "") -> Blocks:
+    """Blocks of seeds (batch, node_id); the seeds use the last fan-out. A block's sources are its targets and what was sampled.
+
+    Another ``draw`` samples other edges.
+    """
+    whole = None if callable(edges) else hub_chunks(edges.select("edge_id", "src", "dst"))
     seen: tuple[list, list] = ([], [])
 
     def made(df: DataFrame, kind: int) -> DataFrame:
@@ -58,7 +65,8 @@ def sample(seeds: DataFrame, edges: DataFrame, fanouts: list[int]) -> Blocks:
 
     nodes, blocks = [made(seeds.select(*KEYS).distinct(), 0)], []
     for layer in range(len(fanouts) - 1, -1, -1):
-        blocks.insert(0, made(sample_layer(nodes[0], rows, chunks, fanouts[layer], layer).select("batch", "src", "dst"), 1))
+        rows, chunks = whole or edges(nodes[0])
+        blocks.insert(0, made(sample_layer(nodes[0], rows, chunks, fanouts[layer], layer, draw).select("batch", "src", "dst"), 1))
         nodes.insert(0, made(nodes[0].unionByName(blocks[0].select("batch", F.col("src").alias("node_id"))).distinct(), 0))
     return Blocks(blocks, nodes, seen)
 
@@ -382,19 +390,23 @@ class Adam:
         return params - self.rate * (first / (1 - a**t)) / (np.sqrt(second / (1 - b**t)) + 1e-8), (first, second, t)
 
 
-def train(model: Model, seeds: DataFrame, edges: DataFrame, features: DataFrame, labels: DataFrame, fanouts: list[int], epochs: int = 1, adam: Adam = Adam()) -> tuple[Model, list[tuple[int, int, float]]]:
+def train(
+    model: Model, seeds: DataFrame, edges: Edges, features: DataFrame, labels: DataFrame, fanouts: list[int], epochs: int = 1, adam: Adam = Adam(), sampled: list[dict] | None = None
+) -> tuple[Model, list[tuple[int, int, float]]]:
     """(trained model, (epoch, step, mean loss before the step)): one Adam step a global batch, in the order of ``step``.
 
     ``seeds``: step, batch, node_id; all batches of a step are worked on at once, as ranks that
-    average their gradients. Blocks are sampled once and used in every epoch.
+    average their gradients. Every epoch samples blocks of its own; ``sampled`` takes their counters.
     """
     seeds = cut(seeds.select("step", *KEYS))
-    blocks = sample(seeds, edges, fanouts)
     steps = sorted(r.step for r in seeds.select("step").distinct().collect())  # a number a step
     features, labels = cut(features), cut(labels)
     whole = np.concatenate([flat(p) for p in model.params])
     state, said = (np.zeros_like(whole), np.zeros_like(whole), 0), []
     for epoch in range(1, epochs + 1):
+        blocks = sample(seeds, edges, fanouts, "" if epoch == 1 else f"epoch{epoch}")
+        if sampled is not None:
+            sampled.append(blocks.counters())
         for step in steps:
             of = blocks.of(seeds.where(F.col("step") == step).select("batch").distinct())
             grads, loss, n = gradients(model, of, features, labels, draw=len(said))
@@ -411,7 +423,7 @@ def train(model: Model, seeds: DataFrame, edges: DataFrame, features: DataFrame,
     return model, said
 
 
-def predict(model: Model, seeds: DataFrame, edges: DataFrame, features: DataFrame, fanouts: list[int]) -> DataFrame:
+def predict(model: Model, seeds: DataFrame, edges: Edges, features: DataFrame, fanouts: list[int]) -> DataFrame:
     """batch, node_id, h (class scores), predicted: the seeds (batch, node_id) through sampled blocks, nothing dropped."""
     h, _ = forward(model, sample(seeds, edges, fanouts), features)
     return h.select(*KEYS, "h", (F.array_position("h", F.array_max("h")) - 1).alias("predicted"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.config import BACKENDS
+from graphmill.config import BACKENDS, TOP
 from graphmill.functions.ordering import accepted, cut, dealt_in_order, dense_index, numbered, order_key, place_in_partition
 
 SEED = 42
@@ -129,8 +129,13 @@ def hub_chunks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges`` with the chunk of each among its target's in-edges (0 but for hubs), and (dst, chunks) of the hubs, one for ``HUB`` edges at most."""
     chunks = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
     chunks = cut(chunks.select("dst", F.ceil(F.col("n") / HUB).alias("chunks")))
+    return with_chunks(edges, chunks), chunks
+
+
+def with_chunks(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``edges`` with the chunk of each, from the (dst, chunks) of hubs."""
     chunk = F.pmod(F.xxhash64("edge_id"), F.coalesce("chunks", F.lit(1)))
-    return edges.join(chunks, "dst", "left").withColumn("chunk", chunk).drop("chunks"), chunks
+    return edges.join(chunks, "dst", "left").withColumn("chunk", chunk).drop("chunks")
 
 
 def by_target(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -165,6 +170,13 @@ def affinity(edges: DataFrame, colors: DataFrame, top: int = 10, decay: bool = T
     return kept.select(F.col("c").alias("color"), "rank", F.col("d").alias("neigh_color"), value)
 
 
+def neighbor_matrix(affinity: DataFrame, top: int = TOP) -> DataFrame:
+    """color, neighbors, scores: a row a color, ``top`` slots; empty slots hold 0."""
+    rows = affinity.groupBy("color").agg(F.array_sort(F.collect_list(F.struct("rank", "neigh_color", "affinity"))).alias("t"))
+    pad = lambda field, zero: F.concat(F.col("t")[field], F.array_repeat(zero, top - F.size("t")))
+    return rows.select("color", pad("neigh_color", F.lit(0).cast("long")).alias("neighbors"), pad("affinity", F.lit(0.0)).alias("scores"))
+
+
 def train_order(train: DataFrame) -> DataFrame:
     """pos, node_id: one seeded permutation."""
     return dense_index(train.select("node_id", order_key(SEED, "perm", F.col("node_id")).alias("k")), "pos", "k", "node_id").select("pos", "node_id")

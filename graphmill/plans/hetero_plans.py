@@ -50,14 +50,7 @@ def rgat_sum(s, d):
 
 @Q.query("select color, list(neigh_color order by rank) || list_transform(range(10 - count(*)), lambda x: 0::bigint) as neighbors, list(affinity order by rank) || list_transform(range(10 - count(*)), lambda x: 0.0::double) as scores from g_aff group by 1", Q.color_sql() + Q.CROSS)
 def affinity_matrix(s, d):
-    return matrix(Q.color_affinity(s, d))
-
-
-def matrix(affinity: DataFrame) -> DataFrame:
-    """A row a color, ten slots; empty slots hold 0."""
-    rows = affinity.groupBy("color").agg(F.array_sort(F.collect_list(F.struct("rank", "neigh_color", "affinity"))).alias("t"))
-    pad = lambda field, zero: F.concat(F.col("t")[field], F.array_repeat(zero, 10 - F.size("t")))
-    return rows.select("color", pad("neigh_color", F.lit(0).cast("long")).alias("neighbors"), pad("affinity", F.lit(0.0)).alias("scores"))
+    return G.neighbor_matrix(Q.color_affinity(s, d))
 
 
 @Q.query("select count(*) as nodes, max(color) as colors from g_colors", Q.color_sql())

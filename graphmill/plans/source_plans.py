@@ -11,7 +11,6 @@ from graphmill import config
 from graphmill import queries as Q
 from graphmill.functions.ordering import checkpoint_folder, order_key
 from graphmill.operators import graph as G
-from graphmill.plans import hetero_plans
 from graphmill.sources import files
 from graphmill.sources import views as V
 from graphmill.streaming.cache import run_to_table, stream_trace
@@ -71,7 +70,7 @@ def color_neighbor_tables(s, d):
     """Neighbours and scores written as tables and read back."""
     folder = new_folder(s, "colors")
     edges, colors = Q.colored(s, d)
-    files.write_colors(colors, V.nodes(s, d), hetero_plans.matrix(G.affinity(edges, colors)), folder)
+    files.write_colors(colors, V.nodes(s, d), G.neighbor_matrix(G.affinity(edges, colors)), folder)
     _, neighbors, scores = files.read_colors(s, folder)
     return neighbors.join(scores, "color")
 
@@ -82,7 +81,7 @@ def color_tables(s, d):
     folder = new_folder(s, "colors")
     edges, colors = Q.colored(s, d)
     colors = G.cut(colors)
-    files.write_colors(colors, V.nodes(s, d), hetero_plans.matrix(G.affinity(edges, colors)), folder)
+    files.write_colors(colors, V.nodes(s, d), G.neighbor_matrix(G.affinity(edges, colors)), folder)
     return files.read_colors(s, folder)[0]
 
 

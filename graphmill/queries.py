@@ -463,7 +463,7 @@ def cross_entropy(s, d):
 
 def register_plans() -> None:
     """The plan modules add their queries when they are imported; they build on this module."""
-    from graphmill.plans import block_plans, cache_plans, hetero_plans, layer_plans, loop_plans, relation_plans, source_plans  # noqa: F401
+    from graphmill.plans import block_plans, cache_plans, hetero_plans, layer_plans, loop_plans, relation_plans, run_plans, source_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -173,12 +173,18 @@ def read_csc(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/indptr"), spark.read.parquet(f"{path}/indices")
 
 
+def blocks_of(spark: SparkSession, path: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(indptr, indices) of the blocks that hold some nodes (node_id); other blocks aren't opened."""
+    width = spark.read.parquet(f"{path}/meta").first().width
+    numbers = nodes.select(F.floor(F.col("node_id") / width).cast("int").alias("block")).distinct()
+    held = [r.block for r in numbers.collect()]  # at most BLOCKS numbers
+    return tuple(t.where(F.col("block").isin(held)) for t in read_csc(spark, path))
+
+
 def in_edges(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
     """edge_id, src, dst, pos of the in-edges of some nodes (node_id), from the blocks that hold them; an index outside its node's range of ``indptr`` raises."""
-    width = spark.read.parquet(f"{path}/meta").first().width
     asked = nodes.select("node_id").distinct()
-    blocks = [r.block for r in asked.select(F.floor(F.col("node_id") / width).cast("int").alias("block")).distinct().collect()]  # at most BLOCKS numbers
-    indptr, indices = (t.where(F.col("block").isin(blocks)) for t in read_csc(spark, path))
+    indptr, indices = blocks_of(spark, path, asked)
     found = indices.join(indptr.drop("block").join(asked, "node_id").withColumnRenamed("node_id", "dst"), "dst")
     right = (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last"))
     pos = F.when(right, F.col("at") - F.col("first")).otherwise(F.raise_error(F.lit("an index lies outside its node's range")).cast("long"))

@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
 #: With fewer training nodes than two global batches these would compare nothing with nothing.
 BATCHED = """baseline_distribution gpu_slices epoch_batches partition_scores affinity_distribution sample_blocks sample_one_layer input_nodes fetch_isolated fetch_isolated_whole fetch_positions
-csc_in_edges fetch_routed fetch_remapped cache_fetch route_requests request_histogram batch_labels epoch_counters minibatch_stream observed_counters sage_model gcn_model gat_model""".split()
+run_batches run_blocks csc_in_edges fetch_routed fetch_remapped cache_fetch route_requests request_histogram batch_labels epoch_counters minibatch_stream observed_counters sage_model gcn_model gat_model""".split()
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
