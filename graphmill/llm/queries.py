@@ -247,22 +247,28 @@ from h join p using (r) cross join v group by r, h.doc_id
 
 
 def op10_sql() -> str:
-    """Host and path by pattern, rules by length; the vocabulary's terms are single words, so a URL's distinct words are looked up."""
+    """Host and path by pattern, rules by length; terms by one pattern of all spellings, the longest first, between word boundaries.
+
+    An underscore is no word character here but is one for ``\\b``, so it is read as a hyphen.
+    """
     rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r))
     fits = [f"(host = '{d}' or ends_with(host, '.{d}')) and starts_with(path, '{p}')" for _, d, p in rules]
     name = "case " + " ".join(f"when {f} then '{d}{p}'" for f, (_, d, p) in zip(fits, rules, strict=True)) + " end"
     said = "case " + " ".join(f"when {f} then '{k}'" for f, (k, _, _) in zip(fits, rules, strict=True)) + " end"
-    terms = ", ".join(f"('{t}', {w})" for t, w in url_filter.read_vocabulary().items())
+    weights = url_filter.read_vocabulary()
+    spelt = {s.replace("_", "-"): t for s, t in url_filter.spellings(weights).items()}
+    terms = ", ".join(f"('{s}', '{t}', {weights[t]})" for s, t in spelt.items())
+    pattern = "|".join(s.replace(".", "[.]").replace("+", "[+]") for s in sorted(spelt, key=lambda s: (-len(s), s)))
     lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
     return f"""
-with v(term, weight) as (values {terms}),
+with v(spelling, term, weight) as (values {terms}),
 p as (
   select page_id, row_number() over () as row, translate(coalesce(url, ''), {lower}) as low, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) as rest from pages),
 h as (
   select page_id, row, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), {lower}) as host,
          regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) as path from p),
-w as (select distinct row, unnest(regexp_extract_all(low, '[a-z0-9]+')) as term from p),
-t as (select row, sum(weight) as weight from w join v using (term) group by row)
+w as (select row, unnest(regexp_extract_all(replace(low, '_', '-'), '\\b(?:{pattern})\\b')) as spelling from p),
+t as (select row, sum(weight) as weight from (select distinct row, term, weight::double as weight from w join v using (spelling)) group by row)
 select page_id, host, path, {name} as rule,
        coalesce({said}, case when coalesce(weight, 0) >= {url_filter.LIMIT} then 'block' else 'allow' end) as verdict
 from h left join t using (row)

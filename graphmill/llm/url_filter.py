@@ -1,13 +1,15 @@
 """URL filters by weighted vocabulary.
 
-An Aho-Corasick automaton finds the terms of a vocabulary in one pass over the lower-cased URL; a
-hit counts only between boundaries, and of hits that overlap the leftmost longest one alone. A URL
-is rejected when its distinct terms weigh enough together: one strict term, or several soft ones.
+An Aho-Corasick automaton finds the terms of a vocabulary, words and phrases with every way to join
+their parts, in one pass over the lower-cased URL; a hit counts only between boundaries, and of hits
+that overlap the leftmost longest one alone. A URL is rejected when its distinct terms weigh enough
+together: one strict term, or several soft ones.
 Host rules come first; the longest fitting rule wins.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 VOCABULARY = os.path.join(os.path.dirname(os.path.abspath(__file__)), "url_terms.txt")
 #: Weight of distinct terms that rejects, and the weight from which a term is strict.
 LIMIT = STRICT = 2.0
+# What may stand between the parts of a phrase, which vocabularies write with -.
+JOINERS = ("-", "_", ".", "+", "%20", "")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -60,10 +64,21 @@ def longest_rule(host, path, rules=RULES):
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
+def spellings(vocabulary: dict[str, float]) -> dict[str, str]:
+    """Terms by each of their spellings; a spelling that is a term itself, or an earlier term's, stays that one's."""
+    out = {term: term for term in vocabulary}
+    for term in vocabulary:
+        parts = term.split("-")
+        if len(parts) > 1 and all(parts):
+            for between in itertools.product(JOINERS, repeat=len(parts) - 1):
+                out.setdefault(parts[0] + "".join(j + p for j, p in zip(between, parts[1:], strict=True)), term)
+    return out
+
+
 def build_automaton(vocabulary: dict[str, float]) -> ahocorasick.Automaton:
     automaton = ahocorasick.Automaton()
-    for term, weight in vocabulary.items():
-        automaton.add_word(term, (term, weight))
+    for spelling, term in spellings(vocabulary).items():
+        automaton.add_word(spelling, (len(spelling), term, vocabulary[term]))
     automaton.make_automaton()
     return automaton
 
@@ -73,8 +88,8 @@ def find_terms(automaton: ahocorasick.Automaton, url: str) -> dict[str, float]:
     if not len(automaton):
         return {}
     hits = []
-    for end, (term, weight) in automaton.iter(url):
-        start = end - len(term) + 1
+    for end, (length, term, weight) in automaton.iter(url):
+        start = end - length + 1
         if (start == 0 or not is_word(url[start - 1])) and (end + 1 == len(url) or not is_word(url[end + 1])):
             hits.append((start, -end, term, weight))
     found, upto = {}, -1

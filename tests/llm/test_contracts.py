@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from graphmill.llm import chat, jaccard, langid, mixing, packing, repeats, rpforest, toxicity, url_filter, vptree
 
@@ -320,3 +322,41 @@ def test_url_parts_rules_and_terms(spark, tmp_path):
     (tmp_path / "terms").write_text("bad\n")
     with pytest.raises(ValueError):
         url_filter.read_vocabulary(str(tmp_path / "terms"))
+
+
+def test_url_phrases_grades_and_languages():
+    """Phrases in every spelling, three grades of soft words, hosts that no table holds."""
+    weights = url_filter.read_vocabulary()
+    automaton = url_filter.build_automaton(weights)
+    judged = lambda url: sum(url_filter.find_terms(automaton, url.translate(url_filter.LOWER)).values()) >= url_filter.LIMIT
+    for between in url_filter.JOINERS:
+        assert url_filter.find_terms(automaton, f"http://make{between}money{between}fast.info/") == {"make-money-fast": 2.0}, between
+    for url in ("http://www.jeux-argent.fr/x", "http://a.b/Mujeres_Desnudas", "http://geldverdienen-schnell.de", "http://a.b/q?s=online+casino", "http://roulette-gratis.es", "http://a.b/click/traffic/winner", "http://a.b/free/cheap"):
+        assert judged(url), url
+    for url in ("http://winnersworld.net/", "http://a.b/download/click", "http://farm-traffic.org", "http://a.b/escorting/essex/therapist", "http://casinospace.org/x", "http://analytics.example.com/free", "http://a.b/sextant-online"):
+        assert not judged(url), url
+    assert sorted(set(weights.values())) == [0.75, 1.0, 1.25, 2.0] and sum("-" in t for t in weights) > 30
+    assert url_filter.spellings({"a-b": 1.0, "ab": 2.0, "x-": 1.0}) == {"a-b": "a-b", "ab": "ab", "x-": "x-"} | {f"a{j}b": "a-b" for j in url_filter.JOINERS if j}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab-_.é ", max_size=24))
+def test_url_terms_equal_a_plain_search(url):
+    """From the left, the longest bounded spelling, none within another."""
+    vocabulary = {"a": 1.0, "a-b": 2.0, "ab-a": 0.5, "b": 0.25, "b-b-a": 1.0}
+    spelt, found, at = url_filter.spellings(vocabulary), {}, 0
+    edge = lambda k: not (0 <= k < len(url) and url_filter.is_word(url[k]))
+    while at < len(url):
+        fits = [s for s in spelt if url.startswith(s, at) and edge(at - 1) and edge(at + len(s))]
+        longest = max(fits, key=len, default="")
+        if longest:
+            found[spelt[longest]] = vocabulary[spelt[longest]]
+        at += max(1, len(longest))
+    assert url_filter.find_terms(url_filter.build_automaton(vocabulary), url) == found
+
+
+def test_urls_beside_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "http://a.b/porn", "x", 5, 2.0), (1, "http://a.b/porn", "y", 6, 3.0), (None, None, None, None, None)], "page_id long, url string, host string, hits int, weight double")
+    got = sorted(((r.page_id, r.host, r.verdict, r.weight) for r in url_filter.judge_urls(rows).collect()), key=repr)
+    assert got == [(1, "a.b", "block", 2.0), (1, "a.b", "block", 2.0), (None, "", "allow", 0.0)]
+
