@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from graphmill import queries as Q
@@ -19,10 +20,18 @@ CLASSES = 10
 _prepared: dict[tuple[str, str], R.Prepared] = {}
 
 
+def still_there(made: R.Prepared) -> bool:
+    try:
+        made.labels()
+    except AnalysisException:  # the folder was cleared
+        return False
+    return True
+
+
 def graph(s, d) -> R.Prepared:
-    """The prepared graph of a folder; a session writes it when it is first asked for, and later queries read it."""
+    """The prepared graph of a folder; a session writes it when it is first asked for, and later queries read it while its folder stands."""
     key = (s.sparkContext.applicationId, d)
-    if key not in _prepared:
+    if key not in _prepared or not still_there(_prepared[key]):
         nodes = G.cut(V.nodes(s, d).select("node_id", "label"))
         split = G.positional_split(nodes, nodes.count()).join(nodes, "node_id")
         _prepared[key] = R.prepare(split, V.edges(s, d), new_folder(s, "prepared"))
