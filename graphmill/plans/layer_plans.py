@@ -45,6 +45,15 @@ def rounded(h: DataFrame, *keys: str) -> DataFrame:
     return h.select(*keys, F.transform("h", lambda x: F.round(x, 6) + F.lit(0.0)).alias("h"))
 
 
+def tie_safe(h: DataFrame, *keys: str) -> DataFrame:
+    """``rounded`` over 12 decimals of each number, ties away from zero, for sums of such decimals that real ties come from: the order of a sum then decides nothing."""
+    return rounded(h.select(*keys, F.transform("h", lambda x: F.round(x, 12)).alias("h")), *keys)
+
+
+def tie_safe_sql(x: str) -> str:
+    return f"list_transform({x}, lambda v: round(v::decimal(38, 12), 6)::double + 0.0)"
+
+
 def vectors(s, d) -> DataFrame:
     return V.features(s, d).select("node_id", F.col("embedding").cast("array<double>").alias("h"))
 
@@ -137,17 +146,17 @@ def by_relation(s, d, layer) -> dict[str, list[DataFrame]]:
     return out
 
 
-def of_types(parts: dict[str, list[DataFrame]], how: str) -> DataFrame:
-    every = [rounded(L.across_relations(p, how), "node_id").select(F.lit(kind).alias("kind"), "node_id", "h") for kind, p in parts.items()]
+def of_types(parts: dict[str, list[DataFrame]], how: str, digits=rounded) -> DataFrame:
+    every = [digits(L.across_relations(p, how), "node_id").select(F.lit(kind).alias("kind"), "node_id", "h") for kind, p in parts.items()]
     out = every[0]
     for e in every[1:]:
         out = out.unionByName(e)
     return out
 
 
-def over_relations_sql(how: str) -> str:
+def over_relations_sql(how: str, digits=rounded_sql) -> str:
     """From rv (rel, dk, dst, v) to a vector a target."""
-    return f"select kind, node_id, {rounded_sql('h')} as h from (select dk as kind, dst as node_id, list(x order by j) as h from (select dk, dst, j, {how}(v[j + 1]) as x from rv cross join (select unnest(range({TYPE_OUT})) as j) group by 1, 2, 3) group by 1, 2)"
+    return f"select kind, node_id, {digits('h')} as h from (select dk as kind, dst as node_id, list(x order by j) as h from (select dk, dst, j, {how}(v[j + 1]) as x from rv cross join (select unnest(range({TYPE_OUT})) as j) group by 1, 2, 3) group by 1, 2)"
 
 
 def relation_product_sql(x: str) -> str:
@@ -169,9 +178,10 @@ RSAGE = FEATURES_SQL + f""", rm as (select rel, dk, dst, dim, sum(x) as m, count
 rx as (select r.rel, r.dk, r.dst, list((r.m + f.h[r.dim]) / (r.n + 1) order by r.dim) as x from rm r join hf f on f.kind = r.dk and f.node_id = r.dst group by 1, 2, 3), rv as (select rel, dk, dst, {relation_product_sql('x')} as v from rx)"""
 
 
-@Q.query(over_relations_sql("sum"), RSAGE)
+@Q.query(over_relations_sql("sum", tie_safe_sql), RSAGE)
 def rsage_layer(s, d):
-    return of_types(by_relation(s, d, lambda e, h, t, salt: L.relation_sage(e, h, t, weights(TYPE_DIM, TYPE_OUT, salt), bias(TYPE_OUT, salt))), "sum")
+    """Features are decimals, so that means times weights of 1/184 can lie right between two sixth decimals: both sides round 12 decimals, ties away from zero."""
+    return of_types(by_relation(s, d, lambda e, h, t, salt: L.relation_sage(e, h, t, weights(TYPE_DIM, TYPE_OUT, salt), bias(TYPE_OUT, salt))), "sum", tie_safe)
 
 
 RGAT_W = TYPE_OUT // HEADS

@@ -123,3 +123,14 @@ def test_counters_are_observed(spark):
     e = spark.createDataFrame([(k, k % 9, (k * 7) % 9) for k in range(60)], "edge_id long, src long, dst long")
     blocks = B.sample(spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "batch long, node_id long"), e, [2, 2])
     assert blocks.counters() == {"nodes": [n.count() for n in blocks.nodes], "edges": [b.count() for b in blocks.edges]}
+
+
+def test_ties_between_sixth_decimals_don_t_depend_on_the_order_of_a_sum(spark):
+    import duckdb
+
+    from graphmill.plans import layer_plans as P
+
+    about = [x + e for x in (-0.0175965, 0.0175965, 0.3103555, -2.0000005, 0.0) for e in (-4e-16, 0.0, 4e-16)]
+    got = P.tie_safe(spark.createDataFrame([(1, about)], "node_id long, h array<double>"), "node_id").first().h
+    assert got == [x for x in (-0.017597, 0.017597, 0.310356, -2.000001, 0.0) for _ in range(3)]
+    assert got == duckdb.sql(f"select {P.tie_safe_sql('h')} from (select {about}::double[] as h)").fetchall()[0][0]
