@@ -47,7 +47,7 @@ class Params:
     block_shingles: int = 1 << 19
     block_sets: int = 2048
     tile: int = 512
-    #: Members of a list that one task reads; longer lists are dealt in parts, each tied to the list's first member.
+    #: Members of a part of a list; longer lists are dealt in parts, and every two parts meet in a unit of their own.
     list_part: int = 4096
 
     def needs(self, n: int, m: int) -> int:
@@ -288,20 +288,19 @@ def linked_lists(ordered: DataFrame, p: Params) -> DataFrame:
 def gathered(met: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """(a, b) candidate links between distinct sets (doc_id, n, sketch) that meet in a list, from (doc_id, list) rows.
 
-    Lists of one member go first, then all but one of the lists that have the same members. A list of more than ``list_part`` members is dealt in parts by
-    hash, and every member whose part does not hold the list's first member is tied to it through
-    its part's own first: that may join clusters that need not be one, never part what belongs together.
+    Lists of one member go first, then all but one of the lists that have the same members. A list of more than ``list_part`` members is dealt in parts
+    by hash, and every two of its parts are judged together, so that any two members meet and a unit stays bounded.
     """
     # lists that hold the same sets say the same: one of them goes on
     alike = ["members", "x", "y"]
     every = met.groupBy("list").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
     shared = cut(every.where("members > 1").groupBy(*alike).agg(F.min("list").alias("list")).select("list", F.ceil(F.col("members") / p.list_part).cast("int").alias("parts")))
-    part = F.when(F.col("parts") == 1, F.col("list")).otherwise(F.xxhash64("list", F.pmod(F.xxhash64("doc_id"), F.col("parts"))))
-    dealt = cut(met.join(hashed(shared), "list").select("list", "parts", "doc_id", part.alias("part")))
-    ordered = dealt.join(hashed(sets.select("doc_id", "n", "sketch")), "doc_id").select("part", "doc_id", "n", "sketch").repartition("part").sortWithinPartitions("part", "doc_id")
-    heads = dealt.where("parts > 1").groupBy("list", "part").agg(F.min("doc_id").alias("a"))
-    tied = heads.join(heads.groupBy("list").agg(F.min("a").alias("b")), "list").select("a", "b")
-    return linked_lists(ordered, p).unionByName(tied)
+    side = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: (k != side) | (F.col("parts") == 1))
+    unit = F.transform(others, lambda k: F.when(F.col("parts") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least(side, k), F.greatest(side, k))))
+    dealt = met.join(hashed(shared), "list").select("doc_id", unit.alias("units"))
+    ordered = dealt.join(hashed(sets.select("doc_id", "n", "sketch")), "doc_id").select(F.explode("units").alias("unit"), "doc_id", "n", "sketch").repartition("unit").sortWithinPartitions("unit", "doc_id")
+    return linked_lists(ordered, p)
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

@@ -190,3 +190,13 @@ def test_vectors(spark):
     assert len(got) == len(v)
     for i, x, la in ok:
         assert got[i].n_links == (0 if la is None else sum(1 for j, y, lb in ok if j != i and lb == la and cos(x, y) >= 0.93))
+
+
+def test_jaccard_long_list_keeps_pairs_of_different_parts(spark):
+    """Forty sets in one list that is dealt in parts: only twins can link, and their parts differ for most of them."""
+    p = jaccard.Params(width=4, num=85, den=100, list_part=4)
+    sketch = lambda g: bytes(60 if k == g else 0 for k in range(64))
+    sets = spark.createDataFrame([(i, 60, bytearray(sketch(i // 2))) for i in range(40)], "doc_id long, n long, sketch binary")
+    met = spark.createDataFrame([(i, 7) for i in range(40)], "doc_id long, list long")
+    pairs = {(min(r), max(r)) for r in jaccard.gathered(met, sets, p).collect()}
+    assert pairs == {(2 * g, 2 * g + 1) for g in range(20)}
