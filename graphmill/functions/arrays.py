@@ -13,6 +13,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphmill.functions.ordering import cut
+
+#: Numbers that the sums of one block of targets hold (64 MB), and in-edges of a target in one block; a hub has more.
+BLOCK_NUMBERS, BLOCK_EDGES = 1 << 23, 1 << 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -79,3 +85,71 @@ def vector_sums(rows: DataFrame, keys: list[str], vector: str, weights: str | No
             yield open_
 
     return used.mapInArrow(partly, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(wholly, schema)
+
+
+def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
+    """dst, total (sum of the sources' ``h``, times their ``w`` if there is one), ``n`` (in-edges whose source has a vector), from edges (src, dst) and h (node_id, h, w).
+
+    Targets lie in blocks whose sums fit a task. A source's vector goes to each block that it has an
+    edge into once, as it is stored, and meets the block's edges there, sorted by source: the shuffle
+    holds no vector for each edge. A hub's in-edges are dealt to several blocks by source.
+    """
+    spark = edges.sparkSession
+    edges = edges.select("src", "dst")
+    degree = cut(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")))
+    seen = degree.agg(F.count(F.lit(1)).alias("targets"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    blocks = max(spark.sparkContext.defaultParallelism, -(-seen.targets * width // BLOCK_NUMBERS))
+    place, hubs = F.xxhash64("dst"), seen.most > BLOCK_EDGES
+    if hubs:
+        chunks = degree.where(F.col("n") > BLOCK_EDGES).select("dst", F.ceil(F.col("n") / BLOCK_EDGES).alias("chunks"))
+        edges = edges.join(chunks, "dst", "left")
+        place = F.when(F.col("chunks").isNull(), place).otherwise(F.xxhash64("dst", F.pmod(F.xxhash64("src"), F.col("chunks"))))
+    rows = edges.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "src", "dst")
+    vector = h.select(F.col("node_id").alias("src"), "h", F.col("w") if "w" in h.columns else F.lit(1.0).alias("w")).where("h is not null")
+    sent = rows.select("block", "src").distinct().join(vector, "src").select("block", "src", F.lit(None).cast("long").alias("dst"), "h", "w")
+    asked = rows.select("*", F.lit(None).cast(vector.schema["h"].dataType).alias("h"), F.lit(None).cast("double").alias("w"))
+    met = sent.unionByName(asked).repartition("block").sortWithinPartitions("block", "src", F.asc_nulls_first("dst"))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last vector of a batch may be asked for in the next one; a block's sums leave when it ends."""
+        at, slots, total, n = None, {}, np.zeros((0, width)), np.zeros(0, np.int64)
+        last, last_src = np.zeros((1, width)), None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            ids = np.fromiter(slots, np.int64, len(slots))
+            for lo in range(0, len(ids), 8192):
+                hi = min(lo + 8192, len(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), vectors(total[lo:hi]), pa.array(n[lo:hi])], names=["dst", "total", "n"])
+
+        for batch in batches:
+            blocks_ = batch.column(0).to_numpy()
+            for lo in (first := np.flatnonzero(np.append(True, blocks_[1:] != blocks_[:-1]))) if len(blocks_) else ():
+                hi = int(first[first > lo][0]) if (first > lo).any() else len(blocks_)
+                if blocks_[lo] != at:
+                    yield from done()
+                    at, slots, total, n, last_src = blocks_[lo], {}, np.zeros((0, width)), np.zeros(0, np.int64), None
+                part = batch.slice(int(lo), hi - int(lo))
+                src, edge = part.column(1).to_numpy(), part.column(2).is_valid().to_numpy(zero_copy_only=False)
+                held = part.filter(pa.array(~edge))
+                x = np.vstack([last, matrix(held.column(3)).reshape(-1, width) * held.column(4).to_numpy()[:, None]])
+                owner = np.append(-1 if last_src is None else last_src, src[~edge])
+                known = np.cumsum(~edge)[edge]  # the vector before an edge; its own source's, if that has one
+                fits = (owner[known] == src[edge]) & ((known > 0) | (last_src is not None))
+                last, last_src = x[-1:], owner[-1] if len(owner) > 1 else last_src
+                dst = part.column(2).filter(pa.array(edge)).to_numpy()[fits]
+                if not len(dst):
+                    continue
+                slot = np.fromiter((slots.setdefault(d, len(slots)) for d in dst.tolist()), np.int64, len(dst))
+                if len(slots) > len(total):
+                    more = max(len(slots), 2 * len(total), 1024) - len(total)
+                    total, n = np.vstack([total, np.zeros((more, width))]), np.append(n, np.zeros(more, np.int64))
+                order = np.argsort(slot, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(slot[order]) != 0))
+                total[slot[order[starts]]] += np.add.reduceat(x[known[fits][order]], starts)
+                n[slot[order[starts]]] += np.diff(np.append(starts, len(order)))
+        yield from done()
+
+    sums = met.mapInArrow(add, "dst long, total array<double>, n long")
+    if not hubs:
+        return sums
+    return vector_sums(sums.select("dst", "total"), ["dst"], "total").select("dst", "total").join(sums.groupBy("dst").agg(F.sum("n").alias("n")), "dst")

@@ -65,7 +65,7 @@ SAGE = f"select h.node_id, {rounded_sql(f'list_transform(range({OUT}), lambda j:
 
 @Q.query(SAGE, MEAN)
 def sage_layer(s, d):
-    return rounded(L.sage_layer(V.pairs(s, d), vectors(s, d), weights(DIM, OUT, 1), weights(DIM, OUT, 2), bias(OUT, 1)), "node_id")
+    return rounded(L.sage_layer(V.pairs(s, d), Q.stored(s, d), weights(DIM, OUT, 1), weights(DIM, OUT, 2), bias(OUT, 1)), "node_id")
 
 
 NORM = H + ", o as (select src, count(*) as o from g_edges group by 1), n as (select dst, count(*) as n from g_edges group by 1), m1 as (select e.dst, x.dim, sum(x.x / sqrt(o.o * n.n)) as m from g_edges e join o using (src) join n using (dst) join hx x on x.node_id = e.src group by 1, 2), m as (select dst, list(m order by dim) as m from m1 group by 1)"
@@ -73,7 +73,7 @@ NORM = H + ", o as (select src, count(*) as o from g_edges group by 1), n as (se
 
 @Q.query(f"select h.node_id, {rounded_sql(f'list_transform(range({OUT}), lambda j: list_sum(list_transform(range({DIM}), lambda i: coalesce(m.m[i + 1], 0.0) * {w_sql(3)})) + {b_sql(3)})')} as h from h left join m on m.dst = h.node_id", NORM)
 def gcn_layer(s, d):
-    return rounded(L.gcn_layer(G.cut(V.pairs(s, d)), vectors(s, d), weights(DIM, OUT, 3), bias(OUT, 3)), "node_id")
+    return rounded(L.gcn_layer(V.pairs(s, d), Q.stored(s, d), weights(DIM, OUT, 3), bias(OUT, 3)), "node_id")
 
 
 def attention_sql(edges: str, width: int, target: str = "z") -> str:

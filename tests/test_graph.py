@@ -191,3 +191,28 @@ def test_dense_numbers_of_any_partitioning(spark):
     got = ordering.dense_index(spark.createDataFrame(keys, "a int, b int").repartition(6), "i", F.desc("a"), "b").collect()
     assert [(x.a, x.b) for x in sorted(got, key=lambda x: x.i)] == sorted(keys, key=lambda k: (-k[0], k[1])) and sorted(x.i for x in got) == list(range(3000))
     assert ordering.dense_index(spark.createDataFrame([], "a int"), "i", "a").count() == 0
+
+
+def test_neighbor_sums_send_a_vector_to_a_block_once(spark, monkeypatch):
+    """Against plain sums, with a hub in several blocks, a source without a vector, parallel edges, blocks that share tasks and one vector that many batches ask for."""
+    import numpy as np
+
+    from graphmill.functions import arrays as A
+
+    r = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in zip(r.integers(0, 40, 600), r.integers(0, 30, 600), strict=True)] + [(k % 40, 99) for k in range(300)] + [(3, 98)] * 50
+    x, w = r.standard_normal((39, 5)).astype(np.float32), r.random(39)  # 39 has no vector
+    h = spark.createDataFrame([(i, x[i].tolist(), float(w[i])) for i in range(39)], "node_id long, h array<float>, w double")
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    for limits in ((1 << 23, 1 << 20), (25, 60)):
+        monkeypatch.setattr(A, "BLOCK_NUMBERS", limits[0])
+        monkeypatch.setattr(A, "BLOCK_EDGES", limits[1])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            got = {g.dst: g for g in A.neighbor_sums(frame, h, 5).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        for dst in {b for _, b in edges}:
+            of = [a for a, b in edges if b == dst and a < 39]
+            assert got[dst].n == len(of) and np.allclose(got[dst].total, sum(x[a].astype(float) * w[a] for a in of))
+        assert len(got) == len({b for _, b in edges})
