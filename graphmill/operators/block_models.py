@@ -9,6 +9,8 @@ many numbers as there are parameters.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,8 +20,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphmill.functions.arrays import matrix, vector_sums, vectors
-from graphmill.functions.ordering import cut
+from graphmill.functions.ordering import checkpoint_folder, cut
 from graphmill.operators import layers as L
+from graphmill.operators import local_models as M
 from graphmill.operators.graph import SEED, hub_chunks, sample_layer
 
 KEYS = ["batch", "node_id"]
@@ -299,10 +302,71 @@ def gat_back(model: Model, k: int, saved: dict, g: DataFrame) -> DataFrame:
     return cut(mapped(rows.select(*KEYS, "h", none("v", heads * width + heads), none("s", heads), none("b", heads * width)), PARTS, at_sources))
 
 
-# Stacks.
+# Stacks. Batches that fit a task are worked on whole (``local_models``), larger ones by joins.
+
+#: Numbers that the states of a layer of one batch may hold (64 MB) to be worked on whole.
+LOCAL_NUMBERS = 1 << 23
+
+
+def widest(model: Model) -> tuple[int, int]:
+    """(inputs of the first layer, greatest width of a state or product)."""
+    rows = [len(p["source"]) if model.kind == "gat" else len(next(iter(p[name] for name in ("own", "weight") if name in p))) for p in model.params]
+    return rows[0], max(*rows, *(len(p["bias"]) for p in model.params))
+
+
+def fits(model: Model, blocks: Blocks) -> bool:
+    """Whether the largest batch, edges and nodes, fits a task."""
+    size = None
+    for f in (blocks.nodes[0], *blocks.edges):
+        n = f.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+        size = n if size is None else size.unionByName(n)
+    most = size.groupBy("batch").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    return most * widest(model)[1] <= LOCAL_NUMBERS
 
 
 def forward(model: Model, blocks: Blocks, features: DataFrame, draw: int | None = None) -> tuple[DataFrame, list[dict]]:
+    """(batch, node_id, h of the seeds: class scores; what each layer keeps for the way back, nothing where batches are worked on whole)."""
+    if not fits(model, blocks):
+        return spread(model, blocks, features, draw)
+    rows, use = M.rows_of(blocks, features), lambda b: M.forward(model, b, activated, product, draw)
+    return M.scored(rows, len(blocks.edges), widest(model)[0], use, STATE), []
+
+
+def local_gradients(model: Model, data: DataFrame, draw: int | None) -> tuple[list[dict[str, np.ndarray]], float, int]:
+    """``gradients`` over rows (data) of packed batches, in one job: a task adds up its batches, and sends one row of as many numbers as there are parameters."""
+    classes = len(model.params[-1]["bias"]) // model.heads
+
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for b in batch.column(0):
+                g = M.gradient(model, pickle.loads(b.as_py()), classes, activated, product, flat, draw)
+                total = g if total is None else total + g
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([vectors(total[None, :])], names=["g"])
+
+    rows = data.select("data").coalesce(32).mapInArrow(use, "g array<double>").collect()  # a row a task, of 32 at most
+    total = np.sum([r.g for r in rows], axis=0) if rows else np.zeros(2)
+    loss, n = total[-2:]
+    if not n:
+        return [{name: np.zeros_like(a) for name, a in p.items()} for p in model.params], 0.0, 0
+    out, at = [], 0
+    for p in model.params:
+        size = sum(a.size for a in p.values())
+        out.append(unflat(total[at : at + size] / n, p))
+        at += size
+    return out, float(loss / n), int(n)
+
+
+def steps_of(model: Model, seeds: DataFrame, blocks: Blocks, features: DataFrame, labels: DataFrame) -> Callable[[int], DataFrame]:
+    """What gives the packed batches of a step: all are written once, by step, so that a step reads its own folder alone."""
+    spark, path = seeds.sparkSession, f"{checkpoint_folder(seeds.sparkSession)}/steps-{uuid.uuid4().hex}"
+    data = M.packed(M.rows_of(blocks, features, labels), len(blocks.edges), widest(model)[0])
+    data.join(seeds.select("step", "batch").distinct(), "batch").write.partitionBy("step").parquet(path)
+    return lambda step: spark.read.schema("batch long, data binary").parquet(f"{path}/step={step}")
+
+
+def spread(model: Model, blocks: Blocks, features: DataFrame, draw: int | None = None) -> tuple[DataFrame, list[dict]]:
     """(batch, node_id, h of the seeds: class scores; what each layer keeps for the way back).
 
     ``features``: node_id, h. gat's scores are the means over heads, without the final log-softmax,
@@ -344,7 +408,14 @@ def loss_gradients(scores: DataFrame, labels: DataFrame, classes: int) -> DataFr
 
 def gradients(model: Model, blocks: Blocks, features: DataFrame, labels: DataFrame, draw: int | None = None) -> tuple[list[dict[str, np.ndarray]], float, int]:
     """(mean gradients of every parameter, mean loss, labelled seeds) over all batches of the blocks; seeds without a label don't count."""
-    scores, kept = forward(model, blocks, features, draw)
+    if fits(model, blocks):
+        return local_gradients(model, M.packed(M.rows_of(blocks, features, labels), len(blocks.edges), widest(model)[0]), draw)
+    return spread_gradients(model, blocks, features, labels, draw)
+
+
+def spread_gradients(model: Model, blocks: Blocks, features: DataFrame, labels: DataFrame, draw: int | None = None) -> tuple[list[dict[str, np.ndarray]], float, int]:
+    """The same by joins, for batches of any size."""
+    scores, kept = spread(model, blocks, features, draw)
     classes = len(model.params[-1]["bias"]) // model.heads
     parts = loss_gradients(scores, labels, classes)
     loss, n = gathered(parts, 2)
@@ -407,9 +478,13 @@ def train(
         blocks = sample(seeds, edges, fanouts, "" if epoch == 1 else f"epoch{epoch}")
         if sampled is not None:
             sampled.append(blocks.counters())
+        of_step = steps_of(model, seeds, blocks, features, labels) if fits(model, blocks) else None
         for step in steps:
-            of = blocks.of(seeds.where(F.col("step") == step).select("batch").distinct())
-            grads, loss, n = gradients(model, of, features, labels, draw=len(said))
+            if of_step is not None:
+                grads, loss, n = local_gradients(model, of_step(step), len(said))
+            else:
+                of = blocks.of(seeds.where(F.col("step") == step).select("batch").distinct())
+                grads, loss, n = spread_gradients(model, of, features, labels, draw=len(said))
             if not n:
                 continue
             said.append((epoch, step, loss))

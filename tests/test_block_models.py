@@ -153,3 +153,26 @@ def test_linear_keeps_nulls(spark):
     rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 1.0])], "i int, v array<double>").repartition(1)
     got = {r.i: r.y for r in rows.select("i", L.linear("v", np.array([[1.0, 2.0, 0.0], [0.0, 1.0, 1.0]]), np.array([0.0, 0.0, 5.0])).alias("y")).collect()}
     assert got == {1: [1.0, 4.0, 7.0], 2: None, 3: [0.0, 1.0, 6.0]}
+
+
+@pytest.mark.parametrize("kind", ["sage", "gcn", "gat"])
+def test_whole_batches_agree_with_joins_where_nodes_have_no_features(spark, kind, monkeypatch):
+    """A batch that fits a task is shuffled once, by batch; what it says is what joins say, dropout and unknown nodes too, and labels outside the classes raise."""
+    r = np.random.default_rng(9)
+    edges = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(r.integers(0, 18, (90, 2)))], "edge_id long, src long, dst long")
+    seeds = spark.createDataFrame([(b, n) for b in range(3) for n in range(4 * b, 4 * b + 5)], "batch long, node_id long")
+    features = spark.createDataFrame([(n, r.standard_normal(3).tolist()) for n in range(18) if n != 7 or kind == "gat"], "node_id long, h array<double>")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(18) if n % 5], "node_id long, label long")
+    blocks = B.sample(seeds, edges, [3, 4])
+    model = B.start(kind, 3, 4, 2, 2, heads=2, dropout=0.3)
+    rows = lambda f: {(v.batch, v.node_id): v.h for v in f.collect()}
+    whole, parts = rows(B.forward(model, blocks, features, 1)[0]), rows(B.spread(model, blocks, features, 1)[0])
+    assert whole.keys() == parts.keys() and all(np.allclose(whole[k], parts[k]) for k in whole)
+    assert B.forward(model, blocks, features)[0]._jdf.queryExecution().executedPlan().toString().count("mapInArrow") <= 1
+    a, b = B.gradients(model, blocks, features, labels, 1), B.spread_gradients(model, blocks, features, labels, 1)
+    assert a[1:] == pytest.approx(b[1:]) and all(np.allclose(x[n], y[n]) for x, y in zip(a[0], b[0], strict=True) for n in x)
+    with pytest.raises(Exception, match="not a class"):
+        B.gradients(model, blocks, features, labels.selectExpr("node_id", "-1 as label"), 1)
+    monkeypatch.setattr(B, "LOCAL_NUMBERS", 1)
+    large = rows(B.forward(model, blocks, features, 1)[0])
+    assert large.keys() == parts.keys() and all(np.allclose(large[k], parts[k]) for k in parts)
