@@ -224,17 +224,28 @@ def distribute(scored: DataFrame, domain: int, batch: int, machines: int) -> Dat
     return out
 
 
+def adjacent(edges: DataFrame) -> DataFrame:
+    """dst, chunk, near: the in-edges (edge_id, src) of a target's chunk in one array of ``HUB`` entries at most."""
+    return edges.groupBy("dst", "chunk").agg(F.collect_list(F.struct("edge_id", "src")).alias("near"))
+
+
 def sample_layer(frontier: DataFrame, edges: DataFrame, chunks: DataFrame, fanout: int, layer: int, relation: str = "") -> DataFrame:
-    """Up to ``fanout`` in-edges of each frontier node, by hash order; ``edges`` and ``chunks`` from ``hub_chunks``.
+    """Up to ``fanout`` in-edges of each frontier node, by hash order, with the frontier's other columns; ``edges`` and ``chunks`` from ``hub_chunks``.
 
-    The join is by target and chunk, so a hub's edges lie in several tasks, and the limit on the rank
-    holds in each of them first (a window group limit before the shuffle): a target sends at most
-    ``fanout`` edges a chunk, however many it has.
+    A frontier node meets an array of its in-edges and takes the first of them in place, so that what
+    is shuffled after the join is the sample alone, and only where a hub's chunks send ``fanout``
+    edges each. A hub's edges lie in several tasks, since the join is by target and chunk.
     """
-    key = order_key(SEED, f"{relation}layer{layer}", F.col("batch"), F.col("edge_id"))
-    rank = F.row_number().over(Window.partitionBy("batch", "dst").orderBy(key, "edge_id"))
-    near = in_chunks(frontier, chunks).join(edges, ["dst", "chunk"])
-    return near.withColumn("r", rank).where(F.col("r") <= fanout).select("batch", F.lit(layer).alias("layer"), "src", "dst", "edge_id")
+    names = [c for c in frontier.columns if c != "node_id"]
+    key = lambda e: order_key(SEED, f"{relation}layer{layer}", F.col("batch"), e["edge_id"])
+    keyed = F.transform("near", lambda e: F.struct(key(e).alias("key"), e["edge_id"].alias("edge_id"), e["src"].alias("src")))
+    first = lambda entries: F.slice(F.array_sort(entries), 1, fanout)
+    near = in_chunks(frontier, chunks).join(adjacent(edges), ["dst", "chunk"]).select(*names, "dst", first(keyed).alias("near"))
+    if chunks.isEmpty():
+        return near.select(*names, F.lit(layer).alias("layer"), "dst", F.explode("near").alias("e")).select(*names, "layer", "e.src", "dst", "e.edge_id")
+    rank = F.row_number().over(Window.partitionBy(*names, "dst").orderBy("key", "edge_id"))
+    several = near.select(*names, "dst", F.explode("near").alias("e")).select(*names, "dst", "e.*").withColumn("r", rank)
+    return several.where(F.col("r") <= fanout).select(*names, F.lit(layer).alias("layer"), "src", "dst", "edge_id")
 
 
 def sample_blocks(batch_nodes: DataFrame, edges: DataFrame, fanouts: list[int]) -> DataFrame:
