@@ -87,13 +87,8 @@ def vector_sums(rows: DataFrame, keys: list[str], vector: str, weights: str | No
     return used.mapInArrow(partly, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(wholly, schema)
 
 
-def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
-    """dst, total (sum of the sources' ``h``, times their ``w`` if there is one), ``n`` (in-edges whose source has a vector), from edges (src, dst) and h (node_id, h, w).
-
-    Targets lie in blocks whose sums fit a task. A source's vector goes to each block that it has an
-    edge into once, as it is stored, and meets the block's edges there, sorted by source: the shuffle
-    holds no vector for each edge. A hub's in-edges are dealt to several blocks by source.
-    """
+def in_blocks(edges: DataFrame, width: int) -> tuple[DataFrame, bool]:
+    """(block, src, dst) of edges, so that the sums of a block's targets fit a task, and whether a hub's in-edges are dealt to several blocks by source."""
     spark = edges.sparkSession
     edges = edges.select("src", "dst")
     degree = cut(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")))
@@ -104,7 +99,17 @@ def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
         chunks = degree.where(F.col("n") > BLOCK_EDGES).select("dst", F.ceil(F.col("n") / BLOCK_EDGES).alias("chunks"))
         edges = edges.join(chunks, "dst", "left")
         place = F.when(F.col("chunks").isNull(), place).otherwise(F.xxhash64("dst", F.pmod(F.xxhash64("src"), F.col("chunks"))))
-    rows = edges.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "src", "dst")
+    return edges.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "src", "dst"), hubs
+
+
+def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
+    """dst, total (sum of the sources' ``h``, times their ``w`` if there is one), ``n`` (in-edges whose source has a vector), from edges (src, dst) and h (node_id, h, w).
+
+    Targets lie in blocks whose sums fit a task. A source's vector goes to each block that it has an
+    edge into once, as it is stored, and meets the block's edges there, sorted by source: the shuffle
+    holds no vector for each edge. A hub's in-edges are dealt to several blocks by source.
+    """
+    rows, hubs = in_blocks(edges, width)
     vector = h.select(F.col("node_id").alias("src"), "h", F.col("w") if "w" in h.columns else F.lit(1.0).alias("w")).where("h is not null")
     sent = rows.select("block", "src").distinct().join(vector, "src").select("block", "src", F.lit(None).cast("long").alias("dst"), "h", "w")
     asked = rows.select("*", F.lit(None).cast(vector.schema["h"].dataType).alias("h"), F.lit(None).cast("double").alias("w"))
@@ -153,3 +158,94 @@ def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
     if not hubs:
         return sums
     return vector_sums(sums.select("dst", "total"), ["dst"], "total").select("dst", "total").join(sums.groupBy("dst").agg(F.sum("n").alias("n")), "dst")
+
+
+def attention_sums(edges: DataFrame, z: DataFrame, target: DataFrame, left: np.ndarray, right: np.ndarray, slope: float) -> DataFrame:
+    """dst, total: sums of the sources' ``z``, each head's part times its share, from edges (src, dst), z and target (node_id, z).
+
+    A share is the softmax, over the in-edges of a target, of the leaky sum of two scores: ``left``
+    times the source's part and ``right`` times the target's. Blocks are those of ``neighbor_sums``:
+    a vector goes to each block that asks for it once, and no score of an edge is written. A target keeps the
+    greatest score so far, and its sums are scaled down when a greater one comes. A block's part of
+    a hub leaves with its greatest scores and weights, and such parts are added by target.
+    """
+    heads, width = left.shape
+    size = heads * width
+    rows, hubs = in_blocks(edges, size + 2 * heads)
+    none = F.lit(None)
+    vector = z.where("z is not null").select(F.col("node_id").alias("src"), F.col("z").alias("h"))
+    kind = vector.schema["h"].dataType
+    own = target.where("z is not null").select(F.col("node_id").alias("dst"), F.col("z").alias("h"))
+    asking = rows.select("block", "dst").distinct().join(own, "dst").select("block", none.cast("long").alias("src"), "dst", "h")
+    sent = rows.select("block", "src").distinct().join(vector, "src").select("block", "src", none.cast("long").alias("dst"), "h")
+    met = asking.unionByName(sent).unionByName(rows.withColumn("h", none.cast(kind)))
+    met = met.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("src"), F.asc_nulls_first("dst"))
+    score = lambda x, w: (x.reshape(len(x), heads, width) * w).sum(2)
+    spread = lambda w: np.repeat(w, width, axis=1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's targets come first, then each source before its edges; both may go on in the next batch."""
+        at, slots, r, top, weight, total = None, {}, [], None, None, None
+        last, last_src = np.zeros((1, size)), None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if total is None:
+                return
+            ids = np.fromiter(slots, np.int64, len(slots))
+            for lo in range(0, len(ids), 8192):
+                k = lo + np.flatnonzero(weight[lo : lo + 8192, 0] > 0)
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[k]), vectors(total[k]), vectors(top[k]), vectors(weight[k])], names=["dst", "total", "top", "weight"])
+
+        for batch in batches:
+            blocks_ = batch.column(0).to_numpy()
+            ends = [0, *(np.flatnonzero(blocks_[1:] != blocks_[:-1]) + 1), len(blocks_)] if len(blocks_) else [0]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                if blocks_[lo] != at:
+                    yield from done()
+                    at, slots, r, top, weight, total, last_src = blocks_[lo], {}, [], None, None, None, None
+                part = batch.slice(int(lo), int(hi - lo))
+                has_src, has_dst = (part.column(k).is_valid().to_numpy(zero_copy_only=False) for k in (1, 2))
+                if not has_src.all():
+                    mine = part.filter(pa.array(~has_src))
+                    slots.update(zip(mine.column(2).to_pylist(), range(len(slots), len(slots) + mine.num_rows), strict=True))
+                    r.append(score(matrix(mine.column(3)), right))
+                    part, has_dst = part.filter(pa.array(has_src)), has_dst[has_src]
+                if not part.num_rows or not slots:
+                    continue
+                if total is None:
+                    r = np.vstack(r)
+                    top, weight, total = np.full(r.shape, -np.inf), np.zeros(r.shape), np.zeros((len(r), size))
+                src, held = part.column(1).to_numpy(), part.filter(pa.array(~has_dst))
+                x = np.vstack([last, matrix(held.column(3)).reshape(-1, size)])
+                owner = np.append(-1 if last_src is None else last_src, src[~has_dst])
+                known = np.cumsum(~has_dst)[has_dst]  # the vector before an edge; its own source's, if that has one
+                slot = np.array([slots.get(d, -1) for d in part.column(2).filter(pa.array(has_dst)).to_pylist()], np.int64)
+                fits = (owner[known] == src[has_dst]) & ((known > 0) | (last_src is not None)) & (slot >= 0)
+                last, last_src = x[-1:], owner[-1] if len(owner) > 1 else last_src
+                slot, known = slot[fits], known[fits]
+                if not len(slot):
+                    continue
+                order = np.argsort(slot, kind="stable")
+                slot, known = slot[order], known[order]
+                starts = np.flatnonzero(np.append(True, np.diff(slot) != 0))
+                t, each = slot[starts], np.diff(np.append(starts, len(slot)))
+                s = score(x, left)[known] + r[slot]
+                e = np.where(s > 0, s, slope * s)
+                new = np.maximum(top[t], np.maximum.reduceat(e, starts))
+                e, down = np.exp(e - np.repeat(new, each, axis=0)), np.exp(top[t] - new)
+                weight[t] = weight[t] * down + np.add.reduceat(e, starts)
+                total[t] = total[t] * spread(down) + np.add.reduceat(x[known] * spread(e), starts)
+                top[t] = new
+        yield from done()
+
+    parts = met.mapInArrow(add, "dst long, total array<double>, top array<double>, weight array<double>")
+    if hubs:
+        parts = cut(parts)
+        most = parts.groupBy("dst").agg(F.array(*[F.max(F.col("top")[k]) for k in range(heads)]).alias("most"))
+        down = F.zip_with("top", "most", lambda a, b: F.exp(a - b))
+        both = parts.join(most, "dst").select("dst", "total", "weight", down.alias("down"))
+        sums = vector_sums(both, ["dst"], "total", "down").select("dst", "total")
+        parts = sums.join(vector_sums(both, ["dst"], "weight", "down").select("dst", F.col("total").alias("weight")), "dst")
+    share = F.transform("total", lambda v, k: v / F.element_at("weight", (k / F.lit(width)).cast("int") + 1))
+    return parts.select("dst", share.alias("total"))

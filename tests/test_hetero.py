@@ -134,3 +134,28 @@ def test_ties_between_sixth_decimals_don_t_depend_on_the_order_of_a_sum(spark):
     got = P.tie_safe(spark.createDataFrame([(1, about)], "node_id long, h array<double>"), "node_id").first().h
     assert got == [x for x in (-0.017597, 0.017597, 0.310356, -2.000001, 0.0) for _ in range(3)]
     assert got == duckdb.sql(f"select {P.tie_safe_sql('h')} from (select {about}::double[] as h)").fetchall()[0][0]
+
+
+def test_attention_writes_nothing_for_each_edge_and_a_hub_spans_blocks(spark, monkeypatch):
+    from graphmill.functions import arrays
+    from graphmill.operators import layers as L
+
+    def refuse(df):
+        raise AssertionError("scores of edges are written")
+
+    monkeypatch.setattr(L, "cut", refuse)
+    monkeypatch.setattr(arrays, "BLOCK_EDGES", 40)
+    r, n = np.random.default_rng(5), 60
+    edges = [(int(x), 3) for x in r.integers(0, n, 150)] + [(int(x), int(y)) for x, y in r.integers(0, n - 1, (100, 2))]
+    h, w = r.standard_normal((n, 3)) * 40, r.standard_normal((3, 4))  # scores that overflow without their maximum
+    left, right, bias = r.standard_normal((2, 2)) * 20, r.standard_normal((2, 2)) * 20, r.standard_normal(4)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(h)], "node_id long, h array<double>")
+    got = {x.node_id: x.h for x in L.gat_layer(spark.createDataFrame(edges, "src long, dst long"), frame, w, left, right, bias).collect()}
+    z = (h @ w).reshape(n, 2, 2)
+    for v in range(n):
+        near = [s for s, d in edges if d == v]
+        s = (z[near] * left).sum(2) + (z[v] * right).sum(1)
+        e = np.where(s > 0, s, 0.2 * s)
+        e = np.exp(e - e.max(0)) if near else e
+        want = ((e / e.sum(0))[:, :, None] * z[near]).sum(0).ravel() if near else np.zeros(4)
+        assert np.allclose(got[v], want + bias)
