@@ -30,7 +30,11 @@ def fetch_routed(requests: DataFrame, features: DataFrame, owners: int) -> DataF
 
 
 def fetch_remapped(requests: DataFrame, features: DataFrame, owners: int) -> DataFrame:
-    """Requests are split by owner, rows come back in the order of the owner's bucket, and buckets are put back into positions."""
+    """Requests are split by owner, what an owner's bucket asks for comes back in the bucket's order, and buckets are put back into positions.
+
+    Positions are restored over ids and slots, before the rows join in: no vector is shuffled for each request.
+    """
     buckets = routed(requests, owners)
-    sent = buckets.select("batch", "owner", "slot", "node_id").join(features, "node_id").select("batch", "owner", "slot", "embedding")
-    return buckets.join(sent, ["batch", "owner", "slot"]).select("batch", "pos", "node_id", "owner", "embedding")
+    sent = buckets.select("batch", "owner", "slot", "node_id")
+    placed = buckets.select("batch", "owner", "slot", "pos").join(sent, ["batch", "owner", "slot"])
+    return placed.join(features, "node_id").select("batch", "pos", "node_id", "owner", "embedding")

@@ -216,3 +216,14 @@ def test_neighbor_sums_send_a_vector_to_a_block_once(spark, monkeypatch):
             of = [a for a, b in edges if b == dst and a < 39]
             assert got[dst].n == len(of) and np.allclose(got[dst].total, sum(x[a].astype(float) * w[a] for a in of))
         assert len(got) == len({b for _, b in edges})
+
+
+def test_remapped_rows_meet_their_positions_before_vectors(spark):
+    from graphmill.operators import fetch
+
+    asked = spark.createDataFrame([(b, p, 3 * p + b) for b in range(2) for p in range(5)], "batch long, pos long, node_id long")
+    held = spark.createDataFrame([(n, [float(n), -float(n)]) for n in range(20)], "node_id long, embedding array<double>")
+    got = fetch.fetch_remapped(asked, held, 2)
+    assert {(r.batch, r.pos): (r.node_id, r.owner, r.embedding) for r in got.collect()} == {(b, p): (3 * p + b, (3 * p + b) % 2, [3.0 * p + b, -3.0 * p - b]) for b in range(2) for p in range(5)}
+    last = next(line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "node_id" in last and "slot" not in last  # nothing is shuffled by slot once the vectors are there
