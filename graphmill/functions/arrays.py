@@ -8,10 +8,12 @@ added as a stream. The width of a vector doesn't matter to the plan: no expressi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from graphmill.functions.ordering import cut
 
 #: Numbers that the sums of one block of targets hold (64 MB), and in-edges of a target in one block; a hub has more.
 BLOCK_NUMBERS, BLOCK_EDGES = 1 << 23, 1 << 20
+#: Edges of all targets of one block, on average.
+BLOCK_ALL = 1 << 23
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -87,38 +91,70 @@ def vector_sums(rows: DataFrame, keys: list[str], vector: str, weights: str | No
     return used.mapInArrow(partly, schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(wholly, schema)
 
 
-def in_blocks(edges: DataFrame, width: int) -> tuple[DataFrame, bool]:
-    """(block, src, dst) of edges, so that the sums of a block's targets fit a task, and whether a hub's in-edges are dealt to several blocks by source."""
+def in_blocks(edges: DataFrame, width: int) -> tuple[DataFrame, bool, int]:
+    """(block, src, dst) of edges, so that the sums of a block's targets fit a task, whether a hub's in-edges are dealt to several blocks by source, and the number of blocks."""
     spark = edges.sparkSession
     edges = edges.select("src", "dst")
     degree = cut(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")))
-    seen = degree.agg(F.count(F.lit(1)).alias("targets"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
-    blocks = max(spark.sparkContext.defaultParallelism, -(-seen.targets * width // BLOCK_NUMBERS))
+    seen = degree.agg(F.count(F.lit(1)).alias("targets"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges")).first()
+    blocks = max(spark.sparkContext.defaultParallelism, -(-seen.targets * width // BLOCK_NUMBERS), -(-seen.edges // BLOCK_ALL))
     place, hubs = F.xxhash64("dst"), seen.most > BLOCK_EDGES
     if hubs:
         chunks = degree.where(F.col("n") > BLOCK_EDGES).select("dst", F.ceil(F.col("n") / BLOCK_EDGES).alias("chunks"))
         edges = edges.join(chunks, "dst", "left")
         place = F.when(F.col("chunks").isNull(), place).otherwise(F.xxhash64("dst", F.pmod(F.xxhash64("src"), F.col("chunks"))))
-    return edges.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "src", "dst"), hubs
+    return edges.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "src", "dst"), hubs, blocks
 
 
-def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
+@dataclass(frozen=True)
+class Packed:
+    """Edges in blocks of targets: rows (src, block, near: targets in order), a few for each source and block; sums over them need no sort of edges."""
+
+    rows: DataFrame
+    hubs: bool
+    blocks: int
+
+
+def packed(edges: DataFrame, width: int, again: bool = False) -> Packed:
+    """Edges (src, dst) packed for sums of ``width`` components; ``again``: written once, for several sums.
+
+    Edges are sorted by source once, as numbers alone. A row holds a batch's edges at most, whatever
+    the degree of its source.
+    """
+    rows, hubs, blocks = in_blocks(edges, width)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, src, dst = (batch.column(k).to_numpy() for k in range(3))
+            order = np.lexsort((block, src))
+            block, src, dst = block[order], src[order], dst[order]
+            first = np.flatnonzero(np.append(True, (src[1:] != src[:-1]) | (block[1:] != block[:-1])))
+            near = pa.ListArray.from_arrays(pa.array(np.append(first, len(src)).astype(np.int32)), pa.array(dst))
+            yield pa.RecordBatch.from_arrays([pa.array(src[first]), pa.array(block[first]), near], names=["src", "block", "near"])
+
+    known = rows.where("src is not null and dst is not null")
+    out = known.repartition("src").sortWithinPartitions("src", "dst").mapInArrow(pack, "src long, block int, near array<long>")
+    return Packed(cut(out) if again else out, hubs, blocks)
+
+
+def neighbor_sums(edges: DataFrame | Packed, h: DataFrame, width: int) -> DataFrame:
     """dst, total (sum of the sources' ``h``, times their ``w`` if there is one), ``n`` (in-edges whose source has a vector), from edges (src, dst) and h (node_id, h, w).
 
-    Targets lie in blocks whose sums fit a task. A source's vector goes to each block that it has an
-    edge into once, as it is stored, and meets the block's edges there, sorted by source: the shuffle
-    holds no vector for each edge. A hub's in-edges are dealt to several blocks by source.
+    Targets lie in blocks whose sums fit a task. A source's vector meets the arrays of its targets in
+    each block and goes there with them: the shuffle holds no vector for each edge, and edges are
+    neither sorted nor joined one by one. A hub's in-edges are dealt to several blocks by source.
     """
-    rows, hubs = in_blocks(edges, width)
+    near = edges if isinstance(edges, Packed) else packed(edges, width)
     vector = h.select(F.col("node_id").alias("src"), "h", F.col("w") if "w" in h.columns else F.lit(1.0).alias("w")).where("h is not null")
-    sent = rows.select("block", "src").distinct().join(vector, "src").select("block", "src", F.lit(None).cast("long").alias("dst"), "h", "w")
-    asked = rows.select("*", F.lit(None).cast(vector.schema["h"].dataType).alias("h"), F.lit(None).cast("double").alias("w"))
-    met = sent.unionByName(asked).repartition("block").sortWithinPartitions("block", "src", F.asc_nulls_first("dst"))
+    sent = near.rows.join(vector, "src").select("block", "src", F.col("near")[0].alias("least"), "near", "h", "w")
+    met = sent.repartitionById(near.blocks, "block").sortWithinPartitions("block", "src", "least").select("block", "near", "h", "w")
+    step = max(1, (1 << 21) // max(1, width))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The last vector of a batch may be asked for in the next one; a block's sums leave when it ends."""
+        """A block's sums leave when it ends."""
         at, slots, total, n = None, {}, np.zeros((0, width)), np.zeros(0, np.int64)
-        last, last_src = np.zeros((1, width)), None
 
         def done() -> Iterator[pa.RecordBatch]:
             ids = np.fromiter(slots, np.int64, len(slots))
@@ -128,34 +164,28 @@ def neighbor_sums(edges: DataFrame, h: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             blocks_ = batch.column(0).to_numpy()
-            for lo in (first := np.flatnonzero(np.append(True, blocks_[1:] != blocks_[:-1]))) if len(blocks_) else ():
-                hi = int(first[first > lo][0]) if (first > lo).any() else len(blocks_)
+            ends = [0, *(np.flatnonzero(blocks_[1:] != blocks_[:-1]) + 1), len(blocks_)] if len(blocks_) else [0]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
                 if blocks_[lo] != at:
                     yield from done()
-                    at, slots, total, n, last_src = blocks_[lo], {}, np.zeros((0, width)), np.zeros(0, np.int64), None
-                part = batch.slice(int(lo), hi - int(lo))
-                src, edge = part.column(1).to_numpy(), part.column(2).is_valid().to_numpy(zero_copy_only=False)
-                held = part.filter(pa.array(~edge))
-                x = np.vstack([last, matrix(held.column(3)).reshape(-1, width) * held.column(4).to_numpy()[:, None]])
-                owner = np.append(-1 if last_src is None else last_src, src[~edge])
-                known = np.cumsum(~edge)[edge]  # the vector before an edge; its own source's, if that has one
-                fits = (owner[known] == src[edge]) & ((known > 0) | (last_src is not None))
-                last, last_src = x[-1:], owner[-1] if len(owner) > 1 else last_src
-                dst = part.column(2).filter(pa.array(edge)).to_numpy()[fits]
-                if not len(dst):
-                    continue
-                slot = np.fromiter((slots.setdefault(d, len(slots)) for d in dst.tolist()), np.int64, len(dst))
-                if len(slots) > len(total):
-                    more = max(len(slots), 2 * len(total), 1024) - len(total)
-                    total, n = np.vstack([total, np.zeros((more, width))]), np.append(n, np.zeros(more, np.int64))
-                order = np.argsort(slot, kind="stable")
-                starts = np.flatnonzero(np.append(True, np.diff(slot[order]) != 0))
-                total[slot[order[starts]]] += np.add.reduceat(x[known[fits][order]], starts)
-                n[slot[order[starts]]] += np.diff(np.append(starts, len(order)))
+                    at, slots, total, n = blocks_[lo], {}, np.zeros((0, width)), np.zeros(0, np.int64)
+                part = batch.slice(int(lo), int(hi - lo))
+                x = matrix(part.column(2)).reshape(-1, width) * part.column(3).to_numpy()[:, None]
+                every, owner = part.column(1).flatten().to_numpy(), np.repeat(np.arange(len(x)), pc.list_value_length(part.column(1)).to_numpy())
+                for k in range(0, len(every), step):
+                    order = np.argsort(every[k : k + step], kind="stable")
+                    dst, known = every[k : k + step][order], owner[k : k + step][order]
+                    starts = np.flatnonzero(np.append(True, dst[1:] != dst[:-1]))
+                    slot = np.fromiter((slots.setdefault(d, len(slots)) for d in dst[starts].tolist()), np.int64, len(starts))
+                    if len(slots) > len(total):
+                        more = max(len(slots), 2 * len(total), 1024) - len(total)
+                        total, n = np.vstack([total, np.zeros((more, width))]), np.append(n, np.zeros(more, np.int64))
+                    total[slot] += np.add.reduceat(x[known], starts)
+                    n[slot] += np.diff(np.append(starts, len(dst)))
         yield from done()
 
     sums = met.mapInArrow(add, "dst long, total array<double>, n long")
-    if not hubs:
+    if not near.hubs:
         return sums
     return vector_sums(sums.select("dst", "total"), ["dst"], "total").select("dst", "total").join(sums.groupBy("dst").agg(F.sum("n").alias("n")), "dst")
 
@@ -171,7 +201,7 @@ def attention_sums(edges: DataFrame, z: DataFrame, target: DataFrame, left: np.n
     """
     heads, width = left.shape
     size = heads * width
-    rows, hubs = in_blocks(edges, size + 2 * heads)
+    rows, hubs, _ = in_blocks(edges, size + 2 * heads)
     none = F.lit(None)
     vector = z.where("z is not null").select(F.col("node_id").alias("src"), F.col("z").alias("h"))
     kind = vector.schema["h"].dataType

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphmill.functions.arrays import Packed, packed
 from graphmill.functions.ordering import cut
 from graphmill.operators import layers as L
 from graphmill.operators.graph import hub_chunks, sample_layer
@@ -57,16 +58,16 @@ def load(spark: SparkSession, schema: Schema, edges: dict[str, DataFrame], featu
     """A graph whose tables fit the schema: an edge or a feature of a node that the counts don't have raises. Nodes without features have zeros."""
     if set(edges) != set(schema.relations) or set(features) != set(schema.counts):
         raise ValueError("edges and features must name the schema's relations and node types")
-    seen = []
-    for rel, (source, target) in schema.relations.items():
-        seen += [edges[rel].select(F.lit(f"{rel}, {side}").alias("what"), F.lit(kind).alias("kind"), F.col(column).alias("id")) for side, kind, column in (("source", source, "src"), ("target", target, "dst"))]
-    seen += [features[kind].select(F.lit(f"features of {kind}").alias("what"), F.lit(kind).alias("kind"), F.col("node_id").alias("id")) for kind in schema.counts]
-    every = seen[0]
-    for part in seen[1:]:
-        every = every.unionByName(part)
-    for r in every.groupBy("what", "kind").agg(F.min("id").alias("least"), F.max("id").alias("most")).collect():  # a row a relation and side
-        if r.least < 0 or r.most >= schema.counts[r.kind]:
-            raise ValueError(f"{r.what}: ids from {r.least} to {r.most} don't fit {schema.counts[r.kind]} nodes of {r.kind}")
+    every = None
+    for what, rows, columns in [*((rel, edges[rel], ("src", "dst")) for rel in schema.relations), *((kind, features[kind], ("node_id",)) for kind in schema.counts)]:
+        part = rows.select(*(F.col(c).cast("long").alias(n) for c, n in zip((*columns, columns[0])[:2], ("a", "b"), strict=True)))
+        part = part.agg(F.min("a"), F.max("a"), F.min("b"), F.max("b")).toDF("least_a", "most_a", "least_b", "most_b").select(F.lit(what).alias("what"), F.lit(len(columns) == 2).alias("edge"), "*")  # edges are read once
+        every = part if every is None else every.unionByName(part)
+    for r in every.collect():  # a row a relation and a node type
+        ends = schema.relations[r.what] if r.edge else (r.what,)
+        for side, kind, least, most in zip(("source", "target"), ends, (r.least_a, r.least_b), (r.most_a, r.most_b), strict=False):
+            if least is not None and (least < 0 or most >= schema.counts[kind]):
+                raise ValueError(f"{f'{r.what}, {side}' if r.edge else f'features of {kind}'}: ids from {least} to {most} don't fit {schema.counts[kind]} nodes of {kind}")
     nodes, filled = {}, {}
     for kind, n in schema.counts.items():
         nodes[kind] = spark.range(n).withColumnRenamed("id", "node_id")
@@ -108,34 +109,53 @@ class Stack:
     heads: int = 4
 
 
-def relation_layer(stack: Stack, p: dict[str, np.ndarray], edges: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+def relation_layer(stack: Stack, p: dict[str, np.ndarray], edges: DataFrame, source: DataFrame, target: DataFrame, near: Packed | None = None) -> DataFrame:
     """node_id, h of the targets that a relation reaches."""
     if stack.kind == "rgcn":
-        return L.relation_gcn(edges, source, p["weight"], p["bias"])
+        return L.relation_gcn(edges, source, p["weight"], p["bias"], near)
     if stack.kind == "rsage":
-        return L.relation_sage(edges, source, target, p["weight"], p["bias"])
+        return L.relation_sage(edges, source, target, p["weight"], p["bias"], near)
     out = L.gat_layer(edges, source, p["weight"], p["left"], p["right"], p["bias"], target=target)
     return out.join(edges.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_semi")
 
 
+def speaking(stack: Stack, schema: Schema) -> list[list[str]]:
+    """The relations of each layer whose results the scores of the target type depend on."""
+    have, speak = [set(schema.counts)], []
+    for _ in stack.layers:
+        speak.append([rel for rel, ends in schema.relations.items() if have[-1].issuperset(ends)])
+        have.append({schema.relations[rel][1] for rel in speak[-1]})
+    if stack.target not in have[-1]:
+        raise ValueError(f"no relation leads to {stack.target!r}")
+    wanted = {stack.target}
+    for k in range(len(speak) - 1, -1, -1):
+        speak[k] = [rel for rel in speak[k] if schema.relations[rel][1] in wanted]
+        wanted = {kind for rel in speak[k] for kind in schema.relations[rel][: 1 if stack.kind == "rgcn" else 2]}
+    return speak
+
+
 def forward(stack: Stack, graph: HeteroGraph) -> DataFrame:
     """node_id, h: class scores of every node of the target type.
 
     A layer gives states to the types that relations lead to, the mean (rgcn) or sum of what its
     relations say, with ReLU between layers; a node that none reaches has zeros, and a type that none
-    leads to has no states, so that its relations say nothing from then on.
+    leads to has no states, so that its relations say nothing from then on. States that no score
+    depends on aren't worked out. Edges are packed once for all layers.
     """
-    states = dict(graph.features)
+    states, speak, near = dict(graph.features), speaking(stack, graph.schema), {}
+    pairs = {rel: graph.edges[rel].select("src", "dst") for rel in graph.schema.relations}
+    if stack.kind != "rgat":
+        for rel in {rel for said in speak for rel in said}:
+            widths = [len(p[rel]["weight"]) for p, said in zip(stack.layers, speak, strict=True) if rel in said]
+            near[rel] = packed(pairs[rel], max(widths), again=len(widths) > 1)
     for k, params in enumerate(stack.layers):
         parts: dict[str, list[DataFrame]] = {}
-        for rel, (source, target) in graph.schema.relations.items():
-            if source in states and target in states:
-                parts.setdefault(target, []).append(relation_layer(stack, params[rel], graph.edges[rel].select("src", "dst"), states[source], states[target]))
+        for rel in speak[k]:
+            source, target = graph.schema.relations[rel]
+            parts.setdefault(target, []).append(relation_layer(stack, params[rel], pairs[rel], states[source], states.get(target), near.get(rel)))
         width = len(next(iter(params.values()))["bias"])
         states = {}
         for kind, frames in parts.items():
             h = graph.nodes[kind].join(L.across_relations(frames, HOW[stack.kind]), "node_id", "left").select("node_id", F.coalesce("h", F.array_repeat(F.lit(0.0), width)).alias("h"))
             states[kind] = cut(h if k == len(stack.layers) - 1 else h.withColumn("h", L.relu("h")))
-    if stack.target not in states:
-        raise ValueError(f"no relation leads to {stack.target!r}")
     return states[stack.target].select("node_id", L.linear("h", *stack.head).alias("h"))

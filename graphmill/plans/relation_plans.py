@@ -20,8 +20,8 @@ SALTS = {rel: 30 + k for k, rel in enumerate(RELATIONS)}
 def graph(s, d) -> H.HeteroGraph:
     """The star schema as a graph of four node types; counts come from the tables before any edge is read."""
     counts = {kind: V.read(s, d, kind).count() for kind in Q.KINDS}
-    every = G.cut(V.hetero(s, d))
-    edges = {rel: every.where(F.col("rel") == rel).select("src", "dst") for rel in Q.TYPES}
+    every = V.hetero(s, d)
+    edges = {rel: G.cut(every.where(F.col("rel") == rel).select("src", "dst")) for rel in Q.TYPES}  # a relation's edges alone are read wherever it speaks
     edges |= {rel: edges[there].select(F.col("dst").alias("src"), F.col("src").alias("dst")) for rel, there in BACK.items()}
     return H.load(s, H.Schema(counts, RELATIONS), edges, P.type_features(s, d))
 

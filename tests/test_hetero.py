@@ -159,3 +159,21 @@ def test_attention_writes_nothing_for_each_edge_and_a_hub_spans_blocks(spark, mo
         e = np.exp(e - e.max(0)) if near else e
         want = ((e / e.sum(0))[:, :, None] * z[near]).sum(0).ravel() if near else np.zeros(4)
         assert np.allclose(got[v], want + bias)
+
+
+def test_edges_are_packed_and_only_what_scores_depend_on_is_worked_out(spark):
+    from graphmill.functions import arrays
+
+    schema = H.Schema(COUNTS, RELATIONS)
+    assert H.speaking(stack_of("rgcn"), schema) == [["ba", "aa"], ["ab"]]  # c has no states after a layer, and rgcn doesn't ask for the target's own
+    assert H.speaking(stack_of("rsage"), schema) == [["ab", "ba", "cb", "aa"], ["ab"]]
+    edges = spark.createDataFrame([(k % 5, k % 90) for k in range(900)], "src long, dst long")
+    near = arrays.packed(edges, 4)
+    rows = near.rows.collect()
+    assert len(rows) <= 5 * near.blocks and sorted((r.src, d) for r in rows for d in r.near) == sorted((k % 5, k % 90) for k in range(900))
+
+
+def test_an_edge_outside_of_the_counts_raises(spark):
+    bad = edges_of() | {"cb": [(0, 1), (COUNTS["c"], 2)]}
+    with pytest.raises(ValueError, match=r"cb, source: ids from 0 to 4 don't fit 4 nodes of c"):
+        loaded(spark, bad, features=features_of())
