@@ -126,25 +126,47 @@ def read_npy(spark: SparkSession, path: str, across: bool = False, bytes_a_task:
 def write_npy(rows: DataFrame, path: str, kind: str, across: bool = False, bytes_a_part: int = BYTES_A_TASK) -> int:
     """Writes (row, values), rows numbered 0, 1, 2, ..., as parts named by their first row; returns the number of rows.
 
-    Parts are ranges of rows of at most ``bytes_a_part`` bytes; a part is written under another name
+    Parts are ranges of rows of at most ``bytes_a_part`` bytes. A task writes one part as its sorted
+    rows come, a batch at a time, so that no part is held in Python; it is written under another name
     and then renamed, so a task may run twice. With ``across`` a part has a column for each row.
+    Numbers with a gap, or rows that differ in length, raise ValueError.
     """
-    folder, first = mounted(path), rows.select(F.size("values").alias("n")).first()
-    per = rows_a_part((first.n if first else 1) * np.dtype(kind).itemsize, bytes_a_part)
+    folder, first = mounted(path), rows.agg(F.first(F.size("values")).alias("n"), F.max("row").alias("last")).first()
+    width, total, kind_ = first.n or 0, 0 if first.last is None else first.last + 1, np.dtype(kind)
+    per = rows_a_part((width or 1) * kind_.itemsize, bytes_a_part)
     os.makedirs(folder, exist_ok=True)
 
-    def put(key, table):
-        table = table.sort_by("row")
-        values = table.column("values").combine_chunks()
-        data = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(kind, copy=False)
-        name = os.path.join(folder, f"part-{key[0].as_py() * per:015d}.npy")
-        with open(f"{name}.{os.getpid()}", "wb") as f:
-            np.save(f, np.ascontiguousarray(data.T) if across else data)
-        os.replace(f"{name}.{os.getpid()}", name)
-        return pa.table({"n": [len(data)]})
-
-    dealt = rows.select("row", "values", F.floor(F.col("row") / per).alias("part"))
-    return dealt.groupBy("part").applyInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, part, start, at, n = None, 0, 0, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row, values = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            if f is None:
+                part = int(row[0]) // per
+                n, name = min(per, total - part * per), os.path.join(folder, f"part-{part * per:015d}.npy")
+                f = open(f"{name}.{os.getpid()}", "wb")  # noqa: SIM115
+                np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(kind_), "fortran_order": False, "shape": (width, n) if across else (n, width)})
+                start = f.tell()
+            if len(values) != len(row) * width or not np.array_equal(row, part * per + at + np.arange(len(row))):
+                raise ValueError(f"rows must be numbered without gaps and hold {width} values each")
+            data = values.reshape(len(row), width).astype(kind_, copy=False)
+            if across:
+                for k in range(width):
+                    f.seek(start + (k * n + at) * kind_.itemsize)
+                    f.write(np.ascontiguousarray(data[:, k]).data)
+            else:
+                f.write(np.ascontiguousarray(data).data)
+            at += len(row)
+        if f is not None:
+            f.close()
+            if at != n:
+                raise ValueError(f"rows {part * per + at} to {part * per + n - 1} are missing")
+            os.replace(f.name, name)
+            yield pa.RecordBatch.from_pydict({"n": [at]})
+
+    dealt = rows.select("row", "values", F.floor(F.col("row") / per).cast("int").alias("part")).repartitionById(max(1, -(-total // per)), "part")
+    return dealt.sortWithinPartitions("row").select("row", "values").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def edges_of(rows: DataFrame) -> DataFrame:

@@ -124,3 +124,22 @@ def test_residents_restore_the_cache(spark):
     first = G.cache_trace(rows.where("step < 150"), 2, 3)
     second = G.cache_trace(rows.where("step >= 150"), 2, 3, state=G.resident_lines(first, 3))
     assert {r.step: r.hit for r in first.unionByName(second).collect()} == whole
+
+
+def test_npy_parts_are_written_as_rows_come(spark, tmp_path):
+    """Several batches a part, rows in any order, both layouts; a gap in the numbers raises."""
+    rows = spark.range(100).selectExpr("99 - id as row", "array(id, id * id, 7) as values").repartition(5)
+    want = np.array([[99 - r, (99 - r) ** 2, 7] for r in range(100)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        for across in (False, True):
+            out = str(tmp_path / f"out-{across}")
+            assert files.write_npy(rows, out, "int64", across, bytes_a_part=24 * 40) == 100
+            parts = [np.load(name) for name, _ in files.parts_of(out)]
+            assert [base for _, base in files.parts_of(out)] == [0, 40, 80]
+            assert np.array_equal(np.concatenate([p.T if across else p for p in parts]), want)
+        with pytest.raises(Exception, match="without gaps|are missing"):
+            files.write_npy(rows.where("row <> 50"), str(tmp_path / "gap"), "int64")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert files.write_npy(rows.limit(0), str(tmp_path / "none"), "int64") == 0
