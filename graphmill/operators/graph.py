@@ -100,31 +100,41 @@ def seeds(nodes: DataFrame, train: DataFrame, rate: float) -> DataFrame:
 def color_graph(edges: DataFrame, start: DataFrame, train: DataFrame | None, levels: int = 10) -> DataFrame:
     """node_id, color, hop: multi-source walk against the edges; the last claim wins, each level.
 
-    Claims carry (generation, claimant's rank, position); the greatest wins. With ``train``, level 0
-    also claims the seeds' in-neighbours among the train nodes.
+    Claims carry (generation, claimant's rank, edge); the greatest wins. Edges of a claimant stand for
+    their places among its in-edges, so that nothing is sorted over all edges. With ``train``, level
+    0 also claims the seeds' in-neighbours among the train nodes.
     """
     adj, chunks = by_target(edges)
-    claim = F.struct("g", "r", "p")
+    last = edges.agg(F.max("edge_id")).first()[0] or 0
     zero = F.lit(0).cast("long")
     cand = start.select("node_id", zero.alias("g"), F.col("color").alias("r"), zero.alias("p"), "color")
     if train is not None:
         near = reached(start, adj, chunks).select("node_id", F.lit(1).cast("long").alias("g"), F.col("color").alias("r"), "p", "color")
         cand = cand.unionByName(near.join(train.select("node_id"), "node_id", "left_semi").select(cand.columns))
-    colored = None
+    colored, most = None, start.agg(F.max("color")).first()[0] or 0
     for hop in range(1, levels + 1):
-        open_ = cand if colored is None else cand.join(colored.select("node_id"), "node_id", "left_anti")
-        win = open_.withColumn("k", claim).groupBy("node_id").agg(F.max_by("color", "k").alias("color"), F.max("k").alias("k"))
-        dealt = dealt_in_order(win.select("node_id", "color", "k.*"), F.desc("g"), F.desc("r"), F.desc("p"))  # the one thing that a level writes
-        ranked, size = numbered(dealt, "rank")
-        if not size:
+        win = cand.select("node_id", "color", claim(most, last).alias("k")).groupBy("node_id").agg(F.max_by("color", "k").alias("color"), F.max("k").alias("k"))
+        win = win if colored is None else win.join(colored.select("node_id"), "node_id", "left_anti")
+        dealt = dealt_in_order(win, F.desc("k"))  # the one thing that a level writes
+        ranked, most = numbered(dealt, "rank")
+        if not most:
             break
         level = dealt.select("node_id", "color", F.lit(hop).cast("int").alias("hop"))
         colored = level if colored is None else colored.unionByName(level)
-        cand = reached(ranked.select("node_id", "color", "rank"), adj, chunks).select("node_id", zero.alias("g"), (F.col("rank") + 1).alias("r"), "p", "color")
+        if hop < levels:
+            cand = reached(ranked.select("node_id", "color", "rank"), adj, chunks).select("node_id", zero.alias("g"), (F.col("rank") + 1).alias("r"), "p", "color")
     adj.unpersist()
     return colored if colored is not None else start.select("node_id", "color", F.lit(1).cast("int").alias("hop")).limit(0)
 
 
+def claim(most: int, last: int):
+    """(g, r, p) of a claim, with g 0 or 1, r to ``most`` and p to ``last``, as one number in the same order, which aggregates in place; a struct where 62 bits don't hold it."""
+    bits = last.bit_length()
+    if most.bit_length() + bits > 62:
+        return F.struct("g", "r", "p")
+    return F.shiftleft("g", 62).bitwiseOR(F.shiftleft("r", bits)).bitwiseOR(F.col("p"))
+
+
 def hub_chunks(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges`` with the chunk of each among its target's in-edges (0 but for hubs), and (dst, chunks) of the hubs, one for ``HUB`` edges at most."""
     chunks = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB)
@@ -139,10 +149,10 @@ def with_chunks(edges: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def by_target(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(dst, chunk, src, pos) kept by (dst, chunk), so that levels of a walk shuffle their frontiers only, and (dst, chunks) of hubs."""
-    rows, chunks = hub_chunks(cut(adjacency(edges)))
+    """(dst, chunk, near) kept by (dst, chunk), so that levels of a walk shuffle their frontiers only and sort a row for each target, and (dst, chunks) of hubs."""
+    rows, chunks = hub_chunks(edges.select("dst", "edge_id", "src"))
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("dst", "chunk", "src", "pos").repartition(tasks, "dst", "chunk").persist(), chunks
+    return adjacent(rows.repartition(tasks, "dst", "chunk")).sortWithinPartitions("dst", "chunk").persist(), chunks
 
 
 def in_chunks(frontier: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -152,20 +162,21 @@ def in_chunks(frontier: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def reached(frontier: DataFrame, adj: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The in-neighbours (node_id, p: their place) of a frontier's nodes, with the frontier's columns; a hub is asked for chunk by chunk."""
+    """The in-neighbours (node_id, p: their edge) of a frontier's nodes, with the frontier's columns; a hub is asked for chunk by chunk."""
     names = [c for c in frontier.columns if c != "node_id"]
-    return in_chunks(frontier, chunks).join(adj, ["dst", "chunk"]).select(F.col("src").alias("node_id"), F.col("pos").alias("p"), *names)
+    met = in_chunks(frontier, chunks).join(adj, ["dst", "chunk"]).select(F.explode("near").alias("e"), *names)
+    return met.select(F.col("e.src").alias("node_id"), F.col("e.edge_id").alias("p"), *names)
 
 
 def affinity(edges: DataFrame, colors: DataFrame, top: int = 10, decay: bool = True) -> DataFrame:
     """color, rank, neigh_color, affinity: hop-decayed share of a color's in-edges (or plain counts)."""
-    into = edges.join(colors.select(F.col("node_id").alias("dst"), F.col("color").alias("c")), "dst")
-    total = into.groupBy("c").agg(F.count(F.lit(1)).alias("all"))
-    cross = into.join(colors.select(F.col("node_id").alias("src"), F.col("color").alias("d"), "hop"), "src").where("c <> d")
+    into = edges.select("src", "dst").join(colors.select(F.col("node_id").alias("dst"), F.col("color").alias("c")), "dst")
+    met = into.join(colors.select(F.col("node_id").alias("src"), F.col("color").alias("d"), "hop"), "src", "left")  # edges are read once
     weight = F.sum(F.exp(F.lit(-0.5) * F.col("hop"))) if decay else F.count(F.lit(1))
-    pairs = cross.groupBy("c", "d").agg(weight.alias("w"))
+    pairs = met.groupBy("c", "d").agg(weight.alias("w"), F.count(F.lit(1)).alias("n"))
+    pairs = pairs.withColumn("all", F.sum("n").over(Window.partitionBy("c"))).where("c <> d")
     rank = F.row_number().over(Window.partitionBy("c").orderBy(F.desc(F.round("w", 9) if decay else "w"), "d"))
-    kept = pairs.withColumn("rank", rank).where(F.col("rank") <= top).join(total, "c")
+    kept = pairs.withColumn("rank", rank).where(F.col("rank") <= top)
     value = F.round(F.col("w") / F.col("all"), 6).alias("affinity") if decay else F.col("w").alias("edges")
     return kept.select(F.col("c").alias("color"), "rank", F.col("d").alias("neigh_color"), value)
 

@@ -254,3 +254,13 @@ def test_first_components_of_odd_vectors(spark, tmp_path):
     assert got == {(0, 1): 3.0} | {(0, k): 4.0 for k in range(2, 9)}
     own = {(r.node_id, r.dim): r["mean"] for r in Q.queries()["sage_gcn_agg"](spark, d).collect()}
     assert own[0, 1] == round(7 / 3, 6) and own[0, 2] == round(5 / 3, 6) and own[0, 3] == 2.5 and own[1, 1] == 2.0 and own[1, 2] is None and (1, 3) not in own and len(own) == 18
+
+
+def test_claims_are_one_number_in_their_order(spark):
+    """A level sorts a row for each target and aggregates claims in place; where 62 bits don't hold a claim it stays a struct."""
+    rows = [(g, r, p) for g in (0, 1) for r in (0, 1, 6, 7) for p in (0, 3, 4, 15)]
+    for most, last, kind in ((7, 15, "bigint"), (7, 1 << 60, "struct<g:bigint,r:bigint,p:bigint>")):
+        keyed = spark.createDataFrame(rows, "g long, r long, p long").withColumn("k", G.claim(most, last))
+        assert dict(keyed.dtypes)["k"] == kind and [(x.g, x.r, x.p) for x in keyed.orderBy("k").collect()] == rows
+    e = spark.createDataFrame([(k, k % 9, 3) for k in range(40)], "edge_id long, src long, dst long")
+    assert G.by_target(e)[0].count() == 1
