@@ -6,11 +6,13 @@ sorts pairs of a position's rank and the rank an offset on (as far as the rank r
 is left to ``length``), and the pairs' numbers in that order are the ranks of the next round: 24, 48
 and 50 bytes. A pair that one text has alone is final and leaves.
 
-Two things keep the sorted rows few, and neither loses a repeat. Equal texts are one text. And of
+Three things keep the sorted rows few, and none loses a repeat. Equal texts are one text. And of
 a text only the surroundings of positions are sorted whose first rank is the least in some
 ``length``-byte window: every repeat has such a position at the same place in each occurrence. If one
 text has that rank alone, its windows are final at once; windows around the same position in equal
-surroundings (a context) are ranked once, not once an occurrence.
+surroundings (a context) are ranked once, not once an occurrence. And a window reaches half of the bytes
+that the first rank leaves beyond its position on one side at least: windows of which one text has
+both sides alone are final too. Names that only decide what is final are dealt to buckets packed, not a row each.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.functions.ordering import dense_index
-from graphmill.llm.common import cut, drop_table, hashed, joined_bytes, mix64, small_batches, text_chunks, write_table
+from graphmill.llm.common import cut, drop_table, hashed, joined_bytes, mix64, shuffle_partitions, small_batches, text_chunks, write_table
 
 BASE = 0x9E3779B97F4A7C15
 ONE = np.arange(1, 257, dtype=np.uint64)
@@ -33,8 +35,13 @@ BYTE_NAME = mix64(ONE)
 MOST_WINDOWS = 62
 #: Bits that a position in its context takes beside the context's number.
 SHIFT = 7
-#: Slices, by rank, of the sort of first pairs: one after the other, so that their shuffle files never stand on disk together.
-SLICES = 2
+#: Text bytes that one NumPy step ranks, so that its arrays stay in a core's cache.
+STEP_BYTES = 128 << 10
+#: Bytes from which a text is a batch of its own; other batches are 512 texts.
+ALONE_BYTES = 32 << 10
+#: Names that a task gathers before it deals them to buckets.
+PACKED_NAMES = 1 << 20
+PACKED = "bucket int, batch long, names binary, docs binary"
 
 
 @dataclass(frozen=True)
@@ -107,21 +114,83 @@ def segments(data: np.ndarray, starts: np.ndarray, p: Params) -> tuple[np.ndarra
     return row, first, size, least[first]
 
 
+def packed(parts: Iterator[tuple[int, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, batch, names, docs) of parts (batch, names, docs): a batch's distinct names of a bucket, each with its smallest and its largest document."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        at = {k: i for i, k in enumerate(dict.fromkeys(k for k, _, _ in held))}
+        batches, sizes = np.array([*at], np.int64), [len(x) for _, x, _ in held]
+        names, docs = (np.concatenate([part[k] for part in held]) for k in (1, 2))
+        cell = np.repeat(np.array([at[k] for k, _, _ in held], np.uint64), sizes) * np.uint64(buckets) + names % np.uint64(buckets)
+        order = np.argsort((cell << np.uint64(36)) | (names >> np.uint64(28)))  # by cell; equal names lie together
+        cell, names, docs = cell[order], names[order], docs[order]
+        first = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (cell[1:] != cell[:-1])))
+        least, most = np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)
+        times = 1 + (least < most)
+        last = np.cumsum(times) - 1
+        docs = np.repeat(least, times)
+        docs[last] = most
+        names, cell = np.repeat(names[first], times), np.repeat(cell[first], times)
+        edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        offsets = pa.py_buffer((np.append(edges, len(cell)) * 8).astype(np.int32).tobytes())
+        binary = [pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(x.tobytes())]) for x in (names, docs)]
+        bucket, batch = (cell[edges] % np.uint64(buckets)).astype(np.int32), batches[(cell[edges] // np.uint64(buckets)).astype(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(batch), *binary], names=["bucket", "batch", "names", "docs"])
+
+    held, n = [], 0
+    for part in parts:
+        if len(part[1]):
+            held.append(part)
+            n += len(part[1])
+        if n >= PACKED_NAMES:
+            yield rows(held)
+            held, n = [], 0
+    if held:
+        yield rows(held)
+
+
+def unpacked(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
+def shared_names(rows: DataFrame) -> DataFrame:
+    """(batch, names) of ``packed`` rows: those of a batch's names that two documents have. A bucket holds all rows of its names, a hot name has two numbers a batch."""
+
+    def run(group: pa.Table) -> pa.Table:
+        names, docs = unpacked(group.column("names"), np.uint64), unpacked(group.column("docs"), np.int64)
+        order = np.argsort(names)
+        ordered, docs = names[order], docs[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        shared = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+        on = np.empty(len(names), bool)
+        on[order] = np.repeat(shared, np.diff(first, append=len(names)))
+        ends = np.cumsum([len(x) // 8 for x in group.column("names").to_pylist()])
+        parts = [names[a:b][on[a:b]].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.table({"batch": group.column("batch"), "names": pa.array(parts, pa.binary())}).filter(pa.array([len(x) > 0 for x in parts]))
+
+    return rows.groupBy("bucket").applyInArrow(run, "batch long, names binary")
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each value of the column ``batch``."""
+    column = batch.column(batch.schema.get_field_index("batch"))
+    values = column.to_numpy()
+    for value in dict.fromkeys(values.tolist()):
+        yield value, batch.filter(pa.array(values == value))
+
+
 def first_ranks(texts: DataFrame, p: Params) -> DataFrame:
-    """(key, doc_id, ranks) of every text (key, doc_id, text): the distinct ranks of its positions that take part."""
+    """The ranks of the positions of texts (key, doc_id, text, batch) that take part, ``packed``."""
+    buckets = 2 * shuffle_partitions(texts.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch, "text"):
-                row, _, _, rank = segments(*joined_bytes(part.column(2)), p)
-                order = np.lexsort((rank, row))
-                row, rank = row[order], rank[order]
-                fresh = np.append(True, (rank[1:] != rank[:-1]) | (row[1:] != row[:-1]))[: len(row)]
-                ends = np.searchsorted(row[fresh], np.arange(part.num_rows + 1)).astype(np.int32)
-                ranks = pa.ListArray.from_arrays(pa.array(ends), pa.array(rank[fresh].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ranks], names=["key", "doc_id", "ranks"])
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for whole in batches:
+            for value, batch in parts_of(whole):
+                for part in text_chunks(batch, "text", STEP_BYTES):
+                    row, _, _, rank = segments(*joined_bytes(part.column(1)), p)
+                    yield value, rank, part.column(0).to_numpy()[row]
 
-    return texts.mapInArrow(run, "key long, doc_id long, ranks array<long>")
+    return texts.select("doc_id", "text", "batch").mapInArrow(lambda batches: packed(ranks(batches), buckets), PACKED)
 
 
 def string_names(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -135,23 +204,22 @@ def string_names(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix64(np.add.reduceat(BYTE_NAME[flat] * powers[place], offsets[:-1]) + span.astype(np.uint64))
 
 
-def contexts(docs: DataFrame, p: Params) -> DataFrame:
-    """(rank, ctx, windows, doc_id, key, start, context) of the positions whose rank is in the text's ``ranks``.
+def contexts(texts: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """(rank, ctx, windows, doc_id, key, start, context) of the positions whose rank is among the ``shared`` ones (batch, names) of the text's batch.
 
     ``context`` holds all bytes of the ``windows`` windows that the position stands for, ``ctx`` is a name of them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch, "text"):
+    names = ["rank", "ctx", "windows", "doc_id", "key", "start", "context"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    schema = pa.schema(list(zip(names, kinds, strict=True)))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        wanted, out = np.unique(unpacked(right.column("names"), np.uint64)), []
+        for batch in left.select(["key", "doc_id", "text"]).combine_chunks().to_batches() if len(wanted) else []:
+            for part in text_chunks(batch, "text", STEP_BYTES):
                 data, starts = joined_bytes(part.column(2))
                 row, first, size, rank = segments(data, starts, p)
-                lists = part.column(3)
-                ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-                wanted = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].view(np.uint64)
-                owner = np.repeat(np.arange(len(lists), dtype=np.uint64), np.diff(ends))
-                salt = np.uint64(BASE)
-                on = np.isin(mix64(rank ^ (row.astype(np.uint64) * salt)), mix64(wanted ^ (owner * salt)))
+                on = wanted[np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)] == rank
                 row, first, size, rank = row[on], first[on], size[on], rank[on]
                 span = size + p.length - 1
                 offsets = np.concatenate([[0], np.cumsum(span)])
@@ -159,9 +227,10 @@ def contexts(docs: DataFrame, p: Params) -> DataFrame:
                 at = pa.array(row)
                 context = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
                 columns = [pa.array(rank.view(np.int64)), pa.array(string_names(flat, offsets).view(np.int64)), pa.array(size.astype(np.int32)), part.column(1).take(at), part.column(0).take(at), pa.array((first - starts[row]).astype(np.int32)), context]
-                yield pa.RecordBatch.from_arrays(columns, names=["rank", "ctx", "windows", "doc_id", "key", "start", "context"])
+                out.append(pa.RecordBatch.from_arrays(columns, schema=schema))
+        return pa.Table.from_batches(out, schema)
 
-    return docs.mapInArrow(run, "rank long, ctx long, windows int, doc_id long, key long, start int, context binary")
+    return texts.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "rank long, ctx long, windows int, doc_id long, key long, start int, context binary")
 
 
 def squared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -174,22 +243,85 @@ def squared(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return square, span
 
 
-def first_pairs(open_: DataFrame, p: Params, offset: int, piece: int) -> DataFrame:
-    """(place, a, b, least) of every position of every context: its first rank and the first rank ``offset`` bytes on; ``place`` is the context's number and the position. One slice of them."""
+def sides(rank: np.ndarray, ranks: np.ndarray, span: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, name, low, high) for each place in a context that has its rank, and each side of it.
+
+    A window reaches ``half`` bytes beyond such a place on one side at least. ``name`` stands for the pair
+    of the place's rank and the rank ``half`` bytes on (or back); windows low to high hold both.
+    """
+    half = -(-(p.length - p.first) // 2)
+    row, at = np.nonzero((ranks == rank[:, None]) & (np.arange(ranks.shape[1])[None, :] <= (span - p.first)[:, None]))
+    left, right = at >= half, at + half <= (span - p.first)[row]
+    before = mix64(ranks[row[left], at[left] - half]) ^ rank[row[left]]
+    after = mix64(ranks[row[right], at[right] + half] ^ np.uint64(BASE)) ^ rank[row[right]]
+    row = np.concatenate([row[left], row[right]])
+    low = np.concatenate([at[left] + p.first - p.length, at[right] + p.first + half - p.length])
+    high = np.concatenate([at[left] - half, at[right]])
+    low, high = np.maximum(low, 0), np.minimum(high, span[row] - p.length)
+    keep = low <= high
+    return row[keep], mix64(np.concatenate([before, after]))[keep], low[keep], high[keep]
+
+
+def context_ranks(column: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """First ranks at all places of each context, and the contexts' lengths."""
+    square, span = squared(column)
+    return mix64(double_names(BYTE_NAME[square], p.first)), span
+
+
+def side_names(open_: DataFrame, p: Params) -> DataFrame:
+    """The names of the ``sides`` of contexts (rank, context, least, batch), ``packed``."""
+    buckets = 2 * shuffle_partitions(open_.sparkSession)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for whole in batches:
+            for value, batch in parts_of(whole):
+                ranks, span = context_ranks(batch.column(1), p)
+                row, name, _, _ = sides(batch.column(0).to_numpy().view(np.uint64), ranks, span, p)
+                yield value, name, batch.column(2).to_numpy()[row]
+
+    return open_.select("rank", "context", "least", "batch").mapInArrow(lambda batches: packed(named(batches), buckets), PACKED)
+
+
+def open_windows(open_: DataFrame, shared: DataFrame, p: Params) -> DataFrame:
+    """(cid, context, least, open): the contexts that have a side in ``shared`` (batch, names), and a bit for each window that holds such a side; the others are final."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, out = left.select(["cid", "context", "least", "rank"]).combine_chunks(), []
+        wanted = np.unique(unpacked(right.column("names"), np.uint64))
+        schema = pa.schema([("cid", pa.int64()), ("context", pa.binary()), ("least", pa.int64()), ("open", pa.int64())])
+        for part in left.to_batches(max_chunksize=1024) if len(wanted) else []:
+            ranks, span = context_ranks(part.column(1), p)
+            row, name, low, high = sides(part.column(3).to_numpy().view(np.uint64), ranks, span, p)
+            on = wanted[np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)] == name
+            bits = np.zeros(part.num_rows, np.int64)
+            np.bitwise_or.at(bits, row[on], (np.int64(1) << (high[on] + 1)) - (np.int64(1) << low[on]))
+            some = np.flatnonzero(bits)
+            out.append(pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(some)) for k in range(3)), pa.array(bits[some])], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    return open_.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(run, "cid long, context binary, least long, open long")
+
+
+def first_pairs(open_: DataFrame, p: Params) -> DataFrame:
+    """(place, a, b, least) of every position that an open window of a context needs: its first rank and the first rank an offset on; ``place`` is the context's number and the position."""
+    offset, *later = p.offsets()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                square, span = squared(part.column(1))
-                ranks = mix64(double_names(BYTE_NAME[square], p.first))
-                mine = ranks[:, : square.shape[1] - p.first - offset + 1] % np.uint64(SLICES) == piece
-                row, start = np.nonzero(mine & (np.arange(mine.shape[1])[None, :] <= (span - p.first - offset)[:, None]))
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ranks, _ = context_ranks(part.column(1), p)
+                on = np.zeros(ranks.shape, bool)
+                width = min(MOST_WINDOWS, ranks.shape[1])
+                on[:, :width] = (part.column(3).to_numpy()[:, None] >> np.arange(width)[None, :]) & 1
+                for x in later:
+                    on[:, x:] |= on[:, :-x].copy()
+                row, start = np.nonzero(on)
                 pair = [pa.array(ranks[row, start + k].view(np.int64)) for k in (0, offset)]
                 place = (part.column(0).to_numpy()[row] << SHIFT) + start
                 yield pa.RecordBatch.from_arrays([pa.array(place), *pair, part.column(2).take(pa.array(row))], names=["place", "a", "b", "least"])
 
-    return open_.select("cid", "context", "least").mapInArrow(run, "place long, a long, b long, least long")
+    return open_.select("cid", "context", "least", "open").mapInArrow(run, "place long, a long, b long, least long")
 
 
 def next_pairs(ranked: DataFrame, offset: int) -> DataFrame:
@@ -215,31 +347,31 @@ def doubled(open_: DataFrame, p: Params) -> DataFrame:
 
     ``open_``: a row for each context of a rank that has several (cid, rank, context, least).
     """
-    spark, ranked, paths = open_.sparkSession, None, []
-    *rounds, last = p.offsets()
-    for offset in rounds:
-        pieces = [first_pairs(open_, p, offset, k) for k in range(SLICES)] if ranked is None else [next_pairs(ranked, offset)]
-        old, paths, ranked = paths, [], None
-        for k, pairs in enumerate(pieces):
-            ranks = dense_index(shared_pairs(pairs), "rank", "a", "b").select("a", "b", (F.col("rank") * SLICES + k).alias("rank"))
-            part, path = write_table(pairs.join(ranks, ["a", "b"]).select("place", "rank", "least"))
-            paths.append(path)
-            ranked = part if ranked is None else ranked.unionByName(part)
-        for path in old:
-            drop_table(spark, path)
-    final, path = write_table(next_pairs(ranked, last))
-    for old_path in paths:
-        drop_table(spark, old_path)
-    found = final.join(shared_pairs(final), ["a", "b"]).where("first < least").select("place", "first")
+    spark = open_.sparkSession
+    batched, batched_path = write_table(open_.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), 13)))
+    shared = shared_names(side_names(batched, p))
+    table, path = write_table(open_windows(batched, shared, p))
+    drop_table(spark, batched_path)
+    pairs = first_pairs(table, p)
+    for offset in p.offsets()[1:]:
+        ranks = dense_index(cut(shared_pairs(pairs)), "rank", "a", "b").select("a", "b", "rank")
+        old = path
+        ranked, path = write_table(pairs.join(hashed(ranks), ["a", "b"]).select("place", "rank", "least"))
+        drop_table(spark, old)
+        pairs = next_pairs(ranked, offset)
+    final, final_path = write_table(pairs)
+    drop_table(spark, path)
+    found = final.join(hashed(shared_pairs(final)), ["a", "b"]).where("first < least").select("place", "first")
     start = F.col("place").bitwiseAND(F.lit((1 << SHIFT) - 1)).cast("int")
     better = cut(found.groupBy(F.shiftright("place", SHIFT).alias("cid")).agg(F.collect_list(F.struct(start.alias("start"), "first")).alias("better")))
-    drop_table(spark, path)
+    drop_table(spark, final_path)
     return better
 
 
 def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes under the marked windows."""
-    at = np.concatenate([starts[(windows >> k) & 1 == 1] + k for k in range(MOST_WINDOWS)])
+    row, k = np.nonzero((windows[:, None] >> np.arange(MOST_WINDOWS)[None, :]) & 1)
+    at = starts[row] + k
     at.sort()
     if not len(at):
         return []
@@ -251,13 +383,11 @@ def removed_runs(starts: np.ndarray, windows: np.ndarray, length: int) -> list[t
 def answered(texts: DataFrame, p: Params) -> DataFrame:
     """(key, doc_id, answers) of distinct texts (key, doc_id, text) that lose something: starts, and a bit for each window after it."""
     mine, spark = ["key", "doc_id"], texts.sparkSession
-    texts, texts_path = write_table(texts)
-    table, path = write_table(first_ranks(texts, p))
-    positions = table.select(*mine, F.explode("ranks").alias("rank"))
-    shared = cut(positions.groupBy("rank").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("rank"))
-    ranks = cut(positions.join(hashed(shared), "rank").groupBy(*mine).agg(F.collect_list("rank").alias("ranks")))
-    drop_table(spark, path)
-    found, found_path = write_table(contexts(texts.join(hashed(ranks), mine).select(*mine, "text", "ranks"), p))
+    number = F.monotonically_increasing_id()
+    batch = F.when(F.octet_length("text") > ALONE_BYTES, number * 2 + 1).otherwise(F.shiftright(number, 9) * 2)  # a long text is a batch of its own
+    texts, texts_path = write_table(texts.withColumn("batch", batch))
+    shared = cut(shared_names(first_ranks(texts, p)))
+    found, found_path = write_table(contexts(texts, shared, p))
     drop_table(spark, texts_path)
     grouped = found.groupBy("rank", "ctx", "context").agg(F.min("doc_id").alias("least"))
     distinct, path = write_table(grouped.withColumn("cid", F.monotonically_increasing_id()))
@@ -300,16 +430,17 @@ def remove_repeats(docs: DataFrame, p: Params = Params(), id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             place = {n: i for i, n in enumerate(batch.schema.names)}
             texts_, lists = batch.column(place["text"]), batch.column(place["answers"])
             sizes, kept, spans = [], [], []
-            for i in range(batch.num_rows):
-                data = texts_[i].as_py().encode()
-                runs = []
-                if lists[i].is_valid:
-                    answers = lists[i].values
-                    starts, windows = answers.field("start").to_numpy().astype(np.int64), answers.field("windows").to_numpy()
-                    runs = removed_runs(starts, windows, p.length) if windows.any() else [(0, len(data))]
+            ends, held = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1].tolist(), lists.is_valid().to_pylist()
+            starts, windows = (lists.values.field(n).to_numpy().astype(np.int64) for n in ("start", "windows"))
+            for i, data in enumerate(texts_.cast(pa.binary()).to_pylist()):
+                runs, mine = [], slice(ends[i], ends[i + 1])
+                if held[i]:
+                    runs = removed_runs(starts[mine], windows[mine], p.length) if windows[mine].any() else [(0, len(data))]
                 sizes.append(len(data))
                 spans.append([{"start": a, "end": b} for a, b in runs])
                 edges = [0, *(x for r in runs for x in r), len(data)]

@@ -95,6 +95,28 @@ def test_repeats_of_one_context_within_a_document(spark):
         assert bytes(x.kept) == want[x.doc_id, x.kept_text.encode()], x.doc_id
 
 
+def test_repeats_sorts_only_what_two_texts_share_on_a_side(spark, monkeypatch):
+    r = random.Random(17)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    short = [word(36) for _ in range(20)]  # shared first ranks, but no side and no window is shared
+    rows = [(i, word(80) + short[i % 20] + word(80), "en", "a") for i in range(40)]
+    counts, shared_pairs = [], repeats.shared_pairs
+
+    def counted(pairs):
+        counts.append(pairs.count())
+        return shared_pairs(pairs)
+
+    monkeypatch.setattr(repeats, "shared_pairs", counted)
+    got = repeats.remove_repeats(frame(spark, rows)).collect()
+    assert counts and not any(counts) and all(not x.spans for x in got)
+    counts.clear()
+    passages = [word(n) for n in range(45, 65)]
+    rows = [(i, word(70) + passages[i % 20] + word(70), "en", "a") for i in range(60)] + [(60, "xy" * 30 + passages[19], "en", "a"), (61, "xy" * 40 + passages[19][:55] + "yx" * 50, "en", "a"), (62, "yx" * 26 + "z", "en", "a")]
+    want = kept_by_brute_force([x[:2] for x in rows])
+    got = repeats.remove_repeats(frame(spark, rows), keep=("text",)).collect()
+    assert all(bytes(x.kept) == want[x.doc_id, x.kept_text.encode()] for x in got) and any(counts)
+
+
 def test_mixing(spark, rows):
     docs = frame(spark, rows)
     plan = mixing.plan_mix(docs).collect()
