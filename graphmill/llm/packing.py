@@ -8,6 +8,8 @@ which are ranked within their size without any global sort.
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,20 @@ SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\s\w]+")
 PLAIN = re.compile(r"[\t\n\r\x20-\x5e\x60-\x7eÀ-ÖØ-öø-ſ]*")
 
 
+# How byte-level tokenizers write bytes: printable ones as they are, the others from U+0100 on.
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: b for b in SHOWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(SHOWN))}
+
+
+def takes_bytes(path: str) -> bool:
+    """Whether the tokenizer's model gets a split word as the letters of its bytes, whole and unchanged."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    last = steps[-1]
+    return spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and last.get("type") == "ByteLevel" and not last.get("add_prefix_space", True) and not last.get("use_regex", True)
+
+
 class Index(dict):
     """Word -> number; a new word gets the next number and waits in ``fresh``."""
 
@@ -62,6 +78,7 @@ class WordEncoder:
 
             path = public_tokenizers.path(DEFAULT_TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model if takes_bytes(path) else None
         vocabulary = self.tokenizer.get_vocab()
         # Added tokens are met in raw text before it is split, also inside words; matched here in any case, to be safe.
         added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()} - {""})
@@ -79,15 +96,20 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def learn(self) -> None:
-        """Encodes the waiting words in one text; a token that ends a word tells them apart."""
+        """Encodes the waiting words: by the model alone where it takes bytes, else in one text; a token that ends a word tells them apart."""
         words, self.index.fresh = self.index.fresh, []
-        ids = self.whole(" ".join(words))
-        ends = np.nonzero(self.last[ids])[0] + 1
-        if len(ends) == len(words) and ends[-1] == len(ids):
-            counts = np.diff(ends, prepend=0)
+        if self.model is not None:
+            each = [[t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS))] for w in words]
+            counts = np.array([len(x) for x in each])
+            ids = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(counts.sum()))
         else:
-            each = [self.whole(w) for w in words]
-            ids, counts = np.concatenate(each), np.array([len(x) for x in each])
+            ids = self.whole(" ".join(words))
+            ends = np.nonzero(self.last[ids])[0] + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                counts = np.diff(ends, prepend=0)
+            else:
+                each = [self.whole(w) for w in words]
+                ids, counts = np.concatenate(each), np.array([len(x) for x in each])
         n = self.known + len(words)
         self.starts, self.counts, self.flat = grown(self.starts, n), grown(self.counts, n), grown(self.flat, self.used + len(ids))
         self.starts[self.known : n], self.counts[self.known : n] = self.used + np.cumsum(counts) - counts, counts

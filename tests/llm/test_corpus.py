@@ -145,6 +145,18 @@ def test_packing_round_trip(spark, rows):
     assert max(ends.values()) <= 2048
 
 
+def test_packing_learns_words_from_the_model_alone(monkeypatch):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzßäöüéèñçœſÿøÉÀİŁ0123456789'!?.,;:-()§"
+    texts = [" ".join("".join(r.choice(letters[: r.choice([26, 36, 60])]) for _ in range(r.randint(1, 14))) for _ in range(400)) for _ in range(20)]
+    texts += ["it's we'll they're I'd '' 'S don't", "x" * 5000 + " " + "é" * 3000, "", " \t\n"]
+    plain = [t for t in texts if packing.PLAIN.fullmatch(t)]
+    encoder = packing.WordEncoder()
+    want = [encoder.whole(t).tolist() for t in plain]
+    monkeypatch.setattr(encoder, "whole", None)  # no text and no word goes through the whole tokenizer
+    assert len(plain) > 8 and [x.tolist() for x in encoder.encode_many(plain)] == want
+
+
 def test_packing_of_added_tokens(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
