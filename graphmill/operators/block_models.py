@@ -10,9 +10,8 @@ many numbers as there are parameters.
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,58 +19,112 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphmill.functions.arrays import matrix, vector_sums, vectors
-from graphmill.functions.ordering import checkpoint_folder, cut
+from graphmill.functions.ordering import cut, dropped, new_folder, written
 from graphmill.operators import layers as L
 from graphmill.operators import local_models as M
-from graphmill.operators.graph import SEED, hub_chunks, sample_layer
+from graphmill.operators.graph import SEED, adjacent, hub_chunks, sample_layer
 
 KEYS = ["batch", "node_id"]
 STATE = "batch long, node_id long, h array<double>"
 PARTS = "part string, batch long, node_id long, h array<double>"
 
 
+#: Ids of sampled nodes in one slice of written blocks, at most so many slices, and numbers of features that are brought to batches at once at least (256 MB of floats).
+SLICE_IDS, SLICES, WINDOW_NUMBERS = 1 << 20, 64, 1 << 26
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Batches from ``first`` to ``last`` in ``slices`` of blocks as they are written; seeds of all batches and of the largest, and nodes that a seed leads to at most."""
+
+    first: int
+    last: int
+    slices: int
+    seeds: int
+    most: int
+    each: int
+
+    def slice_of(self, batch):
+        return F.floor((batch - self.first) * self.slices / (self.last - self.first + 1)).cast("int")
+
+
 @dataclass(frozen=True)
 class Blocks:
-    """edges[k] (batch, src, dst): the block of layer k, the outermost first; nodes[k] (batch, node_id): its sources, nodes[-1] the seeds."""
+    """edges[k] (batch, src, dst): the block of layer k, the outermost first; nodes[k] (batch, node_id): its sources, nodes[-1] the seeds.
+
+    ``rows``: the edges as they are written under ``path``, with their slice. Only frontiers are
+    written, the outermost sources are not.
+    """
 
     edges: list[DataFrame]
     nodes: list[DataFrame]
     observed: tuple = ()
+    sizes: Sizes | None = None
+    rows: tuple = ()
+    path: str = ""
 
-    def counters(self) -> dict:
-        """Nodes and edges of each layer, as the jobs that sampled them observed; nothing is counted again."""
+    def counters(self, inputs: int | None = None) -> dict:
+        """Nodes and edges of each layer, as the jobs that sampled them observed; ``inputs``: the outermost nodes, which are counted here if no job has."""
         nodes, edges = self.observed
-        return {"nodes": [o.get["n"] for o in nodes], "edges": [o.get["n"] for o in edges]}
+        return {"nodes": [self.nodes[0].count() if inputs is None else inputs, *(o.get["n"] for o in nodes)], "edges": [o.get["n"] for o in edges]}
 
     def of(self, batches: DataFrame) -> Blocks:
         """The blocks of some batches (batch)."""
         take = lambda f: f.join(F.broadcast(batches), "batch", "left_semi")  # noqa: E731 - a row for each batch of one step
-        return Blocks([take(e) for e in self.edges], [take(n) for n in self.nodes])
+        return replace(self, edges=[take(e) for e in self.edges], nodes=[take(n) for n in self.nodes])
+
+    def between(self, first: int, last: int) -> Blocks:
+        """The blocks of the batches from ``first`` to ``last``; other slices aren't read."""
+        of, batch = self.sizes.slice_of, F.col("batch")
+        near = F.col("slice").between(of(F.lit(first)), of(F.lit(last))) & batch.between(first, last)
+        return replace(self, edges=[r.where(near).drop("slice") for r in self.rows], nodes=[n.where(batch.between(first, last)) for n in self.nodes])
+
+    def windows(self, features: DataFrame, width: int) -> int:
+        """In how many parts features come to batches, so that a part is not much larger than the features themselves."""
+        s = self.sizes
+        numbers = s.seeds * s.each * width
+        if numbers <= WINDOW_NUMBERS:
+            return 1
+        return -(-numbers // max(WINDOW_NUMBERS, 2 * width * features.count()))
 
 
 #: Edges (edge_id, src, dst), or what gives the edges about a frontier (node_id) in chunks, as ``hub_chunks`` does.
 Edges = DataFrame | Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
+def nearby(edges: Edges) -> Edges:
+    """Edges for several samples: their arrays by target are written once."""
+    if callable(edges):
+        return edges
+    rows, chunks = hub_chunks(edges.select("edge_id", "src", "dst"))
+    near = written(adjacent(rows), new_folder(edges.sparkSession, "near"))
+    return lambda frontier: (near, chunks)
+
+
 def sample(seeds: DataFrame, edges: Edges, fanouts: list[int], draw: str = "") -> Blocks:
     """Blocks of seeds (batch, node_id); the seeds use the last fan-out. A block's sources are its targets and what was sampled.
 
     Another ``draw`` samples other edges.
     """
-    whole = None if callable(edges) else hub_chunks(edges.select("edge_id", "src", "dst"))
+    near, path = nearby(edges), new_folder(seeds.sparkSession, "blocks")
     seen: tuple[list, list] = ([], [])
 
-    def made(df: DataFrame, kind: int) -> DataFrame:
+    def made(df: DataFrame, kind: int, name: str, *partitions: str) -> DataFrame:
         observation = Observation()
         seen[kind].insert(0, observation)
-        return cut(df.observe(observation, F.count(F.lit(1)).alias("n")))
+        return written(df.observe(observation, F.count(F.lit(1)).alias("n")), f"{path}/{name}", *partitions)
 
-    nodes, blocks = [made(seeds.select(*KEYS).distinct(), 0)], []
+    nodes, rows = [made(seeds.select(*KEYS).distinct(), 0, "seeds")], []
+    n = F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))
+    most, total, first, last = nodes[0].groupBy("batch").agg(F.count(F.lit(1)).alias("n")).agg(*n, F.coalesce(F.min("batch"), F.lit(0)), F.coalesce(F.max("batch"), F.lit(0))).first()
+    each = int(np.prod([1 + f for f in fanouts]))
+    sizes = Sizes(first, last, min(SLICES, max(1, -(-total * each // SLICE_IDS)), last - first + 1), total, most, each)
     for layer in range(len(fanouts) - 1, -1, -1):
-        rows, chunks = whole or edges(nodes[0])
-        blocks.insert(0, made(sample_layer(nodes[0], rows, chunks, fanouts[layer], layer, draw).select("batch", "src", "dst"), 1))
-        nodes.insert(0, made(nodes[0].unionByName(blocks[0].select("batch", F.col("src").alias("node_id"))).distinct(), 0))
-    return Blocks(blocks, nodes, seen)
+        found = sample_layer(nodes[0], *near(nodes[0]), fanouts[layer], layer, draw).select("batch", "src", "dst", sizes.slice_of(F.col("batch")).alias("slice"))
+        rows.insert(0, made(found, 1, f"layer{layer}", "slice"))
+        wider = nodes[0].unionByName(rows[0].select("batch", F.col("src").alias("node_id"))).distinct()
+        nodes.insert(0, made(wider, 0, f"frontier{layer}") if layer else wider)
+    return Blocks([r.drop("slice") for r in rows], nodes, seen, sizes, tuple(rows), path)
 
 
 @dataclass(frozen=True)
@@ -316,6 +369,8 @@ def widest(model: Model) -> tuple[int, int]:
 
 def fits(model: Model, blocks: Blocks) -> bool:
     """Whether the largest batch, edges and nodes, fits a task."""
+    if 2 * blocks.sizes.most * blocks.sizes.each * widest(model)[1] <= LOCAL_NUMBERS:  # as large as it can be
+        return True
     size = None
     for f in (blocks.nodes[0], *blocks.edges):
         n = f.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
@@ -325,45 +380,93 @@ def fits(model: Model, blocks: Blocks) -> bool:
 
 
 def forward(model: Model, blocks: Blocks, features: DataFrame, draw: int | None = None) -> tuple[DataFrame, list[dict]]:
-    """(batch, node_id, h of the seeds: class scores; what each layer keeps for the way back, nothing where batches are worked on whole)."""
+    """(batch, node_id, h of the seeds: class scores; what each layer keeps for the way back, nothing where batches are worked on whole).
+
+    Features come to the batches of a window at a time, and only a window's scores stay.
+    """
     if not fits(model, blocks):
         return spread(model, blocks, features, draw)
-    rows, use = M.rows_of(blocks, features), lambda b: M.forward(model, b, activated, product, draw)
-    return M.scored(rows, len(blocks.edges), widest(model)[0], use, STATE), []
+    width, s, use = widest(model)[0], blocks.sizes, lambda b: M.forward(model, b, activated, product, draw)
+    scores = lambda some: M.scored(M.rows_of(some, features), len(blocks.edges), width, use, STATE)
+    parts = min(blocks.windows(features, width), s.last - s.first + 1)
+    if parts == 1:
+        return scores(blocks), []
+    spark = features.sparkSession
+    features, path, every = written(features.select("node_id", "h"), new_folder(spark, "features")), new_folder(spark, "scores"), s.last - s.first + 1
+    for k in range(parts):
+        written(scores(blocks.between(s.first + k * every // parts, s.first + (k + 1) * every // parts - 1)), f"{path}/window={k}")
+    return spark.read.schema(f"{STATE}, window int").parquet(path).drop("window"), []
+
+
+def sums_of(model: Model, batches: Iterator[bytes], draw: int | None) -> np.ndarray | None:
+    """Gradients of all parameters, end to end, the loss and the labelled seeds, over packed batches."""
+    classes, total = len(model.params[-1]["bias"]) // model.heads, None
+    for data in batches:
+        g = M.gradient(model, pickle.loads(data), classes, activated, product, flat, draw)
+        total = g if total is None else total + g
+    return total
+
+
+def means_of(model: Model, total: np.ndarray | None) -> tuple[list[dict[str, np.ndarray]], float, int]:
+    loss, n = (0.0, 0) if total is None else total[-2:]
+    if not n:
+        return [{name: np.zeros_like(a) for name, a in p.items()} for p in model.params], 0.0, 0
+    return [{name: a / n for name, a in p.items()} for p in layered(model, total)], float(loss / n), int(n)
+
+
+def layered(model: Model, whole: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """All parameters, end to end, as the arrays of layers."""
+    out, at = [], 0
+    for p in model.params:
+        size = sum(a.size for a in p.values())
+        out.append(unflat(whole[at : at + size], p))
+        at += size
+    return out
 
 
 def local_gradients(model: Model, data: DataFrame, draw: int | None) -> tuple[list[dict[str, np.ndarray]], float, int]:
     """``gradients`` over rows (data) of packed batches, in one job: a task adds up its batches, and sends one row of as many numbers as there are parameters."""
-    classes = len(model.params[-1]["bias"]) // model.heads
 
     def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for b in batch.column(0):
-                g = M.gradient(model, pickle.loads(b.as_py()), classes, activated, product, flat, draw)
-                total = g if total is None else total + g
+        total = sums_of(model, (b.as_py() for batch in batches for b in batch.column(0)), draw)
         if total is not None:
             yield pa.RecordBatch.from_arrays([vectors(total[None, :])], names=["g"])
 
     rows = data.select("data").coalesce(32).mapInArrow(use, "g array<double>").collect()  # a row a task, of 32 at most
-    total = np.sum([r.g for r in rows], axis=0) if rows else np.zeros(2)
-    loss, n = total[-2:]
-    if not n:
-        return [{name: np.zeros_like(a) for name, a in p.items()} for p in model.params], 0.0, 0
-    out, at = [], 0
-    for p in model.params:
-        size = sum(a.size for a in p.values())
-        out.append(unflat(total[at : at + size] / n, p))
-        at += size
-    return out, float(loss / n), int(n)
+    return means_of(model, np.sum([r.g for r in rows], axis=0) if rows else None)
+
+
+def stepped(model: Model, adam: Adam, state: tuple, grads: list[dict[str, np.ndarray]]) -> tuple[Model, tuple]:
+    """The model and Adam's state after one step."""
+    whole = np.concatenate([flat(p) for p in model.params])
+    whole, state = adam.step(whole, np.concatenate([flat(g) for g in grads]), state)
+    return replace(model, params=layered(model, whole)), state
+
+
+def folded(model: Model, adam: Adam, state: tuple, data: DataFrame, draw: int) -> tuple[Model, tuple, list[tuple[int, float]]]:
+    """One step after the other over packed batches (step, batch, data) of bounded size, all in one task: steps depend on each other, and a job for each would cost more than a step.
 
+    (model, Adam's state, (step, mean loss before it)); ``draw``: that of the first step.
+    """
 
-def steps_of(model: Model, seeds: DataFrame, blocks: Blocks, features: DataFrame, labels: DataFrame) -> Callable[[int], DataFrame]:
-    """What gives the packed batches of a step: all are written once, by step, so that a step reads its own folder alone."""
-    spark, path = seeds.sparkSession, f"{checkpoint_folder(seeds.sparkSession)}/steps-{uuid.uuid4().hex}"
-    data = M.packed(M.rows_of(blocks, features, labels), len(blocks.edges), widest(model)[0])
-    data.join(seeds.select("step", "batch").distinct(), "batch").write.partitionBy("step").parquet(path)
-    return lambda step: spark.read.schema("batch long, data binary").parquet(f"{path}/step={step}")
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for part in batches:
+            for step, batch, packed in zip(*(part.column(c) for c in ("step", "batch", "data")), strict=True):
+                held.setdefault(step.as_py(), []).append((batch.as_py(), packed.as_py()))
+        at, now, said = model, state, []
+        for step in sorted(held):
+            grads, loss, n = means_of(at, sums_of(at, (b for _, b in sorted(held.pop(step))), draw + len(said)))
+            if n:
+                said.append((step, loss))
+                at, now = stepped(at, adam, now, grads)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((at.params, now, said))], pa.binary())], names=["done"])
+
+    rows = data.select("step", "batch", "data").coalesce(1).mapInArrow(use, "done binary").collect()  # one row: parameters and a number a step
+    if not rows:
+        return model, state, []
+    params, state, said = pickle.loads(rows[0].done)
+    return replace(model, params=params), state, said
 
 
 def spread(model: Model, blocks: Blocks, features: DataFrame, draw: int | None = None) -> tuple[DataFrame, list[dict]]:
@@ -409,7 +512,7 @@ def loss_gradients(scores: DataFrame, labels: DataFrame, classes: int) -> DataFr
 def gradients(model: Model, blocks: Blocks, features: DataFrame, labels: DataFrame, draw: int | None = None) -> tuple[list[dict[str, np.ndarray]], float, int]:
     """(mean gradients of every parameter, mean loss, labelled seeds) over all batches of the blocks; seeds without a label don't count."""
     if fits(model, blocks):
-        return local_gradients(model, M.packed(M.rows_of(blocks, features, labels), len(blocks.edges), widest(model)[0]), draw)
+        return local_gradients(model, M.packed(M.rows_of(blocks, features, labels), len(blocks.edges), widest(model)[0], model.kind), draw)
     return spread_gradients(model, blocks, features, labels, draw)
 
 
@@ -468,36 +571,73 @@ def train(
 
     ``seeds``: step, batch, node_id; all batches of a step are worked on at once, as ranks that
     average their gradients. Every epoch samples blocks of its own; ``sampled`` takes their counters.
+    Features come to the batches of some steps at a time, and what was made for them goes once they are done.
     """
-    seeds = cut(seeds.select("step", *KEYS))
-    steps = sorted(r.step for r in seeds.select("step").distinct().collect())  # a number a step
-    features, labels = cut(features), cut(labels)
-    whole = np.concatenate([flat(p) for p in model.params])
-    state, said = (np.zeros_like(whole), np.zeros_like(whole), 0), []
+    spark = seeds.sparkSession
+    base = new_folder(spark, "training")
+    seeds, features, labels = (written(f, f"{base}/{name}") for f, name in ((seeds.select("step", *KEYS), "seeds"), (features.select("node_id", "h"), "features"), (labels, "labels")))
+    ends = seeds.groupBy("step").agg(F.min("batch").alias("first"), F.max("batch").alias("last"), F.count(F.lit(1)).alias("n"))
+    steps, near = sorted(tuple(r) for r in ends.collect()), nearby(edges)  # a row a step
+    size, said = sum(a.size for p in model.params for a in p.values()), []
+    state = (np.zeros(size), np.zeros(size), 0)
     for epoch in range(1, epochs + 1):
-        blocks = sample(seeds, edges, fanouts, "" if epoch == 1 else f"epoch{epoch}")
-        if sampled is not None:
-            sampled.append(blocks.counters())
-        of_step = steps_of(model, seeds, blocks, features, labels) if fits(model, blocks) else None
-        for step in steps:
-            if of_step is not None:
-                grads, loss, n = local_gradients(model, of_step(step), len(said))
-            else:
+        blocks = sample(seeds, near, fanouts, "" if epoch == 1 else f"epoch{epoch}")
+        if fits(model, blocks):
+            model, state, losses, inputs = whole_steps(model, adam, state, steps, seeds, blocks, features, labels, len(said), fanouts)
+            said += [(epoch, step, loss) for step, loss in losses]
+        else:
+            inputs = None
+            for step, *_ in steps:
                 of = blocks.of(seeds.where(F.col("step") == step).select("batch").distinct())
                 grads, loss, n = spread_gradients(model, of, features, labels, draw=len(said))
-            if not n:
-                continue
-            said.append((epoch, step, loss))
-            whole, state = adam.step(whole, np.concatenate([flat(g) for g in grads]), state)
-            parts, at = [], 0
-            for p in model.params:
-                size = sum(a.size for a in p.values())
-                parts.append(unflat(whole[at : at + size], p))
-                at += size
-            model = Model(model.kind, parts, model.heads, model.dropout)
+                if n:
+                    said.append((epoch, step, loss))
+                    model, state = stepped(model, adam, state, grads)
+        if sampled is not None:
+            sampled.append(blocks.counters(inputs))
+        dropped(spark, blocks.path)
+    dropped(spark, base)
     return model, said
 
 
+def whole_steps(
+    model: Model, adam: Adam, state: tuple, steps: list[tuple], seeds: DataFrame, blocks: Blocks, features: DataFrame, labels: DataFrame, draw: int, fanouts: list[int]
+) -> tuple[Model, tuple, list[tuple[int, float]], int]:
+    """An epoch's steps (step, first and last batch, seeds) over batches that fit a task: (model, Adam's state, (step, loss), nodes sampled).
+
+    A window of steps is packed by batch once, in parts of bounded size. Steps of a part are taken one after
+    the other in one task; a step that fills a part alone is dealt to several tasks.
+    """
+    spark, width, said, inputs = seeds.sparkSession, widest(model)[0], [], 0
+    if not steps:
+        return model, state, said, inputs
+    numbers = max(n for *_, n in steps) * (blocks.sizes.each * width if model.kind == "gat" else blocks.sizes.each // (1 + fanouts[0]) * len(product(model, 0)[0]))
+    each, many = max(1, LOCAL_NUMBERS // numbers), min(len(steps), blocks.windows(features, width))
+    for k in range(many):
+        mine = steps[k * len(steps) // many : (k + 1) * len(steps) // many]
+        lo, hi = min(s[1] for s in mine), max(s[2] for s in mine)
+        part = {s[0]: at // each for at, s in enumerate(mine)}
+        of = seeds.where(F.col("step").between(mine[0][0], mine[-1][0])).select("step", "batch").distinct()
+        of = of.join(F.broadcast(spark.createDataFrame(list(part.items()), "step long, part int")), "step")
+        some = blocks if many == 1 else blocks.between(lo, hi)
+        packed = M.packed(M.rows_of(some, features, labels), len(blocks.edges), width, model.kind)
+        seen, path = Observation(), new_folder(spark, "steps")
+        rows = written(packed.join(F.broadcast(of), "batch").observe(seen, F.sum("nodes").alias("n")), path, "part")  # a row a batch
+        inputs += seen.get["n"] or 0
+        for p in range(part[mine[-1][0]] + 1):
+            data = rows.where(F.col("part") == p)
+            if numbers <= LOCAL_NUMBERS:
+                model, state, losses = folded(model, adam, state, data, draw + len(said))
+                said += losses
+                continue
+            grads, loss, n = local_gradients(model, data, draw + len(said))
+            if n:
+                said.append((mine[p][0], loss))
+                model, state = stepped(model, adam, state, grads)
+        dropped(spark, path)
+    return model, state, said, inputs
+
+
 def predict(model: Model, seeds: DataFrame, edges: Edges, features: DataFrame, fanouts: list[int]) -> DataFrame:
     """batch, node_id, h (class scores), predicted: the seeds (batch, node_id) through sampled blocks, nothing dropped."""
     h, _ = forward(model, sample(seeds, edges, fanouts), features)

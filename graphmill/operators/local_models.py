@@ -6,6 +6,7 @@ message of an edge is shuffled.
 
 from __future__ import annotations
 
+import copy
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -29,21 +30,61 @@ def add_at(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in half the bytes, if these hold them."""
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float32)
+    return half if np.array_equal(half, x) else x
+
+
+def summed(kind: str, edges: tuple[np.ndarray, np.ndarray], t: np.ndarray, h: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], tuple]:
+    """(the targets whose state a sage or gcn layer gives, what its product reads of them in parts, (sources, targets, weights) of the edges that say something)."""
+    (src, dst), n = edges, len(h)
+    into = np.bincount(dst, minlength=n)[dst]
+    w = 1 / into if kind == "sage" else 1 / np.sqrt(np.bincount(src, minlength=n)[src] * into)
+    live = has[src]
+    src, dst, w = src[live], dst[live], w[live]
+    total = add_at(np.zeros(h.shape), dst, h[src] * w[:, None])
+    if kind == "sage":
+        t = t[has[t]]
+        return t, [h[t], total[t]], (src, dst, w)
+    return t, [total[t]], (src, dst, w)
+
+
 class Batch:
     """One batch: ``nodes`` (sorted ids), ``edges`` of each layer and ``seeds`` as places in them, ``h`` of the nodes that ``has`` it, labels of seeds (``NO_LABEL``: none)."""
 
     def __init__(self, batch: int, layers: int, kind: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray, h: np.ndarray):
+        x, on = a[known], kind > -1
+        order = np.lexsort((b[on], a[on], kind[on]))  # sums come out the same in each run
         self.batch, self.nodes = batch, np.unique(np.concatenate([a[kind <= layers], b[(kind >= 0) & (kind < layers)]]))
+        kind, a, b = kind[on][order], a[on][order], b[on][order]
         at = lambda ids: np.searchsorted(self.nodes, ids)
         self.edges = [(at(a[kind == k]), at(b[kind == k])) for k in range(layers)]
         self.seeds = at(a[kind == layers])
         self.has = np.zeros(len(self.nodes), bool)
-        self.has[at(a[known])] = True
+        self.has[at(x)] = True
         self.h = np.zeros((len(self.nodes), h.shape[1]))
-        self.h[at(a[known])] = h
+        self.h[at(x)] = h
         self.label = np.full(len(self.nodes), NO_LABEL)
         self.label[at(a[kind == layers + 1])] = b[kind == layers + 1]
 
+    #: (targets, what the first layer's product reads of them), if that is worked out already.
+    first = None
+
+    def slim(self, kind: str) -> Batch:
+        """The batch without what training needs no more: the sums that the first layer of sage or gcn reads hang on no parameter, so its sources go."""
+        out = copy.copy(self)
+        if kind == "gat":
+            out.h = narrow(self.h)
+            return out
+        every = self.targets()[0]
+        t, x, _ = summed(kind, self.edges[0], every, self.h, self.has)
+        at = lambda places: np.searchsorted(every, places)
+        out.nodes, out.label, out.seeds, out.h, out.has = self.nodes[every], self.label[every], at(self.seeds), None, None
+        out.edges, out.first = [None, *((at(a), at(b)) for a, b in self.edges[1:])], (at(t), [narrow(part) for part in x])
+        return out
+
     def targets(self) -> list[np.ndarray]:
         """The targets of each layer."""
         out = [self.seeds]
@@ -80,25 +121,27 @@ def rows_of(blocks, features: DataFrame, labels: DataFrame | None = None) -> Dat
     layers, none = len(blocks.edges), F.lit(None).cast(features.schema["h"].dataType).alias("h")
     zero = F.lit(0).cast("long").alias("b")
     seeds = blocks.nodes[-1]
-    out = blocks.nodes[0].join(features.select("node_id", "h"), "node_id").select("batch", F.lit(-1).alias("k"), F.col("node_id").alias("a"), zero, "h")
+    ids = seeds.select("batch", "node_id")
+    for e in blocks.edges:
+        ids = ids.unionByName(e.select("batch", F.col("src").alias("node_id")))
+    asked = ids.repartition("node_id").distinct()  # dealt by node once, for this and for the join
+    out = asked.join(features.select("node_id", "h"), "node_id").select("batch", F.lit(-1).alias("k"), F.col("node_id").alias("a"), zero, "h")
     for k, e in enumerate(blocks.edges):
         out = out.unionByName(e.select("batch", F.lit(k).alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), none))
     out = out.unionByName(seeds.select("batch", F.lit(layers).alias("k"), F.col("node_id").alias("a"), zero, none))
     if labels is not None:
         known = seeds.join(labels.select("node_id", F.col("label").cast("long").alias("b")).where("b is not null"), "node_id")
         out = out.unionByName(known.select("batch", F.lit(layers + 1).alias("k"), F.col("node_id").alias("a"), "b", none))
-    return out.repartition("batch").sortWithinPartitions("batch", "k", "a", "b")
+    return out.repartition("batch").sortWithinPartitions("batch")
 
 
 def forward(model, batch: Batch, activated: Callable, product: Callable, draw: int | None) -> tuple[np.ndarray, np.ndarray, list[dict]]:
     """(states of all nodes, of which the seeds' are scores; which nodes have one; what each layer keeps)."""
-    h, has, kept = batch.h, batch.has, []
+    h, has, kept, n = batch.h, batch.has, [], len(batch.nodes)
     for k, t in enumerate(batch.targets()):
-        src, dst = batch.edges[k]
-        n = len(h)
         on = np.zeros(n, bool)
         if model.kind == "gat":
-            p, heads = model.params[k], model.heads
+            p, heads, (src, dst) = model.params[k], model.heads, batch.edges[k]
             live = has[src] & has[dst]
             src, dst = src[live], dst[live]
             z, y = h @ p["source"], h @ p["target"]
@@ -116,14 +159,11 @@ def forward(model, batch: Batch, activated: Callable, product: Callable, draw: i
             on[t] = True
         else:
             weights, bias = product(model, k)
-            into = np.bincount(dst, minlength=n)[dst]
-            w = 1 / into if model.kind == "sage" else 1 / np.sqrt(np.bincount(src, minlength=n)[src] * into)
-            live = has[src]
-            src, dst, w = src[live], dst[live], w[live]
-            total = add_at(np.zeros_like(h), dst, h[src] * w[:, None])
-            if model.kind == "sage":
-                t = t[has[t]]
-            x = np.hstack([h[t], total[t]]) if model.kind == "sage" else total[t]
+            if k == 0 and batch.first is not None:
+                (t, parts), (src, dst, w) = batch.first, (None, None, None)
+            else:
+                t, parts, (src, dst, w) = summed(model.kind, batch.edges[k], t, h, has)
+            x = np.hstack([part.astype(float) for part in parts])
             out, slope = activated(model, k, x @ weights + bias, np.full(len(t), batch.batch), batch.nodes[t], draw)
             kept.append({"x": x, "t": t, "src": src, "dst": dst, "w": w, "slope": slope, "n": n})
             h = np.zeros((n, len(bias)))
@@ -133,21 +173,23 @@ def forward(model, batch: Batch, activated: Callable, product: Callable, draw: i
     return h, has, kept
 
 
-def back(model, k: int, saved: dict, g: np.ndarray, product: Callable) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(gradient of the layer's input states, gradients of its parameters), from g of all nodes (0 but for targets)."""
+def back(model, k: int, saved: dict, g: np.ndarray, product: Callable) -> tuple[np.ndarray | None, dict[str, np.ndarray]]:
+    """(gradient of the layer's input states, none for the first layer; gradients of its parameters), from g of all nodes (0 but for targets)."""
     t, src, dst = saved["t"], saved["src"], saved["dst"]
     if model.kind != "gat":
         weights, _ = product(model, k)
         at = g[t] * saved["slope"]
-        dw, gx = saved["x"].T @ at, at @ weights.T
-        half = len(weights) // 2 if model.kind == "sage" else 0
+        dw, half = saved["x"].T @ at, len(weights) // 2 if model.kind == "sage" else 0
+        own = ({"own": dw[:half], "neigh": dw[half:]} if half else {"weight": dw}) | {"bias": at.sum(0)}
+        if k == 0:
+            return None, own
+        gx = at @ weights.T
         along = np.zeros((saved["n"], len(weights) - half))
         along[t] = gx[:, half:]
         out = add_at(np.zeros_like(along), src, along[dst] * saved["w"][:, None])
         if half:
             out[t] += gx[:, :half]
-        own = {"own": dw[:half], "neigh": dw[half:]} if half else {"weight": dw}
-        return out, own | {"bias": at.sum(0)}
+        return out, own
     p, heads, h, z = model.params[k], model.heads, saved["h"], saved["z"]
     n, split = len(h), lambda v: v.reshape(len(v), heads, -1)
     grad = np.tile(g, heads) / heads if model.last(k) else g
@@ -157,7 +199,7 @@ def back(model, k: int, saved: dict, g: np.ndarray, product: Callable) -> tuple[
     gz = add_at(np.zeros_like(z), src, (split(grad[dst]) * saved["share"][:, :, None]).reshape(len(src), -1)) + (gl[:, :, None] * p["left"]).reshape(n, -1)
     gy = (gr[:, :, None] * p["right"]).reshape(n, -1)
     grads = {"left": (split(z) * gl[:, :, None]).sum(0), "right": (split(saved["y"]) * gr[:, :, None]).sum(0), "source": h.T @ gz, "target": h.T @ gy, "bias": grad[t].sum(0)}
-    return gz @ p["source"].T + gy @ p["target"].T, grads
+    return (gz @ p["source"].T + gy @ p["target"].T if k else None), grads
 
 
 def gradient(model, batch: Batch, classes: int, activated: Callable, product: Callable, flat: Callable, draw: int | None) -> np.ndarray:
@@ -180,14 +222,14 @@ def gradient(model, batch: Batch, classes: int, activated: Callable, product: Ca
     return np.concatenate(out)
 
 
-def packed(rows: DataFrame, layers: int, width: int) -> DataFrame:
-    """batch, data: a row a batch."""
+def packed(rows: DataFrame, layers: int, width: int, kind: str) -> DataFrame:
+    """batch, data, nodes (sampled): a row a batch."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(parts, layers, width):
-            yield pa.RecordBatch.from_arrays([pa.array([b.batch], pa.int64()), pa.array([pickle.dumps(b)], pa.binary())], names=["batch", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([b.batch], pa.int64()), pa.array([pickle.dumps(b.slim(kind))], pa.binary()), pa.array([len(b.nodes)], pa.int64())], names=["batch", "data", "nodes"])
 
-    return rows.mapInArrow(run, "batch long, data binary")
+    return rows.mapInArrow(run, "batch long, data binary, nodes long")
 
 
 def scored(rows: DataFrame, layers: int, width: int, forward_: Callable[[Batch], tuple], schema: str) -> DataFrame:

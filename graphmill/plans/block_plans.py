@@ -81,7 +81,7 @@ SCORES = f"select batch, node_id, {P.rounded_sql('h')} as h from h2"
 
 
 def scores(s, d, kind: str) -> DataFrame:
-    blocks = B.sample(Q.batch_nodes(s, d), G.cut(V.edges(s, d)), FANOUTS)
+    blocks = B.sample(Q.batch_nodes(s, d), V.edges(s, d), FANOUTS)
     return P.rounded(B.forward(ruled(kind), blocks, P.vectors(s, d))[0], "batch", "node_id")
 
 
@@ -99,7 +99,7 @@ def gcn_model(s, d):
 @Q.query(f"select batch, node_id, {P.rounded_sql('list_transform(h, lambda v: v - ln(list_sum(list_transform(h, lambda y: exp(y)))))')} as h from h2", f"{Q.SAMPLE}, {model_sql('gat')}")
 def gat_model(s, d):
     """Two layers with two heads each, the mean over heads, then log-softmax."""
-    blocks = B.sample(Q.batch_nodes(s, d), G.cut(V.edges(s, d)), FANOUTS)
+    blocks = B.sample(Q.batch_nodes(s, d), V.edges(s, d), FANOUTS)
     h = B.forward(ruled("gat"), blocks, P.vectors(s, d))[0]
     return P.rounded(h.withColumn("h", L.log_softmax("h")), "batch", "node_id")
 
@@ -129,7 +129,7 @@ def accuracy_of(predicted: DataFrame, labels: DataFrame) -> DataFrame:
 def evaluate_blocks(s, d):
     """Accuracy of the ruled model over the labelled test nodes, batch by batch."""
     seeds, labels = held_out(s, d)
-    return accuracy_of(B.predict(ruled("sage"), seeds, G.cut(V.edges(s, d)), P.vectors(s, d), FANOUTS), labels)
+    return accuracy_of(B.predict(ruled("sage"), seeds, V.edges(s, d), P.vectors(s, d), FANOUTS), labels)
 
 
 #: Batch size of the training queries: two GPUs on two machines make a step of 512 nodes.
@@ -142,7 +142,7 @@ def trained(s, d, kind: str, epochs: int) -> tuple[B.Model, list]:
     seeds = order.select("step", (F.col("step") * 4 + F.col("machine") * 2 + F.col("gpu")).alias("batch"), "node_id")
     labels = V.nodes(s, d).where("label is not null").select("node_id", "label")
     model = B.start(kind, P.DIM, HIDDEN, CLASSES, len(FANOUTS), HEADS)
-    return B.train(model, seeds, G.cut(V.edges(s, d)), P.vectors(s, d), labels, FANOUTS, epochs)
+    return B.train(model, seeds, V.edges(s, d), P.vectors(s, d), labels, FANOUTS, epochs)
 
 
 @Q.query()
@@ -157,7 +157,7 @@ def evaluate_trained(s, d):
     """nodes, accuracy of a trained model over the labelled test nodes."""
     model, _ = trained(s, d, "sage", 1)
     seeds, labels = held_out(s, d)
-    return accuracy_of(B.predict(model, seeds, G.cut(V.edges(s, d)), P.vectors(s, d), FANOUTS), labels)
+    return accuracy_of(B.predict(model, seeds, V.edges(s, d), P.vectors(s, d), FANOUTS), labels)
 
 
 @Q.query(
@@ -166,5 +166,5 @@ def evaluate_trained(s, d):
 )
 def observed_counters(s, d):
     """What sampling makes, counted by the jobs that make it."""
-    seen = B.sample(Q.batch_nodes(s, d), G.cut(V.edges(s, d)), FANOUTS).counters()
+    seen = B.sample(Q.batch_nodes(s, d), V.edges(s, d), FANOUTS).counters()
     return s.createDataFrame([(seen["nodes"][0], seen["edges"][0], seen["edges"][1], seen["nodes"][-1])], "sampled long, outer_edges long, inner_edges long, seeds long")

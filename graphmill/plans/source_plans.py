@@ -51,7 +51,7 @@ def feature_file(s, d):
 @Q.query("select row_number() over (order by dst, edge_id) - 1 as at, dst, src, edge_id from g_edges")
 def csc_tables(s, d):
     """The CSC graph written as tables, and its edges read back."""
-    folder, edges = new_folder(s, "csc"), G.cut(V.edges(s, d))
+    folder, edges = new_folder(s, "csc"), V.edges(s, d)
     files.write_csc(G.adjacency(edges), G.indptr(edges, V.nodes(s, d)), folder)
     _, indices = files.read_csc(s, folder)
     return indices.select("at", "dst", "src", "edge_id")
@@ -60,7 +60,7 @@ def csc_tables(s, d):
 @Q.query("select dst, row_number() over (partition by dst order by edge_id) - 1 as pos, src, edge_id from g_edges where dst in (select node_id from g_batch where step = 0)", Q.ORDER)
 def csc_in_edges(s, d):
     """In-edges of the first global batch from the written graph: its blocks alone are read, places follow from ``indptr``."""
-    folder, edges = new_folder(s, "csc"), G.cut(V.edges(s, d))
+    folder, edges = new_folder(s, "csc"), V.edges(s, d)
     files.write_csc(G.adjacency(edges), G.indptr(edges, V.nodes(s, d)), folder)
     return files.in_edges(s, folder, Q.batches(s, d).where("step = 0")).select("dst", "pos", "src", "edge_id")
 
@@ -128,7 +128,7 @@ def color_graph_plain(s, d):
     Q.ORDER + ", g_seedset as (select distinct step * 4 + machine * 2 + gpu as batch, node_id from g_batch)",
 )
 def sample_one_layer(s, d):
-    return G.sample_blocks(Q.batch_nodes(s, d), G.cut(V.edges(s, d)), [3])
+    return G.sample_blocks(Q.batch_nodes(s, d), V.edges(s, d), [3])
 
 
 @Q.query("select f as fan_out, b as batch, m as most from (values ('5,5', 1024, 36864), ('10,5,5', 1024, 405504), ('2', 8, 24)) t(f, b, m)")

@@ -176,3 +176,30 @@ def test_whole_batches_agree_with_joins_where_nodes_have_no_features(spark, kind
     monkeypatch.setattr(B, "LOCAL_NUMBERS", 1)
     large = rows(B.forward(model, blocks, features, 1)[0])
     assert large.keys() == parts.keys() and all(np.allclose(large[k], parts[k]) for k in parts)
+
+
+def test_windows_change_nothing_and_leave_nothing(spark, monkeypatch):
+    """Features come to a window's batches alone, whose folders go; steps are folded in a few tasks, not in a job each."""
+    import os
+
+    from graphmill.functions.ordering import checkpoint_folder
+
+    e, f, labels, _, _, _ = graph(spark, 7)
+    seeds = spark.createDataFrame([(s, s, (7 * s + n) % 18) for s in range(60) for n in range(2)], "step long, batch long, node_id long")
+    model = B.start("sage", DIM, 4, CLASSES, 2, dropout=0.3)
+    held = lambda: {n for n in os.listdir(checkpoint_folder(spark).removeprefix("file:")) if n.startswith(("steps", "training", "blocks"))}
+    before = held()
+    spark.sparkContext.setJobGroup("training", "")
+    trained, said = B.train(model, seeds, e, f, labels, [2, 3])
+    spark.sparkContext.setJobGroup("other", "")
+    assert held() == before and len(said) == 60 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) < 60
+    monkeypatch.setattr(B, "WINDOW_NUMBERS", 3000)
+    monkeypatch.setattr(B, "SLICE_IDS", 500)
+    sampled: list[dict] = []
+    again, told = B.train(model, seeds, e, f, labels, [2, 3], sampled=sampled)
+    assert [x[:2] for x in told] == [x[:2] for x in said] and np.allclose([x[2] for x in told], [x[2] for x in said], atol=1e-12)
+    assert all(np.allclose(p[n], q[n], atol=1e-12) for p, q in zip(trained.params, again.params, strict=True) for n in p)
+    blocks, rows = B.sample(seeds, e, [2, 3]), lambda d: {(v.batch, v.node_id): v.h for v in d.collect()}
+    assert blocks.sizes.slices == 3 and blocks.windows(f, DIM) == 3 and sampled[0] == blocks.counters()
+    cuts, whole = rows(B.forward(model, blocks, f)[0]), rows(B.spread(model, blocks, f)[0])
+    assert cuts.keys() == whole.keys() and all(np.allclose(cuts[k], whole[k], atol=1e-12) for k in whole)
