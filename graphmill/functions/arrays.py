@@ -206,8 +206,9 @@ def attention_sums(edges: DataFrame, z: DataFrame, target: DataFrame, left: np.n
     vector = z.where("z is not null").select(F.col("node_id").alias("src"), F.col("z").alias("h"))
     kind = vector.schema["h"].dataType
     own = target.where("z is not null").select(F.col("node_id").alias("dst"), F.col("z").alias("h"))
-    asking = rows.select("block", "dst").distinct().join(own, "dst").select("block", none.cast("long").alias("src"), "dst", "h")
-    sent = rows.select("block", "src").distinct().join(vector, "src").select("block", "src", none.cast("long").alias("dst"), "h")
+    # files look smaller than the vectors made of them: no join may send these to the driver to broadcast them
+    asking = rows.select("block", "dst").distinct().join(own.hint("merge"), "dst").select("block", none.cast("long").alias("src"), "dst", "h")
+    sent = rows.select("block", "src").distinct().join(vector.hint("merge"), "src").select("block", "src", none.cast("long").alias("dst"), "h")
     met = asking.unionByName(sent).unionByName(rows.withColumn("h", none.cast(kind)))
     met = met.repartition("block").sortWithinPartitions("block", F.asc_nulls_first("src"), F.asc_nulls_first("dst"))
     score = lambda x, w: (x.reshape(len(x), heads, width) * w).sum(2)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill import queries as Q
+from graphmill.functions.ordering import new_folder, written
 from graphmill.operators import graph as G
 from graphmill.operators import layers as L
 from graphmill.operators import training as T
@@ -139,7 +140,7 @@ SALT_SQL = "case rel when 'orders' then 10 when 'supplied_by' then 11 when 'cust
 
 def by_relation(s, d, layer) -> dict[str, list[DataFrame]]:
     """Vectors of the targets by target type, one frame a relation."""
-    edges, h, out = G.cut(V.hetero(s, d)), type_features(s, d), {}
+    edges, h, out = written(V.hetero(s, d), new_folder(s, "relations"), "rel"), type_features(s, d), {}
     for k, rel in enumerate(RELATIONS):
         source, target = Q.TYPES[rel]
         out.setdefault(target, []).append(layer(edges.where(F.col("rel") == rel).select("src", "dst"), h[source], h[target], 10 + k))
@@ -203,7 +204,7 @@ def rgat_sql() -> str:
 def rgat_layer(s, d):
     def layer(e, h, t, salt):
         out = L.gat_layer(e, h, weights(TYPE_DIM, TYPE_OUT, salt), weights(HEADS, RGAT_W, 5), weights(HEADS, RGAT_W, 6), bias(TYPE_OUT, salt), target=t)
-        return out.join(e.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_semi")  # a relation speaks of its own targets
+        return out.join(e.select(F.col("dst").alias("node_id")).distinct().hint("merge"), "node_id", "left_semi")  # a relation speaks of its own targets
 
     return of_types(by_relation(s, d, layer), "sum")
 

@@ -177,3 +177,14 @@ def test_an_edge_outside_of_the_counts_raises(spark):
     bad = edges_of() | {"cb": [(0, 1), (COUNTS["c"], 2)]}
     with pytest.raises(ValueError, match=r"cb, source: ids from 0 to 4 don't fit 4 nodes of c"):
         loaded(spark, bad, features=features_of())
+
+
+def test_attention_sends_no_vectors_to_the_driver(spark, tmp_path):
+    """Files look small beside the vectors made of them, so no join of vectors or targets may be planned as a broadcast."""
+    from graphmill.operators import layers
+
+    spark.range(10).selectExpr("id as node_id", "array(double(id), 2.0D) as h").write.parquet(f"{tmp_path}/h")
+    h, edges = spark.read.parquet(f"{tmp_path}/h"), spark.range(50).selectExpr("id % 7 as src", "id % 5 as dst")
+    out = layers.gat_layer(edges, h, np.eye(2), np.ones((1, 2)), np.ones((1, 2)), np.zeros(2))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.node_id for r in out.collect()} == set(range(10))
